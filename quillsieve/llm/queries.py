@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import find_contamination
+from .langid import held_out, identify, train
 from .ngram_join import jaccard_classes
+from .packing import pack
 from .substring_dedup import remove_repeats
 
 
@@ -16,11 +19,27 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    names, net = train(docs.where(~held_out()))
+    out = identify(docs, names, net)
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents")).drop("spans")
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op6_substring_dedup)}
+def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op5_language_id, op6_substring_dedup, op7_benchmark_decontamination, op10_packing)}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -44,4 +63,16 @@ r as (select doc_id, list(i) gone from c group by 1)
 select w.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(len(gone), 0) as bigint) n_removed,
   sha256(array_to_string(case when gone is null then w else list_filter(w, lambda x, i: not list_contains(gone, i)) end, ' ')) kept_sha256
 from w left join r using (doc_id)""",
+    "op7_benchmark_decontamination": rf"""
+with d as (select doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) w from documents),
+b as (select item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w from benchmark where item_id is not null),
+p as (select distinct item_id, least(10, len(w)) n, array_to_string(w[i : i + 9], ' ') x
+      from b, unnest(range(1, greatest(1, len(w) - 9) + 1)) t(i) where len(w) > 0),
+g as (select doc_id, i, k n, array_to_string(w[i : i + k - 1], ' ') x from d, (select distinct n k from p) s, unnest(range(1, len(w) - k + 2)) t(i)),
+h as (select doc_id, i, p.n, item_id from g join p on g.x = p.x and g.n = p.n),
+c as (select doc_id, count(distinct j) n from (select doc_id, unnest(range(i, i + n)) j from h) group by 1),
+o as (select doc_id, count(distinct item_id) n, sha256(string_agg(distinct cast(item_id as varchar), ',' order by cast(item_id as varchar))) x from h group by 1)
+select d.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(c.n, 0) as bigint) n_hit, cast(coalesce(o.n, 0) as bigint) n_items,
+  coalesce(o.x, sha256('')) items_sha256, c.n is not null contaminated
+from d left join c using (doc_id) left join o using (doc_id)""",
 }
