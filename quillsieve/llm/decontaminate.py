@@ -114,7 +114,7 @@ def _merged(n: int, marks: list[tuple[np.ndarray, np.ndarray]]) -> list[list[int
     return np.flatnonzero(np.diff(np.concatenate([[0], inside, [0]]))).reshape(-1, 2).tolist()
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shard: int = 300_000, block: int = 2_000_000) -> DataFrame:
+def find_contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = 10, shard: int = 300_000, block: int = 2_000_000, with_text: bool = False) -> DataFrame:
     """Mark each word of a document that lies inside an occurrence of a test window.
 
     A-Z is lower-cased; words are runs of ASCII letters and digits and of characters from U+0080 on. A window is `window`
@@ -125,7 +125,8 @@ def find_contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id"
     A null or empty text has no words and is never hit; an item with a null id or without words is left out. Rows are
     judged one by one, so repeated rows get equal results; a null document id is kept. An empty table of documents gives
     an empty result, an empty table of items no hits. Other columns are ignored. `shard` bounds the words that one index
-    holds, `block` about how many words of items go to the tasks at once; each further block is one more pass.
+    holds, `block` about how many words of items go to the tasks at once; each further block is one more pass. With
+    with_text, the text comes back too.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -136,9 +137,10 @@ def find_contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id"
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k)
         shared = spark.sparkContext.broadcast(_patterns([(r.item, bytes(r.words)) for r in part.toLocalIterator()], window))
-        out = out.mapInArrow(_hits(shared, window, shard, k < blocks - 1), schema)
+        out = out.mapInArrow(_hits(shared, window, shard, with_text or k < blocks - 1), schema)
     return out.select(
         "doc_id",
+        *(["text"] if with_text else []),
         "n_words",
         "spans",
         F.aggregate("spans", F.lit(0).cast("long"), lambda t, x: t + F.get(x, F.lit(1)) - F.get(x, F.lit(0))).alias("n_hit"),
@@ -147,3 +149,25 @@ def find_contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id"
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("spans") > 0).alias("contaminated"),
     )
+
+
+def _without(batches):
+    """(doc_id, text, spans) -> the text without the words of the spans and what stands between them."""
+    for batch in batches:
+        spans, kept = batch.column(2).to_pylist(), []
+        for w in words(batch.column(1), LETTERS_DIGITS, lower=True):
+            texts = batch.column(1).slice(w.lo, w.hi - w.lo).to_pylist()
+            begins = np.concatenate([[0], np.cumsum([len((t or "").encode()) for t in texts])])
+            for k, t in enumerate(texts):
+                raw, parts, at = (t or "").encode(), [], 0
+                for a, b in spans[w.lo + k]:
+                    parts.append(raw[at : int(w.s[w.off[k] + a] - begins[k])])
+                    at = int(w.e[w.off[k] + b - 1] - begins[k])
+                kept.append(b"".join([*parts, raw[at:]]).decode())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.string())], names=["doc_id", "text", "kept"])
+
+
+def remove_contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """doc_id, text and kept (the text without its hit spans) of each contaminated document; options and odd cases as in find_contamination."""
+    found = find_contamination(docs, items, with_text=True, **options).where("contaminated")
+    return found.select("doc_id", "text", "spans").mapInArrow(_without, "doc_id long, text string, kept string")

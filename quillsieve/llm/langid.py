@@ -146,8 +146,8 @@ def _apply(shared, batch_windows: int = 1024):
                 best = mean.argmax(axis=1)
                 ok = [len(t) > 0 for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([names[b] if o else UNDETERMINED for b, o in zip(best, ok, strict=True)]), pa.array(np.where(ok, np.clip(mean.max(axis=1), 0, 1), 0.0))],
-                    names=["doc_id", "lang_pred", "score"],
+                    [*(c for k, c in enumerate(part.columns) if k not in (1, 2)), pa.array([names[b] if o else UNDETERMINED for b, o in zip(best, ok, strict=True)]), pa.array(np.where(ok, np.clip(mean.max(axis=1), 0, 1), 0.0))],
+                    names=[*(c for k, c in enumerate(part.schema.names) if k not in (1, 2)), "lang_pred", "score"],
                 )
 
     return rows
@@ -168,18 +168,20 @@ def _scored(net: ByteCNN, texts: list[bytes], most: int):
         yield np.array(owner), net.predict(_windows(held, net.window)[0]), np.array(sizes)
 
 
-def identify(docs: DataFrame, names: list[str], net: ByteCNN | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, names: list[str], net: ByteCNN | None, doc_id: str = "doc_id", text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """doc_id, lang_pred (a name, or `und` if the text is null or has no letter) and score (0 to 1; 0 for `und`) of each row.
 
     Whole texts are read, of any length. Rows with one id, or a null id, are judged each for itself; an empty table gives
-    an empty result; other columns are ignored. Without a network (nothing to learn from) every row is `und`.
+    an empty result; other columns are ignored, but that those named in `carry` come back. Without a network (nothing to learn from) every row is `und`.
     """
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), letters.alias("letters"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), letters.alias("letters"), *(F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry or [])))
+    back = [F.col(f"carry_{k}").alias(c) for k, c in enumerate(carry or [])]
     if net is None:
-        return rows.select("doc_id", F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.select("doc_id", *back, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast((names, net))
-    return rows.mapInArrow(_apply(shared), "doc_id long, lang_pred string, score double")
+    kept = "".join(f", carry_{k} {rows.schema[f'carry_{k}'].dataType.simpleString()}" for k in range(len(carry or [])))
+    return rows.mapInArrow(_apply(shared), f"doc_id long{kept}, lang_pred string, score double").select("doc_id", *back, "lang_pred", "score")
 
 
 def held_out(key: str = "doc_id"):

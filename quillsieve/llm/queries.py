@@ -3,22 +3,53 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ._scratch import Scratch
+from .chat import as_events, fold, read_loss, read_turns, render
 from .decontaminate import find_contamination
+from .fingerprints import compare_edited
 from .langid import held_out, identify, train
 from .ngram_join import jaccard_classes
 from .packing import pack
 from .substring_dedup import remove_repeats
+from .url_filter import judge
+from .warc import base32_sha1, deduplicate, read_archives, write_archives
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "warc")
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", F.coalesce("html", F.lit("")).alias("payload"))
+    none, date = F.lit(None).cast("string"), "2024-01-01T00:00:00Z"
+    records = pages.select(
+        F.concat(F.lit("urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit(""))).alias("record_id"), F.lit("response").alias("record_type"), F.col("url").alias("uri"),
+        F.lit(date).alias("date"), base32_sha1(F.col("payload").cast("binary")).alias("digest"), "payload", none.alias("refers_to"), none.alias("refers_to_uri"), none.alias("refers_to_date"),
+    )
+    write_archives(records, f"{scratch.path}/crawl")
+    page = lambda c: F.expr(f"try_cast(substring({c}, 10) as bigint)")
+    rank = F.struct(page("record_id").isNull().alias("none"), page("record_id").alias("page"), "file", "offset")
+    deduplicate(spark, f"{scratch.path}/crawl", f"{scratch.path}/archive", rank, date)
+    back = read_archives(spark, f"{scratch.path}/archive").select("record_id", "record_type", "digest", "length", "refers_to")
+    back = scratch.save(back, "headers")
+    original = back.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to"), "digest").agg(F.max("length").alias("full"))
+    again = back.where("record_type = 'revisit'").join(original.hint("merge"), ["refers_to", "digest"]).select("record_id", "record_type", "digest", F.col("full").alias("length"), "refers_to")
+    every = again.unionByName(back.where("record_type = 'response'"))
+    return every.select(page("record_id").alias("page_id"), F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+    return judge(_table(spark, sf_dir, "pages"), rules)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     names, net = train(docs.where(~held_out()))
@@ -35,15 +66,52 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    told = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", told), (-7, 1, "assistant", told)], "conv_id long, turn long, role string, text string")
+    chats = render(fold(as_events(rows.unionByName(more))))
+    turns = F.concat_ws("", F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))))
+    back = chats.select("conversation", "formatted", read_turns(F.col("formatted")).alias("turns"), F.array_join(read_loss(F.col("formatted"), F.col("mask")), "").alias("loss"))
+    return back.select(
+        F.col("conversation").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(turns, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+def op9_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_edited(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join, op5_language_id, op6_substring_dedup, op7_benchmark_decontamination, op10_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_warc_revisits,
+        op3_ngram_jaccard_join,
+        op4_url_filter,
+        op5_language_id,
+        op6_substring_dedup,
+        op7_benchmark_decontamination,
+        op8_chat_formatting,
+        op9_imatch_fingerprints,
+        op10_packing,
+    )
+}
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
+    "op1_warc_revisits": r"""
+with p as (select page_id, coalesce(html, '') h, sha1(coalesce(html, '')) x from pages),
+d as (select page_id, octet_length(encode(h)) n, min(page_id) over (partition by h) m,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + cast((('0x' || substr(x, 1 + 5 * (k // 4), 5))::bigint >> (15 - 5 * (k % 4))) & 31 as int), 1)), '') g from p)
+select page_id, cast(n as bigint) payload_bytes, g payload_digest, case when page_id = m then 'response' else 'revisit' end record_type,
+  case when page_id <> m then m end refers_to from d""",
     "op3_ngram_jaccard_join": rf"""
 with recursive w as (select doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') w from documents),
 s as (select doc_id, list_distinct(case when w is null or len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
@@ -75,4 +143,14 @@ o as (select doc_id, count(distinct item_id) n, sha256(string_agg(distinct cast(
 select d.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(c.n, 0) as bigint) n_hit, cast(coalesce(o.n, 0) as bigint) n_items,
   coalesce(o.x, sha256('')) items_sha256, c.n is not null contaminated
 from d left join c using (doc_id) left join o using (doc_id)""",
+    "op8_chat_formatting": r"""
+with c as (select conv_id, turn, role, coalesce(text, '') t from conversations
+  union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+e as (select *, replace(t, '\', '\\') a from c),
+f as (select *, length(a) + len(regexp_extract_all(a, '<\||</?s>|<</?SYS>>|\[/?INST\]|\|>')) n from e)
+select conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || t || chr(10), '' order by turn, role, t)) turns_sha256,
+  cast(coalesce(sum(case when role = 'assistant' then length(t) end), 0) as bigint) loss_chars,
+  sha256(coalesce(string_agg(case when role = 'assistant' then t end, '' order by turn, role, t), '')) loss_sha256,
+  cast(sum(n + length(role) + 10) as bigint) formatted_chars
+from f group by 1""",
 }
