@@ -10,6 +10,7 @@ from .chat import as_events, fold, read_loss, read_turns, render
 from .decontaminate import find_contamination
 from .fingerprints import compare_edited
 from .langid import held_out, identify, train
+from .licenses import TEMPLATES, scan_licenses, size_bounds, template_words
 from .ngram_join import jaccard_classes
 from .packing import pack
 from .substring_dedup import remove_repeats
@@ -41,6 +42,10 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.select(page("record_id").alias("page_id"), F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(_table(spark, sf_dir, "documents"))
 
@@ -91,6 +96,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_warc_revisits,
+        op2_license_scan,
         op3_ngram_jaccard_join,
         op4_url_filter,
         op5_language_id,
@@ -102,6 +108,8 @@ QUERIES = {
     )
 }
 
+_BIGRAMS = [(name, sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})) for name, texts in TEMPLATES.items() for t in texts for w in [template_words(t)]]
+_TEMPLATES = ", ".join("('{}', {}, [{}])".format(name, len(b), ", ".join(f"'{x}'" for x in b)) for name, b in _BIGRAMS)
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE = {
@@ -143,6 +151,17 @@ o as (select doc_id, count(distinct item_id) n, sha256(string_agg(distinct cast(
 select d.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(c.n, 0) as bigint) n_hit, cast(coalesce(o.n, 0) as bigint) n_items,
   coalesce(o.x, sha256('')) items_sha256, c.n is not null contaminated
 from d left join c using (doc_id) left join o using (doc_id)""",
+    "op2_license_scan": rf"""
+with s as (select doc_id, list_distinct([text] || regexp_split_to_array(text, '\n[ \t\r]*\n') || string_split(text, chr(10))) s from documents where text is not null),
+e as (select doc_id, unnest(s) text from s),
+w as (select doc_id, regexp_extract_all(regexp_replace({_LOWER}, '(?m)^copyright[^\n]*$', '', 'g'), '[a-z0-9]+') w from e),
+b as (select doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) b from w where len(w) > 1),
+n as (select row_number() over () k, doc_id, b from b where len(b) <= {max(size_bounds(len(b), 0.8)[1] for _, b in _BIGRAMS)}),
+t as (select * from (values {_TEMPLATES}) v(license, n, t)),
+m as (select k, doc_id, license, 2.0::double * len(list_intersect(b, t)) / (len(b) + n) dice from n join t on len(b) between n / 1.5 - 1e-9 and n * 1.5 + 1e-9),
+g as (select *, row_number() over (partition by k order by dice desc, license) r from m where dice >= 0.8),
+d as (select doc_id, max(dice) dice, arg_min(license, (-dice, license)) license, string_agg(distinct license, ',' order by license) licenses from g where r = 1 group by 1)
+select doc_id, license, coalesce(dice, 0) dice, coalesce(licenses, '') licenses from documents left join d using (doc_id)""",
     "op8_chat_formatting": r"""
 with c as (select conv_id, turn, role, coalesce(text, '') t from conversations
   union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
