@@ -61,54 +61,49 @@ def write_archives(records: DataFrame, path: str, compression: str = "gzip", pay
         _field("Content-Type", F.lit("text/html")),
         _field("Content-Length", F.octet_length(block).cast("string")),
     )
-    records.select(F.concat(head, F.lit(_CRLF), block).alias("value")).write.option("lineSep", _CRLF * 2).option("compression", compression).text(path)
+    records.select(F.concat(head, F.lit(_CRLF), block).alias("value")).write.option("lineSep", _CRLF * 2).option("compression", compression).option("zlib.compress.level", "BEST_SPEED").text(path)
 
 
 class _Bytes:
     """The bytes of an archive, plain or in gzip members, inflated as they are read."""
 
     def __init__(self, raw: memoryview):
-        self.raw, self.at, self.held = raw, 0, b""
+        self.raw, self.at = raw, 0
+        self.held, self.pos = b"", 0  # what is inflated, and how far it is read
         self.gzip = bytes(raw[:2]) == b"\x1f\x8b"
         self.member = zlib.decompressobj(31) if self.gzip else None
 
     def _more(self) -> bool:
         if self.at >= len(self.raw):
             return False
-        part = bytes(self.raw[self.at : self.at + (1 << 18)])
+        part = bytes(self.raw[self.at : self.at + (1 << 17)])
         self.at += len(part)
-        if not self.gzip:
-            self.held += part
-            return True
-        out = [self.member.decompress(part)]
-        while self.member.eof and self.member.unused_data:
-            rest, self.member = self.member.unused_data, zlib.decompressobj(31)
-            out.append(self.member.decompress(rest))
-        if self.member.eof:
-            self.member = zlib.decompressobj(31)
-        self.held += b"".join(out)
+        out = [self.held[self.pos :]]
+        while self.gzip and part:
+            out.append(self.member.decompress(part))
+            part = self.member.unused_data
+            if self.member.eof:
+                self.member = zlib.decompressobj(31)
+        self.held, self.pos = b"".join([*out, part]), 0
         return True
 
     def until(self, mark: bytes) -> bytes | None:
-        seen = 0
-        while (at := self.held.find(mark, seen)) < 0:
-            seen = max(0, len(self.held) - len(mark))
+        while (at := self.held.find(mark, self.pos)) < 0:
             if not self._more():
                 return None
-        out, self.held = self.held[:at], self.held[at + len(mark) :]
+        out = self.held[self.pos : at]
+        self.pos = at + len(mark)
         return out
 
     def take(self, n: int) -> bytes:
-        parts, have = [self.held], len(self.held)
-        while have < n:
-            self.held = b""
-            if not self._more():
-                break
-            parts.append(self.held)
-            have += len(self.held)
-        whole = b"".join(parts)
-        self.held = whole[n:]
-        return whole[:n]
+        parts = [self.held[self.pos : self.pos + n]]
+        have = len(parts[0])
+        self.pos += have
+        while have < n and self._more():  # a long block is not joined again for each part
+            parts.append(self.held[: n - have])
+            have += len(parts[-1])
+            self.pos = len(parts[-1])
+        return b"".join(parts)
 
 
 def _records(raw: memoryview) -> Iterator[tuple[dict[str, str], bytes, int]]:
