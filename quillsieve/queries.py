@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .functions.rules import Rule, apply_rules, rules_sql
 from .functions.sql import SqlOperator, duck_sql, run
-from .operators import citations, packs, sequences, structure
+from .operators import chunks, citations, issues, packs, report, retrieval, sequences, structure
 from .sources.views import VIEWS, view, view_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +39,24 @@ DERIVED: dict[str, tuple[list[str], str]] = {
     "charts": (["sections"], "select doc_id, pos, case when pos % 2 = 0 then cast(pos % 10 as string) end as caption_number from {sections} where type in ('table', 'figure')"),
     "paragraphs": (["sections"], "select doc_id, pos, concat(text, case when pos % 3 = 0 then concat(' Figure ', cast(pos % 10 as string)) else '' end) as text from {sections} where type = 'paragraph'"),
     "known_issues": (["sections"], "select doc_id, section_id from {sections} where type = 'heading'"),
+    "issues": (
+        ["sections"],
+        """select doc_id, section_id, pos, k, case (pos + k) % 6 when 0 then 'FORMAT-001' when 1 then 'REF-002' when 2 then 'CONSIST-003' when 3 then 'THESIS-FORMAT-001' when 4 then 'STYLE-001' else 'OTHER' end as rule_id,
+  case (doc_id + pos * k) % 5 when 0 then 'CRITICAL' when 1 then 'HIGH' when 2 then 'medium' when 3 then 'LOW' else 'INFO' end as severity_name, cast((doc_id + k) % 8 - 1 as int) as raw_severity, cast((doc_id + pos) % 5 + 1 as int) as severity, case k % 2 when 0 then 'format' else 'logic' end as issue_type,
+  case when pos % 3 = 0 then '' else substring(text, 1, 5) end as original, case when (pos + k) % 4 = 0 then null else cast((pos * 2) % 9 as int) end as start_char, case when (pos + k) % 4 = 0 then null else cast((pos * 2) % 9 + 5 + k % 2 as int) end as end_char,
+  cast(floor(pos / 3) as int) as page, real(pos % 17) as y, real(100 + doc_id % 150) as height, substring(text, 1, 30) as message from {sections}, (values (0), (1), (2)) v(k) where (doc_id + pos + k) % 3 < 2""",
+    ),
+    "first": (["issues"], "select doc_id, section_id, rule_id, start_char from {issues} where k < 2"),
+    "second": (["issues"], "select doc_id, case when doc_id % 7 = 0 then section_id + 1000 else section_id end as section_id, rule_id, start_char from {issues} where k > 0"),
+    "packs": (["issues"], "select doc_id, section_id, rule_id from {issues} where k = 0"),
+    "reviewed": (["issues"], "select doc_id, section_id, rule_id from {issues} where k = 1 and doc_id % 2 = 0"),
+    "labelled": (["issues"], "select doc_id, issue_type, coalesce(nullif(original, ''), 'none') as label, section_id * 4 + k as at, start_char, end_char from {issues}"),
+    "chunk_rows": (["sections"], chunks.overlapping_chunks(80, 10).sql),
+    "code_lines": (["sections"], "select doc_id, pos, case when doc_id % 3 = 0 and pos % 5 < 4 then concat('def f(x): ', substring(text, 1, 5)) when pos % 9 = 1 then '# note' else text end as line from {sections}"),
+    "texts": (["benchmark"], "select item_id as id, text from {benchmark}"),
+    "text_pairs": (["benchmark"], "select a.item_id as id, a.text as a, concat(substring(a.text, 1, 60), ' ', b.text) as b from {benchmark} a join {benchmark} b on b.item_id = a.item_id + 1"),
+    "line_queries": (["sections"], "select doc_id * 10000 + pos as id, text, case when pos % 3 = 0 then cast(1990 + doc_id % 30 as string) else '' end as years from {sections}"),
+    "candidates": (["line_queries", "papers"], retrieval.paper_topk.sql.replace("{queries}", "{line_queries}")),
     "field_pairs": (["cells"], "select doc_id, section_id, table_index, row_index, col, name, replace(name, '*', '') as bare, name like '%*' as required, value from {cells}"),
     "repeated_ids": (["sections"], "select doc_id, pos, cast(floor(section_id / 2) as int) as section_id from {sections}"),
     "mentions": (["sections"], "select doc_id, pos, concat(text, case pos % 4 when 0 then ' Convolutional Network (CNN) and GPU' when 1 then ' CNN, LSTM' else '' end) as text from {sections}"),
@@ -139,3 +157,79 @@ add("unused_ref_entries", citations.unused_entries)
 add("citation_order", citations.citation_order)
 add("ref_list_order", citations.reference_order)
 add("ref_numbering_gap", citations.reference_numbering)
+add("severity_norm", issues.normalised)
+add("issue_dedupe_exact", issues.distinct_issues)
+add("issue_merge", issues.merged_reviews)
+add("hybrid_merge", issues.hybrid_merge)
+add("issue_sections", issues.attached_issues, issues="second")
+add("page_top_issues", issues.page_top_issues)
+add("score_impact", report.score_impact)
+add("audit_summary", report.audit_summary)
+add("review_summary", report.review_summary, chunks="chunk_rows")
+add("rule_histogram", report.rule_histogram)
+add("latency_stats", report.latency_stats)
+add("task_listing", report.task_listing)
+add("task_latest", report.task_latest)
+add("retention_plan", report.retention_plan)
+add("chunks", chunks.overlapping_chunks())
+add("chunks_small", chunks.overlapping_chunks(80, 10))
+add("table_row_chunks", chunks.table_row_chunks)
+add("field_summary", chunks.field_summary, fields="field_pairs")
+add("code_like_docs", chunks.code_like_documents, lines="code_lines")
+add("hashed_embedding", retrieval.hashed_embedding)
+add("token_jaccard", retrieval.token_jaccard, pairs="text_pairs")
+add("prefix_similarity", retrieval.prefix_similarity, pairs="text_pairs")
+add("paper_topk", retrieval.paper_topk, queries="line_queries")
+add("verify_references", retrieval.verified, queries="line_queries")
+
+
+def _with(names: list[str], sql: str) -> str:
+    return "with recursive " + ", ".join(f"{k} as ({v})" for k, v in sources(names).items()) + ", " + sql
+
+
+def issue_dedupe_fuzzy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return issues.near_distinct_issues(frame(spark, sf_dir, "labelled"), ["doc_id"])
+
+
+QUERIES["issue_dedupe_fuzzy"] = issue_dedupe_fuzzy
+ORACLE["issue_dedupe_fuzzy"] = _with(
+    ["labelled"],
+    """o as (select *, row_number() over (partition by doc_id, issue_type, label order by "at") n from labelled),
+f as (select doc_id, issue_type, label, n, "at", start_char, end_char, true keep, [struct_pack(s := start_char, e := end_char)] kept from o where n = 1
+  union all select o.doc_id, o.issue_type, o.label, o.n, o."at", o.start_char, o.end_char, not d.near, case when d.near then kept else list_append(kept, struct_pack(s := o.start_char, e := o.end_char)) end
+  from f join o on o.doc_id = f.doc_id and o.issue_type = f.issue_type and o.label = f.label and o.n = f.n + 1,
+  lateral (select len(list_filter(kept, lambda y: y.s is null or o.start_char is null or (abs(y.s - o.start_char) <= 3 and abs(y.e - o.end_char) <= 3))) > 0 near) d)
+select doc_id, issue_type, label, "at", start_char, end_char from f where keep""",
+)
+
+
+def span_relocate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return issues.relocated_spans(frame(spark, sf_dir, "spans")).select("doc_id", "pos", "start_char", "new_start", "new_end")
+
+
+DERIVED["spans"] = (["sections"], "select doc_id, pos, text, substring(text, cast(1 + pos % 5 as int), 4) as original, case when pos % 3 > 0 then cast(pos * 7 % 30 as int) end as start_char, case when pos % 3 > 0 then cast(pos * 7 % 30 + 4 as int) end as end_char from {sections}")
+QUERIES["span_relocate"] = span_relocate
+ORACLE["span_relocate"] = _with(
+    ["spans"],
+    """c as (select *, case when start_char is not null and substring(text, start_char + 1, end_char - start_char) = original then start_char when length(original) > 0 then
+  (list_sort(list_transform(list_filter(range(0, greatest(length(text), 1)), lambda i: substring(text, cast(i as int) + 1, length(original)) = original), lambda i: [abs(i - coalesce(start_char, 0)), i])))[1][2] end n from spans)
+select doc_id, pos, start_char, cast(n as int) new_start, cast(n + length(original) as int) new_end from c""",
+)
+
+
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries: every vector whose id is divisible by 50, against all."""
+    vectors = frame(spark, sf_dir, "embeddings")
+    return retrieval.vector_topk(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+QUERIES["vector_topk"] = vector_topk
+ORACLE["vector_topk"] = """with s as (select q.vec_id query_id, v.vec_id, round(list_cosine_similarity(cast(q.embedding as double[]), cast(v.embedding as double[])), 6) score from embeddings q, embeddings v where q.vec_id % 50 = 0 and q.vec_id <> v.vec_id)
+select query_id, vec_id, cast(k as int) k, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) k from s) r where k <= 3"""
+
+
+def audit_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.reports(frame(spark, sf_dir, "issues"))
+
+
+QUERIES["audit_reports"] = audit_reports
