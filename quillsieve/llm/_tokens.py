@@ -50,10 +50,20 @@ def pretokens(cp: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start[:n])
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder that the tasks of this process share, one after another."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 class Encoder:
     """Not shared between threads. Keeps the ids of up to `keep` pre-tokens."""
 
-    def __init__(self, path: str, keep: int = 400_000):
+    def __init__(self, path: str, keep: int = 600_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keep = keep

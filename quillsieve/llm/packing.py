@@ -17,12 +17,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_DIMS, _BITS, _BUCKETS = 4, 10, 1 << 16
+_DIMS, _BITS, _BUCKETS = 3, 13, 1 << 16
 _REACH = 0.06
 
 
 def _weights() -> np.ndarray:
-    return np.random.default_rng(20_240_601).choice(np.array([-1, 1], np.int8), (_DIMS, _BUCKETS)).astype(np.float32)
+    """A random sign in each dimension for each bucket, the dimensions side by side in one number, 21 bits each."""
+    signs = np.random.default_rng(20_240_601).choice(np.array([-1, 1]), (_DIMS, _BUCKETS))
+    return (signs * (1 << 21 * np.arange(_DIMS))[:, None]).sum(axis=0)
+
+
+def _split(sums: np.ndarray) -> np.ndarray:
+    """The sums of the dimensions, which are under 2**20 each."""
+    out = []
+    for _ in range(_DIMS):
+        low = ((sums + (1 << 20)) & ((1 << 21) - 1)) - (1 << 20)
+        out.append(low)
+        sums = (sums - low) >> 21
+    return np.stack(out, axis=1)
 
 
 def hilbert(x: np.ndarray, bits: int) -> np.ndarray:
@@ -63,16 +75,16 @@ def _keys(batches):
         while lo < len(col):
             hi = max(lo + 1, int(np.searchsorted(off, off[lo] + (1 << 20), "right")) - 1)
             total = np.zeros((hi - lo, _DIMS))
-            for a in range(int(off[lo]), int(off[hi]), 1 << 20):  # a long text in parts
-                part = raw[a : min(int(off[hi]), a + (1 << 20) + 2)].astype(np.uint32)
+            for a in range(int(off[lo]), int(off[hi]), 1 << 19):  # a long text in parts
+                part = raw[a : min(int(off[hi]), a + (1 << 19) + 2)].astype(np.uint32)
                 if len(part) < 3:
                     continue
                 bucket = ((part[:-2] << np.uint32(16) | part[1:-1] << np.uint32(8) | part[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(16)
                 ends = np.clip(off[lo : hi + 1] - a, 0, len(bucket))
                 stop = np.maximum(np.clip(off[lo + 1 : hi + 1] - a - 2, 0, len(bucket)), ends[:-1])
-                for d in range(_DIMS):
-                    sums = np.concatenate([[0], np.cumsum(weights[d][bucket], dtype=np.float64)])
-                    total[:, d] += sums[stop] - sums[ends[:-1]]
+                sums = np.zeros(len(bucket) + 1, np.int64)
+                np.cumsum(weights[bucket], out=sums[1:])
+                total += _split(sums[stop] - sums[ends[:-1]])
             at[lo:hi] = total / np.maximum(1, off[lo + 1 : hi + 1] - off[lo:hi] - 2)[:, None]
             lo = hi
         cell = np.clip((at / _REACH + 1) / 2 * (1 << _BITS), 0, (1 << _BITS) - 1).astype(np.int64)
@@ -81,9 +93,9 @@ def _keys(batches):
 
 def _pack(path: str, length: int, eod: int):
     def rows(batches):
-        from ._tokens import Encoder
+        from ._tokens import encoder_of
 
-        encoder, base = Encoder(path), TaskContext.get().partitionId() << 40
+        encoder, base = encoder_of(path), TaskContext.get().partitionId() << 40
         sequence, offset, out = 0, 0, []
         tail: list[tuple[int | None, int, int, np.ndarray, int]] = []  # pieces of the sequence that is not full yet
 
