@@ -31,14 +31,15 @@ from (select *, regexp_extract(raw_text, «^\\[[0-9]+\\] ([^.\\[]*)», 1) as hea
 #: sections of text (doc_id, pos, text) -> citation groups in reading order: number as written, first and last of a range or list.
 citation_groups = SqlOperator(
     "cites",
-    """select doc_id, pos, cast(regexp_extract(inner_text, «^([0-9]+)», 1) as int) as first_number, cast(regexp_extract(inner_text, «([0-9]+)$», 1) as int) as last_number, regexp_extract(inner_text, «[-–,]», 0) as joint
-from (select doc_id, pos, regexp_extract(text, «\\[([0-9]+(?:[-–][0-9]+|(?:[,\\s]+[0-9]+)+)?)\\]», 1) as inner_text from {cites}) a where inner_text <> ''""",
+    """with a as (select doc_id, pos, regexp_extract_all(text, «\\[([0-9]+(?:[-–][0-9]+|(?:[,\\s]+[0-9]+)+)?)\\]», 1) as found from {cites}),
+b as (select doc_id, pos, ord, nth(found, ord) as inner_text from (select doc_id, pos, found, unroll(span(0, items(found) - 1)) as ord from a where items(found) > 0) x)
+select doc_id, pos, cast(ord as int) as ord, cast(regexp_extract(inner_text, «^([0-9]+)», 1) as int) as first_number, cast(regexp_extract(inner_text, «([0-9]+)$», 1) as int) as last_number, regexp_extract(inner_text, «[-–,]», 0) as joint from b""",
 )
 
 #: groups -> cited numbers (doc_id, pos, number): all of a range that goes up, both ends of a list.
 citation_edges = SqlOperator(
     "groups",
-    """select doc_id, pos, unroll(case when joint in ('-', '–') and first_number <= last_number then span(first_number, last_number) else many(first_number, last_number) end) as number from {groups}""",
+    """select doc_id, pos, unroll(case when joint in ('-', '–') and first_number <= last_number then span(first_number, last_number) else uniq(many(first_number, last_number)) end) as number from {groups}""",
 )
 
 _LISTED = "select doc_id, ref_pos, ref_id, cast(regexp_extract(ref_id, «([0-9]+)», 1) as int) as number from {refs}"
@@ -79,8 +80,8 @@ where not exists (select 1 from {edges} e where e.doc_id = r.doc_id and concat('
 #: The first citation group of a document that begins below the largest number before it.
 citation_order = SqlOperator(
     "groups",
-    """with g as (select *, lag(last_number) over (partition by doc_id order by pos) as before from {groups}),
-v as (select *, row_number() over (partition by doc_id order by pos) as k from g where first_number < before)
+    """with g as (select *, lag(last_number) over (partition by doc_id order by pos, ord) as before from {groups}),
+v as (select *, row_number() over (partition by doc_id order by pos, ord) as k from g where first_number < before)
 select doc_id, pos, first_number, before, 'REF_ORDER_001' as rule_id from v where k = 1""",
 )
 #: Documents whose references, as first cited, come in another order than listed.

@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from .functions.rules import Rule, apply_rules, rules_sql
 from .functions.sql import SqlOperator, duck_sql, run
 from .operators import chunks, citations, issues, packs, report, retrieval, sequences, structure
+from .plans.audit import audit, scores
 from .sources.views import VIEWS, view, view_sql
+from .streaming.jobs import latest_status, stage_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -233,3 +235,63 @@ def audit_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["audit_reports"] = audit_reports
+
+
+def audit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All packs over sections and references of the same ids: issues and score of each document."""
+    return scores(audit({"sections": frame(spark, sf_dir, "sections"), "refs": frame(spark, sf_dir, "refs")}))
+
+
+def _audit_sql() -> str:
+    rows = " union all ".join(
+        [
+            rules_sql("sections", packs.FORMATTING_RULES, ["doc_id", "pos"]),
+            rules_sql("sections", packs.INTEGRITY_RULES, ["doc_id", "pos"]),
+            rules_sql("parts_of_refs", packs.REFERENCE_RULES, ["doc_id", "ref_pos"]),
+            f"select doc_id, pos, rule_id, 4 from ({sequences.heading_jumps.oracle({}, ['sections'])}) a",
+            f"select doc_id, pos, rule_id, 3 from ({sequences.figure_numbering.oracle({}, ['sections'])}) b",
+        ]
+    )
+    points = "case severity when 5 then 10 when 4 then 5 when 3 then 2 when 2 then 1 else 0 end"
+    return _with(["sections", "parts_of_refs"], f"i as ({rows}) select doc_id, count(*) issues, cast(sum({points}) as bigint) score, cast(sum(case when severity >= 4 then 1 else 0 end) as bigint) high from i group by doc_id")
+
+
+QUERIES["audit_scores"], ORACLE["audit_scores"] = audit_scores, _audit_sql()
+
+
+def stage_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The windowed aggregation of the task stream, here over the whole table at once."""
+    return stage_counts(frame(spark, sf_dir, "tasks"), "1 day")
+
+
+QUERIES["stage_windows"] = stage_windows
+ORACLE["stage_windows"] = _with(["tasks"], "d as (select date_trunc('day', updated_at) s, current_stage, progress from tasks) select s \"start\", current_stage, count(*) n, round(avg(progress), 6) mean from d group by 1, 2")
+
+
+def latest_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_status(frame(spark, sf_dir, "tasks"))
+
+
+QUERIES["latest_tasks"] = latest_tasks
+ORACLE["latest_tasks"] = _with(["tasks"], "r as (select *, row_number() over (partition by id order by updated_at desc, event_id desc) k from tasks) select id, updated_at, current_stage, progress from r where k = 1")
+
+#: Columns that are 32-bit in Spark's results and wider in the oracle's, with the queries that have them.
+_NARROW = {
+    "k": "paper_topk",
+    "n": "page_top_issues",
+    "number": "bidirectional_refs",
+    "pos": "keyword_needles formatting_rules strict_heading_rules layout_rules formula_table_list_rules heading_format_rules paragraph_rules heading_hier_strict figure_numbering caption_sequence caption_missing empty_line_first heading_body_spacing page_assignment size_carry_forward duplicate_sections ref_detect_fallback ref_block_extract chart_mentions citation_groups missing_ref_entries citation_order severity_norm issue_dedupe_exact chunks chunks_small span_relocate",
+    "pos, expected": "chapter_ordinal",
+    "pos, k": "blank_runs",
+    "pos, level, before": "heading_jump heading_reverse",
+    "pos, number": "citation_edges",
+    "pos, section_id": "section_id_order section_filter section_exclusion",
+    "pos, section_id, level": "sections_from_documents",
+    "ref_pos": "text_rules text_rules_by_area ref_rules_journal ref_rules_monograph ref_rules_thesis ref_rules_conference ref_rules_lines unused_ref_entries ref_numbering_gap",
+    "ref_pos, author_commas": "ref_parts",
+    "section_id": "issue_merge hybrid_merge issue_sections",
+    "size": "task_listing",
+}
+for _columns, _names in _NARROW.items():
+    for _name in _names.split():
+        ORACLE[_name] = f"select * replace ({', '.join(f'cast({c} as int) as {c}' for c in _columns.split(', '))}) from ({ORACLE[_name]}) narrow"
