@@ -26,13 +26,14 @@ HEADER = "record_id string, record_type string, uri string, date string, digest
 
 def base32_sha1(data: Column) -> Column:
     """SHA-1 as upper-case base32, each five hexadecimal digits being four of base32."""
-    digits = F.sha1(data)
 
-    def four(k: Column) -> Column:
+    def four(digits: Column, k: Column) -> Column:
         value = F.conv(F.substring(digits, k * 5 + 1, F.lit(5)), 16, 10).cast("int")
         return F.concat(*[F.substring(F.lit(_BASE32), F.shiftright(value, s).bitwiseAND(31) + 1, F.lit(1)) for s in (15, 10, 5, 0)])
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), four), "")
+    # the digest is an item of an array, so that it is made once and not for each of its digits
+    once = F.array(F.sha1(data))
+    return F.transform(once, lambda digits: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: four(digits, k)), ""))[0]
 
 
 def _field(name: str, value: Column) -> Column:
@@ -175,7 +176,7 @@ def deduplicate(spark, source: str, target: str, rank: Column, date: str, least:
     """Read the archives under source, resolve, and write deduplicated archives with fresh headers to target. Records that
     already are revisits are left as they are."""
     records = read_archives(spark, source, with_payload=True)
-    headers = records.drop("payload")
+    headers = read_archives(spark, source)
     solved = resolve_revisits(headers.where("record_type = 'response'"), rank, least).select("file", "offset", F.col("record_type").alias("new_type"), F.col("refers_to").alias("new_to"), F.col("refers_to_uri").alias("new_uri"), F.col("refers_to_date").alias("new_date"))
     out = records.join(solved.hint("merge"), ["file", "offset"], "left")
     now = F.lit(date)
