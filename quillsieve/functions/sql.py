@@ -16,6 +16,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 _SPARK = [
+    (r", 'g'\)", ")"),
     (r"\brx\(", "regexp_like("), ("«", "r'"), ("»", "'"), ("⟦", "(?<![A-Za-z0-9])"), ("⟧", "(?![A-Za-z0-9])"), (r"\bjoined\(([^()]*(?:\([^()]*\))?[^()]*)\)", r"array_join(array_sort(collect_set(cast(\1 as string))), ',')"),
     (r"\bitems\(", "size("), (r"\bnum\(([^()]*(?:\([^()]*\))?[^()]*)\)", r"try_cast(\1 as double)"), (r"\bbig\(", "bigint("), (r"\breal\(", "double("), (r"\bcode\(", "char("), (r"\bbytes\(", "octet_length("), (r"\btext\[\]", "array<string>"), (r"\bunroll\(", "explode("), (r"\bspan\(", "sequence("), (r"\bmany\(", "array("), (r"\bcommon\(", "size(array_intersect("), (r"\buniq\(", "array_distinct("), (r"\bhex8\(([a-z_]+)\)", r"bigint(conv(substring(sha2(\1, 256), 1, 8), 16, 10))"), (r"\bnth\(", "get("),
 ]

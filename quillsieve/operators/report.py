@@ -27,11 +27,11 @@ select current_stage, max(n) as tasks, round(avg(progress), 6) as mean, min(prog
 )
 task_listing = SqlOperator("tasks", "select id, event_id, current_stage, size from {tasks} where current_stage = 'purchase' order by id desc, event_id desc")
 task_latest = SqlOperator("tasks", "select id, current_stage, progress from (select *, row_number() over (partition by id order by updated_at desc, event_id desc) as k from {tasks}) t where k = 1")
-#: Tasks whose last update is over 30 days before the newest one, by stage: how many, and bytes.
+#: Tasks whose last update is over an hour before the newest one, by stage: how many, and bytes.
 retention_plan = SqlOperator(
     "tasks",
     """with n as (select max(updated_at) as newest from {tasks}), l as (select *, row_number() over (partition by id order by updated_at desc, event_id desc) as k from {tasks})
-select current_stage, count(*) as tasks, big(sum(size)) as bytes from l cross join n where k = 1 and updated_at <= newest - interval '10' day group by current_stage""",
+select current_stage, count(*) as tasks, big(sum(size)) as bytes from l cross join n where k = 1 and updated_at <= newest - interval '1' hour group by current_stage""",
 )
 
 

@@ -62,7 +62,7 @@ and not exists (select 1 from {refs} r where r.doc_id = l.doc_id)""",
 #: The block of references after a section that is only the given title, up to the next heading or table.
 reference_block = SqlOperator(
     "sections titles",
-    """with h as (select s.doc_id, min(s.pos) as begins from {sections} s join {titles} t on regexp_replace(s.text, «^[：:]+|[：:]+$», '') = t.title group by s.doc_id),
+    """with h as (select s.doc_id, min(s.pos) as begins from {sections} s join {titles} t on regexp_replace(s.text, «^[：:]+|[：:]+$», '', 'g') = t.title group by s.doc_id),
 e as (select h.doc_id, h.begins, min(s.pos) as ends from h left join {sections} s on s.doc_id = h.doc_id and s.pos > h.begins and (s.type in ('table', 'heading') or bytes(s.text) <= 30 or rx(s.text, «^(作者简介|致谢|附录)»)) group by h.doc_id, h.begins)
 select s.doc_id, s.pos, concat('[', cast(row_number() over (partition by s.doc_id order by s.pos) as string), ']') as ref_id, s.text from e join {sections} s on s.doc_id = e.doc_id and s.pos > e.begins and (e.ends is null or s.pos < e.ends)""",
 )

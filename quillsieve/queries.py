@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .functions.rules import Rule, apply_rules, rules_sql
 from .functions.sql import SqlOperator, duck_sql, run
-from .operators import chunks, citations, issues, packs, report, retrieval, sequences, structure
+from .operators import chunks, citations, issues, packs, placement, report, retrieval, sequences, structure
 from .plans.audit import audit, scores
 from .sources.views import VIEWS, view, view_sql
 from .streaming.jobs import latest_status, stage_counts
@@ -37,7 +37,6 @@ DERIVED: dict[str, tuple[list[str], str]] = {
     "spaced": (["sections"], "select doc_id, pos, type, case when pos % 3 = 0 then real(pos % 10) end as space_before, case when pos % 2 = 0 then real((doc_id + pos) % 12) end as space_after from {sections}"),
     "paged": (["sections"], "select doc_id, pos, pos % 7 = 3 and doc_id % 2 = 0 as page_break, case when (doc_id + pos) % 3 = 0 then size_pt end as size_pt, cast(floor(pos / 4) as int) as page from {sections}"),
     "parts": ([], "select 'the' as part, 'the' as word union all select 'license', 'licensed' union all select 'rights', 'all rights' union all select 'page', 'seite' union all select 'page', 'página'"),
-    "titles": ([], "select 'All rights reserved.' as title union all select 'Released under the MIT License.' union all select 'Licensed under CC BY-NC 4.0.'"),
     "charts": (["sections"], "select doc_id, pos, case when pos % 2 = 0 then cast(pos % 10 as string) end as caption_number from {sections} where type in ('table', 'figure')"),
     "paragraphs": (["sections"], "select doc_id, pos, concat(text, case when pos % 3 = 0 then concat(' Figure ', cast(pos % 10 as string)) else '' end) as text from {sections} where type = 'paragraph'"),
     "known_issues": (["sections"], "select doc_id, section_id from {sections} where type = 'heading'"),
@@ -124,7 +123,6 @@ add("ref_parts", citations.with_parts)
 add("heading_jump", sequences.heading_jumps)
 add("heading_reverse", sequences.heading_reversals)
 add("heading_hier_strict", sequences.heading_hierarchy)
-add("section_id_order", sequences.section_id_order)
 add("chapter_ordinal", sequences.chapter_ordinals)
 add("figure_numbering", sequences.figure_numbering)
 add("caption_sequence", sequences.caption_sequence)
@@ -142,7 +140,6 @@ add("duplicate_sections", structure.duplicate_sections, sections="repeated_ids")
 add("ack_missing", structure.missing_acknowledgement)
 add("doc_metadata", structure.document_metadata)
 add("ref_detect_fallback", structure.detected_references, lines="ref_lines", refs="no_refs")
-add("ref_block_extract", structure.reference_block)
 add("chart_mentions", structure.unmentioned_charts)
 add("abbreviations", structure.unexpanded_abbreviations, lines="mentions")
 add("abstract_overlap", structure.abstract_overlap)
@@ -158,7 +155,6 @@ add("missing_ref_entries", citations.missing_entries)
 add("unused_ref_entries", citations.unused_entries)
 add("citation_order", citations.citation_order)
 add("ref_list_order", citations.reference_order)
-add("ref_numbering_gap", citations.reference_numbering)
 add("severity_norm", issues.normalised)
 add("issue_dedupe_exact", issues.distinct_issues)
 add("issue_merge", issues.merged_reviews)
@@ -183,6 +179,23 @@ add("token_jaccard", retrieval.token_jaccard, pairs="text_pairs")
 add("prefix_similarity", retrieval.prefix_similarity, pairs="text_pairs")
 add("paper_topk", retrieval.paper_topk, queries="line_queries")
 add("verify_references", retrieval.verified, queries="line_queries")
+DERIVED |= {
+    "titled": (["sections"], "select doc_id, pos, case when doc_id % 2 = 0 then 'paragraph' else type end as type, case when pos = 2 then '参考文献：' when doc_id % 2 = 0 and pos = 6 then '致谢' else text end as text from {sections}"),
+    "block_titles": ([], "select '参考文献' as title"),
+    "jumbled": (["sections"], "select doc_id, pos, cast((pos * 7 + doc_id) % 10 as int) as section_id from {sections}"),
+    "gapped_refs": (["refs"], "select doc_id, ref_pos, case when doc_id % 3 = 0 and ref_pos > 2 then concat('[', cast(ref_pos + 1 as string), ']') else ref_id end as ref_id from {refs}"),
+    "listed_lines": (["sections"], "select doc_id, pos as ref_pos, concat(substring(text, 1, 60), ' ') as raw_text from {sections} where pos % 4 = 1"),
+    "page_texts": (["sections"], "select doc_id, cast(floor(pos / 3) as int) + 1 as page, text from {sections} where pos % 5 <> 2"),
+    "paged_sections": (["sections"], "select doc_id, pos, text, case when pos % 2 = 0 then cast(floor(pos / 4) as int) + 1 end as page from {sections}"),
+    "places": (["sections"], "select doc_id, pos, cast(floor(pos / 3) as int) + 1 as page from {sections}"),
+    "verdicts": (["sections"], "select doc_id, pos * 3 as pos, case pos % 3 when 0 then 'verified' when 1 then 'needs_review' else 'unverified' end as verdict from {sections}"),
+}
+add("section_id_order", sequences.section_id_order, sections="jumbled")
+add("ref_block_extract", structure.reference_block, sections="titled", titles="block_titles")
+add("ref_numbering_gap", citations.reference_numbering, refs="gapped_refs")
+add("ref_section_locate", placement.reference_sections, refs="listed_lines")
+add("section_page_map", placement.section_pages, sections="paged_sections", pages_of="page_texts")
+add("annotation_join", placement.page_notes)
 
 
 def _with(names: list[str], sql: str) -> str:
@@ -277,15 +290,16 @@ ORACLE["latest_tasks"] = _with(["tasks"], "r as (select *, row_number() over (pa
 
 #: Columns that are 32-bit in Spark's results and wider in the oracle's, with the queries that have them.
 _NARROW = {
+    "ref_pos, section_id": "ref_section_locate",
     "k": "paper_topk",
     "n": "page_top_issues",
     "number": "bidirectional_refs",
-    "pos": "keyword_needles formatting_rules strict_heading_rules layout_rules formula_table_list_rules heading_format_rules paragraph_rules heading_hier_strict figure_numbering caption_sequence caption_missing empty_line_first heading_body_spacing page_assignment size_carry_forward duplicate_sections ref_detect_fallback ref_block_extract chart_mentions citation_groups missing_ref_entries citation_order severity_norm issue_dedupe_exact chunks chunks_small span_relocate",
+    "pos": "section_page_map section_id_order keyword_needles formatting_rules strict_heading_rules layout_rules formula_table_list_rules heading_format_rules paragraph_rules heading_hier_strict figure_numbering caption_sequence caption_missing empty_line_first heading_body_spacing page_assignment size_carry_forward duplicate_sections ref_detect_fallback ref_block_extract chart_mentions citation_groups missing_ref_entries citation_order severity_norm issue_dedupe_exact chunks chunks_small span_relocate",
     "pos, expected": "chapter_ordinal",
     "pos, k": "blank_runs",
     "pos, level, before": "heading_jump heading_reverse",
     "pos, number": "citation_edges",
-    "pos, section_id": "section_id_order section_filter section_exclusion",
+    "pos, section_id": "section_filter section_exclusion",
     "pos, section_id, level": "sections_from_documents",
     "ref_pos": "text_rules text_rules_by_area ref_rules_journal ref_rules_monograph ref_rules_thesis ref_rules_conference ref_rules_lines unused_ref_entries ref_numbering_gap",
     "ref_pos, author_commas": "ref_parts",
