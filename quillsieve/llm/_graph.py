@@ -31,6 +31,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, name: str) -> DataF
         small = small.select("a", F.col("m").alias("b")).unionByName(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
         was = mark
         now, mark = distinct(small, str(k))
+        scratch.drop(f"{name}-{k - 1}", f"{name}-{k}-large")
         if mark == was:
             break
     stars = now.select(F.col("a").alias("node"), F.col("b").alias("component"))

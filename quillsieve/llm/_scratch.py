@@ -28,7 +28,23 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.names: list[str] = []
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
+        self.names.append(name)
         df.write.parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Delete tables that nothing reads any more: what was made of them is written."""
+        for name in names:
+            path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.names = [n for n in self.names if n not in names]
+
+    def last(self, df: DataFrame, name: str) -> DataFrame:
+        """Write the result and delete all other tables."""
+        before = list(self.names)
+        df = self.save(df, name)
+        self.drop(*before)
+        return df

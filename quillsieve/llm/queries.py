@@ -34,8 +34,10 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     page = lambda c: F.expr(f"try_cast(substring({c}, 10) as bigint)")
     rank = F.struct(page("record_id").isNull().alias("none"), page("record_id").alias("page"), "file", "offset")
     deduplicate(spark, f"{scratch.path}/crawl", f"{scratch.path}/archive", rank, date)
+    scratch.drop("crawl")
     back = read_archives(spark, f"{scratch.path}/archive").select("record_id", "record_type", "digest", "length", "refers_to")
     back = scratch.save(back, "headers")
+    scratch.drop("archive")
     original = back.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to"), "digest").agg(F.max("length").alias("full"))
     again = back.where("record_type = 'revisit'").join(original.hint("merge"), ["refers_to", "digest"]).select("record_id", "record_type", "digest", F.col("full").alias("length"), "refers_to")
     every = again.unionByName(back.where("record_type = 'response'"))

@@ -272,6 +272,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     copies = one.where("doc_id <> first").select("doc_id").distinct()
     spots = spots.join(copies.hint("merge"), "doc_id", "left_anti")
     parts = scratch.save(known.join(spots.hint("merge"), "doc_id"), "parts")
+    scratch.drop("scan")
     nodes = scratch.save(parts.mapInArrow(_windows(window, prefix), "kind byte, h long, doc_id long, at int"), "nodes")
     later = nodes.where("kind = 2").select("h", "doc_id", "at").repartition("h").sortWithinPartitions("h", "doc_id", "at").mapInArrow(_later, "doc_id long, at int")
     later = nodes.where("kind = 1").select("doc_id", "at").unionByName(later).groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
@@ -280,6 +281,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     copy = (F.col("doc_id") != F.col("first")) & (F.col("n_words") >= window)
     whole = one.withColumn("copy", copy)
+    cut = scratch.save(cut, "cut")
+    scratch.drop("parts", "nodes")
     cut = cut.select("doc_id", F.struct("n_removed", "kept_sha256", "kept", "spans", "n_words").alias("cut")).dropDuplicates(["doc_id"])
     out = whole.join(cut.hint("merge"), "doc_id", "left").select(
         "doc_id",
