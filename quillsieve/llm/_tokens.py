@@ -7,6 +7,7 @@ each distinct one. A text with characters that this pass doesn't know goes to th
 
 from __future__ import annotations
 
+import os
 import unicodedata
 
 import numpy as np
@@ -55,6 +56,7 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder_of(path: str) -> Encoder:
     """The encoder that the tasks of this process share, one after another."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
@@ -63,7 +65,7 @@ def encoder_of(path: str) -> Encoder:
 class Encoder:
     """Not shared between threads. Keeps the ids of up to `keep` pre-tokens."""
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.keep = keep
@@ -75,7 +77,7 @@ class Encoder:
         self.flat, self.used = np.empty(1 << 20, np.int32), 0
         self.at, self.size = np.empty(self.keep * 2, np.int64), np.empty(self.keep * 2, np.int64)
         # by the low bits of a hash: a hash with these bits, and its slot; the dictionary has the rest
-        self.near, self.near_slot = np.full(1 << 21, ~np.uint64(0)), np.zeros(1 << 21, np.int32)
+        self.near, self.near_slot = np.full(1 << 20, ~np.uint64(0)), np.zeros(1 << 20, np.int32)
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         """Ids of pre-tokens; those without a white-space character inside or alone are asked for in lines, many at once."""
