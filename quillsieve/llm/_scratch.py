@@ -22,6 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     return _own
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Send whole texts to Python in smaller Arrow batches than Spark's default of 10,000 rows, which for documents of some
+    kilobytes are tens of megabytes for each task, on both sides. A setting of the user's own stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name, "10000") == "10000":
+        spark.conf.set(name, str(rows))
+
+
 class Scratch:
     """A folder of Parquet tables of one operator call. A written table cuts the lineage and survives lost executors."""
 
@@ -42,6 +50,11 @@ class Scratch:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         self.names = [n for n in self.names if n not in names]
 
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of jobs whose results are written: its cleaner acts when the driver's garbage is
+        collected, which a driver with little to do rarely does by itself."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def last(self, df: DataFrame, name: str) -> DataFrame:
         """Write the result and delete all other tables."""
         before = list(self.names)

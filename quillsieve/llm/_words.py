@@ -7,7 +7,9 @@ an odd base, followed by a mixing step; two different n-grams collide with a cha
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -152,3 +154,21 @@ def inside(w: Words, n: int) -> np.ndarray:
 
 def signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
+
+
+def tidy(rows: Callable) -> Callable:
+    """A function over Arrow batches that, when its task ends, gives freed memory back: Spark keeps its Python workers, and
+    allocators would keep each one's largest use."""
+
+    @functools.wraps(rows)
+    def wrapped(batches):
+        try:
+            yield from rows(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # not glibc
+                pass
+
+    return wrapped

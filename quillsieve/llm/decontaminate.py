@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._fm_index import FMIndex
-from ._words import LETTERS_DIGITS, words
+from ._scratch import small_batches
+from ._words import LETTERS_DIGITS, tidy, words
 
 
 def _item_words(batches):
@@ -70,8 +71,8 @@ def _hits(shared, window: int, shard: int, again: bool):
         def table():
             spans = [_merged(n, m) for n, m in zip(counts, marks, strict=True)]
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
-                names=["doc_id", "text", "n_words", "spans", "items"],
+                [pa.array(ids, pa.int64()), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int32()))), pa.array([sorted(x) for x in items], pa.list_(pa.string())), pa.array([_without(t, x) for t, x in zip(texts, spans, strict=True)], pa.string())],
+                names=["doc_id", "text", "n_words", "spans", "items", "kept"],
             )
 
         total = 0
@@ -103,6 +104,18 @@ def _hits(shared, window: int, shard: int, again: bool):
     return rows
 
 
+def _without(text: str | None, spans: list[list[int]]) -> str | None:
+    """The text without the words of the spans and what stands between them; null where there are none."""
+    if not spans or text is None:
+        return None
+    raw, parts, at = text.encode(), [], 0
+    (w,) = words(pa.array([text]), LETTERS_DIGITS, lower=True)
+    for a, b in spans:
+        parts.append(raw[at : int(w.s[a])])
+        at = int(w.e[b - 1])
+    return b"".join([*parts, raw[at:]]).decode()
+
+
 def _merged(n: int, marks: list[tuple[np.ndarray, np.ndarray]]) -> list[list[int]]:
     if not marks:
         return []
@@ -126,21 +139,22 @@ def find_contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id"
     judged one by one, so repeated rows get equal results; a null document id is kept. An empty table of documents gives
     an empty result, an empty table of items no hits. Other columns are ignored. `shard` bounds the words that one index
     holds, `block` about how many words of items go to the tasks at once; each further block is one more pass. With
-    with_text, the text comes back too.
+    with_text, the text comes back too, and `kept`: the text without its hit spans (null where there are none).
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    items = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).mapInArrow(_item_words, "item string, words binary")
+    items = items.where(F.col(item_id).isNotNull()).select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text")).mapInArrow(tidy(_item_words), "item string, words binary")
     blocks = max(1, ceil((items.agg(F.sum(F.octet_length("words"))).first()[0] or 0) / 8 / block))
-    schema = "doc_id long, text string, n_words long, spans array<array<int>>, items array<string>"
-    out = docs.withColumns({"n_words": F.lit(None).cast("long"), "spans": F.lit(None).cast("array<array<int>>"), "items": F.lit(None).cast("array<string>")})
+    schema = "doc_id long, text string, n_words long, spans array<array<int>>, items array<string>, kept string"
+    out = docs.withColumns({"n_words": F.lit(None).cast("long"), "spans": F.lit(None).cast("array<array<int>>"), "items": F.lit(None).cast("array<string>"), "kept": F.lit(None).cast("string")})
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k)
         shared = spark.sparkContext.broadcast(_patterns([(r.item, bytes(r.words)) for r in part.toLocalIterator()], window))
-        out = out.mapInArrow(_hits(shared, window, shard, with_text or k < blocks - 1), schema)
+        out = out.mapInArrow(tidy(_hits(shared, window, shard, with_text or k < blocks - 1)), schema)
     return out.select(
         "doc_id",
-        *(["text"] if with_text else []),
+        *(["text", "kept"] if with_text else []),
         "n_words",
         "spans",
         F.aggregate("spans", F.lit(0).cast("long"), lambda t, x: t + F.get(x, F.lit(1)) - F.get(x, F.lit(0))).alias("n_hit"),
@@ -151,23 +165,6 @@ def find_contamination(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id"
     )
 
 
-def _without(batches):
-    """(doc_id, text, spans) -> the text without the words of the spans and what stands between them."""
-    for batch in batches:
-        spans, kept = batch.column(2).to_pylist(), []
-        for w in words(batch.column(1), LETTERS_DIGITS, lower=True):
-            texts = batch.column(1).slice(w.lo, w.hi - w.lo).to_pylist()
-            begins = np.concatenate([[0], np.cumsum([len((t or "").encode()) for t in texts])])
-            for k, t in enumerate(texts):
-                raw, parts, at = (t or "").encode(), [], 0
-                for a, b in spans[w.lo + k]:
-                    parts.append(raw[at : int(w.s[w.off[k] + a] - begins[k])])
-                    at = int(w.e[w.off[k] + b - 1] - begins[k])
-                kept.append(b"".join([*parts, raw[at:]]).decode())
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.string())], names=["doc_id", "text", "kept"])
-
-
 def remove_contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """doc_id, text and kept (the text without its hit spans) of each contaminated document; options and odd cases as in find_contamination."""
-    found = find_contamination(docs, items, with_text=True, **options).where("contaminated")
-    return found.select("doc_id", "text", "spans").mapInArrow(_without, "doc_id long, text string, kept string")
+    return find_contamination(docs, items, with_text=True, **options).where("contaminated").select("doc_id", "text", "kept")

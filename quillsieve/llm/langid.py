@@ -13,6 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._scratch import small_batches
+from ._words import tidy
+
 UNDETERMINED = "und"
 
 
@@ -130,7 +133,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
     return names, ByteCNN(len(names), window=length).fit(x[pick], y[pick], steps)
 
 
-def _apply(shared, batch_windows: int = 1024):
+def _apply(shared, with_text: bool, batch_windows: int = 1024):
     def rows(batches):
         names, net = shared.value
         net.ready()
@@ -146,8 +149,8 @@ def _apply(shared, batch_windows: int = 1024):
                 best = mean.argmax(axis=1)
                 ok = [len(t) > 0 for t in texts]
                 yield pa.RecordBatch.from_arrays(
-                    [*(c for k, c in enumerate(part.columns) if k not in (1, 2)), pa.array([names[b] if o else UNDETERMINED for b, o in zip(best, ok, strict=True)]), pa.array(np.where(ok, np.clip(mean.max(axis=1), 0, 1), 0.0))],
-                    names=[*(c for k, c in enumerate(part.schema.names) if k not in (1, 2)), "lang_pred", "score"],
+                    [*(c for k, c in enumerate(part.columns) if k != 2 and (k != 1 or with_text)), pa.array([names[b] if o else UNDETERMINED for b, o in zip(best, ok, strict=True)]), pa.array(np.where(ok, np.clip(mean.max(axis=1), 0, 1), 0.0))],
+                    names=[*(c for k, c in enumerate(part.schema.names) if k != 2 and (k != 1 or with_text)), "lang_pred", "score"],
                 )
 
     return rows
@@ -174,14 +177,17 @@ def identify(docs: DataFrame, names: list[str], net: ByteCNN | None, doc_id: str
     Whole texts are read, of any length. Rows with one id, or a null id, are judged each for itself; an empty table gives
     an empty result; other columns are ignored, but that those named in `carry` come back. Without a network (nothing to learn from) every row is `und`.
     """
+    small_batches(docs.sparkSession)
     letters = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), letters.alias("letters"), *(F.col(c).alias(f"carry_{k}") for k, c in enumerate(carry or [])))
-    back = [F.col(f"carry_{k}").alias(c) for k, c in enumerate(carry or [])]
+    carry = carry or []
+    with_text, others = text in carry, [c for c in carry if c != text]
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), letters.alias("letters"), *(F.col(c).alias(f"carry_{k}") for k, c in enumerate(others)))
+    back = [F.col("text").alias(text)] * with_text + [F.col(f"carry_{k}").alias(c) for k, c in enumerate(others)]
     if net is None:
         return rows.select("doc_id", *back, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = docs.sparkSession.sparkContext.broadcast((names, net))
-    kept = "".join(f", carry_{k} {rows.schema[f'carry_{k}'].dataType.simpleString()}" for k in range(len(carry or [])))
-    return rows.mapInArrow(_apply(shared), f"doc_id long{kept}, lang_pred string, score double").select("doc_id", *back, "lang_pred", "score")
+    kept = ", text string" * with_text + "".join(f", carry_{k} {rows.schema[f'carry_{k}'].dataType.simpleString()}" for k in range(len(others)))
+    return rows.mapInArrow(tidy(_apply(shared, with_text)), f"doc_id long{kept}, lang_pred string, score double").select("doc_id", *back, "lang_pred", "score")
 
 
 def held_out(key: str = "doc_id"):

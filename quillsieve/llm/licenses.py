@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import _table, grams, words
+from ._scratch import small_batches
+from ._words import _table, grams, tidy, words
 
 _ALNUM = _table((0x30, 0x39), (0x61, 0x7A))
 
@@ -134,5 +135,6 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     are scanned each for itself, also with one id; a null id is kept; an empty table gives an empty result; other columns
     are ignored.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(_scan(_prepared(templates, threshold), threshold), "doc_id long, license string, dice double, licenses string")
+    return rows.mapInArrow(tidy(_scan(_prepared(templates, threshold), threshold)), "doc_id long, license string, dice double, licenses string")

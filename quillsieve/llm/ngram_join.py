@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._graph import connected_components
-from ._scratch import Scratch
-from ._words import NOT_SPACE, grams, mix, signed, words
+from ._scratch import Scratch, small_batches
+from ._words import NOT_SPACE, grams, mix, signed, tidy, words
 
 _BITS = 1 << 14
 _LEAF, _LEAF_TOKENS, _FAN = 256, 1 << 19, 3
@@ -131,15 +131,16 @@ def _whole(n: int):
 
     def rows(batches):
         for batch in batches:
-            text, keep, blobs = batch.schema.get_field_index("text"), [], []
+            text = batch.schema.get_field_index("text")
             one, two = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("s1", "s2"))
             for w in words(batch.column(text), NOT_SPACE, lower=True):
+                keep, blobs = [], []
                 for k, s in enumerate(_sets(w, n)):
                     if _class(s) == (one[w.lo + k], two[w.lo + k]):
                         keep.append(w.lo + k)
                         blobs.append(s.tobytes())
-            got = batch.take(pa.array(keep, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*(got.column(c) for c in ("leaf", "id", "copies", "n")), pa.array(blobs, pa.binary())], names=["leaf", "id", "copies", "n", "tokens"])
+                at = pa.array(keep, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)).take(at) for c in ("leaf", "id", "copies", "n")), pa.array(blobs, pa.binary())], names=["leaf", "id", "copies", "n", "tokens"])
 
     return rows
 
@@ -216,9 +217,10 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     are ignored.
     """
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "jaccard")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    found = scratch.save(docs.mapInArrow(_sketches(n, sketch), "doc_id long, n long, s1 long, s2 long, sketch array<long>"), "sketches")
+    found = scratch.save(docs.mapInArrow(tidy(_sketches(n, sketch)), "doc_id long, n long, s1 long, s2 long, sketch array<long>"), "sketches")
     named = found.where("n > 0 and doc_id is not null")
     classes = scratch.save(named.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min_by("sketch", "doc_id").alias("sketch")), "classes")
 
@@ -235,13 +237,14 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         .select("id", F.col("t.token").alias("token"))
     )
     rarest = scratch.save(rarest, "rarest")
+    scratch.release()
     heads = rarest.groupBy("token").agg(F.min("id").alias("head"))
     families = connected_components(rarest.join(heads.hint("merge"), "token").where("id <> head").selectExpr("id a", "head b").distinct(), scratch, "families")
 
     placed = classes.join(families.selectExpr("node id", "component family").hint("merge"), "id")
     order = placed.select("family", F.floor(F.log("n") / F.log(F.lit(4 / 3))).alias("size_class"), "n", "id", "copies", "s1", "s2", "sketch")
     leaves = order.repartitionByRange("family", "size_class", F.get("sketch", F.lit(0)), "id").sortWithinPartitions("family", "size_class", F.get("sketch", F.lit(0)), "id")
-    leaves = scratch.save(leaves.mapInArrow(_leaves, "family long, size_class long, n long, id long, copies long, s1 long, s2 long, sketch array<long>, part int, leaf long"), "leaves")
+    leaves = scratch.save(leaves.mapInArrow(tidy(_leaves), "family long, size_class long, n long, id long, copies long, s1 long, s2 long, sketch array<long>, part int, leaf long"), "leaves")
     # one row for each partition comes to the driver: how many leaves it has
     at, first = 0, []
     for r in sorted(leaves.groupBy("part").agg(F.max("leaf").alias("last")).collect()):
@@ -256,13 +259,18 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     pairs = alone.unionByName(_leaf_pairs(wide, deepest, percent, shared, scratch)) if deepest > 1 else alone
 
     known = docs.where("doc_id is not null").join(leaves.selectExpr("id doc_id", "id", "leaf", "copies", "n", "s1", "s2").hint("merge"), "doc_id")
-    whole = scratch.save(known.mapInArrow(_whole(n), "leaf long, id long, copies long, n long, tokens binary"), "sets")
+    whole = scratch.save(known.mapInArrow(tidy(_whole(n)), "leaf long, id long, copies long, n long, tokens binary"), "sets")
+    scratch.release()
     meet = pairs.select("family", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("leaf")).join(whole.hint("merge"), "leaf")
     links = scratch.save(meet.groupBy("family", "x", "y").applyInPandas(_links(percent), "a long, b long, links long"), "links")
 
+    scratch.drop("sets", "leaves", "rarest")
     component = connected_components(links.where("b is not null").select("a", "b"), scratch, "components")
     degree = links.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     known = classes.select("s1", "s2", "id", "copies").join(component.withColumnRenamed("node", "id").hint("merge"), "id", "left").join(degree.withColumnRenamed("a", "id").hint("merge"), "id", "left")
     known = known.select("s1", "s2", F.coalesce("component", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     rest = found.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
-    return named.join(known.hint("merge"), ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links").unionByName(rest)
+    out = named.join(known.hint("merge"), ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links").unionByName(rest)
+    out = scratch.last(out, "result")
+    scratch.release()
+    return out

@@ -17,6 +17,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._scratch import small_batches
+from ._words import tidy
+
 _DIMS, _BITS, _BUCKETS = 3, 13, 1 << 16
 _REACH = 0.06
 
@@ -169,7 +172,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, doc_id: str = "doc_id",
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    placed = docs.mapInArrow(_keys, "key long, doc_id long, text string").repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
+    placed = docs.mapInArrow(tidy(_keys), "key long, doc_id long, text string").repartitionByRange("key", "doc_id").sortWithinPartitions("key", "doc_id")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return placed.mapInArrow(_pack(str(tokenizer), length, eod), schema)
+    return placed.mapInArrow(tidy(_pack(str(tokenizer), length, eod)), schema)

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._scratch import Scratch
-from ._words import NOT_SPACE, grams, inside, mix, signed, words
+from ._scratch import Scratch, small_batches
+from ._words import NOT_SPACE, grams, inside, mix, signed, tidy, words
 
 _EMPTY = hashlib.sha256(b"").hexdigest()
 #: Words of suffixes that a task merges at a time; bounds its memory.
@@ -258,31 +258,36 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     An empty table gives an empty result; other columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "repeats")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = docs.where("doc_id is not null")
-    found = scratch.save(known.mapInArrow(_scan(window, prefix), "kind byte, doc_id long, at int, a long, b long, n int, sha string"), "scan")
+    found = scratch.save(known.mapInArrow(tidy(_scan(window, prefix)), "kind byte, doc_id long, at int, a long, b long, n int, sha string"), "scan")
     one = found.where("kind = 0").selectExpr("doc_id", "at n_words", "a", "b", "sha")
     first = one.groupBy("a", "b").agg(F.min("doc_id").alias("first"))
     one = scratch.save(one.join(first.hint("merge"), ["a", "b"]).selectExpr("doc_id", "cast(n_words as long) n_words", "sha", "first"), "docs")
 
+    scratch.release()
     local = found.where("kind = 1").select("doc_id", "at")
-    shared = found.where("kind = 2").select("a", "b", "n", "doc_id", "at").repartition("a").sortWithinPartitions("a", "b", "doc_id").mapInArrow(_repeated, "doc_id long, at int")
+    shared = found.where("kind = 2").select("a", "b", "n", "doc_id", "at").repartition("a").sortWithinPartitions("a", "b", "doc_id").mapInArrow(tidy(_repeated), "doc_id long, at int")
     spots = local.unionByName(shared).distinct().groupBy("doc_id").agg(F.collect_list("at").alias("spots"))
     copies = one.where("doc_id <> first").select("doc_id").distinct()
-    spots = spots.join(copies.hint("merge"), "doc_id", "left_anti")
-    parts = scratch.save(known.join(spots.hint("merge"), "doc_id"), "parts")
+    spots = scratch.save(spots.join(copies.hint("merge"), "doc_id", "left_anti"), "spots")
     scratch.drop("scan")
-    nodes = scratch.save(parts.mapInArrow(_windows(window, prefix), "kind byte, h long, doc_id long, at int"), "nodes")
-    later = nodes.where("kind = 2").select("h", "doc_id", "at").repartition("h").sortWithinPartitions("h", "doc_id", "at").mapInArrow(_later, "doc_id long, at int")
+    scratch.release()
+    parts = scratch.save(known.join(spots.hint("merge"), "doc_id"), "parts")
+    scratch.release()
+    nodes = scratch.save(parts.mapInArrow(tidy(_windows(window, prefix)), "kind byte, h long, doc_id long, at int"), "nodes")
+    later = nodes.where("kind = 2").select("h", "doc_id", "at").repartition("h").sortWithinPartitions("h", "doc_id", "at").mapInArrow(tidy(_later), "doc_id long, at int")
     later = nodes.where("kind = 1").select("doc_id", "at").unionByName(later).groupBy("doc_id").agg(F.collect_set("at").alias("starts"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<array<int>>"
-    cut = parts.select("doc_id", "text").join(later.hint("merge"), "doc_id").mapInArrow(_cut(window, with_text), schema).where("n_removed > 0")
+    cut = parts.select("doc_id", "text").join(later.hint("merge"), "doc_id").mapInArrow(tidy(_cut(window, with_text)), schema).where("n_removed > 0")
 
     copy = (F.col("doc_id") != F.col("first")) & (F.col("n_words") >= window)
     whole = one.withColumn("copy", copy)
     cut = scratch.save(cut, "cut")
-    scratch.drop("parts", "nodes")
+    scratch.drop("parts", "nodes", "spots")
+    scratch.release()
     cut = cut.select("doc_id", F.struct("n_removed", "kept_sha256", "kept", "spans", "n_words").alias("cut")).dropDuplicates(["doc_id"])
     out = whole.join(cut.hint("merge"), "doc_id", "left").select(
         "doc_id",
@@ -298,5 +303,5 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 def _unnamed(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
     """Rows with a null id."""
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<array<int>>"
-    out = docs.where("doc_id is null").withColumn("starts", F.array().cast("array<int>")).mapInArrow(_cut(window, False), schema)
+    out = docs.where("doc_id is null").withColumn("starts", F.array().cast("array<int>")).mapInArrow(tidy(_cut(window, False)), schema)
     return out.selectExpr("doc_id", "n_words", "n_removed", "kept_sha256", "cast(null as array<array<int>>) spans", *(["cast(null as string) kept"] if with_text else []))

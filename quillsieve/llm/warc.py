@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._words import tidy
+
 _CRLF = "\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -155,7 +157,7 @@ def read_archives(spark, path: str, with_payload: bool = False) -> DataFrame:
     """Headers of all records under path, with the digests checked, and the payloads if asked for. A file is read by one
     task; it may be plain or in any number of gzip members, of up to 2 GB."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("path", "content")
-    return files.mapInArrow(_read(with_payload), HEADER + (", payload binary" if with_payload else ""))
+    return files.mapInArrow(tidy(_read(with_payload)), HEADER + (", payload binary" if with_payload else ""))
 
 
 def resolve_revisits(headers: DataFrame, rank: Column, least: int = 0) -> DataFrame:
