@@ -28,18 +28,24 @@ reference_facts = SqlOperator(
 from (select *, regexp_extract(raw_text, «^\\[[0-9]+\\] ([^.\\[]*)», 1) as head, regexp_extract(raw_text, «(?:^|[^0-9])([0-9]{4})(?:$|[^0-9])», 1) as year from {refs}) a""",
 )
 
-#: sections of text (doc_id, pos, text) -> citation groups in reading order: number as written, first and last of a range or list.
+#: sections of text (doc_id, pos, text) -> citation groups in reading order: `cited` as written, first and last of a range, least and largest of a list.
+#: joint: the first of the marks - – , in the group, a space where numbers have only white space between them, '' for a single number.
 citation_groups = SqlOperator(
     "cites",
-    """with a as (select doc_id, pos, regexp_extract_all(text, «\\[([0-9]+(?:[-–][0-9]+|(?:[,\\s]+[0-9]+)+)?)\\]», 1) as found from {cites}),
-b as (select doc_id, pos, ord, nth(found, ord) as inner_text from (select doc_id, pos, found, unroll(span(0, items(found) - 1)) as ord from a where items(found) > 0) x)
-select doc_id, pos, cast(ord as int) as ord, cast(regexp_extract(inner_text, «^([0-9]+)», 1) as int) as first_number, cast(regexp_extract(inner_text, «([0-9]+)$», 1) as int) as last_number, regexp_extract(inner_text, «[-–,]», 0) as joint from b""",
+    """with a as (select doc_id, pos, regexp_extract_all(text, «\\[\\s*([0-9]+(?:\\s*[-–]\\s*[0-9]+|[,\\s]+[0-9]+)*)\\s*\\]», 1) as found from {cites}),
+b as (select doc_id, pos, ord, nth(found, ord) as cited from (select doc_id, pos, found, unroll(span(0, items(found) - 1)) as ord from a where items(found) > 0) x),
+c as (select *, try_cast(regexp_extract_all(cited, «[0-9]+», 0) as int[]) as numbers, rx(cited, «^[0-9]+\\s*[-–]\\s*[0-9]+$») as is_range from b)
+select doc_id, pos, cast(ord as int) as ord, case when is_range then nth(numbers, 0) else lowest(numbers) end as first_number, case when is_range then nth(numbers, 1) else highest(numbers) end as last_number,
+  case when rx(cited, «^[0-9]+$») then '' else coalesce(nullif(regexp_extract(cited, «[-–,]», 0), ''), ' ') end as joint, cited from c""",
 )
 
-#: groups -> cited numbers (doc_id, pos, number): all of a range that goes up, both ends of a list.
+#: groups -> cited numbers (doc_id, pos, number): of each part of a list the number, or all of a range that goes up and both ends of one that goes down.
+#: White space around a dash is part of the range. Numbers beyond 32 bits are left out.
 citation_edges = SqlOperator(
     "groups",
-    """select doc_id, pos, unroll(case when joint in ('-', '–') and first_number <= last_number then span(first_number, last_number) else uniq(many(first_number, last_number)) end) as number from {groups}""",
+    """with p as (select doc_id, pos, unroll(regexp_extract_all(cited, «[0-9]+(?:\\s*[-–]\\s*[0-9]+)?», 0)) as part from {groups}),
+n as (select doc_id, pos, try_cast(regexp_extract(part, «^[0-9]+», 0) as int) as a, try_cast(regexp_extract(part, «[0-9]+$», 0) as int) as b from p)
+select doc_id, pos, unroll(case when a <= b then span(a, b) else many(a, b) end) as number from n where a is not null and b is not null""",
 )
 
 _LISTED = "select doc_id, ref_pos, ref_id, cast(regexp_extract(ref_id, «([0-9]+)», 1) as int) as number from {refs}"
@@ -69,7 +75,7 @@ from listed l full outer join cited c on l.doc_id = c.doc_id and l.number = c.nu
 missing_entries = SqlOperator(
     "groups refs",
     """select g.doc_id, g.pos, g.first_number as number, 'ERR_REF_MISSING' as rule_id from {groups} g
-where g.joint = '' and not exists (select 1 from {refs} r where r.doc_id = g.doc_id and r.ref_id = concat('[', cast(g.first_number as string), ']'))""",
+where g.joint = '' and g.first_number is not null and not exists (select 1 from {refs} r where r.doc_id = g.doc_id and r.ref_id = concat('[', cast(g.first_number as string), ']'))""",
 )
 #: Entries that nothing cites, one row each.
 unused_entries = SqlOperator(

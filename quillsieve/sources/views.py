@@ -32,9 +32,11 @@ from r join {part} on l_partkey = p_partkey""",
     ),
     "cites": (
         ["lineitem"],
-        """select doc_id, pos, case k % 4 when 0 then concat('see [', n, ']') when 1 then concat('seen [', n, '-', m, '] there') when 2 then concat('as [', n, ',', m, '] and [', m, ']') else 'no citation' end as text
+        """select doc_id, pos, case k % 4 when 0 then concat('see [', n, ']') when 1 then concat('seen [', n, '-', m, '] there') when 2 then concat('as [', n, ',', m, '] and [', m, ']')
+  else case k % 32 when 3 then concat('in [', n, ',', m, ',', o, ']') when 7 then concat('in [', n, ' ', m, ' ', o, ']') when 11 then concat('in [', n, ',', m, '-', o, ']') when 15 then concat('at [ ', n, ' ]') when 19 then concat('in [', o, ', ', n, ' - ', m, ']') else 'no citation' end end as text
 from (select l_orderkey as doc_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) as pos, l_partkey as k,
-  cast(l_linenumber + l_partkey % 3 as varchar(9)) as n, cast(l_linenumber + l_partkey % 3 + 1 + l_partkey % 2 as varchar(9)) as m from {lineitem}) x""",
+  cast(l_linenumber + l_partkey % 3 as varchar(9)) as n, cast(l_linenumber + l_partkey % 3 + 1 + l_partkey % 2 as varchar(9)) as m,
+  cast(l_linenumber + l_partkey % 3 + 4 as varchar(9)) as o from {lineitem}) x""",
     ),
     "docs": (
         ["orders"],

@@ -53,6 +53,22 @@ def test_citations_by_hand(spark):
     assert [(r.pos, r.before) for r in citations.citation_order(groups).collect()] == [(3, 5)]
 
 
+def test_citation_lists_by_hand(spark):
+    texts = ["x [1,2,3]", "[1 2 3]", "[1,3-5]", "[ 1 ] and [1 2]", "[1 - 3]", "[7, 9–11 ,2]", "[99999999999] [a1] [,1] [2-]"]
+    cites = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "doc_id long, pos int, text string")
+    refs = spark.createDataFrame([(1, k, f"[{k}]", "x") for k in (2, 3, 4, 12)], "doc_id long, ref_pos int, ref_id string, raw_text string")
+    groups = citations.citation_groups(cites)
+    edges = citations.citation_edges(groups)
+    got = {}
+    for r in edges.collect():
+        got.setdefault(r.pos, []).append(r.number)
+    assert {k: sorted(v) for k, v in got.items()} == {0: [1, 2, 3], 1: [1, 2, 3], 2: [1, 3, 4, 5], 3: [1, 1, 2], 4: [1, 2, 3], 5: [2, 7, 9, 10, 11]}
+    assert {(r.pos, r.ord): (r.first_number, r.last_number, r.joint) for r in groups.where("pos < 6").collect()} == {(0, 0): (1, 3, ","), (1, 0): (1, 3, " "), (2, 0): (1, 5, ","), (3, 0): (1, 1, ""), (3, 1): (1, 2, " "), (4, 0): (1, 3, "-"), (5, 0): (2, 11, ",")}
+    assert [r.numbers for r in citations.missing_references(edges, refs).collect()] == ["1,10,11,5,7,9"]
+    assert [r.ref_id for r in citations.unused_entries(edges, refs).collect()] == ["[12]"]
+    assert [(r.pos, r.number) for r in citations.missing_entries(groups, refs).collect()] == [(3, 1)]
+
+
 def test_headings_by_hand(spark):
     rows = [(1, k, k + 1, "heading", lv, f"{k + 1} t") for k, lv in enumerate([1, 3, 2, 4, 1])]
     df = spark.createDataFrame(rows, "doc_id long, pos int, section_id int, type string, level int, text string")
