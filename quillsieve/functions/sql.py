@@ -5,7 +5,7 @@ ASCII letters and digits in a pattern, `joined(x)` the sorted distinct values
 of a group joined by commas, `items(a)` the size of an array, `num(x)` a number or null, `big(x)` a 64-bit whole number,
 `real(x)` a double, `code(x)` the character of a code point, `unroll(a)` a row for each item, `span(a, b)` whole
 numbers from a to b, `many(a, b)` an array, `common(a, b))` the size of an intersection,
-`uniq(a)` distinct items, `lowest(a)` and `highest(a)` the least and largest item, `hex8(x)` the first 32 bits of a SHA-256 digest, `nth(a, i)`
+`uniq(a)` distinct items, `lowest(a)` and `highest(a)` the least and largest item, `leading(a, n)` the first n items, `hex8(x)` the first 32 bits of a SHA-256 digest, `nth(a, i)`
 an item from 0.
 """
 
@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 _SPARK = [
     (r", 'g'\)", ")"),
     (r"\brx\(", "regexp_like("), ("«", "r'"), ("»", "'"), ("⟦", "(?<![A-Za-z0-9])"), ("⟧", "(?![A-Za-z0-9])"), (r"\bjoined\(([^()]*(?:\([^()]*\))?[^()]*)\)", r"array_join(array_sort(collect_set(cast(\1 as string))), ',')"),
-    (r"\bitems\(", "size("), (r"\bnum\(([^()]*(?:\([^()]*\))?[^()]*)\)", r"try_cast(\1 as double)"), (r"\bbig\(", "bigint("), (r"\breal\(", "double("), (r"\bcode\(", "char("), (r"\bbytes\(", "octet_length("), (r"\btext\[\]", "array<string>"), (r"\bint\[\]", "array<int>"), (r"\blowest\(", "array_min("), (r"\bhighest\(", "array_max("), (r"\bunroll\(", "explode("), (r"\bspan\(", "sequence("), (r"\bmany\(", "array("), (r"\bcommon\(", "size(array_intersect("), (r"\buniq\(", "array_distinct("), (r"\bhex8\(([a-z_]+)\)", r"bigint(conv(substring(sha2(\1, 256), 1, 8), 16, 10))"), (r"\bnth\(", "get("),
+    (r"\bitems\(", "size("), (r"\bnum\(([^()]*(?:\([^()]*\))?[^()]*)\)", r"try_cast(\1 as double)"), (r"\bbig\(", "bigint("), (r"\breal\(", "double("), (r"\bcode\(", "char("), (r"\bbytes\(", "octet_length("), (r"\btext\[\]", "array<string>"), (r"\bint\[\]", "array<int>"), (r"\blowest\(", "array_min("), (r"\bleading\(([a-z]+), ", r"slice(\1, 1, "), (r"\bhighest\(", "array_max("), (r"\bunroll\(", "explode("), (r"\bspan\(", "sequence("), (r"\bmany\(", "array("), (r"\bcommon\(", "size(array_intersect("), (r"\buniq\(", "array_distinct("), (r"\bhex8\(([a-z_]+)\)", r"bigint(conv(substring(sha2(\1, 256), 1, 8), 16, 10))"), (r"\bnth\(", "get("),
 ]
 _DUCK = [
     (r"\brx\(", "regexp_matches("), ("«", "'"), ("»", "'"), ("⟦|⟧", r"\\b"), (r"\bjoined\(([^()]*(?:\([^()]*\))?[^()]*)\)", r"array_to_string(list_sort(list(distinct cast(\1 as varchar))), ',')"),
     (r"\bitems\(", "len("), (r"\bnum\(([^()]*(?:\([^()]*\))?[^()]*)\)", r"try_cast(\1 as double)"), (r"\bcode\(", "chr("), (r"\bbytes\(", "strlen("), (r"\blast_value_known\(([a-z_]+)\)", r"last_value(\1 ignore nulls)"),
-    (r"\bcollect_list\(", "list("), (r"\bcast\(([^()]*(?:\([^()]*\))?[^()]*) as string\)", r"cast(\1 as varchar)"), (r"\bbool_or\(", "bool_or("), (r"\blowest\(", "list_min("), (r"\bhighest\(", "list_max("), (r"\bunroll\(", "unnest("), (r"\bspan\(", "generate_series("), (r"\bmany\(", "list_value("), (r"\bcommon\(", "len(list_intersect("), (r"\buniq\(", "list_distinct("), (r"\bhex8\(([a-z_]+)\)", r"('0x' || substr(sha256(\1), 1, 8))::bigint"), (r"\bnth\(([a-z_]+), ([a-z0-9_+ ]+)\)", r"\1[\2 + 1]"),
+    (r"\bcollect_list\(", "list("), (r"\bcast\(([^()]*(?:\([^()]*\))?[^()]*) as string\)", r"cast(\1 as varchar)"), (r"\bbool_or\(", "bool_or("), (r"\blowest\(", "list_min("), (r"\bleading\(([a-z]+), ", r"list_slice(\1, 1, "), (r"\bhighest\(", "list_max("), (r"\bunroll\(", "unnest("), (r"\bspan\(", "generate_series("), (r"\bmany\(", "list_value("), (r"\bcommon\(", "len(list_intersect("), (r"\buniq\(", "list_distinct("), (r"\bhex8\(([a-z_]+)\)", r"('0x' || substr(sha256(\1), 1, 8))::bigint"), (r"\bnth\(([a-z_]+), ([a-z0-9_+ ]+)\)", r"\1[\2 + 1]"),
 ]
 
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.sql import SqlOperator
+from ..functions.sql import SqlOperator, spark_sql
 
 _TOKENS = "regexp_extract_all(lower(text), «[\\p{L}\\p{N}_]+», 0)"
 
@@ -30,27 +32,97 @@ prefix_similarity = SqlOperator(
 d as (select id, min(case when AT(a, k) <> AT(b, k) then k end) as differs, max(least(items(a), items(b))) as n from i group by id)
 select x.id, coalesce(round(real(coalesce(differs, n)) / n, 9), 0.0e0) as prefix from x left join d on d.id = x.id""",
 )
-#: Queries (id, text) and papers (paper_id, document, year): candidates share a run of three tokens; scored by token Jaccard, the best three.
-paper_topk = SqlOperator(
+#: Papers (paper_id, title, authors, journal, year, doi, document) -> paper_id, year, text: all parts in one.
+candidate_texts = SqlOperator("papers", "select paper_id, year, concat_ws(' ', title, authors, journal, cast(year as string), doi, document) as text from {papers}")
+#: The result of paper_topk by comparing every query with every paper; for the oracle and for small inputs.
+paper_topk_all_pairs = SqlOperator(
     "queries papers",
-    f"""with q as (select id, {_TOKENS} as t from {{queries}}), p as (select paper_id, year, regexp_extract_all(lower(document), «[\\p{{L}}\\p{{N}}_]+», 0) as t from {{papers}}),
-qs as (select distinct id, concat(AT(t, k), ' ', AT(t, k + 1), ' ', AT(t, k + 2)) as s from (select id, t, unroll(span(0, items(t) - 3)) as k from q where items(t) >= 3) a),
-ps as (select distinct paper_id, concat(AT(t, k), ' ', AT(t, k + 1), ' ', AT(t, k + 2)) as s from (select paper_id, t, unroll(span(0, items(t) - 3)) as k from p where items(t) >= 3) a),
-c as (select distinct id, paper_id from qs join ps on qs.s = ps.s),
-j as (select c.id, c.paper_id, p.year, uniq(q.t) as x, uniq(p.t) as y from c join q on q.id = c.id join p on p.paper_id = c.paper_id),
-s as (select id, paper_id, year, round(1.0e0 * common(x, y)) / (items(x) + items(y) - common(x, y))), 9) as score, round(1.0e0 * common(x, y)) / items(y), 9) as cover from j)
-select id, paper_id, year, score, cover, k from (select *, row_number() over (partition by id order by score desc, paper_id) as k from s) r where k <= 3""",
+    f"""with q as (select id, uniq({_TOKENS}) as x from {{queries}}), p as (select paper_id, year, uniq({_TOKENS}) as y from ({candidate_texts.sql}) c),
+s as (select id, paper_id, year, round(1.0e0 * common(x, y)) / (items(x) + items(y) - common(x, y))), 9) as score, round(1.0e0 * common(x, y)) / items(y), 9) as cover from q join p on common(x, y)) > 0)
+select id, paper_id, year, score, cover, cast(k as int) as k from (select *, row_number() over (partition by id order by score desc, paper_id) as k from s) r where k <= 3""",
 )
-#: Queries and their candidates -> verdicts: verified at 0.85 without a year at odds, needs_review at 0.65, else unverified.
+#: Queries, their candidates and the papers -> verdicts: verified at 0.85 without a year at odds, needs_review at 0.65, else unverified.
+#: Of the candidate with the largest Jaccard; the score is the largest of that, the title's and the authors'. The title's: 1 if all of it
+#: stands in the query, else the largest Jaccard or share of leading tokens of the query or one of its fragments (three tokens at least, no year).
 verified = SqlOperator(
-    "queries candidates",
-    """with b as (select q.id, q.years, c.paper_id, c.year, greatest(c.score, c.cover) as score from {queries} q left join {candidates} c on c.id = q.id and c.k = 1),
-m as (select *, paper_id is not null and years <> '' and not contains(years, cast(year as string)) as mismatch from b)
-select id, paper_id, coalesce(score, 0.0e0) as score, case when score >= 0.85 and not mismatch then 'verified' when score >= 0.65 and not mismatch then 'needs_review' else 'unverified' end as verdict,
-  case when score >= 0.85 and not mismatch then 'high' when score >= 0.65 and not mismatch then 'medium' when coalesce(score, 0.0e0) < 0.45 then 'low' else 'medium' end as confidence, mismatch as year_mismatch, paper_id is null as no_candidate from m""",
+    "queries candidates papers",
+    f"""with b as (select q.id, coalesce(q.text, '') as text, q.years, c.paper_id, c.year, coalesce(c.score, 0.0e0) as jaccard, coalesce(p.title, '') as title, coalesce(p.authors, '') as authors
+  from {{queries}} q left join {{candidates}} c on c.id = q.id and c.k = 1 left join {{papers}} p on p.paper_id = c.paper_id),
+f as (select *, unroll(many(text) || regexp_extract_all(text, «[^，,。.;；\\n]+», 0)) as part from b),
+t as (select *, {_TOKENS.replace('text', 'part')} as x, {_TOKENS.replace('text', 'title')} as y, {_TOKENS} as w, {_TOKENS.replace('text', 'authors')} as z from f),
+u as (select *, uniq(x) as dx, uniq(y) as dy, uniq(w) as dw, uniq(z) as dz, unroll(span(0, case when items(x) > 0 and items(y) > 0 and nth(x, 0) = nth(y, 0) then least(items(x), items(y)) - 1 else 0 end)) as k from t
+  where part = text or (items(x) >= 3 and not rx(part, «(?:19|20)[0-9]{{2}}»))),
+v as (select id, text, years, paper_id, year, jaccard, case when items(dx) = 0 or items(dy) = 0 then 0.0e0 else 1.0e0 * common(dx, dy)) / (items(dx) + items(dy) - common(dx, dy))) end as likeness,
+  case when items(x) > 0 and items(y) > 0 and leading(x, k + 1) = leading(y, k + 1) then 1.0e0 * (k + 1) / least(items(x), items(y)) else 0.0e0 end as prefix,
+  case when items(y) > 0 and contains(regexp_replace(lower(text), «[^\\p{{L}}\\p{{N}}_]+», '', 'g'), regexp_replace(lower(title), «[^\\p{{L}}\\p{{N}}_]+», '', 'g')) then 1.0e0 else 0.0e0 end as inside,
+  case when items(dw) = 0 or items(dz) = 0 then 0.0e0 else 1.0e0 * common(dw, dz)) / (items(dw) + items(dz) - common(dw, dz))) end as author from u),
+g as (select id, text, years, paper_id, year, round(greatest(max(likeness), max(prefix), max(inside)), 9) as title_score, round(max(author), 9) as author_score, max(jaccard) as jaccard from v group by id, text, years, paper_id, year),
+m as (select *, greatest(jaccard, title_score, author_score) as score, paper_id is not null and year is not null and years <> '' and not contains(years, cast(year as string)) as mismatch from g)
+select id, paper_id, score, title_score, author_score, case when score >= 0.85 and not mismatch then 'verified' when score >= 0.65 and not mismatch then 'needs_review' else 'unverified' end as verdict,
+  case when score >= 0.85 and not mismatch then 'high' when score >= 0.65 and not mismatch then 'medium' when score < 0.45 then 'low' else 'medium' end as confidence, mismatch as year_mismatch, paper_id is null as no_candidate from m""",
 )
-for _op in (prefix_similarity, paper_topk):
-    _op.sql = _op.sql.replace("AT(", "nth(")
+prefix_similarity.sql = prefix_similarity.sql.replace("AT(", "nth(")
+
+
+def _shared_tokens(shared, k: int):
+    """For each query (id, tokens) the k papers of the block with the largest Jaccard: id, paper's place in the block, common tokens, sizes of both."""
+
+    def rows(batches):
+        vocabulary, starts, places, sizes, ids = shared.value
+        vocabulary, many = pa.array(vocabulary, pa.string()), len(ids)
+        counts, top = np.diff(starts), min(k, many)
+        for batch in batches:
+            for at in range(0, batch.num_rows, step := max(1, (1 << 20) // many)):
+                part = batch.slice(at, step)
+                tokens = part.column("tokens")
+                n = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+                found = pc.fill_null(pc.index_in(tokens.flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                row = np.repeat(np.arange(part.num_rows), n)[found >= 0]
+                found = found[found >= 0]
+                c = np.zeros((part.num_rows, many), np.int64)
+                ends = np.cumsum(counts[found])
+                cuts = [*np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, 1 << 22), "right"), len(found)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    r = counts[found[a:b]]
+                    spot = np.arange(r.sum()) - np.repeat(np.cumsum(r) - r, r) + np.repeat(starts[found[a:b]], r)
+                    c += np.bincount(np.repeat(row[a:b], r) * many + places[spot], minlength=c.size).reshape(c.shape)
+                score = np.round(c / np.maximum(n[:, None] + sizes - c, 1), 9)
+                best = np.argsort(-score, axis=1, kind="stable")[:, :top]
+                common = np.take_along_axis(c, best, 1)
+                q, j = np.nonzero(common)
+                p = best[q, j]
+                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(q)), pa.array(ids[p]), pa.array(common[q, j]), pa.array(n[q]), pa.array(sizes[p])], ["id", "paper_id", "c", "n", "m"])
+
+    return rows
+
+
+def paper_topk(queries: DataFrame, papers: DataFrame, k: int = 3, block: int = 4096) -> DataFrame:
+    """The k papers with the largest token Jaccard to each query (id, text), of those that share a token with it; ties by id.
+
+    A paper's text is that of candidate_texts. Papers go to the tasks in blocks of about `block`, as lists of papers by token, so
+    every query is compared with every paper. Returns id, paper_id, year, score, cover (share of the paper's tokens) and k.
+    """
+    spark = queries.sparkSession
+    tokens = F.expr(spark_sql(f"uniq({_TOKENS})")).alias("tokens")
+    asked = queries.select(F.col("id").cast("long").alias("id"), tokens).where("size(tokens) > 0")
+    known = candidate_texts(papers).select(F.col("paper_id").cast("long").alias("paper_id"), "year", tokens).where("size(tokens) > 0 and paper_id is not null")
+    blocks = max(1, -(-known.count() // block))
+    out = spark.createDataFrame([], "id long, paper_id long, c long, n long, m long")
+    for b in range(blocks):
+        rows = sorted(known.where(F.pmod(F.xxhash64("paper_id"), F.lit(blocks)) == b).select("paper_id", "tokens").collect())
+        if not rows:
+            continue
+        by_token: dict[str, list[int]] = {}
+        for place, r in enumerate(rows):
+            for t in r.tokens:
+                by_token.setdefault(t, []).append(place)
+        starts = np.cumsum([0, *map(len, by_token.values())])
+        shared = spark.sparkContext.broadcast((list(by_token), starts, np.concatenate([*by_token.values()]), np.array([len(r.tokens) for r in rows]), np.array([r.paper_id for r in rows])))
+        out = out.unionByName(asked.mapInArrow(_shared_tokens(shared, k), out.schema))
+    scored = out.select("id", "paper_id", F.expr("round(1.0D * c / (n + m - c), 9)").alias("score"), F.expr("round(1.0D * c / m, 9)").alias("cover"))
+    order = Window.partitionBy("id").orderBy(F.desc("score"), "paper_id")
+    best = scored.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k)
+    return best.join(known.select("paper_id", "year"), "paper_id").select("id", "paper_id", "year", "score", "cover", "k")
 
 
 def _best(shared, k: int):

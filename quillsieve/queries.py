@@ -57,7 +57,7 @@ DERIVED: dict[str, tuple[list[str], str]] = {
     "texts": (["benchmark"], "select item_id as id, text from {benchmark}"),
     "text_pairs": (["benchmark"], "select a.item_id as id, a.text as a, concat(substring(a.text, 1, 60), ' ', b.text) as b from {benchmark} a join {benchmark} b on b.item_id = a.item_id + 1"),
     "line_queries": (["sections"], "select doc_id * 10000 + pos as id, text, case when pos % 3 = 0 then cast(1990 + doc_id % 30 as string) else '' end as years from {sections}"),
-    "candidates": (["line_queries", "papers"], retrieval.paper_topk.sql.replace("{queries}", "{line_queries}")),
+    "candidates": (["line_queries", "papers"], retrieval.paper_topk_all_pairs.sql.replace("{queries}", "{line_queries}")),
     "field_pairs": (["cells"], "select doc_id, section_id, table_index, row_index, col, name, replace(name, '*', '') as bare, name like '%*' as required, value from {cells}"),
     "repeated_ids": (["sections"], "select doc_id, pos, cast(floor(section_id / 2) as int) as section_id from {sections}"),
     "mentions": (["sections"], "select doc_id, pos, concat(text, case pos % 4 when 0 then ' Convolutional Network (CNN) and GPU' when 1 then ' CNN, LSTM' else '' end) as text from {sections}"),
@@ -177,8 +177,17 @@ add("code_like_docs", chunks.code_like_documents, lines="code_lines")
 add("hashed_embedding", retrieval.hashed_embedding)
 add("token_jaccard", retrieval.token_jaccard, pairs="text_pairs")
 add("prefix_similarity", retrieval.prefix_similarity, pairs="text_pairs")
-add("paper_topk", retrieval.paper_topk, queries="line_queries")
+add("paper_topk", retrieval.paper_topk_all_pairs, queries="line_queries")
+QUERIES["paper_topk"] = lambda spark, sf_dir: retrieval.paper_topk(frame(spark, sf_dir, "line_queries"), frame(spark, sf_dir, "papers"))
 add("verify_references", retrieval.verified, queries="line_queries")
+
+
+def verify_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, papers = frame(spark, sf_dir, "line_queries"), frame(spark, sf_dir, "papers")
+    return retrieval.verified(queries, retrieval.paper_topk(queries, papers), papers)
+
+
+QUERIES["verify_references"] = verify_references
 DERIVED |= {
     "titled": (["sections"], "select doc_id, pos, case when doc_id % 2 = 0 then 'paragraph' else type end as type, case when pos = 2 then '参考文献：' when doc_id % 2 = 0 and pos = 6 then '致谢' else text end as text from {sections}"),
     "block_titles": ([], "select '参考文献' as title"),

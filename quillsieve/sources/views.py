@@ -57,7 +57,8 @@ union all select r_regionkey, 'base', cast(null as varchar(9)), 'SimHei', 10.5e0
     ),
     "papers": (
         ["benchmark"],
-        """select item_id as paper_id, array_join_first_six as title, concat('Author ', cast(item_id % 7 as varchar(9))) as authors, 1990 + item_id % 30 as year, text as document from (select item_id, text, FIRST6 as array_join_first_six from {benchmark}) x""",
+        """select item_id as paper_id, array_join_first_six as title, concat('Author ', cast(item_id % 7 as varchar(9))) as authors, 1990 + item_id % 30 as year,
+  concat('Journal ', cast(item_id % 5 as varchar(9))) as journal, concat('10.1/', cast(item_id as varchar(9))) as doi, text as document from (select item_id, text, FIRST6 as array_join_first_six from {benchmark}) x""",
     ),
     "tasks": (
         ["events"],

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillsieve.functions.rules import Rule, apply_rules
-from quillsieve.operators import chunks, citations, issues, packs, sequences
+from quillsieve.operators import chunks, citations, issues, packs, retrieval, sequences
 from quillsieve.plans.audit import audit, review, scores
 from quillsieve.sources.ingest import heading_level, number_of, paper_text, read_parsed, references_of, sections_of, upsert_papers
 from quillsieve.streaming.jobs import incremental_audit, latest_status
@@ -121,6 +121,26 @@ def test_papers(spark):
     assert spark.range(1).select(text).first()[0] == "T\nA, B\n2001\nabs"
 
 
+def test_verification_by_hand(spark):
+    long = " ".join(f"word{k}" for k in range(60))
+    papers = spark.createDataFrame(
+        [(1, "Deep rules for audits", "Zhao Lin, Wu Ke", "Nature", 2003, "10.1/77", long), (2, "Of water", "B", None, 2001, None, "short text"), (3, None, None, None, None, None, "one two three four"), (4, None, None, None, 2010, None, "four three two one zero")],
+        "paper_id long, title string, authors string, journal string, year int, doi string, document string",
+    )
+    texts = ["Li. Deep rules, for audits. 2003", "LI Y. deep RULES for audits and more, 1999", "four one", "Deep rules of things, in water audits", "zzz", "", None, "Zhao Lin, Wu Ke", "x, deep rules for, y 10.1/77"]
+    queries = spark.createDataFrame([(k, t, "1999" if t and "1999" in t else "") for k, t in enumerate(texts)], "id long, text string, years string")
+    want = sorted(tuple(r) for r in retrieval.paper_topk_all_pairs(queries, papers).collect())
+    for block in (4096, 2):
+        assert sorted(tuple(r) for r in retrieval.paper_topk(queries, papers, block=block).collect()) == want
+    assert [r[1] for r in want if r[0] == 2] == [3, 4]  # under three tokens, another order
+    got = {r.id: r for r in retrieval.verified(queries, retrieval.paper_topk(queries, papers), papers).collect()}
+    assert (got[0].verdict, got[0].paper_id, got[0].title_score) == ("verified", 1, 1.0)
+    assert (got[1].verdict, got[1].year_mismatch, got[1].title_score) == ("unverified", True, 1.0)
+    assert (got[7].verdict, got[7].author_score) == ("verified", 1.0)
+    assert (got[8].paper_id, got[8].title_score) == (1, 1.0)  # a fragment is the title's beginning
+    assert all(got[k].no_candidate and got[k].score == 0 for k in (4, 5, 6)) and len(got) == len(texts)
+
+
 def test_review_modes(spark):
     df = spark.createDataFrame([(1, 0, 1, "heading", 1, "9 basically", 11.0, "Arial", 1.0, 0.0), (1, 1, 2, "paragraph", 0, "a long enough paragraph", 12.0, "SimSun", 1.5, 2.0)], "doc_id long, pos int, section_id int, type string, level int, text string, size_pt double, font string, line_spacing double, first_line_indent double")
     other = lambda s: s.select("doc_id", "pos", F.lit("X").alias("rule_id"), F.lit(1).alias("severity"))
