@@ -35,9 +35,12 @@ def lexicon(docs: DataFrame, text: str = "text", least: float = 0.005, most: flo
 
 
 def fingerprint(text: Column, lists: Column, keep: tuple[float, ...] = KEEP) -> Column:
-    """Hashes of the text's terms in each subset of the lexicon, in hexadecimal, joined by `:`; equal texts have equal ones."""
+    """Hashes of the text's terms in each subset of the lexicon, in hexadecimal, joined by `:`; equal texts have equal ones.
+
+    A text without a term in the lexicon has one hash of all its distinct terms, or of itself if it has none, in the first place."""
     inside = F.array_sort(F.filter(terms(text), lambda t: F.array_contains(F.get(lists, F.pmod(F.xxhash64(t), F.lit(_BUCKETS)).cast("int")), t)))
-    return F.transform(F.array(inside), lambda ts: F.array_join(F.array(*[_hash(ts, k, share) for k, share in enumerate(keep)]), ":"))[0]
+    own = F.concat(F.lower(F.hex(F.xxhash64(F.lit("outside"), F.array_sort(terms(text)), F.when(F.size(terms(text)) == 0, text)))), F.lit(":" * (len(keep) - 1)))
+    return F.transform(F.array(inside), lambda ts: F.when(F.size(ts) == 0, own).otherwise(F.array_join(F.array(*[_hash(ts, k, share) for k, share in enumerate(keep)]), ":")))[0]
 
 
 def _hash(ts: Column, k: int, share: float) -> Column:

@@ -50,3 +50,18 @@ def test_odd_rows(spark):
     assert compare_edited(docs.limit(0)).count() == 0
     one = compare_edited(docs.where("doc_id = 9")).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
+
+
+def test_texts_outside_the_band(spark):
+    """Different texts without a term of the lexicon are not alike, equal terms are."""
+    rows = [(k, "in band" if k % 5 else "other") for k in range(40)] + [(k, t) for k, t in zip(range(40, 47), ["This.", "The esingor.", "this", "?!", "...", "", None])]
+    from pyspark.sql import functions as F
+
+    from quillsieve.llm.fingerprints import fingerprint, lexicon, likeness
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    lists = lexicon(docs, least=0.1, most=0.5)
+    f = {r.doc_id: r.f for r in docs.select("doc_id", fingerprint(F.coalesce("text", F.lit("")), lists).alias("f")).collect()}
+    assert f[40] == f[42] and f[45] == f[46] and len({f[k] for k in (0, 40, 41, 43, 44, 45)}) == 6
+    pair = spark.createDataFrame([(f[40], f[41]), (f[40], f[42]), (f[40], f[0])], "a string, b string").select(likeness(F.col("a"), F.col("b")).alias("x"))
+    assert [r.x for r in pair.collect()] == [0.0, 1.0, 0.0]
