@@ -19,13 +19,12 @@ from (select *, case when instr(body, ':') > 0 then substring(body, 1, instr(bod
     from (select doc_id, ref_pos, ref_id, raw_text, case when instr(lower(raw_text), 'doi') > 0 then substring(raw_text, 1, instr(lower(raw_text), 'doi') - 1) else raw_text end as no_doi from {refs}) a) b) c""",
 )
 
-#: refs -> (kind, authors, year_min, year_max): the first of the marks [J] and [M], the author count, whole 4-digit numbers.
+#: refs -> (kind, authors, year_min, year_max): the first of the marks [J] and [M], the author count, least and largest whole 4-digit number.
 reference_facts = SqlOperator(
     "refs",
     """select doc_id, ref_pos, raw_text, case when instr(raw_text, '[J]') > 0 and (instr(raw_text, '[M]') = 0 or instr(raw_text, '[J]') < instr(raw_text, '[M]')) then 'J' when instr(raw_text, '[M]') > 0 then 'M' end as kind,
-  greatest(length(head) - length(replace(replace(head, ',', ''), '，', '')) + 1, 1) as authors,
-  cast(nullif(year, '') as int) as year_min, cast(nullif(year, '') as int) as year_max
-from (select *, regexp_extract(raw_text, «^\\[[0-9]+\\] ([^.\\[]*)», 1) as head, regexp_extract(raw_text, «(?:^|[^0-9])([0-9]{4})(?:$|[^0-9])», 1) as year from {refs}) a""",
+  greatest(items(regexp_extract_all(head, «[^，,、;；]*[^，,、;；\\s][^，,、;；]*», 0)), 1) as authors, lowest(years) as year_min, highest(years) as year_max
+from (select *, regexp_extract(raw_text, «^\\[[0-9]+\\] ([^.\\[]*)», 1) as head, try_cast(regexp_extract_all(regexp_replace(raw_text, «[0-9]{5,}», ' ', 'g'), «[0-9]{4}», 0) as int[]) as years from {refs}) a""",
 )
 
 #: sections of text (doc_id, pos, text) -> citation groups in reading order: `cited` as written, first and last of a range, least and largest of a list.

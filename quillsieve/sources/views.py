@@ -25,8 +25,8 @@ from (select doc_id, pos, trim(line0) as line from (LINES) l) x where line <> ''
         ["lineitem", "part"],
         """with r as (select l_orderkey as doc_id, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) as ref_pos, l_partkey, l_suppkey from {lineitem})
 select doc_id, ref_pos, concat('[', cast(ref_pos as varchar(9)), ']') as ref_id,
-  concat('[', cast(ref_pos as varchar(9)), '] ', case l_suppkey % 5 when 0 then 'ZHANG S, LI W, WANG Q, ZHAO L' when 1 then 'ZHANG S，LI W' when 2 then 'smith j' else 'LIU Y' end, '. ', p_name,
-    case l_partkey % 4 when 0 then '[J]' when 1 then '[M]' when 2 then '[D]' else '[C]' end, case when l_suppkey % 7 = 0 then ' ' else '. ' end, p_brand, ', ', cast(1880 + l_partkey % 160 as varchar(9)),
+  concat('[', cast(ref_pos as varchar(9)), '] ', case l_suppkey % 5 when 0 then 'ZHANG S, LI W, WANG Q, ZHAO L' when 1 then 'ZHANG S，LI W' when 2 then 'smith j' when 3 then 'LIU Y' else 'WU K；SUN L; QIAN M' end, '. ', p_name,
+    case l_partkey % 4 when 0 then '[J]' when 1 then '[M]' when 2 then '[D]' else '[C]' end, case when l_suppkey % 7 = 0 then ' ' else '. ' end, p_brand, ', ', cast(1880 + l_partkey % 160 as varchar(9)), case l_partkey % 9 when 0 then ', 2030' when 4 then ', 1203-1210' else '' end,
     case when l_suppkey % 3 = 0 then ', 35(6)' else '' end, case when l_suppkey % 4 = 0 then ': 18-21.' else '.' end) as raw_text
 from r join {part} on l_partkey = p_partkey""",
     ),

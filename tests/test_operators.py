@@ -40,6 +40,20 @@ def test_bibliography_rules(spark, raw, rules):
     assert {r.rule_id for r in apply_rules(df, packs.REFERENCE_RULES, ["doc_id"]).collect()} == rules
 
 
+@pytest.mark.parametrize("raw,facts,rules", [
+    ("[1] A B. Work in 1990[J]. Nature, 2030, 3(2): 1-9", ("J", 1, 1990, 2030), {"REF-J-007"}),
+    ("[1] A B. Work[J]. Nature, 2010, 3(2): 1023-1030", ("J", 1, 1023, 2010), {"REF-J-009"}),
+    ("[1] A B; C D；E F、G H. Work[J]. Nature, 2010, 3(2): 1-9, 12345", ("J", 4, 2010, 2010), {"REF-J-006"}),
+    ("[1] A B, C D, ; . Book[M]. Press, 2001-1899", ("M", 2, 1899, 2001), {"REF-M-001"}),
+    ("no head", (None, 1, None, None), set()),
+])
+def test_reference_facts_by_hand(spark, raw, facts, rules):
+    df = citations.reference_facts(spark.createDataFrame([(1, 1, "[1]", raw)], "doc_id long, ref_pos int, ref_id string, raw_text string"))
+    r = df.first()
+    assert (r.kind, r.authors, r.year_min, r.year_max) == facts
+    assert {r.rule_id for r in apply_rules(df, packs.REFERENCE_LINE_RULES, ["doc_id"]).collect()} == rules
+
+
 def test_citations_by_hand(spark):
     cites = spark.createDataFrame([(1, 1, "a [1] b"), (1, 2, "[3-5]"), (1, 3, "[2,7] x [4] y"), (2, 1, "none"), (1, 4, "[9-8]")], "doc_id long, pos int, text string")
     refs = spark.createDataFrame([(1, k, f"[{k}]", "x") for k in (1, 2, 3, 10)], "doc_id long, ref_pos int, ref_id string, raw_text string")
