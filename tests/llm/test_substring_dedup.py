@@ -1,9 +1,12 @@
 import hashlib
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from _texts import SCHEMA, corpus
 
+from quillsieve.llm import substring_dedup
 from quillsieve.llm.substring_dedup import remove_repeats
 
 
@@ -22,14 +25,40 @@ def brute(rows, window=20):
     return out
 
 
-@pytest.mark.parametrize("seed,window,prefix", [(1, 20, 8), (2, 20, 8), (3, 6, 3), (4, 10, 8)])
-def test_equals_brute_force(spark, seed, window, prefix):
+@pytest.mark.parametrize("seed,window,prefix,group", [(1, 20, 8, 1 << 13), (2, 20, 8, 2), (3, 6, 3, 5), (4, 10, 8, 1), (5, 16, 4, 3), (6, 20, 8, 20)])
+def test_equals_brute_force(spark, seed, window, prefix, group):
+    """Also with groups so small that prefixes are lengthened once or up to a whole window."""
     rows = corpus(seed=seed)
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeats(docs, window=window, prefix=prefix).collect()}
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in remove_repeats(docs, window=window, prefix=prefix, group=group).collect()}
     assert got == brute(rows, window)
 
 
+def test_subtrees_by_hand(monkeypatch):
+    """Segments of two prefixes in several batches: nodes of four words, in groups that are taken one by one."""
+    monkeypatch.setattr(substring_dedup, "_GROUP", 20)
+    rng = np.random.default_rng(5)
+    segments = [(int(k // 40), int(d), int(a), w) for k in range(80) for d, a, w in [(rng.integers(0, 9), rng.integers(0, 5) * 10, rng.integers(0, 3, rng.integers(4, 8)))]]
+    segments = [(k, d, a, [k, *w]) for k, d, a, w in sorted(segments, key=lambda x: x[0])]
+    want, seen = set(), {}
+    every = [(tuple(w[i : i + 4]), d, a + i) for _, d, a, w in segments for i in range(len(w) - 3)]
+    for w, d, a in every:
+        seen[w] = min(seen.get(w, (d, a)), (d, a))
+    want = {(d, a) for w, d, a in every if seen[w] != (d, a)}
+    rows = pa.table({"key": [s[0] for s in segments], "doc_id": [s[1] for s in segments], "at": pa.array([s[2] for s in segments], pa.int32()), "many": pa.array([len(s[3]) - 3 for s in segments], pa.int32()), "words": [b"".join(int(x).to_bytes(substring_dedup._WORD, "little") for x in s[3]) for s in segments]})
+    got = {(d, a + i) for b in substring_dedup._subtrees(4)(rows.to_batches(max_chunksize=7)) for d, a, m in zip(*(c.to_pylist() for c in b.columns), strict=True) for i in range(m)}
+    assert got == want
+
+
+def test_common_prefixes():
+    rng = np.random.default_rng(2)
+    h = rng.integers(0, 2, 300).astype(np.uint64)
+    for window in (4, 6, 20, 31):
+        a, b = rng.integers(0, 300 - window, (2, 500))
+        want = [next((k for k in range(window) if h[i + k] != h[j + k]), window) for i, j in zip(a, b, strict=True)]
+        assert substring_dedup._common_prefix(substring_dedup._ranks(h, window), a, b, window).tolist() == want
+
+
 def test_odd_rows(spark):
     text = " ".join(f"w{k}" for k in range(30))
     rows = [(5, text), (5, text), (7, text), (None, text), (9, None)]
