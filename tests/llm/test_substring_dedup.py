@@ -39,7 +39,7 @@ def test_subtrees_by_hand(monkeypatch):
     monkeypatch.setattr(substring_dedup, "_GROUP", 20)
     rng = np.random.default_rng(5)
     segments = [(int(k // 40), int(d), int(a), w) for k in range(80) for d, a, w in [(rng.integers(0, 9), rng.integers(0, 5) * 10, rng.integers(0, 3, rng.integers(4, 8)))]]
-    segments = [(k, d, a, [k, *w]) for k, d, a, w in sorted(segments, key=lambda x: x[0])]
+    segments = [(k, d, a, [10 * k + x for x in w]) for k, d, a, w in sorted(segments, key=lambda x: x[0])]  # words tell the prefix
     want, seen = set(), {}
     every = [(tuple(w[i : i + 4]), d, a + i) for _, d, a, w in segments for i in range(len(w) - 3)]
     for w, d, a in every:
