@@ -114,17 +114,25 @@ def _windows(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 600, length: int = 256, steps: int = 400) -> tuple[list[str], ByteCNN | None]:
     """A network for the languages of docs, and their names, sorted.
 
-    Learns from at most `per_language` documents of each language, those with the smallest hashes of their key, and of
-    each from at most 512 characters at a place that the hash chooses. Rows without text or language are left out.
+    Learns from at most `per_language` documents of each language, those with the smallest hashes of their key and text, and
+    of each from at most 512 characters at a place that the hash chooses. The rows of each language are counted first; only
+    those below a hash that about `per_language` and a third more are expected under are ranked, so that no task gets more of
+    a frequent language. One row for each language, and the sample, come to the driver. Rows without text or language are
+    left out.
     """
     usable = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}"))
+    usable = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("h"))
+    counts = usable.groupBy("lang").count().collect()
+    if not counts:
+        return [], None
+    most = per_language + 8 * per_language**0.5
+    below = [min((1 << 63) - 1, int(min(1, most / r["count"]) * (1 << 64)) - (1 << 63)) for r in counts]
+    bound = F.create_map(*[x for r, b in zip(counts, below, strict=True) for x in (F.lit(r.lang), F.lit(b).cast("long"))])
     order = Window.partitionBy("lang").orderBy("h", "snippet")
-    snippet = F.substring(F.col(text), F.pmod(F.col("h"), F.greatest(F.lit(1), F.length(text) - 512)).cast("int") + 1, F.lit(512))
-    sample = usable.withColumn("h", F.xxhash64(F.col(key).cast("string"))).select(F.col(lang).alias("lang"), "h", snippet.alias("snippet")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
+    snippet = F.substring("text", F.pmod(F.col("h"), F.greatest(F.lit(1), F.length("text") - 512)).cast("int") + 1, F.lit(512))
+    sample = usable.where(F.col("h") <= bound[F.col("lang")]).select("lang", "h", snippet.alias("snippet")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language)
     rows = sample.orderBy("lang", "k").select("lang", "snippet").collect()
     names = sorted({r.lang for r in rows})
-    if not names:
-        return [], None
     x, many = _windows([r.snippet.encode()[: 2 * length] for r in rows], length)
     y = np.repeat([names.index(r.lang) for r in rows], many)
     # each language counts alike
