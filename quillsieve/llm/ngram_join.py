@@ -7,16 +7,19 @@ Documents with equal shingle sets are one class, and only its smallest id takes
    2.3e-10 for a pair just at the threshold, less above it. So both contain one of the other's rarest
    `len - shared + 1` common tokens (prefix filter in order of frequency). Classes that share such a token are joined
    into families; a token that a third of all documents share is among the most frequent and hardly ever used.
-2. Signature trees. A family's classes, sorted by set size and sketch, fill leaves of bounded size. A node holds the
-   OR of its sketches' bitmaps and the range of its set sizes. The tree is traversed against itself, level by level as a
-   Spark join of node pairs with their children; a pair goes on only if the sizes and the bitmaps' common bits still
-   allow a link.
+2. Signature trees. A family's classes, sorted by set size and sketch, fill leaves of at most 256 sets and 256 different
+   sketch tokens: many near copies, or a few unlike sets. A node holds the OR of its sketches' bitmaps, as the places of
+   the bits that are set, and the range of its set sizes. The tree is traversed against itself, level by level as a Spark
+   join of node pairs with their children; a pair goes on only if the sizes and the bitmaps' common bits still allow a link.
+   With 4,194,304 bits, unlike nodes of up to 4,096 tokens share about 4 bits by chance, where a link needs 16, so that three
+   levels of the tree prune by overlap, and all by size.
 3. Leaf pairs. The whole shingle sets of two leaves meet in one task, which counts all intersections exactly by a
    product of 0/1 matrices, and compares `100 * intersection` with `percent * union`.
 """
 
 from __future__ import annotations
 
+import logging
 from math import ceil
 
 import numpy as np
@@ -30,8 +33,11 @@ from ._graph import connected_components
 from ._scratch import Scratch, small_batches
 from ._words import NOT_SPACE, grams, mix, signed, tidy, words
 
-_BITS = 1 << 14
-_LEAF, _LEAF_TOKENS, _FAN = 256, 1 << 19, 3
+#: Sets, shingles and different sketch tokens of a leaf at most, and the binary logarithm of a node's children.
+_LEAF, _LEAF_TOKENS, _LEAF_SKETCH, _FAN = 256, 1 << 19, 256, 2
+#: Bits of a node's bitmap, which is kept as the places of its set bits; a fuller one than `_FULL` can't prune and is left out.
+_BITS, _FULL = 1 << 22, 1 << 14
+_log = logging.getLogger(__name__)
 
 
 def _sets(w, n: int):
@@ -72,47 +78,50 @@ def _sketches(n: int, sketch: int):
 
 
 def _leaves(batches):
-    """Rows sorted by family: the leaf of each, numbered within the task, and a bitmap of its sketch."""
+    """Rows sorted by family, size class and sketch: the leaf of each, numbered within the task. A leaf takes near copies by
+    the hundred, but few sets that have little in common, as its bitmap shall stay sparse."""
     part, leaf, now, held, tokens, least = TaskContext.get().partitionId(), -1, None, 0, 0, 0
+    seen: set[int] = set()
     for batch in batches:
         out = []
-        for family, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if family != now or held == _LEAF or tokens + n > _LEAF_TOKENS or n > 2 * least:
-                leaf, now, held, tokens, least = leaf + 1, family, 0, 0, n
-            held, tokens = held + 1, tokens + n
+        for family, n, sketch in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(7).to_pylist(), strict=True):
+            more = seen.union(sketch)
+            if family != now or held == _LEAF or tokens + n > _LEAF_TOKENS or n > 2 * least or len(more) > _LEAF_SKETCH:
+                leaf, now, held, tokens, least, more = leaf + 1, family, 0, 0, n, set(sketch)
+            held, tokens, seen = held + 1, tokens + n, more
             out.append(leaf)
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(out), part, np.int32)), pa.array(out, pa.int64())], names=[*batch.schema.names, "part", "leaf"])
 
 
-def _node(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    bits, slack = np.zeros(_BITS, bool), 0
-    for s in pdf["sketch"]:
-        at = np.unique(np.asarray(s, np.int64).view(np.uint64) % np.uint64(_BITS)).astype(np.int64)
-        bits[at] = True
-        slack = max(slack, len(s) - len(at))
-    return pd.DataFrame({"family": [key[0]], "node": [key[1]], "least": [pdf["n"].min()], "most": [pdf["n"].max()], "slack": [slack], "bits": [np.packbits(bits).view(np.int64)]})
+def _nodes(leaves: DataFrame) -> DataFrame:
+    """Leaves as nodes: size range, sparse bitmap of all sketches, and by how many bits fewer a sketch is told than it has tokens."""
+    places = F.transform("sketch", lambda t: F.pmod(t, F.lit(_BITS)).cast("int"))
+    rows = leaves.select("family", F.col("leaf").alias("node"), "n", places.alias("places"))
+    return rows.groupBy("family", "node").agg(
+        F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.size("places") - F.size(F.array_distinct("places"))).alias("slack"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("bits")
+    )
 
 
-def _parent(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    bits = np.bitwise_or.reduce(np.stack([np.asarray(x, np.int64) for x in pdf["bits"]]))
-    return pd.DataFrame({"family": [key[0]], "node": [key[1]], "least": [pdf["least"].min()], "most": [pdf["most"].max()], "slack": [pdf["slack"].max()], "bits": [bits]})
-
-
-_NODE = "family long, node long, least long, most long, slack long, bits array<long>"
+def _parents(nodes: DataFrame) -> DataFrame:
+    bits = F.array_distinct(F.flatten(F.collect_list("bits")))
+    up = nodes.groupBy("family", F.shiftright("node", _FAN).alias("node"))
+    return up.agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("slack").alias("slack"), F.when((F.count("bits") == F.count("*")) & (F.size(bits) <= _FULL), bits).alias("bits"))
 
 
 def _leaf_pairs(leaves: DataFrame, deepest: int, percent: int, shared: int, scratch: Scratch) -> DataFrame:
-    """Dual traversal of the trees of families with more than one leaf -> (family, x, y), x <= y."""
-    trees = [scratch.save(leaves.groupBy("family", "leaf").applyInPandas(_node, _NODE), "nodes-0")]
+    """Dual traversal of the trees of families with more than one leaf -> (family, x, y), x <= y.
+
+    A pair of nodes goes on if some sizes in them allow a link and the bitmaps have as many bits in common as a linked pair's
+    sketches at least. With debug logging, each level's pairs are counted: all, with fitting sizes, and with fitting bitmaps."""
+    trees = [scratch.save(_nodes(leaves), "nodes-0")]
     while deepest > 1:
         deepest = ceil(deepest / (1 << _FAN)) + 1  # a family's leaves need not begin at a multiple of the fan-out
         if len(trees) > 1 and deepest <= 2:
             break
-        up = trees[-1].withColumn("node", F.shiftright("node", _FAN)).groupBy("family", "node").applyInPandas(_parent, _NODE)
-        trees.append(scratch.save(up, f"nodes-{len(trees)}"))
+        trees.append(scratch.save(_parents(trees[-1]), f"nodes-{len(trees)}"))
     top = trees[-1].select("family", "node")
     pairs = top.selectExpr("family", "node x").join(top.selectExpr("family", "node y").hint("merge"), "family").where("x <= y")
-    common = "aggregate(zip_with(xb, yb, (p, q) -> bit_count(p & q)), 0, (t, c) -> t + c)"
+    common = "size(array_intersect(xb, yb))"
     for level in range(len(trees) - 1, -1, -1):
         down = trees[level]
         if level < len(trees) - 1:
@@ -120,8 +129,11 @@ def _leaf_pairs(leaves: DataFrame, deepest: int, percent: int, shared: int, scra
         else:
             step = lambda side: down.selectExpr("family", f"node {side}", f"node {side}n", f"least {side}l", f"most {side}m", f"slack {side}s", f"bits {side}b")  # noqa: E731, B023
         pairs = pairs.join(step("x").hint("merge"), ["family", "x"]).join(step("y").hint("merge"), ["family", "y"])
-        fit = f"xn <= yn and 100 * xm >= {percent} * yl and 100 * ym >= {percent} * xl"
-        bound = f"xn = yn or {common} + least(xs, ys) >= least({shared}, ceil(greatest(xl, yl) * {percent} / 100))"
+        pairs = pairs.where("xn <= yn")
+        fit = f"100 * xm >= {percent} * yl and 100 * ym >= {percent} * xl"
+        bound = f"xn = yn or xb is null or yb is null or {common} + least(xs, ys) >= least({shared}, ceil(greatest(xl, yl) * {percent} / 100))"
+        if _log.isEnabledFor(logging.DEBUG):
+            _log.debug("level %d: %d pairs, %d by size, %d by bitmap", level, pairs.count(), pairs.where(fit).count(), pairs.where(fit).where(bound).count())
         pairs = scratch.save(pairs.where(fit).where(bound).selectExpr("family", "xn x", "yn y"), f"pairs-{level}")
     return pairs
 
@@ -205,7 +217,11 @@ def _links(percent: int):
 
 
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, sketch: int = 48, shared: int = 16) -> DataFrame:
-    """Link documents whose sets of word n-grams have a Jaccard similarity of percent/100 or more, exactly.
+    """Link documents whose sets of word n-grams have a Jaccard similarity of percent/100 or more.
+
+    What is found is exact. Candidates are exact for sets of up to `sketch` n-grams, and for all sets where `sketch` is as
+    large as the largest set (and `shared` too); with the defaults a pair of larger sets just at the threshold is missed with
+    a chance of 2.3e-10.
 
     A-Z is lower-cased; words are runs of characters other than ASCII white space; a text of fewer words than n has its
     whole word sequence as its only shingle. Returns for each row doc_id, n_shingles, component_id (the smallest id
