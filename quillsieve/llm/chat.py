@@ -54,7 +54,8 @@ def fold(events: DataFrame) -> DataFrame:
 def render(messages: DataFrame, learn: str = "assistant") -> DataFrame:
     """Final messages -> (conversation, formatted, mask). A null role is written as an empty one.
 
-    A conversation is one row, whatever its length: it is one training example.
+    A conversation is one row, whatever its length: it is one training example. Null texts are empty; repeated messages are
+    turns of their own, in no order that matters; without messages there is no row.
     """
     order = Window.partitionBy("conversation").orderBy("at", "message", "role", "text")
     turn = messages.select("conversation", "at", "message", "role", "text", F.concat(F.lit(_OPEN), escape(F.coalesce("role", F.lit(""))), F.lit(_MIDDLE)).alias("head"), escape(F.coalesce("text", F.lit(""))).alias("body"))
@@ -77,11 +78,19 @@ def read_loss(formatted: Column, mask: Column) -> Column:
     return F.transform(mask, lambda s: unescape(F.substring(formatted, s.start + 1, s.length)))
 
 
-def as_events(rows: DataFrame, chunk: int = 400) -> DataFrame:
+def as_events(rows: DataFrame, chunk: int = 400, revised: bool = False) -> DataFrame:
     """Conversations as rows (conv_id, turn, role, text) -> the event log that streaming them would leave: each text in
-    deltas of `chunk` characters. Rows of one conversation and turn are turns of their own."""
+    deltas of `chunk` characters. Rows of one conversation and turn are turns of their own. A null text is one empty delta.
+
+    With `revised`, messages are logged as if they had not come out right at once: of three in a row, the first is drafted
+    and regenerated before its deltas come, the second is edited after others have come, and the third is as without."""
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = rows.select("conv_id", "turn", "role", "text").withColumn("message", F.row_number().over(order).cast("long"))
-    parts = F.sequence(F.lit(0), F.greatest(F.ceil(F.length(F.coalesce("text", F.lit(""))) / chunk).cast("int") - 1, F.lit(0)))
-    rows = rows.select(F.col("conv_id").alias("conversation"), "message", "role", "text", F.explode(parts).alias("part"))
-    return rows.select("conversation", "message", (F.col("message") * (1 << 32) + F.col("part")).alias("seq"), F.lit("delta").alias("kind"), "role", F.substring("text", F.col("part") * chunk + 1, F.lit(chunk)).alias("text"))
+    rows = rows.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text")).withColumn("message", F.row_number().over(order).cast("long"))
+    event = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    pieces = lambda text: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(text) / chunk).cast("int") - 1, F.lit(0))), lambda k: event("delta", F.substring(text, k * chunk + 1, F.lit(chunk))))
+    log = pieces(F.col("text"))
+    if revised:
+        draft, none = pieces(F.concat(F.lit("draft "), F.reverse("text"))), F.lit(None).cast("string")
+        log = F.when(F.col("message") % 3 == 1, F.concat(draft, F.array(event("regenerate", none)), log)).when(F.col("message") % 3 == 2, F.concat(draft, F.array(event("edit", F.col("text"))))).otherwise(log)
+    rows = rows.select(F.col("conv_id").alias("conversation"), "message", "role", F.posexplode(log).alias("part", "event"))
+    return rows.select("conversation", "message", (F.col("message") * (1 << 32) + F.col("part")).alias("seq"), "event.kind", "role", "event.text")

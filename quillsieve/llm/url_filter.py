@@ -2,11 +2,14 @@
 
 Hosts of pages that a rule allows are trusted seeds, hosts of pages that a rule blocks are blocked seeds. Personalised
 PageRank carries trust along the links between hosts; distrust starts at the blocked seeds and goes against the links, to
-those that link to them. A host is blocked if distrust makes up more than a threshold of what it has of both.
+those that link to them. A host is blocked if distrust makes up more than a threshold of what it has of both. The number of
+rounds follows from the damping and from how much of all trust may be left unspread.
 """
 
 from __future__ import annotations
 
+from math import ceil, log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,18 +47,29 @@ def host_links(pages: DataFrame, html: str) -> DataFrame:
     return links.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(links: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = 0.85, rounds: int = 20, written_every: int = 4) -> DataFrame:
+def rounds_for(damping: float, tolerance: float) -> int:
+    """Rounds after which the rest of the series, which is at most damping**rounds of all trust, is within the tolerance."""
+    return max(1, ceil(log(tolerance) / log(damping)))
+
+
+def propagate(links: DataFrame, seeds: DataFrame, scratch: Scratch, damping: float = 0.85, rounds: int = 29, written_every: int = 4) -> DataFrame:
     """Trust and distrust by personalised PageRank: links (src, dst, n), seeds (kind 0 trusted or 1 blocked, host, share)
     -> (kind, host, score). Kind 1 goes against the links. Shares of a kind add up to 1; what reaches a host without
-    further links ends there."""
+    further links ends there.
+
+    Links with a null host, or of a host with itself, must not be among them; repeated links add up; without links the seeds
+    keep their own part of their shares; without seeds there are no scores. Scores of a round are made by a partial
+    aggregation before the shuffle and written every few rounds, so that a host which a third of all links lead to is a row
+    for each task."""
     both = links.select(F.lit(0).alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "n").unionByName(links.select(F.lit(1).alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "n"))
-    out = both.groupBy("kind", "host").agg(F.sum("n").alias("all"))
+    both = scratch.save(both, "links")
+    out = scratch.save(both.groupBy("kind", "host").agg(F.sum("n").alias("all")), "degrees")
     both = scratch.save(both.join(out.hint("merge"), ["kind", "host"]).select("kind", "host", "to", (F.col("n") / F.col("all")).alias("part")), "edges")
     start = seeds.select("kind", "host", F.col("share").alias("score"))
     rest = start.withColumn("score", F.col("score") * (1 - damping))
-    score = start
     if both.isEmpty():
-        return start
+        return rest
+    score = start
     for k in range(1, rounds + 1):
         moved = both.join(score.hint("merge"), ["kind", "host"]).select("kind", F.col("to").alias("host"), (F.col("score") * F.col("part") * damping).alias("score"))
         score = rest.unionByName(moved).groupBy("kind", "host").agg(F.sum("score").alias("score"))
@@ -64,12 +78,12 @@ def propagate(links: DataFrame, seeds: DataFrame, scratch: Scratch, damping: flo
     return score
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]], page_id: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.5, damping: float = 0.85, rounds: int = 20) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]], page_id: str = "page_id", url: str = "url", html: str = "html", threshold: float = 0.5, damping: float = 0.85, tolerance: float = 0.01) -> DataFrame:
     """page_id, host, path, rule (the one that fits, else null), verdict (the rule's, else that of the host) and the host's
     trust and distrust, for each row.
 
     A null url, or one without `://`, has an empty host and path: no rule fits it and it is allowed. A null html has no
-    links. Hosts without trust and distrust are allowed. Repeated rows are judged alike, each for itself; an empty table
+    links; links that name no host are within their own. Hosts without trust and distrust are allowed. Repeated rows are judged alike, each for itself; an empty table
     gives an empty result; other columns are ignored.
     """
     scratch = Scratch(pages.sparkSession, "urls")
@@ -81,8 +95,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], page_id: str = "page_i
     seeds = scratch.save(seeds, "seeds")
     total = seeds.groupBy("kind").agg(F.sum("n").alias("all"))
     seeds = seeds.join(total.hint("merge"), "kind").select("kind", "host", (F.col("n") / F.col("all")).alias("share"))
-    score = propagate(host_links(rows, "html"), seeds, scratch, damping, rounds)
+    score = propagate(host_links(rows, "html"), seeds, scratch, damping, rounds_for(damping, tolerance))
     score = score.groupBy("host").agg(F.coalesce(F.sum(F.when(F.col("kind") == 0, F.col("score"))), F.lit(0.0)).alias("trust"), F.coalesce(F.sum(F.when(F.col("kind") == 1, F.col("score"))), F.lit(0.0)).alias("distrust"))
+    score = scratch.save(score, "hosts")
+    scratch.drop(*[n for n in scratch.names if n != "hosts"])
     rows = rows.drop("html").join(score.hint("merge"), "host", "left")
     blocked = F.coalesce(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust")), F.lit(False))
     verdict = F.coalesce(F.col("fit.verdict"), F.when(blocked, "block").otherwise("allow"))

@@ -33,6 +33,14 @@ def test_edits_and_regenerations(spark):
     assert fold(df.limit(0)).count() == 0 and render(fold(df.limit(0))).count() == 0
 
 
+def test_revised_logs_fold_to_the_same_messages(spark):
+    rows = [(c, k, ["user", "assistant"][k % 2], t) for c in range(3) for k, t in enumerate([*TEXTS, "long " * 60_000])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    log = as_events(df, chunk=100, revised=True)
+    assert {r.kind for r in log.select("kind").distinct().collect()} == {"delta", "edit", "regenerate"}
+    assert fold(log).drop("at").exceptAll(fold(as_events(df)).drop("at")).count() == 0 and fold(log).count() == len(rows)
+
+
 def test_repeated_rows_are_turns(spark):
     df = spark.createDataFrame([(1, 0, "user", "a", 5)] * 2, "conv_id long, turn long, role string, text string, message int")
     assert [len(r.t) for r in render(fold(as_events(df))).select(read_turns(F.col("formatted")).alias("t")).collect()] == [2]
