@@ -7,8 +7,8 @@ Documents with equal shingle sets are one class, and only its smallest id takes
    2.3e-10 for a pair just at the threshold, less above it. So both contain one of the other's rarest
    `len - shared + 1` common tokens (prefix filter in order of frequency). Classes that share such a token are joined
    into families; a token that a third of all documents share is among the most frequent and hardly ever used.
-2. Signature trees. A family's classes, sorted by set size and sketch, fill leaves of at most 256 sets and 256 different
-   sketch tokens: many near copies, or a few unlike sets. A node holds the OR of its sketches' bitmaps, as the places of
+2. Signature trees. A family's classes, sorted by set size and sketch, fill leaves of up to 256 near copies or a few
+   unlike sets (of 256 different sketch tokens). A node holds the OR of its sketches' bitmaps, as the places of
    the bits that are set, and the range of its set sizes. The tree is traversed against itself, level by level as a Spark
    join of node pairs with their children; a pair goes on only if the sizes and the bitmaps' common bits still allow a link.
    With 4,194,304 bits, unlike nodes of up to 4,096 tokens share about 4 bits by chance, where a link needs 16, so that three
@@ -33,7 +33,7 @@ from ._graph import connected_components
 from ._scratch import Scratch, small_batches
 from ._words import NOT_SPACE, grams, mix, signed, tidy, words
 
-#: Sets, shingles and different sketch tokens of a leaf at most, and the binary logarithm of a node's children.
+#: Sets and shingles of a leaf at most, sketch tokens of unlike sets in it, and the binary logarithm of a node's children.
 _LEAF, _LEAF_TOKENS, _LEAF_SKETCH, _FAN = 256, 1 << 19, 256, 2
 #: Bits of a node's bitmap, which is kept as the places of its set bits; a fuller one than `_FULL` can't prune and is left out.
 _BITS, _FULL = 1 << 22, 1 << 14
@@ -78,15 +78,17 @@ def _sketches(n: int, sketch: int):
 
 
 def _leaves(batches):
-    """Rows sorted by family, size class and sketch: the leaf of each, numbered within the task. A leaf takes near copies by
-    the hundred, but few sets that have little in common, as its bitmap shall stay sparse."""
+    """Rows sorted by family, size class and sketch: the leaf of each, numbered within the task. A leaf that has more than
+    `_LEAF_SKETCH` tokens takes only sets that have half of their sketch in common with it, so that it holds near copies by
+    the hundred, but few unlike sets, and its bitmap stays sparse."""
     part, leaf, now, held, tokens, least = TaskContext.get().partitionId(), -1, None, 0, 0, 0
     seen: set[int] = set()
     for batch in batches:
         out = []
         for family, n, sketch in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(7).to_pylist(), strict=True):
             more = seen.union(sketch)
-            if family != now or held == _LEAF or tokens + n > _LEAF_TOKENS or n > 2 * least or len(more) > _LEAF_SKETCH:
+            unlike = len(more) > _LEAF_SKETCH and 2 * (len(more) - len(seen)) > len(sketch)
+            if family != now or held == _LEAF or tokens + n > _LEAF_TOKENS or n > 2 * least or unlike:
                 leaf, now, held, tokens, least, more = leaf + 1, family, 0, 0, n, set(sketch)
             held, tokens, seen = held + 1, tokens + n, more
             out.append(leaf)
@@ -268,7 +270,7 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         at += r.last + 1
     first = spark.createDataFrame(first, "part int, first long")
     leaves = leaves.join(F.broadcast(first), "part").withColumn("leaf", F.col("leaf") + F.col("first")).drop("part", "first", "size_class")
-    sizes = leaves.groupBy("family").agg((F.max("leaf") - F.min("leaf") + 1).alias("width"))
+    sizes = scratch.save(leaves.groupBy("family").agg((F.max("leaf") - F.min("leaf") + 1).alias("width")), "families")
     alone = leaves.join(sizes.where("width = 1").hint("merge"), "family").select("family", F.col("leaf").alias("x"), F.col("leaf").alias("y")).distinct()
     wide = leaves.join(sizes.where("width > 1").hint("merge"), "family").drop("width")
     deepest = sizes.agg(F.max("width")).first()[0] or 0
