@@ -65,3 +65,53 @@ def test_texts_outside_the_band(spark):
     assert f[40] == f[42] and f[45] == f[46] and len({f[k] for k in (0, 40, 41, 43, 44, 45)}) == 6
     pair = spark.createDataFrame([(f[40], f[41]), (f[40], f[42]), (f[40], f[0])], "a string, b string").select(likeness(F.col("a"), F.col("b")).alias("x"))
     assert [r.x for r in pair.collect()] == [0.0, 1.0, 0.0]
+
+
+def test_recall_of_near_copies(spark):
+    """Texts with a share of their words replaced, and unlike texts, by the rule of alike()."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quillsieve.llm.fingerprints import alike, fingerprint, lexicon
+
+    rng = random.Random(4)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lists = lexicon(docs)
+    texts = [r.text.split() for r in docs.where("doc_id % 3 = 0").select("text").collect() if r.text and len(r.text.split()) >= 20]
+    pairs = []
+    for w in texts:
+        for percent in (1, 2, 5):
+            v = list(w)
+            for _ in range(max(1, round(percent * len(w) / 100))):
+                v[rng.randrange(len(v))] = rng.choice(rng.choice(texts))
+            pairs.append((percent, " ".join(w), " ".join(v)))
+        other = rng.choice(texts)
+        if other != w:
+            pairs.append((100, " ".join(w), " ".join(other)))
+    df = spark.createDataFrame(pairs, "percent int, a string, b string").repartition(4)
+    df = df.select("percent", alike(fingerprint(F.col("a"), lists), fingerprint(F.col("b"), lists)).cast("int").alias("hit"))
+    share = {r.percent: r.share for r in df.groupBy("percent").agg(F.avg("hit").alias("share")).collect()}
+    assert share[1] > 0.97 and share[2] > 0.95 and share[5] > 0.9 and share[100] < 0.01
+
+
+def test_lexicon_is_bounded(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"t{j}" for j in range(40) if k % (2 + j % 7) == 0)) for k in range(90)], "doc_id long, text string")
+    from quillsieve.llm.fingerprints import lexicon
+
+    size = lambda n: sum(map(len, docs.limit(1).select(lexicon(docs, most=1.0, largest=n).alias("l")).first().l))
+    assert size(100) == 40 and size(20) == 18 and size(3) == 0
+
+
+def test_many_ranges_long_texts_and_clashing_columns(spark):
+    rows = [(k * 7 % 101, "wort " * (k % 9)) for k in range(101)] + [(500, "ein langer text " * 40_000), (501, None)]
+    docs = spark.createDataFrame([(d, t, 0) for d, t in rows], "doc_id long, text string, after int").withColumns({c: F_lit(c) for c in ("range", "h", "head", "next", "df", "term")})
+    for size in (1, 100, 1 << 30):
+        got = {r.doc_id: (r.n_chars, r.edited_sha256) for r in compare_edited(docs, range_bytes=size).collect()}
+        assert got == {d: x for d, x, _ in expected(rows)}
+
+
+def F_lit(c):
+    from pyspark.sql import functions as F
+
+    return F.lit(c)
