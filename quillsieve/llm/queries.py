@@ -42,7 +42,7 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = read_archives(spark, f"{scratch.path}/archive").select("record_id", "record_type", "digest", "length", "refers_to")
     back = scratch.save(back, "headers")
     scratch.drop("archive")
-    original = back.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to"), "digest").agg(F.max("length").alias("full"))
+    original = scratch.save(back.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to"), "digest").agg(F.max("length").alias("full")), "lengths")
     again = back.where("record_type = 'revisit'").join(original.hint("merge"), ["refers_to", "digest"]).select("record_id", "record_type", "digest", F.col("full").alias("length"), "refers_to")
     every = again.unionByName(back.where("record_type = 'response'"))
     return every.select(page("record_id").alias("page_id"), F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
