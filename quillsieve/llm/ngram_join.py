@@ -7,12 +7,12 @@ Documents with equal shingle sets are one class, and only its smallest id takes
    2.3e-10 for a pair just at the threshold, less above it. So both contain one of the other's rarest
    `len - shared + 1` common tokens (prefix filter in order of frequency). Classes that share such a token are joined
    into families; a token that a third of all documents share is among the most frequent and hardly ever used.
-2. Signature trees. A family's classes, sorted by set size and sketch, fill leaves of up to 256 near copies or a few
-   unlike sets (of 256 different sketch tokens). A node holds the OR of its sketches' bitmaps, as the places of
+2. Signature trees. A family's classes, sorted by set size and sketch, fill leaves of up to 256 near copies or
+   about 85 unlike sets (of 4,096 different sketch tokens). A node holds the OR of its sketches' bitmaps, as the places of
    the bits that are set, and the range of its set sizes. The tree is traversed against itself, level by level as a Spark
    join of node pairs with their children; a pair goes on only if the sizes and the bitmaps' common bits still allow a link.
-   With 4,194,304 bits, unlike nodes of up to 4,096 tokens share about 4 bits by chance, where a link needs 16, so that three
-   levels of the tree prune by overlap, and all by size.
+   With 2**26 bits, unlike nodes of 16,384 tokens share about 4 bits by chance, where a link needs 16, so that leaves and
+   their parents prune by overlap, and all levels by size.
 3. Leaf pairs. The whole shingle sets of two leaves meet in one task, which counts all intersections exactly by a
    product of 0/1 matrices, and compares `100 * intersection` with `percent * union`.
 """
@@ -34,9 +34,9 @@ from ._scratch import Scratch, small_batches
 from ._words import NOT_SPACE, grams, mix, signed, tidy, words
 
 #: Sets and shingles of a leaf at most, sketch tokens of unlike sets in it, and the binary logarithm of a node's children.
-_LEAF, _LEAF_TOKENS, _LEAF_SKETCH, _FAN = 256, 1 << 19, 256, 2
+_LEAF, _LEAF_TOKENS, _LEAF_SKETCH, _FAN = 256, 1 << 19, 1 << 12, 2
 #: Bits of a node's bitmap, which is kept as the places of its set bits; a fuller one than `_FULL` can't prune and is left out.
-_BITS, _FULL = 1 << 22, 1 << 14
+_BITS, _FULL = 1 << 26, 1 << 14
 _log = logging.getLogger(__name__)
 
 
@@ -80,7 +80,7 @@ def _sketches(n: int, sketch: int):
 def _leaves(batches):
     """Rows sorted by family, size class and sketch: the leaf of each, numbered within the task. A leaf that has more than
     `_LEAF_SKETCH` tokens takes only sets that have half of their sketch in common with it, so that it holds near copies by
-    the hundred, but few unlike sets, and its bitmap stays sparse."""
+    the hundred, but fewer unlike sets, and its bitmap stays sparse."""
     part, leaf, now, held, tokens, least = TaskContext.get().partitionId(), -1, None, 0, 0, 0
     seen: set[int] = set()
     for batch in batches:
