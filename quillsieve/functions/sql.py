@@ -56,13 +56,17 @@ def run(sql: str, spark: SparkSession | None = None, **frames: DataFrame) -> Dat
 
 
 class SqlOperator:
-    """An operator over named data frames, given as SQL: call it with the frames in the order of `inputs`."""
+    """An operator over named data frames, given as SQL: call it with the frames in the order of `inputs`.
+
+    Frames that the SQL joins get a hint for sort-merge joins: they come from explodes and generators, whose sizes Spark can't
+    estimate well enough to broadcast them."""
 
     def __init__(self, inputs: str, sql: str, doc: str = ""):
         self.inputs, self.sql, self.__doc__ = inputs.split(), sql, doc
 
     def __call__(self, *frames: DataFrame) -> DataFrame:
-        return run(self.sql, **dict(zip(self.inputs, frames, strict=True)))
+        joins = " join " in self.sql or "exists (" in self.sql
+        return run(self.sql, **{k: f.hint("merge") if joins else f for k, f in zip(self.inputs, frames, strict=True)})
 
     def oracle(self, sources: dict[str, str], names: list[str]) -> str:
         """For the oracle; sources: SQL of what is read, names: which of it stands for each input."""

@@ -61,10 +61,13 @@ LAYOUT_RULES = [
     Rule("BODY-001", 3, "type <> 'heading' and font is not null and not rx(font, «(?i)宋体|仿宋|simsun|fangsong»)"),
     Rule("BODY-002", 3, "type <> 'heading' and size_pt not between 11 and 13"),
     Rule("BODY-003", 2, "type <> 'heading' and first_line_indent not between 0.4 and 0.6"),
-    Rule("LIST-001", 2, "rx(text, «^\\s*([-*•]|\\d+[.)])\\s») and abs(first_line_indent - 0.5) > 0.2"),
     Rule("LINE-001", 3, "type = 'heading' and line_spacing not between 1.45 and 1.55"),
 ]
 
+#: Over sections with left_indent (inches) and style, prepared by LIST_LEVEL: list items whose indent isn't half an inch for each level, the number that the style ends with.
+LIST_LEVEL = "select *, coalesce(num(digits), 1) as item_level from (select *, nullif(regexp_extract(style, «(\\d+)$», 1), '') as digits from {x}) s"
+LIST_RULES = [Rule("LIST-001", 2, "(rx(text, «^(?:\\d+\\.|[一二三四五六七八九十]+[、.．]|[（(][一二三四五六七八九十]+[)）])») or contains(lower(style), 'list')) and abs(left_indent - 0.5 * item_level) > 0.2")]
+
 FORMATTING_RULES = [
     Rule("FMT_LINE_HEIGHT_001", MEDIUM, "type in ('paragraph', 'heading') and abs(line_spacing - 1.5) > 0.05"),
     *[Rule(f"FMT_HEADING_FONT_00{k}", HIGH if k < 3 else MEDIUM, f"type = 'heading' and level = {k} and not rx(font, «SimHei|Hei|hei|黑体»)") for k in (1, 2, 3)],
@@ -91,10 +94,12 @@ LAYOUT_FLAG_RULES = [
 
 MARGIN_RULES = [
     Rule("FMT_MARGIN_001", MEDIUM, "(margin_top > 0 and margin_top < 2.0) or (margin_bottom > 0 and margin_bottom < 2.5)"),
-    Rule("FMT_MARGIN_TOP", MEDIUM, "margin_top > 0 and abs(margin_top - 2.5) > 0.1001"),
-    Rule("FMT_MARGIN_BOTTOM", MEDIUM, "margin_bottom > 0 and abs(margin_bottom - 2.5) > 0.1001"),
+    Rule("FMT_MARGIN_001", MEDIUM, "margin_top > 0 and abs(margin_top - 2.5) > 0.1001"),
+    Rule("FMT_MARGIN_002", MEDIUM, "margin_bottom > 0 and abs(margin_bottom - 2.5) > 0.1001"),
     Rule("MARGIN-001", 3, "margin_top not between 2.2 and 2.8"),
     Rule("MARGIN-001", 3, "margin_bottom not between 2.2 and 2.8"),
+    Rule("MARGIN-001", 3, "margin_left not between 2.2 and 2.8"),
+    Rule("MARGIN-001", 3, "margin_right not between 2.2 and 2.8"),
     Rule("FMT_HEADER_001", LOW, "title <> ''"),
     Rule("FMT_FOOTER_001", LOW, "title <> ''"),
 ]
@@ -104,6 +109,7 @@ DOC_TYPE = """case when coalesce(title, '') = '' then 'unknown' when rx(lower(ti
   when rx(lower(title), «会议|conference|proceedings») then 'conference' when rx(lower(title), «专著|book») then 'book' else 'thesis' end"""
 DOC_TYPE_RULES = [
     Rule("INT_TYPE_UNKNOWN", MEDIUM, "doc_type = 'unknown'"),
+    Rule("INT_TYPE_MISSING_TITLE", MEDIUM, "doc_type <> 'unknown' and trim(coalesce(title, '')) = ''"),
     Rule("INT_TYPE_MISSING_PAGES", MEDIUM, "doc_type <> 'unknown' and page_count <= 0"),
     Rule("INT_THESIS_PAGES", MEDIUM, "doc_type = 'thesis' and page_count > 0 and page_count < 20"),
     Rule("INT_JOURNAL_PAGES_LONG", LOW, "doc_type = 'journal' and page_count > 50"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sql import SqlOperator
@@ -25,7 +25,15 @@ latency_stats = SqlOperator(
     """with r as (select current_stage, progress, row_number() over (partition by current_stage order by progress) as k, count(*) over (partition by current_stage) as n from {tasks})
 select current_stage, max(n) as tasks, round(avg(progress), 6) as mean, min(progress) as least, max(progress) as most, max(case when k = greatest(1, ceil(0.99 * n)) then progress end) as p99 from r group by current_stage""",
 )
-task_listing = SqlOperator("tasks", "select id, event_id, current_stage, size from {tasks} where current_stage = 'purchase' order by id desc, event_id desc")
+#: Tasks of all stages, newest first; task_listing_of() those of one stage.
+task_listing = SqlOperator("tasks", "select id, event_id, current_stage, size from {tasks} order by id desc, event_id desc")
+
+
+def task_listing_of(tasks: DataFrame, stage: str) -> DataFrame:
+    """Tasks of one stage, newest first."""
+    return task_listing(tasks).where(F.col("current_stage") == stage)
+
+
 task_latest = SqlOperator("tasks", "select id, current_stage, progress from (select *, row_number() over (partition by id order by updated_at desc, event_id desc) as k from {tasks}) t where k = 1")
 #: Tasks whose last update is over an hour before the newest one, by stage: how many, and bytes.
 retention_plan = SqlOperator(
@@ -39,3 +47,35 @@ def reports(issues: DataFrame) -> DataFrame:
     """One JSON report for each document: its issues in order, and their count."""
     rows = F.sort_array(F.collect_list(F.struct("pos", "k", "rule_id", "severity_name", "original")))
     return issues.groupBy("doc_id").agg(F.to_json(F.struct(F.col("doc_id"), F.count("*").alias("issues_count"), rows.alias("issues"))).alias("report"))
+
+
+def report_counts(documents: DataFrame, chunk_issues: DataFrame, verdicts: DataFrame, consistency: DataFrame) -> DataFrame:
+    """Issues of each document's report: those of its chunks, its references with a verdict other than `verified`, and its
+    consistency issues. Each is counted by itself before they are joined; a null or empty verdict is none."""
+    unverified = verdicts.where((F.col("verdict") != "verified") & (F.col("verdict") != ""))
+    out = documents.select("doc_id").distinct()
+    for df, name in ((chunk_issues, "chunk_issues"), (unverified, "unverified"), (consistency, "consistency")):
+        out = out.join(df.groupBy("doc_id").agg(F.count("*").alias(name)).hint("merge"), "doc_id", "left")
+    n = [F.coalesce(c, F.lit(0)).alias(c) for c in ("chunk_issues", "unverified", "consistency")]
+    return out.select("doc_id", *n).withColumn("issues_count", F.col("chunk_issues") + F.col("unverified") + F.col("consistency"))
+
+
+def compact_views(views: DataFrame, signature: list[str]) -> DataFrame:
+    """Views of a chunk's issues (doc_id, chunk, view, seq, signature columns) as a report keeps them, one row for each view.
+
+    Views are `issues`, `local_issues`, `llm_issues` and `table_issues`. Of equal issues in a view the first stays. Where
+    `issues` has none it becomes the others in that order, each issue once. Views equal to it are dropped. Returns doc_id,
+    chunk, view, n and entries (the signatures in order, `|` between columns and `;` between issues)."""
+    rank = F.when(F.col("view") == "local_issues", 1).when(F.col("view") == "llm_issues", 2).when(F.col("view") == "table_issues", 3).otherwise(0)
+    entry = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in signature])
+    rows = views.select("doc_id", "chunk", "view", "seq", rank.alias("rank"), entry.alias("entry"))
+    once = rows.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "chunk", "view", "entry").orderBy("seq"))).where("k = 1")
+    listed = lambda order: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, "entry"))), lambda x: x.entry), ";")
+    each = once.groupBy("doc_id", "chunk", "view").agg(F.count("*").alias("n"), listed(["seq"]).alias("entries"))
+    has = F.max(F.when(F.col("view") == "issues", 1).otherwise(0)).over(Window.partitionBy("doc_id", "chunk"))
+    rest = once.withColumn("has", has).where((F.col("has") == 0) & (F.col("view") != "issues"))
+    first = rest.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "chunk", "entry").orderBy("rank", "seq"))).where("k = 1")
+    merged = first.groupBy("doc_id", "chunk").agg(F.count("*").alias("n"), listed(["rank", "seq"]).alias("entries")).select("doc_id", "chunk", F.lit("issues").alias("view"), "n", "entries")
+    all_ = each.unionByName(merged)
+    main = F.max(F.when(F.col("view") == "issues", F.col("entries"))).over(Window.partitionBy("doc_id", "chunk"))
+    return all_.withColumn("main", main).where((F.col("view") == "issues") | (F.col("entries") != F.col("main"))).drop("main")

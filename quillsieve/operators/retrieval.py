@@ -129,12 +129,13 @@ def _best(shared, k: int):
     def rows(batches):
         ids, queries = shared.value
         for pdf in batches:
+            pdf = pdf.sort_values("vec_id", kind="stable")  # so that a stable sort by score leaves ties in order of ids
             m = np.stack(pdf["embedding"].to_numpy()).astype(np.float64) if len(pdf) else np.empty((0, queries.shape[1]))
             norm = np.linalg.norm(m, axis=1)
-            score = queries @ (m / np.where(norm == 0, 1, norm)[:, None]).T
+            score = np.round(queries @ (m / np.where(norm == 0, 1, norm)[:, None]).T, 6)
             top = min(k, score.shape[1])
             if top:
-                order = np.argsort(-score - 0.0, axis=1, kind="stable")[:, : 4 * top]
+                order = np.argsort(-score, axis=1, kind="stable")[:, :top]
                 yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "vec_id": pdf["vec_id"].to_numpy()[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
 
     return rows
@@ -144,7 +145,8 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 3, block: int =
     """The k vectors (vec_id, embedding) with the largest cosine to each query, itself left out; ties by id.
 
     Queries go to the tasks in blocks of at most `block`, in each of which a product of matrices scores whole batches of
-    vectors; a task keeps a few for each query, and a window ranks those of all tasks. Null embeddings are left out."""
+    vectors. Scores are rounded to six digits before they are compared. Of a batch the k + 1 best of each query go on, ties by id, so that none of the best
+    k besides the query itself is lost; a window ranks those of all batches. Null embeddings are left out."""
     spark = vectors.sparkSession
     queries = queries.where("embedding is not null").select("vec_id", "embedding")
     blocks = max(1, -(-queries.count() // block))
@@ -160,6 +162,6 @@ def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 3, block: int =
         out = part if out is None else out.unionByName(part)
     if out is None:
         return spark.createDataFrame([], "query_id long, vec_id long, k int, score double")
-    out = out.where("query_id <> vec_id").withColumn("score", F.round("score", 6))
+    out = out.where("query_id <> vec_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).select("query_id", "vec_id", "k", "score")

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..functions.sql import SqlOperator
 
-#: Which of the required parts (here by any of the given words) no section names: one row for each missing one.
+#: Which of the required parts (here by any of the given words) no section names: one row for each missing one. The parts are a short
+#: list of the caller's, which goes to all tasks.
 required_parts = SqlOperator(
     "sections parts",
-    """with h as (select distinct s.doc_id, p.part from {sections} s join {parts} p on contains(lower(s.text), p.word)), d as (select distinct doc_id from {sections}), q as (select distinct part from {parts})
+    """with h as (select /*+ broadcast(p) */ distinct s.doc_id, p.part from {sections} s join {parts} p on contains(lower(s.text), p.word)), d as (select distinct doc_id from {sections}), q as (select distinct part from {parts})
 select d.doc_id, q.part, 'ERR_INT_REQ_001' as rule_id from d cross join q left join h on h.doc_id = d.doc_id and h.part = q.part where h.part is null""",
 )
 #: One pass: abstract, conclusion and references present, and the last abstract after the last conclusion.
@@ -59,11 +63,12 @@ detected_references = SqlOperator(
     """select doc_id, pos, text from {lines} l where (rx(text, «^\\[[0-9]+\\]») or (contains(text, 'et al.') and rx(text, «\\d{4}»)))
 and not exists (select 1 from {refs} r where r.doc_id = l.doc_id)""",
 )
-#: The block of references after a section that is only the given title, up to the next heading or table.
+#: The block of references after a section that is only the given title: up to the next table, a closing part's beginning, or a heading-like line:
+#: 30 bytes at most, with a heading's style, or without punctuation and in large or bold letters.
 reference_block = SqlOperator(
     "sections titles",
     """with h as (select s.doc_id, min(s.pos) as begins from {sections} s join {titles} t on regexp_replace(s.text, «^[：:]+|[：:]+$», '', 'g') = t.title group by s.doc_id),
-e as (select h.doc_id, h.begins, min(s.pos) as ends from h left join {sections} s on s.doc_id = h.doc_id and s.pos > h.begins and (s.type in ('table', 'heading') or bytes(s.text) <= 30 or rx(s.text, «^(作者简介|致谢|附录)»)) group by h.doc_id, h.begins)
+e as (select h.doc_id, h.begins, min(s.pos) as ends from h left join {sections} s on s.doc_id = h.doc_id and s.pos > h.begins and (s.type = 'table' or rx(s.text, «^(作者简介|致谢|附录)») or (bytes(s.text) <= 30 and (contains(lower(coalesce(s.style, '')), 'heading') or (not rx(s.text, «[。.，,；;]») and (s.size_pt >= 14 or (s.bold and s.size_pt >= 12)))))) group by h.doc_id, h.begins)
 select s.doc_id, s.pos, concat('[', cast(row_number() over (partition by s.doc_id order by s.pos) as string), ']') as ref_id, s.text from e join {sections} s on s.doc_id = e.doc_id and s.pos > e.begins and (e.ends is null or s.pos < e.ends)""",
 )
 #: Charts (doc_id, pos, caption_number) that no paragraph mentions: by number, if they have one, else by any mention.
@@ -89,13 +94,23 @@ n as (select doc_id, sum(case when part = 'a' then 1 else 0 end) as na, sum(case
 b as (select doc_id, count(*) as nb from (select doc_id, w from t group by doc_id, w having count(*) = 2) x group by doc_id)
 select n.doc_id, round(real(coalesce(nb, 0)) / greatest(na, nc), 6) as overlap, case when real(coalesce(nb, 0)) / greatest(na, nc) < 0.15 then 'CONSIST-001' end as rule_id from n left join b on n.doc_id = b.doc_id""",
 )
-#: Fields resolved along the chain of parent styles, the nearest given value winning; chains of up to ten styles.
-style_inheritance = SqlOperator(
-    "styles",
-    """with recursive c(doc_id, style_id, parent, depth, font, size_pt) as (select doc_id, style_id, parent, 0, font, size_pt from {styles}
-  union all select c.doc_id, c.style_id, s.parent, c.depth + 1, coalesce(c.font, s.font), coalesce(c.size_pt, s.size_pt) from c join {styles} s on s.doc_id = c.doc_id and s.style_id = c.parent where c.depth < 10)
-select doc_id, style_id, font, size_pt from (select *, row_number() over (partition by doc_id, style_id order by depth desc) as k from c) r where k = 1""",
-)
+
+
+def style_inheritance(styles: DataFrame) -> DataFrame:
+    """Fields of styles (doc_id, style_id, parent, font, size_pt) resolved along their chain of parents, the nearest value winning.
+
+    Each round a style takes over what the ancestor that it points to has found, and points to where that one points, so that
+    chains of any length take the logarithm of the largest number of styles in a document; cycles end there too. A parent
+    that isn't a style ends a chain."""
+    most = styles.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    now = styles.select("doc_id", "style_id", F.col("parent").alias("to"), "font", "size_pt")
+    for _ in range(max(0, most - 1).bit_length()):
+        up = now.select("doc_id", F.col("style_id").alias("to"), F.col("to").alias("next"), F.col("font").alias("up_font"), F.col("size_pt").alias("up_size"))
+        now = now.join(up.hint("merge"), ["doc_id", "to"], "left")
+        now = now.select("doc_id", "style_id", F.col("next").alias("to"), F.coalesce("font", "up_font").alias("font"), F.coalesce("size_pt", "up_size").alias("size_pt"))
+    return now.drop("to")
+
+
 #: Sections of types other than table, and whether a section says that what follows needs no audit.
 kept_sections = SqlOperator("sections", "select doc_id, pos, section_id, type, contains(text, '学位论文数据集') as stop from {sections} where lower(trim(type)) <> 'table'")
 #: Sections without those that issues (doc_id, section_id) are known of.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .functions.rules import Rule, apply_rules, rules_sql
 from .functions.sql import SqlOperator, duck_sql, run
-from .operators import chunks, citations, issues, packs, placement, report, retrieval, sequences, structure
+from .operators import chunks, citations, issues, lines, packs, placement, report, retrieval, sequences, structure
 from .plans.audit import audit, scores
 from .sources.views import VIEWS, view, view_sql
 from .streaming.jobs import latest_status, stage_counts
@@ -35,6 +35,8 @@ DERIVED: dict[str, tuple[list[str], str]] = {
     "ref_lines": (["refs"], "select doc_id, ref_pos as pos, raw_text as text from {refs}"),
     "no_refs": (["refs"], "select doc_id from {refs} where doc_id % 3 = 0"),
     "spaced": (["sections"], "select doc_id, pos, type, case when pos % 3 = 0 then real(pos % 10) end as space_before, case when pos % 2 = 0 then real((doc_id + pos) % 12) end as space_after from {sections}"),
+    "tabled": (["sections"], "select *, length(text) % 31 as row_count, cast(floor(pos / 6) as int) as page_start, cast(floor((pos + doc_id % 2) / 6) as int) as page_end from {sections}"),
+    "indented": (["sections"], "select doc_id, pos, case when pos % 4 = 0 then concat('1. ', text) when pos % 4 = 1 then concat('（二）', text) else text end as text, case when pos % 3 = 0 then 'List Bullet 2' when pos % 3 = 1 then 'Normal' end as style, cast((doc_id + pos) % 5 as double) / 4 as left_indent from {sections}"),
     "paged": (["sections"], "select doc_id, pos, pos % 7 = 3 and doc_id % 2 = 0 as page_break, case when (doc_id + pos) % 3 = 0 then size_pt end as size_pt, cast(floor(pos / 4) as int) as page from {sections}"),
     "parts": ([], "select 'the' as part, 'the' as word union all select 'license', 'licensed' union all select 'rights', 'all rights' union all select 'page', 'seite' union all select 'page', 'página'"),
     "charts": (["sections"], "select doc_id, pos, case when pos % 2 = 0 then cast(pos % 10 as string) end as caption_number from {sections} where type in ('table', 'figure')"),
@@ -111,6 +113,7 @@ add_rules("table_field_rules", packs.FIELD_RULES, "field_pairs", ["doc_id", "sec
 add_rules("formatting_rules", packs.FORMATTING_RULES, "sections", SECTION)
 add_rules("strict_heading_rules", packs.STRICT_HEADING_RULES, "sections", SECTION)
 add_rules("layout_rules", packs.LAYOUT_RULES, "sections", SECTION)
+add_rules("list_rules", packs.LIST_RULES, "indented", SECTION, prepare=packs.LIST_LEVEL)
 add_rules("formula_table_list_rules", packs.LAYOUT_FLAG_RULES, "flagged", SECTION)
 add_rules("margin_rules", packs.MARGIN_RULES, "docs", ["doc_id"])
 add_rules("doctype_rules", packs.DOC_TYPE_RULES, "docs", ["doc_id", "doc_type"], prepare=f"select *, {packs.DOC_TYPE} as doc_type from {{x}}")
@@ -126,7 +129,7 @@ add("heading_hier_strict", sequences.heading_hierarchy)
 add("chapter_ordinal", sequences.chapter_ordinals)
 add("figure_numbering", sequences.figure_numbering)
 add("caption_sequence", sequences.caption_sequence)
-add("caption_missing", sequences.missing_captions)
+add("caption_missing", sequences.missing_captions, sections="tabled")
 add("blank_runs", sequences.blank_runs)
 add("empty_line_first", sequences.first_empty_lines)
 add("heading_body_spacing", sequences.heading_spacing, sections="spaced")
@@ -143,7 +146,6 @@ add("ref_detect_fallback", structure.detected_references, lines="ref_lines", ref
 add("chart_mentions", structure.unmentioned_charts)
 add("abbreviations", structure.unexpanded_abbreviations, lines="mentions")
 add("abstract_overlap", structure.abstract_overlap)
-add("style_inheritance", structure.style_inheritance)
 add("section_filter", structure.kept_sections)
 add("section_exclusion", structure.unreviewed_sections, issues="known_issues")
 add("citation_groups", citations.citation_groups)
@@ -189,7 +191,7 @@ def verify_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["verify_references"] = verify_references
 DERIVED |= {
-    "titled": (["sections"], "select doc_id, pos, case when doc_id % 2 = 0 then 'paragraph' else type end as type, case when pos = 2 then '参考文献：' when doc_id % 2 = 0 and pos = 6 then '致谢' else text end as text from {sections}"),
+    "titled": (["sections"], "select doc_id, pos, case when doc_id % 2 = 0 then 'paragraph' else type end as type, case when pos = 2 then '参考文献：' when doc_id % 2 = 0 and pos = 6 then '致谢' when pos = 3 then '[1] Smith J. 2001.' when doc_id % 3 = 1 and pos = 5 then 'Figures' else text end as text, case when doc_id % 6 = 5 and pos = 4 then 'Heading 1' end as style, case when doc_id % 4 < 2 then 14.0e0 else 12.0e0 end as size_pt, doc_id % 8 = 2 as bold from {sections}"),
     "block_titles": ([], "select '参考文献' as title"),
     "jumbled": (["sections"], "select doc_id, pos, cast((pos * 7 + doc_id) % 10 as int) as section_id from {sections}"),
     "gapped_refs": (["refs"], "select doc_id, ref_pos, case when doc_id % 3 = 0 and ref_pos > 2 then concat('[', cast(ref_pos + 1 as string), ']') else ref_id end as ref_id from {refs}"),
@@ -297,13 +299,75 @@ def latest_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["latest_tasks"] = latest_tasks
 ORACLE["latest_tasks"] = _with(["tasks"], "r as (select *, row_number() over (partition by id order by updated_at desc, event_id desc) k from tasks) select id, updated_at, current_stage, progress from r where k = 1")
 
+
+# Operators as DataFrame code, each with SQL that is written from its definition and not from the code.
+DERIVED |= {
+    "marked": (
+        ["sections"],
+        """select doc_id, pos, case pos % 6 when 0 then concat(text, ' 使用卷积神经网络（CNN）与GPU，', 'LSTM') when 1 then concat('import x;', code(10), '  f(', text, ')') when 2 then concat('[3] ', text) when 3 then concat('GPU（图形处理器）和 BERT ', substring(text, 1, 20))
+  when 4 then concat(substring(text, 1, 30), ' pOx APIs', code(10), code(10), '# 注释', case when pos % 4 = 0 then '' else concat(code(10), 'f(x) # 中文') end) else concat('NASA x ', substring(text, 1, 10)) end as text, case pos % 7 when 0 then 'Courier New' when 1 then 'SimSun' end as font from {sections} where doc_id % 3 > 0 or pos % 6 > 3""",
+    ),
+    "needles": (["sections"], "select doc_id, pos, case when pos % 5 = 4 then '' else text end as text, case pos % 4 when 0 then substring(text, 3, 5) when 1 then 'not in it at all' when 2 then '' end as needle from {sections}"),
+    "footers": (["docs"], """select doc_id, 0 as section, case doc_id % 4 when 0 then '<w:jc w:val="center"/><w:instrText>page</w:instrText>' when 1 then '<w:jc w:val="left"/> PAGE' when 2 then concat('<w:jc w:val=', code(39), 'center', code(39), '/>') end as footer from {docs}"""),
+    "seen_chunks": (["chunk_rows"], "select doc_id, cast((pos * 7 + doc_id) % 5 as int) as section_id, pos, k from {chunk_rows}"),
+    "task_times": (["tasks"], "select id, event_id, case event_id % 3 when 0 then '2024-03-01T23:30:00' when 1 then '2024-03-01T10:00:05+02:00' else '2024-02-29 00:00:00Z' end as written from {tasks}"),
+    "issue_views": (["issues"], "select doc_id, section_id as chunk, case when doc_id % 3 = 0 then case k when 0 then 'issues' when 1 then 'local_issues' else 'llm_issues' end when k = 0 then 'local_issues' when k = 1 then 'llm_issues' else 'table_issues' end as view, pos * 3 + k as seq, issue_type, case when pos % 2 = 0 then 'same' else rule_id end as rule_id from {issues}"),
+}
+_CHINESE = "regexp_matches({}, '[一-鿿]')"
+_IS_CODE = r"""(regexp_matches(line, '^(```|//|/\*|\*|#)') or regexp_matches(lower(line), '^(using|import|from|public|private|protected|class|def|void|int|float|double|string|bool|namespace)\b') or regexp_matches(line, '[{};]')
+ or (not regexp_matches(line, '[一-鿿]') and (contains(line, '#') or contains(line, ';') or regexp_matches(lower(line), '\b(using|import|class|def|return|void|public|private|protected|namespace)\b') or regexp_matches(line, '\b[A-Za-z_][A-Za-z0-9_.]*\s*\('))))"""
+_CODEY = r"""(regexp_matches({0}, '^(```|//|/\*|\*|#)') or regexp_matches(lower({0}), '^(using|import|from|public|private|protected|class|def|void|int|float|double|string|bool|namespace)\b') or regexp_matches({0}, '[{{}};]')
+ or regexp_matches(lower({0}), '\b(using|import|class|def|return|void|public|private|protected|namespace)\b') or regexp_matches({0}, '\b[A-Za-z_][A-Za-z0-9_.]*\s*\('))"""
+_LINES_SQL = r"ls as (select doc_id, pos, n, line from (select doc_id, pos, unnest(list_filter(list_transform(string_split_regex(text, '\r\n|\r|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')) line, generate_subscripts(list_filter(list_transform(string_split_regex(text, '\r\n|\r|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), 1) - 1 n from marked) a)"
+_KEPT_SQL = rf"kept as (select * from ls where not ({_IS_CODE} or regexp_matches(line, '^(\[[0-9]+\]|参考文献|[0-9]+\.|\[[A-Z]\])') or regexp_matches(lower(line), '\[[jmdcp]\]|\bdoi\b|\b[0-9]{{4}}\b|\bet al\.\b')))"
+_ADDED = {
+    "code_sections": (lines.code_sections, ["marked"], rf"""{_LINES_SQL}, o as (select *, line whole, case when regexp_matches(line, '^(///|#)') then '' else line end bare from ls),
+q as (select *, rtrim(split_part(whole, '///', 1)) b1, rtrim(split_part(whole, '#', 1)) b2 from o), r as (select doc_id, pos, n, whole, case when bare = '' then '' when strpos(whole, '///') > 1 and {_CODEY.format('b1')} then b1 when strpos(whole, '#') > 1 and {_CODEY.format('b2')} then b2 else whole end line from q),
+c as (select doc_id, pos, count(*) n, sum(case when line = '' or {_IS_CODE} then 1 else 0 end) k, bool_or(line = '') comment, bool_or({_CHINESE.format('line')}) cjk from r group by 1, 2)
+select m.doc_id, m.pos, regexp_matches(lower(coalesce(font, '')), 'consolas|courier|monaco|fira code|lucida console') or coalesce(contains(text, '```') or (k >= 2 and k >= 0.6 * n) or (n = 1 and (comment or (k = 1 and not cjk))), false) is_code from marked m left join c on c.doc_id = m.doc_id and c.pos = m.pos"""),
+    "audit_lines": (lines.audit_lines, ["marked"], f"{_LINES_SQL}, {_KEPT_SQL} select doc_id, pos, cast(n as int) n, line from kept"),
+    "undefined_abbreviations": (lambda df: lines.undefined_abbreviations(lines.audit_lines(df)), ["marked"], rf"""{_LINES_SQL}, {_KEPT_SQL}, z as (select doc_id from kept group by 1 having bool_or({_CHINESE.format('line')})),
+u as (select distinct doc_id, upper(x) a from (select doc_id, unnest(regexp_extract_all(line, '\b(?:[A-Z]{{2,}}[A-Za-z0-9]*|[A-Z][a-z]+[A-Z][A-Za-z0-9]*)\b')) x from kept) t),
+d as (select doc_id, upper(x) a from (select doc_id, unnest(regexp_extract_all(line, '[一-鿿][^（）()]{{1,40}}?\s*[（(]\s*([A-Z]{{2,}}[A-Za-z0-9]*)\s*[)）]', 1)) x from kept) t
+  union all select doc_id, upper(regexp_extract(x, '^[A-Z0-9a-z]+')) from (select doc_id, unnest(regexp_extract_all(line, '[A-Z]{{2,}}[A-Za-z0-9]*\s*[（(]\s*[^（）()]{{2,40}}\s*[)）]')) x from kept) t where {_CHINESE.format('x')})
+select doc_id, a abbreviation, 'CONSIST-003' rule_id, 1 severity from u where doc_id in (from z) and length(a) >= 2 and not exists (from d where d.doc_id = u.doc_id and d.a = u.a)"""),
+    "needle_positions": (lines.needle_positions, ["needles"], "x as (select *, strpos(text, needle) p from needles) select doc_id, pos, cast(case when coalesce(text, '') = '' or coalesce(needle, '') = '' or p = 0 then 0 else p - 1 end as int) start_char, cast(case when coalesce(text, '') = '' or coalesce(needle, '') = '' then 0 when p = 0 then least(length(text), length(needle)) else p - 1 + length(needle) end as int) end_char from x"),
+    "footer_rules": (lines.footer_issues, ["footers"], """x as (select * from footers) select doc_id, section, 'PAGE-001' rule_id, 2 severity from x where footer is null or not footer ilike '%page%'
+  or not (contains(footer, 'w:jc w:val="center"') or contains(footer, 'w:jc w:val=' || chr(39) || 'center' || chr(39)))"""),
+    "section_chunks": (lines.section_groups, ["seen_chunks"], "g as (select doc_id, section_id, min(pos * 1000000 + k) f, count(*) chunks, string_agg(pos || '.' || k, ',' order by pos, k) members from seen_chunks group by 1, 2) select doc_id, section_id, cast(row_number() over (partition by doc_id order by f, section_id) as int) place, chunks, members from g"),
+    "task_times_utc8": (lambda df: df.select("id", "event_id", lines.utc8(df.written).alias("rendered")), ["task_times"], "x as (select * from task_times) select id, event_id, case event_id % 3 when 0 then '2024-03-02 07:30:00+08:00' when 1 then '2024-03-01 16:00:05+08:00' else '2024-02-29 08:00:00+08:00' end rendered from x"),
+    "sentinel_counts": (lambda df: lines.sentinel_counts(df.selectExpr("doc_id", "pos", "named_struct('font', coalesce(font, 'unknown'), 'runs', array(named_struct('size', case when pos % 3 = 0 then 'unknown' else '12' end), named_struct('size', text))) as s"), "doc_id"), ["sections"], "x as (select * from sections) select doc_id, cast(sum(case when font is null then 1 else 0 end + case when pos % 3 = 0 then 1 else 0 end + case when text = 'unknown' then 1 else 0 end) as bigint) n from x group by 1"),
+    "report_counts": (lambda d, i, v, c: report.report_counts(d, i, v, c), ["sections", "first", "verdicts", "known_issues"], "x as (select distinct doc_id from sections) select doc_id, a chunk_issues, b unverified, c consistency, a + b + c issues_count from (select doc_id, (select count(*) from first i where i.doc_id = x.doc_id) a, (select count(*) from verdicts i where i.doc_id = x.doc_id and verdict in ('needs_review', 'unverified')) b, (select count(*) from known_issues i where i.doc_id = x.doc_id) c from x) y"),
+    "report_compaction": (lambda df: report.compact_views(df, ["issue_type", "rule_id"]), ["issue_views"], """e as (select doc_id, chunk, view, issue_type || '|' || rule_id entry, min(seq) seq from issue_views group by 1, 2, 3, 4),
+h as (select distinct doc_id, chunk from issue_views where view = 'issues'),
+m as (select doc_id, chunk, entry, min(case view when 'local_issues' then 1 when 'llm_issues' then 2 else 3 end * 1000000000::bigint + seq) seq from e where view <> 'issues' and not exists (from h where h.doc_id = e.doc_id and h.chunk = e.chunk) group by 1, 2, 3),
+a as (select doc_id, chunk, view, count(*) n, string_agg(entry, ';' order by seq) entries from (select doc_id, chunk, view, entry, seq from e union all select doc_id, chunk, 'issues', entry, seq from m) u group by 1, 2, 3)
+select a.* from a where view = 'issues' or not exists (from a b where b.doc_id = a.doc_id and b.chunk = a.chunk and b.view = 'issues' and b.entries = a.entries)"""),
+}
+
+
+def _added(op, inputs: list[str]) -> Query:
+    return lambda spark, sf_dir: op(*[frame(spark, sf_dir, k) for k in inputs])
+
+
+for _name, (_op, _inputs, _sql) in _ADDED.items():
+    QUERIES[_name], ORACLE[_name] = _added(_op, _inputs), _with(_inputs, _sql)
+
+QUERIES["style_inheritance"] = _added(structure.style_inheritance, ["styles"])
+ORACLE["style_inheritance"] = _with(
+    ["styles"],
+    """c as (select doc_id, style_id, parent, 0 depth, font, size_pt from styles union all select c.doc_id, c.style_id, s.parent, depth + 1, s.font, s.size_pt from c join styles s on s.doc_id = c.doc_id and s.style_id = c.parent)
+select doc_id, style_id, arg_min(font, depth) filter (font is not null) font, arg_min(size_pt, depth) filter (size_pt is not null) size_pt from c group by 1, 2""",
+)
+
+
 #: Columns that are 32-bit in Spark's results and wider in the oracle's, with the queries that have them.
 _NARROW = {
     "ref_pos, section_id": "ref_section_locate",
     "k": "paper_topk",
     "n": "page_top_issues",
     "number": "bidirectional_refs",
-    "pos": "section_page_map section_id_order keyword_needles formatting_rules strict_heading_rules layout_rules formula_table_list_rules heading_format_rules paragraph_rules heading_hier_strict figure_numbering caption_sequence caption_missing empty_line_first heading_body_spacing page_assignment size_carry_forward duplicate_sections ref_detect_fallback ref_block_extract chart_mentions citation_groups missing_ref_entries citation_order severity_norm issue_dedupe_exact chunks chunks_small span_relocate",
+    "pos": "list_rules section_page_map section_id_order keyword_needles formatting_rules strict_heading_rules layout_rules formula_table_list_rules heading_format_rules paragraph_rules heading_hier_strict figure_numbering caption_sequence caption_missing empty_line_first heading_body_spacing page_assignment size_carry_forward duplicate_sections ref_detect_fallback ref_block_extract chart_mentions citation_groups missing_ref_entries citation_order severity_norm issue_dedupe_exact chunks chunks_small span_relocate",
     "pos, expected": "chapter_ordinal",
     "pos, k": "blank_runs",
     "pos, level, before": "heading_jump heading_reverse",

@@ -40,8 +40,8 @@ from (select l_orderkey as doc_id, row_number() over (partition by l_orderkey or
     ),
     "docs": (
         ["orders"],
-        """select o_orderkey as doc_id, case o_orderkey % 5 when 0 then 'A thesis on rules' when 1 then 'Journal of checks' when 2 then 'Conference proceedings' when 3 then 'A book' else '' end as title,
-  cast(o_custkey % 70 as int) as page_count, cast(20 + o_orderkey % 12 as double) / 10 as margin_top, cast(20 + o_custkey % 14 as double) / 10 as margin_bottom from {orders}""",
+        """select o_orderkey as doc_id, case o_orderkey % 5 when 0 then 'A thesis on rules' when 1 then 'Journal of checks' when 2 then 'Conference proceedings' when 3 then 'A book' else case when o_orderkey % 2 = 0 then ' ' else '' end end as title,
+  cast(o_custkey % 70 as int) as page_count, cast(20 + o_orderkey % 12 as double) / 10 as margin_top, cast(20 + o_custkey % 14 as double) / 10 as margin_bottom, cast(21 + o_custkey % 9 as double) / 10 as margin_left, cast(20 + o_orderkey % 10 as double) / 10 as margin_right from {orders}""",
     ),
     "cells": (
         ["customer"],

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillsieve.functions.rules import Rule, apply_rules
-from quillsieve.operators import chunks, citations, issues, packs, retrieval, sequences
+from quillsieve.operators import chunks, citations, issues, lines, packs, report, retrieval, sequences, structure
 from quillsieve.plans.audit import audit, review, scores
 from quillsieve.sources.ingest import heading_level, number_of, paper_text, read_parsed, references_of, sections_of, upsert_papers
 from quillsieve.streaming.jobs import incremental_audit, latest_status
@@ -187,3 +187,65 @@ def test_streams_equal_batches(spark, tmp_path):
     query = live.writeStream.format("memory").queryName("latest").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("latest").exceptAll(latest_status(tasks)).count() == 0
+
+
+def test_styles_of_long_chains_and_cycles(spark):
+    rows = [(1, f"s{k}", f"s{k + 1}", None, float(k) if k % 20 == 7 else None) for k in range(50)] + [(1, "s50", "none", "Song", 99.0)]
+    rows += [(2, "a", "b", None, None), (2, "b", "c", None, 3.0), (2, "c", "a", "Hei", None), (3, "x", "x", None, None), (3, "y", None, None, 1.0)]
+    df = spark.createDataFrame(rows, "doc_id long, style_id string, parent string, font string, size_pt double")
+    got = {(r.doc_id, r.style_id): (r.font, r.size_pt) for r in structure.style_inheritance(df).collect()}
+    assert len(got) == len(rows) and all(got[1, f"s{k}"] == ("Song", next((float(j) for j in (7, 27, 47) if j >= k), 99.0)) for k in range(51))
+    assert [got[2, x] for x in "abc"] == [("Hei", 3.0), ("Hei", 3.0), ("Hei", 3.0)] and (got[3, "x"], got[3, "y"]) == ((None, None), (None, 1.0))
+    assert structure.style_inheritance(df.limit(0)).count() == 0
+
+
+def test_equal_vectors_go_by_id(spark):
+    rows = [(k, [1.0, 2.0]) for k in range(1000)] + [(2000, None), (2001, [0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = sorted(map(tuple, retrieval.vector_topk(df, df.where("vec_id in (1, 50)")).collect()))
+    assert got == [(1, 0, 1, 1.0), (1, 2, 2, 1.0), (1, 3, 3, 1.0), (50, 0, 1, 1.0), (50, 1, 2, 1.0), (50, 2, 3, 1.0)]
+
+
+def test_reference_blocks_by_hand(spark):
+    def block(*after):
+        rows = [(1, 0, "paragraph", "before", None, 12.0, False), (1, 1, "paragraph", "：参考文献：", None, 12.0, False), *[(1, k + 2, *r) for k, r in enumerate(after)]]
+        df = spark.createDataFrame(rows, "doc_id long, pos int, type string, text string, style string, size_pt double, bold boolean")
+        return [r.text for r in structure.reference_block(df, spark.createDataFrame([("参考文献",)], "title string")).orderBy("pos").collect()]
+
+    entry = ("paragraph", "[1] Smith J. 2001.", None, 16.0, True)
+    other = ("paragraph", "[2] " + "x" * 40, None, 12.0, False)
+    assert block(entry, other) == [entry[1], other[1]]
+    assert block(entry, ("paragraph", "附录 A", None, 12.0, False), other) == [entry[1]]
+    assert block(entry, ("table", "t" * 50, None, 12.0, False), other) == [entry[1]]
+    for end in (("paragraph", "Figures", None, 14.0, False), ("paragraph", "Figures", None, 12.0, True), ("paragraph", "a. b", "Heading 2", 10.0, False)):
+        assert block(entry, end, other) == [entry[1]]
+    for on in (("paragraph", "Figures", None, 13.0, False), ("paragraph", "Figures", None, 11.0, True), ("paragraph", "F" * 31, None, 20.0, True)):
+        assert len(block(entry, on, other)) == 3
+
+
+def test_code_and_lines_by_hand(spark):
+    texts = [("int x = 1;", None), ("plain words here", "Courier New"), ("plain words here", None), ("// 注释", None), ("a(b)\nc(d)\nwords", None), ("a(b)\nwords\nwords", None), ("see ``` here", None), (" ", None), (None, None), ("# 标题", None), ("中文；调用 f(x)", None), ("f(x) # 中文", None), ("f(x) 中 # 中文", None)]
+    df = spark.createDataFrame([(1, k, t, f) for k, (t, f) in enumerate(texts)], "doc_id long, pos int, text string, font string")
+    assert [r.is_code for r in lines.code_sections(df).orderBy("pos").collect()] == [True, True, False, False, True, False, True, False, False, True, False, True, False]
+    assert lines.prose(df).count() == 7
+    kept = lines.audit_lines(spark.createDataFrame([(1, 0, "正文 CNN\r\n[3] A. Title[J]. 2001\n  1. item\nfoo(bar)\n\n使用图形处理器（GPU）与 GPU、 BERT", None)], df.schema))
+    assert [(r.n, r.line) for r in kept.orderBy("n").collect()] == [(0, "正文 CNN"), (4, "使用图形处理器（GPU）与 GPU、 BERT")]
+    assert sorted(r.abbreviation for r in lines.undefined_abbreviations(kept).collect()) == ["BERT", "CNN"]
+    english = spark.createDataFrame([(1, 0, "uses CNN", None)], df.schema)
+    assert lines.undefined_abbreviations(lines.audit_lines(english)).count() == 0
+
+
+def test_places_times_and_sentinels_by_hand(spark):
+    rows = [(1, 0, "abcabc", "ca"), (1, 1, "abc", "zzzz"), (1, 2, "", "a"), (1, 3, None, "a"), (1, 4, "a", ""), (1, 5, "😀é", "é")]
+    got = lines.needle_positions(spark.createDataFrame(rows, "doc_id long, pos int, text string, needle string")).orderBy("pos").collect()
+    assert [(r.start_char, r.end_char) for r in got] == [(2, 4), (0, 3), (0, 0), (0, 0), (0, 0), (1, 2)]
+    times = spark.createDataFrame([("2024-12-31T20:00:00",), ("2024-01-01T00:00:00-05:00",), ("no time",), (None,)], "t string")
+    assert [r.x for r in times.select(lines.utc8(F.col("t")).alias("x")).collect()] == ["2025-01-01 04:00:00+08:00", "2024-01-01 13:00:00+08:00", None, None]
+    nested = spark.createDataFrame([(1, {"a": "unknown", "b": 'x:"unknown",'}, ["unknown", "no"]), (1, {}, []), (2, {"unknown": "x"}, None)], "id long, m map<string,string>, l array<string>")
+    assert {r.id: r.n for r in lines.sentinel_counts(nested, "id").collect()} == {1: 2, 2: 0}
+
+
+def test_report_views_by_hand(spark):
+    rows = [(1, 0, "local_issues", 1, "a"), (1, 0, "local_issues", 2, "a"), (1, 0, "llm_issues", 3, "b"), (1, 1, "issues", 1, "a"), (1, 1, "local_issues", 2, "a"), (1, 1, "llm_issues", 3, "c"), (2, 0, "llm_issues", 1, None)]
+    out = report.compact_views(spark.createDataFrame(rows, "doc_id long, chunk int, view string, seq int, rule string"), ["rule"]).collect()
+    assert sorted((r.doc_id, r.chunk, r.view, r.n, r.entries) for r in out) == [(1, 0, "issues", 2, "a;b"), (1, 0, "llm_issues", 1, "b"), (1, 0, "local_issues", 1, "a"), (1, 1, "issues", 1, "a"), (1, 1, "llm_issues", 1, "c"), (2, 0, "issues", 1, "")]
