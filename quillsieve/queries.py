@@ -367,7 +367,8 @@ _NARROW = {
     "k": "paper_topk",
     "n": "page_top_issues",
     "number": "bidirectional_refs",
-    "pos": "list_rules section_page_map section_id_order keyword_needles formatting_rules strict_heading_rules layout_rules formula_table_list_rules heading_format_rules paragraph_rules heading_hier_strict figure_numbering caption_sequence caption_missing empty_line_first heading_body_spacing page_assignment size_carry_forward duplicate_sections ref_detect_fallback ref_block_extract chart_mentions citation_groups missing_ref_entries citation_order severity_norm issue_dedupe_exact chunks chunks_small span_relocate",
+    "chunk": "report_compaction",
+    "pos": "code_sections audit_lines needle_positions list_rules section_page_map section_id_order keyword_needles formatting_rules strict_heading_rules layout_rules formula_table_list_rules heading_format_rules paragraph_rules heading_hier_strict figure_numbering caption_sequence caption_missing empty_line_first heading_body_spacing page_assignment size_carry_forward duplicate_sections ref_detect_fallback ref_block_extract chart_mentions citation_groups missing_ref_entries citation_order severity_norm issue_dedupe_exact chunks chunks_small span_relocate",
     "pos, expected": "chapter_ordinal",
     "pos, k": "blank_runs",
     "pos, level, before": "heading_jump heading_reverse",
