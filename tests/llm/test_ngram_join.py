@@ -1,4 +1,3 @@
-import logging
 import random
 import re
 
@@ -6,6 +5,7 @@ import pytest
 from _texts import SCHEMA, corpus
 
 from quillsieve.llm import ngram_join
+from quillsieve.llm._scratch import Scratch
 from quillsieve.llm.ngram_join import jaccard_classes
 
 
@@ -50,15 +50,14 @@ def test_exact_way(spark):
     assert got(jaccard_classes(docs, sketch=10_000, shared=10_000)) == brute(rows)
 
 
-def test_bitmaps_prune(spark, monkeypatch, caplog):
-    """Texts of one length chained by shared passages: one family, of which few pairs of leaves are compared."""
-    monkeypatch.setattr(ngram_join, "_LEAF", 1)
-    rows = [(k, " ".join(f"w{j}" for j in range(70 * k, 70 * k + 100))) for k in range(40)]
-    rows += [(100 + k, t + " end") for k, t in rows[::8]]
-    with caplog.at_level(logging.DEBUG, logger="quillsieve.llm.ngram_join"):
-        assert got(jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
-    level = {int(m[0]): tuple(map(int, m[1:])) for r in caplog.records if (m := re.findall(r"\d+", r.getMessage()))}
-    assert level[0][2] < 0.7 * level[0][1]
+def test_bitmaps_prune(spark):
+    """Of twenty unlike leaves of one family and one size only those meet whose sketches have enough in common, or themselves."""
+    rng = random.Random(8)
+    sketches = [[rng.randrange(1 << 62) for _ in range(48)] for _ in range(20)]
+    sketches[7][:20], sketches[19][:16], sketches[12][:15] = sketches[3][:20], sketches[0][:16], sketches[1][:15]
+    leaves = spark.createDataFrame([(5, k, 100, x) for k, x in enumerate(sketches)] + [(5, 20, 1000, sketches[3])], "family long, leaf long, n long, sketch array<long>")
+    pairs = ngram_join._leaf_pairs(leaves, 21, 75, 16, Scratch(spark, "pairs"))
+    assert {(r.x, r.y) for r in pairs.collect()} == {(k, k) for k in range(21)} | {(3, 7), (0, 19)}
 
 
 def test_trees_of_several_levels(spark, monkeypatch):
