@@ -1,6 +1,8 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient over word bigrams.
 
-A document's segments (the whole text, its paragraphs, its lines) are normalised to words; each has a set of word bigrams.
+A document's segments (the whole text, its paragraphs, its lines, its runs of lines that read like a licence) are normalised
+to words; each has a set of word bigrams. A run goes on until a line of two words and more of whose bigrams less than half are
+any template's, so a licence of many paragraphs, and a notice in a paragraph with other text, is one segment.
 A template is compared only if the two sizes allow the threshold at all: with a and b bigrams, the coefficient is at most
 2 * min(a, b) / (a + b). The same bound says how many of a segment's bigrams must be some template's at least, so that one
 numpy pass over all bigrams of many texts finds the few segments to compare. Nothing is shuffled.
@@ -8,6 +10,7 @@ numpy pass over all bigrams of many texts finds the few segments to compare. Not
 
 from __future__ import annotations
 
+import re
 from math import ceil, floor
 
 import numpy as np
@@ -15,35 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._license_texts import TEMPLATES
 from ._scratch import small_batches
 from ._words import _table, grams, tidy, words
 
 _ALNUM = _table((0x30, 0x39), (0x61, 0x7A))
-
-# Notices and short licence texts by SPDX name.
-TEMPLATES = {
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
-    "Apache-2.0": [
-        "Licensed under the Apache License, Version 2.0.",
-        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
-    ],
-    "BSD-2-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
-    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "MIT": [
-        "Released under the MIT License.",
-        'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.',
-    ],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain."],
-}
+_NOTICE = re.compile(rb"copyright[ \t]*(?:\(c\)|\xc2\xa9|[0-9])")  # in lower case
 
 
 def template_words(text: str) -> list[str]:
@@ -106,13 +86,19 @@ def _scan(prepared, threshold: float):
         mark = np.frombuffer(b"copyright", np.uint8)
         notice = np.zeros(len(begins), bool)
         fit = np.flatnonzero(begins + len(mark) <= ends)
-        notice[fit] = (w.buf[begins[fit][:, None] + np.arange(len(mark))] == mark).all(axis=1)
+        fit = fit[(w.buf[begins[fit][:, None] + np.arange(len(mark))] == mark).all(axis=1)]
+        notice[fit] = [_NOTICE.match(w.buf[a:b]) is not None for a, b in zip(begins[fit], ends[fit], strict=True)]
         line = np.searchsorted(begins, w.s, "right") - 1
         keep = ~notice[line]
         h, line, row = w.h[keep], line[keep], w.rows()[keep]
         g = grams(h, 2)
         hit = np.isin(g, known)
-        for seg in (row, np.cumsum(blank)[line], line):
+        one = (line[1:] == line[:-1]) & (row[1:] == row[:-1])
+        pairs, hits = (np.bincount(line[:-1][x], minlength=len(begins)) for x in (one, one & hit[: len(one)]))
+        other = 2 * hits < pairs  # a line of other text is a run of its own
+        cut = other | np.isin(begins, first)
+        cut[1:] |= other[:-1]
+        for seg in (row, np.cumsum(blank)[line], line, np.cumsum(cut)[line]):
             inside = (seg[1:] == seg[:-1]) & (row[1:] == row[:-1])
             at = np.flatnonzero(hit & inside)
             if not len(at):
@@ -130,7 +116,9 @@ def scan_licenses(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     """For each row doc_id, license (of the best match; null if none reaches the threshold), dice (of that match, else 0)
     and licenses (the best template of each segment that matches one: distinct names, sorted, comma-joined).
 
-    Words are runs of ASCII letters and digits, A-Z lower-cased; lines that begin with `copyright` are left out. Segments
+    Words are runs of ASCII letters and digits, A-Z lower-cased; lines that begin with `copyright` and `(c)`, its sign or a digit are left out. Two licences
+    one after the other are told apart by paragraphs and lines only, as they are one run. `templates` may hold longer texts,
+    such as whole licences by name; they go to tasks as hashes, so keep them to some thousands of pages. Segments
     with fewer than two words match nothing. Equally good matches go by name. A null or empty text matches nothing. Rows
     are scanned each for itself, also with one id; a null id is kept; an empty table gives an empty result; other columns
     are ignored.

@@ -190,8 +190,14 @@ select d.doc_id, cast(len(w) as bigint) n_words, cast(coalesce(c.n, 0) as bigint
 from d left join c using (doc_id) left join o using (doc_id)""",
     "op2_license_scan": rf"""
 with s as (select doc_id, list_distinct([text] || regexp_split_to_array(text, '\n[ \t\r]*\n') || string_split(text, chr(10))) s from documents where text is not null),
-e as (select doc_id, unnest(s) text from s),
-w as (select doc_id, regexp_extract_all(regexp_replace({_LOWER}, '(?m)^copyright[^\n]*$', '', 'g'), '[a-z0-9]+') w from e),
+l as (select doc_id, i, x, regexp_extract_all(regexp_replace({_LOWER.replace('text', 'x')}, '^copyright[ \t]*(\(c\)|©|[0-9]).*$', ''), '[a-z0-9]+') w
+  from (select doc_id, unnest(string_split(text, chr(10))) x, generate_subscripts(string_split(text, chr(10)), 1) i from documents where text is not null) z),
+h as (select doc_id, i, count(*) n, count(k.x) hits from (select doc_id, i, w[j] || ' ' || w[j + 1] x from l, unnest(range(1, len(w))) r(j)) z
+  left join (select distinct unnest(t) x from (values {_TEMPLATES}) v(license, n, t)) k using (x) group by 1, 2),
+o as (select l.*, coalesce(2 * hits < n, false) other from l left join h using (doc_id, i)),
+f as (select doc_id, i, x, other, count(*) filter (where other) over (partition by doc_id order by i) r from o),
+e as (select doc_id, unnest(s) text from s union all select doc_id, string_agg(x, chr(10) order by i) from f where not other group by doc_id, r),
+w as (select doc_id, regexp_extract_all(regexp_replace({_LOWER}, '(?m)^copyright[ \t]*(\(c\)|©|[0-9])[^\n]*$', '', 'g'), '[a-z0-9]+') w from e),
 b as (select doc_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) b from w where len(w) > 1),
 n as (select row_number() over () k, doc_id, b from b where len(b) <= {max(size_bounds(len(b), 0.8)[1] for _, b in _BIGRAMS)}),
 t as (select * from (values {_TEMPLATES}) v(license, n, t)),
