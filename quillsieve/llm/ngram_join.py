@@ -110,12 +110,12 @@ def _parents(nodes: DataFrame) -> DataFrame:
     return up.agg(F.min("least").alias("least"), F.max("most").alias("most"), F.max("slack").alias("slack"), F.when((F.count("bits") == F.count("*")) & (F.size(bits) <= _FULL), bits).alias("bits"))
 
 
-def _leaf_pairs(leaves: DataFrame, deepest: int, percent: int, shared: int, scratch: Scratch) -> DataFrame:
-    """Dual traversal of the trees of families with more than one leaf -> (family, x, y), x <= y.
+def _leaf_pairs(nodes: DataFrame, deepest: int, percent: int, shared: int, scratch: Scratch) -> DataFrame:
+    """Dual traversal of the trees over the leaf nodes of families with more than one leaf -> (family, x, y), x <= y.
 
     A pair of nodes goes on if some sizes in them allow a link and the bitmaps have as many bits in common as a linked pair's
     sketches at least. With debug logging, each level's pairs are counted: all, with fitting sizes, and with fitting bitmaps."""
-    trees = [scratch.save(_nodes(leaves), "nodes-0")]
+    trees = [scratch.save(nodes, "nodes-0")]
     while deepest > 1:
         deepest = ceil(deepest / (1 << _FAN)) + 1  # a family's leaves need not begin at a multiple of the fan-out
         if len(trees) > 1 and deepest <= 2:
@@ -270,9 +270,10 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         at += r.last + 1
     first = spark.createDataFrame(first, "part int, first long")
     leaves = leaves.join(F.broadcast(first), "part").withColumn("leaf", F.col("leaf") + F.col("first")).drop("part", "first", "size_class")
-    sizes = scratch.save(leaves.groupBy("family").agg((F.max("leaf") - F.min("leaf") + 1).alias("width")), "families")
-    alone = leaves.join(sizes.where("width = 1").hint("merge"), "family").select("family", F.col("leaf").alias("x"), F.col("leaf").alias("y")).distinct()
-    wide = leaves.join(sizes.where("width > 1").hint("merge"), "family").drop("width")
+    sizes = scratch.save(leaves.groupBy("family").agg(F.min("leaf").alias("x"), (F.max("leaf") - F.min("leaf") + 1).alias("width")), "families")
+    alone = sizes.where("width = 1").selectExpr("family", "x", "x y")
+    # leaves become nodes before the join by family, so that no task takes the rows of a large family
+    wide = _nodes(leaves).join(sizes.where("width > 1").select("family").hint("merge"), "family")
     deepest = sizes.agg(F.max("width")).first()[0] or 0
     pairs = alone.unionByName(_leaf_pairs(wide, deepest, percent, shared, scratch)) if deepest > 1 else alone
 

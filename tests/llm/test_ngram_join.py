@@ -56,7 +56,7 @@ def test_bitmaps_prune(spark):
     sketches = [[rng.randrange(1 << 62) for _ in range(48)] for _ in range(20)]
     sketches[7][:20], sketches[19][:16], sketches[12][:15] = sketches[3][:20], sketches[0][:16], sketches[1][:15]
     leaves = spark.createDataFrame([(5, k, 100, x) for k, x in enumerate(sketches)] + [(5, 20, 1000, sketches[3])], "family long, leaf long, n long, sketch array<long>")
-    pairs = ngram_join._leaf_pairs(leaves, 21, 75, 16, Scratch(spark, "pairs"))
+    pairs = ngram_join._leaf_pairs(ngram_join._nodes(leaves), 21, 75, 16, Scratch(spark, "pairs"))
     assert {(r.x, r.y) for r in pairs.collect()} == {(k, k) for k in range(21)} | {(3, 7), (0, 19)}
 
 
