@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.sql import SqlOperator
 
@@ -25,15 +26,30 @@ distinct_issues = SqlOperator(
 def near_distinct_issues(issues: DataFrame, scope: list[str], tolerance: int = 3) -> DataFrame:
     """Keep an issue unless one that is kept before it (by `at`) has its scope, type and label and a span within `tolerance`
     characters at both ends, or one of the two has no span. A fold over each group in order; groups are small, as they
-    share scope, type and label."""
+    share scope, type and label. `at` is a whole number or a struct of several."""
     keys = [*scope, "issue_type", "label"]
+    if not isinstance(issues.schema["at"].dataType, StructType):
+        issues = issues.withColumn("at", F.col("at").cast("bigint"))
+    kind = f"array<struct<at:{issues.schema['at'].dataType.simpleString()},s:int,e:int>>"
     near = lambda a, b: a.s.isNull() | b.s.isNull() | ((F.abs(a.s - b.s) <= tolerance) & (F.abs(a.e - b.e) <= tolerance))
     rows = F.array_sort(F.collect_list(F.struct("at", F.col("start_char").cast("int").alias("s"), F.col("end_char").cast("int").alias("e"))))
-    fold = F.aggregate("g", F.array().cast("array<struct<at:bigint,s:int,e:int>>"), lambda acc, x: F.when(F.exists(acc, lambda y: near(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
-    grouped = issues.withColumn("at", F.col("at").cast("bigint")).groupBy(*keys).agg(rows.alias("g"))
+    fold = F.aggregate("g", F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda y: near(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
+    grouped = issues.groupBy(*keys).agg(rows.alias("g"))
     return grouped.select(*keys, F.inline(fold)).withColumnsRenamed({"s": "start_char", "e": "end_char"})
 
 
+def near_merged_reviews(first: DataFrame, second: DataFrame, tolerance: int = 3) -> DataFrame:
+    """Issues of two reviewers (doc_id, section_id, chunk, at, issue_type, label, start_char, end_char) without near copies: each
+    reviewer's in a chunk, then both's with the first reviewer's in front, then those of a section in order of its chunks.
+    Adds source, 0 for the first reviewer and 1 for the second."""
+    chunk = ["doc_id", "section_id", "chunk"]
+    order = lambda df, k: df.withColumn("at", F.struct(F.lit(k).alias("source"), F.col("at").cast("bigint").alias("at")))
+    each = [near_distinct_issues(order(df, k), chunk, tolerance) for k, df in enumerate((first, second))]
+    chunks = near_distinct_issues(each[0].unionByName(each[1]), chunk, tolerance)
+    sections = near_distinct_issues(chunks.withColumn("at", F.struct("chunk", F.col("at.source").alias("source"), F.col("at.at").alias("at"))), chunk[:2], tolerance)
+    return sections.select("doc_id", "section_id", "at.chunk", "at.source", "at.at", "issue_type", "label", "start_char", "end_char")
+
+
 def relocated_spans(rows: DataFrame) -> DataFrame:
     """(text, original, start_char, end_char) -> the place of `original` in the text nearest to the span, the first on a tie,
     where the span is missing, too short or says something else; adds new_start and new_end (null if it isn't in the text)."""

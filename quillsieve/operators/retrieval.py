@@ -42,7 +42,7 @@ s as (select id, paper_id, year, round(1.0e0 * common(x, y)) / (items(x) + items
 select id, paper_id, year, score, cover, cast(k as int) as k from (select *, row_number() over (partition by id order by score desc, paper_id) as k from s) r where k <= 3""",
 )
 #: Queries, their candidates and the papers -> verdicts: verified at 0.85 without a year at odds, needs_review at 0.65, else unverified.
-#: Of the candidate with the largest Jaccard; the score is the largest of that, the title's and the authors'. The title's: 1 if all of it
+#: Reasons and risk flags (joined by commas) are fixed values. Of the candidate with the largest Jaccard; the score is the largest of that, the title's and the authors'. The title's: 1 if all of it
 #: stands in the query, else the largest Jaccard or share of leading tokens of the query or one of its fragments (three tokens at least, no year).
 verified = SqlOperator(
     "queries candidates papers",
@@ -59,7 +59,10 @@ v as (select id, text, years, paper_id, year, jaccard, case when items(dx) = 0 o
 g as (select id, text, years, paper_id, year, round(greatest(max(likeness), max(prefix), max(inside)), 9) as title_score, round(max(author), 9) as author_score, max(jaccard) as jaccard from v group by id, text, years, paper_id, year),
 m as (select *, greatest(jaccard, title_score, author_score) as score, paper_id is not null and year is not null and years <> '' and not contains(years, cast(year as string)) as mismatch from g)
 select id, paper_id, score, title_score, author_score, case when score >= 0.85 and not mismatch then 'verified' when score >= 0.65 and not mismatch then 'needs_review' else 'unverified' end as verdict,
-  case when score >= 0.85 and not mismatch then 'high' when score >= 0.65 and not mismatch then 'medium' when score < 0.45 then 'low' else 'medium' end as confidence, mismatch as year_mismatch, paper_id is null as no_candidate from m""",
+  case when score >= 0.85 and not mismatch then 'high' when score >= 0.65 and not mismatch then 'medium' when score < 0.45 then 'low' else 'medium' end as confidence, mismatch as year_mismatch, paper_id is null as no_candidate,
+  case when not rx(text, «\\S») then 'empty_reference' when paper_id is null then 'no_local_match' when score >= 0.85 and not mismatch then 'local_match_strong' when score >= 0.65 and not mismatch then 'local_match_partial' else 'local_match_weak' end as reason,
+  case when not rx(text, «\\S») then 'empty_reference' when paper_id is null then 'no_local_match'
+    else concat_ws(',', case when mismatch or score < 0.65 then 'weak_match' when score < 0.85 then 'partial_match' end, case when mismatch then 'year_mismatch' end) end as risk_flags from m""",
 )
 prefix_similarity.sql = prefix_similarity.sql.replace("AT(", "nth(")
 

@@ -46,13 +46,13 @@ caption_sequence = SqlOperator(
 e as (select *, lag(n, 1, 0) over (partition by doc_id, chapter order by pos) + 1 as expected from c where n is not null)
 select doc_id, pos, chapter, n, expected, unroll(many('ERR_INT_CHART_NUM_001', 'ERR_INT_FIGURE_NUM_SKIP')) as rule_id from e where n <> expected""",
 )
-#: Tables and figures that no caption stands before; a table over two pages or of over 15 rows that is not marked as continued.
+#: Tables and figures that no caption stands before; a table over two pages, or of over 15 rows and not marked as continued.
 missing_captions = SqlOperator(
     "sections",
     """with p as (select doc_id, pos, type, text, row_count, page_start, page_end, coalesce(lag(text) over (partition by doc_id order by pos), '') as before from {sections})
 select doc_id, pos, 'TABLE-CAPTION-001' as rule_id from p where type = 'table' and not rx(before, «(?i)^(表\\s*\\d+|Table\\s*\\d+)»)
 union all select doc_id, pos, 'IMAGE-CAPTION-001' from p where type = 'figure' and not rx(before, «(?i)^(图\\s*\\d+|Fig\\.?\\s*\\d+|Figure\\s*\\d+)»)
-union all select doc_id, pos, 'TABLE-CONT-001' from p where type = 'table' and (page_end > page_start or row_count > 15) and not contains(before, '续表')""",
+union all select doc_id, pos, 'TABLE-CONT-001' from p where type = 'table' and (page_end > page_start or (row_count > 15 and not contains(before, '续表')))""",
 )
 #: Runs of blank lines (doc_id, pos, text): the second and later ones of a run, numbered in it.
 blank_runs = SqlOperator(

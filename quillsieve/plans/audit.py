@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rules import Rule, apply_rules
-from ..operators import citations, packs, sequences, structure
+from ..functions.sql import run
+from ..operators import citations, lines, packs, sequences, structure
 
 #: A pack takes the tables it needs by name and returns (doc_id, pos, rule_id, severity).
 Pack = Callable[[dict[str, DataFrame]], DataFrame]
@@ -30,6 +31,25 @@ def references(t: dict[str, DataFrame]) -> DataFrame:
     return apply_rules(parts, packs.REFERENCE_RULES, ["doc_id", "ref_pos"]).select("doc_id", F.col("ref_pos").alias("pos"), "rule_id", "severity")
 
 
+def over_prose(pack: Pack) -> Pack:
+    """A pack that passes code sections over, also as neighbours of others."""
+    return lambda t: pack(t | {"sections": lines.prose(t["sections"])})
+
+
+def list_items(t: dict[str, DataFrame]) -> DataFrame:
+    """List rules; sections have style and left_indent."""
+    return apply_rules(run(packs.LIST_LEVEL, x=t["sections"]), packs.LIST_RULES, ["doc_id", "pos"])
+
+
+#: Packs that pass code over, to be named in `more`; `captions` needs row_count and pages, `lists` needs style and left_indent.
+PROSE_PACKS: dict[str, Pack] = {
+    "layout": over_prose(rows(packs.LAYOUT_RULES)),
+    "lists": over_prose(list_items),
+    "jumps": over_prose(ordered(sequences.heading_jumps, 3)),
+    "reversals": over_prose(ordered(sequences.heading_reversals, 2)),
+    "captions": over_prose(ordered(sequences.missing_captions, 2)),
+}
+
 PACKS: dict[str, Pack] = {
     "formatting": rows(packs.FORMATTING_RULES),
     "integrity": rows(packs.INTEGRITY_RULES),

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .functions.rules import Rule, apply_rules, rules_sql
 from .functions.sql import SqlOperator, duck_sql, run
 from .operators import chunks, citations, issues, lines, packs, placement, report, retrieval, sequences, structure
-from .plans.audit import audit, scores
+from .plans.audit import PROSE_PACKS, audit, scores
 from .sources.views import VIEWS, view, view_sql
 from .streaming.jobs import latest_status, stage_counts
 
@@ -311,6 +311,16 @@ DERIVED |= {
     "footers": (["docs"], """select doc_id, 0 as section, case doc_id % 4 when 0 then '<w:jc w:val="center"/><w:instrText>page</w:instrText>' when 1 then '<w:jc w:val="left"/> PAGE' when 2 then concat('<w:jc w:val=', code(39), 'center', code(39), '/>') end as footer from {docs}"""),
     "seen_chunks": (["chunk_rows"], "select doc_id, cast((pos * 7 + doc_id) % 5 as int) as section_id, pos, k from {chunk_rows}"),
     "task_times": (["tasks"], "select id, event_id, case event_id % 3 when 0 then '2024-03-01T23:30:00' when 1 then '2024-03-01T10:00:05+02:00' else '2024-02-29 00:00:00Z' end as written from {tasks}"),
+    "reviews": (
+        ["issues"],
+        """select doc_id, cast(floor(pos / 4) as int) as section_id, pos as chunk, (pos + k) % 2 as source, pos * 3 + k as at, case when k = 2 and pos % 2 = 0 then 'format' else 'logic' end as issue_type,
+  case when doc_id % 2 = 0 or original = '' then 'none' else original end as label, start_char + 2 * k as start_char, end_char + 2 * k as end_char from {issues}""",
+    ),
+    "coded": (
+        ["tabled"],
+        """select doc_id, pos, section_id, type, level, size_pt, line_spacing, first_line_indent, row_count, page_start, page_end, cast((doc_id + pos) % 5 as double) / 4 as left_indent, case when pos % 3 = 0 then 'List Bullet 2' end as style,
+  case when pos % 13 = 4 then 'Courier New' else font end as font, case when pos % 7 = 2 then concat('import x;', code(10), '  f(', text, ')') when pos % 11 = 3 then '# note' when pos % 10 = 6 then concat('续表 1 ', text) when pos % 10 = 1 then concat('表 1 ', text) else text end as text from {tabled}""",
+    ),
     "issue_views": (["issues"], "select doc_id, section_id as chunk, case when doc_id % 3 = 0 then case k when 0 then 'issues' when 1 then 'local_issues' else 'llm_issues' end when k = 0 then 'local_issues' when k = 1 then 'llm_issues' else 'table_issues' end as view, pos * 3 + k as seq, issue_type, case when pos % 2 = 0 then 'same' else rule_id end as rule_id from {issues}"),
 }
 _CHINESE = "regexp_matches({}, '[一-鿿]')"
@@ -346,10 +356,58 @@ select a.* from a where view = 'issues' or not exists (from a b where b.doc_id =
 }
 
 
+def _near(source: str, out: str, scope: str, order: str) -> str:
+    """Issues without near copies, one issue after the other, for the oracle."""
+    columns = "doc_id, section_id, chunk, source, at, issue_type, label, start_char, end_char"
+    same = " and ".join(f"o.{c} = f.{c}" for c in [*scope.split(", "), "issue_type", "label"])
+    return f"""{out}_o as (select *, row_number() over (partition by {scope}, issue_type, label order by {order.replace("at", '"at"')}) n from {source}),
+{out}_f as (select {columns}, n, true keep, [struct_pack(s := start_char, e := end_char)] kept from {out}_o where n = 1
+  union all select {', '.join('o.' + c for c in columns.split(', '))}, o.n, not d.near, case when d.near then kept else list_append(kept, struct_pack(s := o.start_char, e := o.end_char)) end
+  from {out}_f f join {out}_o o on {same} and o.n = f.n + 1,
+  lateral (select len(list_filter(kept, lambda y: y.s is null or o.start_char is null or (abs(y.s - o.start_char) <= 3 and abs(y.e - o.end_char) <= 3))) > 0 near) d),
+{out} as (select {columns} from {out}_f where keep)""".replace(", at,", ', "at",').replace("o.at,", 'o."at",')
+
+
 def _added(op, inputs: list[str]) -> Query:
     return lambda spark, sf_dir: op(*[frame(spark, sf_dir, k) for k in inputs])
 
 
+#: The sections of `coded` that are not code, for the oracle.
+_PROSE = "{}, flag as ({}), prosed as (select coded.* from coded join flag using (doc_id, pos) where not is_code)".format(*_ADDED["code_sections"][2].replace("marked", "coded").replace("\nselect m.", "\n|select m.").split("\n|"))
+_prose = lambda name: lambda df: PROSE_PACKS[name]({"sections": df})
+_ADDED |= {
+    "prose_layout_rules": (_prose("layout"), ["coded"], f"{_PROSE} {rules_sql('prosed', packs.LAYOUT_RULES, SECTION)}"),
+    "prose_list_rules": (_prose("lists"), ["coded"], f"{_PROSE}, levels as ({duck_sql(packs.LIST_LEVEL).replace('{x}', 'prosed')}) {rules_sql('levels', packs.LIST_RULES, SECTION)}"),
+    "prose_headings": (
+        lambda df: _prose("jumps")(df).unionByName(_prose("reversals")(df)).where("rule_id like 'TITLE-%'"),
+        ["coded"],
+        f"""{_PROSE}, h as (select doc_id, pos, level, (select max_by(b.level, b.pos) from prosed b where b.doc_id = a.doc_id and b.type = 'heading' and b.pos < a.pos) b from prosed a where type = 'heading')
+select doc_id, pos, case when level > b then 'TITLE-007' else 'TITLE-008' end rule_id, case when level > b then 3 else 2 end severity from h where (level > b + 1 and b > 0) or level < b - 1""",
+    ),
+    "prose_captions": (
+        _prose("captions"),
+        ["coded"],
+        f"""{_PROSE}, h as (select *, coalesce((select max_by(b.text, b.pos) from prosed b where b.doc_id = a.doc_id and b.pos < a.pos), '') b from prosed a where type in ('table', 'figure'))
+select doc_id, pos, 'TABLE-CAPTION-001' rule_id, 2 severity from h where type = 'table' and not regexp_matches(lower(b), '^(表\\s*[0-9]|table\\s*[0-9])') union all select doc_id, pos, 'IMAGE-CAPTION-001', 2 from h where type = 'figure' and not regexp_matches(lower(b), '^(图\\s*[0-9]|fig\\.?\\s*[0-9]|figure\\s*[0-9])')
+union all select doc_id, pos, 'TABLE-CONT-001', 2 from h where type = 'table' and (page_end > page_start or (row_count > 15 and not contains(b, '续表')))""",
+    ),
+    "issue_merge_near": (
+        lambda df: issues.near_merged_reviews(df.where("source = 0").drop("source"), df.where("source = 1").drop("source")),
+        ["reviews"],
+        ", ".join(
+            [
+                "r0 as (select * from reviews where source = 0), r1 as (select * from reviews where source = 1)",
+                _near("r0", "d0", "doc_id, section_id, chunk", "at"),
+                _near("r1", "d1", "doc_id, section_id, chunk", "at"),
+                "u as (select * from d0 union all select * from d1)",
+                _near("u", "dc", "doc_id, section_id, chunk", "source, at"),
+                _near("dc", "ds", "doc_id, section_id", "chunk, source, at"),
+            ]
+        )
+        + " select * from ds",
+    ),
+}
+
 for _name, (_op, _inputs, _sql) in _ADDED.items():
     QUERIES[_name], ORACLE[_name] = _added(_op, _inputs), _with(_inputs, _sql)
 
@@ -368,7 +426,8 @@ _NARROW = {
     "n": "page_top_issues",
     "number": "bidirectional_refs",
     "chunk": "report_compaction",
-    "pos": "code_sections audit_lines needle_positions list_rules section_page_map section_id_order keyword_needles formatting_rules strict_heading_rules layout_rules formula_table_list_rules heading_format_rules paragraph_rules heading_hier_strict figure_numbering caption_sequence caption_missing empty_line_first heading_body_spacing page_assignment size_carry_forward duplicate_sections ref_detect_fallback ref_block_extract chart_mentions citation_groups missing_ref_entries citation_order severity_norm issue_dedupe_exact chunks chunks_small span_relocate",
+    "chunk, source": "issue_merge_near",
+    "pos": "prose_layout_rules prose_list_rules prose_headings prose_captions code_sections audit_lines needle_positions list_rules section_page_map section_id_order keyword_needles formatting_rules strict_heading_rules layout_rules formula_table_list_rules heading_format_rules paragraph_rules heading_hier_strict figure_numbering caption_sequence caption_missing empty_line_first heading_body_spacing page_assignment size_carry_forward duplicate_sections ref_detect_fallback ref_block_extract chart_mentions citation_groups missing_ref_entries citation_order severity_norm issue_dedupe_exact chunks chunks_small span_relocate",
     "pos, expected": "chapter_ordinal",
     "pos, k": "blank_runs",
     "pos, level, before": "heading_jump heading_reverse",

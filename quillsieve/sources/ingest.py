@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_SECTION = "id int, section_id int, element_type string, type string, level int, text string, raw_text string, is_table boolean, table_rows array<array<string>>, images array<string>, has_math boolean, formatting struct<font:string,size:string,alignment:string,paragraph_style:string,line_spacing:string>, position struct<section_id:int,paragraph_index:int,page_start:int,page_end:int,xml_path:string>, props map<string,string>"
+_SECTION = "id int, section_id int, element_type string, type string, level int, text string, raw_text string, is_table boolean, table_rows array<array<string>>, table_row_positions array<struct<row_index:int,cells:array<string>,page_start:int,page_end:int>>, images array<string>, has_math boolean, formatting struct<font:string,size:string,alignment:string,paragraph_style:string,line_spacing:string>, position struct<section_id:int,paragraph_index:int,page_start:int,page_end:int,xml_path:string>, props map<string,string>"
 _REFERENCE = "id string, ref_id string, index int, text string, raw_text string"
 _BODY = f"sections array<struct<{', '.join(x.replace(' ', ':', 1) for x in _SECTION.split(', '))}>>, references array<struct<{', '.join(x.replace(' ', ':', 1) for x in _REFERENCE.split(', '))}>>"
 PARSED = f"doc_id string, {_BODY}, data struct<{_BODY.replace('sections array', 'sections:array').replace('references array', 'references:array')}>"
@@ -52,6 +52,16 @@ def sections_of(parsed: DataFrame) -> DataFrame:
     )
 
 
+def table_rows_of(parsed: DataFrame) -> DataFrame:
+    """One row for each row of a table: row_index, cells, pages and whether it runs over a page; rows without a place of their own
+    are numbered from 0 and have their section's pages. Unknown pages are null, and such rows run over none."""
+    s = F.col("s")
+    rows = parsed.select("doc_id", F.posexplode("sections").alias("pos", "s"))
+    plain = F.transform(s.table_rows, lambda r, i: F.struct(i.alias("row_index"), r.alias("cells"), s.position.page_start.alias("page_start"), s.position.page_end.alias("page_end")))
+    placed = rows.select("doc_id", "pos", F.inline(F.coalesce(F.when(F.size(s.table_row_positions) > 0, s.table_row_positions), plain)))
+    return placed.withColumn("is_cross_page", F.coalesce(F.col("page_end") > F.col("page_start"), F.lit(False)))
+
+
 def references_of(parsed: DataFrame) -> DataFrame:
     """(doc_id, ref_pos, ref_id, raw_text): the id is the first given of ref_id, id, index and the place in the list."""
     r = F.col("r")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quillsieve.functions.rules import Rule, apply_rules
 from quillsieve.operators import chunks, citations, issues, lines, packs, report, retrieval, sequences, structure
-from quillsieve.plans.audit import audit, review, scores
-from quillsieve.sources.ingest import heading_level, number_of, paper_text, read_parsed, references_of, sections_of, upsert_papers
+from quillsieve.plans.audit import PROSE_PACKS, audit, review, scores
+from quillsieve.sources.ingest import heading_level, number_of, paper_text, read_parsed, references_of, sections_of, table_rows_of, upsert_papers
 from quillsieve.streaming.jobs import incremental_audit, latest_status
 
 
@@ -107,6 +107,31 @@ def test_near_duplicates_of_issues(spark):
     assert sorted(r.at for r in issues.near_distinct_issues(once, ["doc_id"]).collect()) == [0, 2, 3, 5]
 
 
+def test_reviews_merged_without_near_copies(spark):
+    """In chunk 0 the second reviewer's issue at 12 goes to the first's at 10, that at 14 stays; in the section chunk 1's at 13 goes."""
+    schema = "doc_id long, section_id int, chunk int, at long, issue_type string, label string, start_char int, end_char int"
+    first = spark.createDataFrame([(1, 1, 0, 5, "f", "x", 10, 15), (1, 1, 1, 1, "f", "x", 13, 18), (1, 1, 1, 2, "f", "y", None, None), (1, 2, 3, 0, "f", "x", 10, 15)], schema)
+    second = spark.createDataFrame([(1, 1, 0, 0, "f", "x", 12, 17), (1, 1, 0, 1, "f", "x", 16, 21), (1, 1, 1, 0, "f", "y", 3, 9), (1, 1, 1, 1, "g", "y", 3, 9)], schema)
+    got = sorted((r.section_id, r.chunk, r.source, r["at"], r.issue_type) for r in issues.near_merged_reviews(first, second).collect())
+    assert got == [(1, 0, 0, 5, "f"), (1, 0, 1, 1, "f"), (1, 1, 0, 2, "f"), (1, 1, 1, 1, "g"), (2, 3, 0, 0, "f")]
+    assert issues.near_merged_reviews(first.limit(0), second.limit(0)).count() == 0
+
+
+def test_table_rows(spark, tmp_path):
+    placed = {"is_table": True, "table_rows": [["a"], ["b"]], "table_row_positions": [{"row_index": 0, "cells": ["a"], "page_start": 2, "page_end": 2}, {"row_index": 1, "cells": ["b"], "page_start": 2, "page_end": 3}]}
+    plain = {"is_table": True, "table_rows": [["c", None], []], "position": {"page_start": 4, "page_end": 5}}
+    (tmp_path / "p.json").write_text(json.dumps({"doc_id": "x", "sections": [placed, plain, {"text": "t"}, {"table_rows": [["d"]]}]}))
+    got = [tuple(r) for r in table_rows_of(read_parsed(spark, str(tmp_path / "p.json"))).orderBy("pos", "row_index").collect()]
+    assert got == [("x", 0, 0, ["a"], 2, 2, False), ("x", 0, 1, ["b"], 2, 3, True), ("x", 1, 0, ["c", None], 4, 5, True), ("x", 1, 1, [], 4, 5, True), ("x", 3, 0, ["d"], None, None, False)]
+
+
+def test_captions_pass_code_over(spark):
+    rows = [(1, 0, "paragraph", "表 1 a", None, 0), (1, 1, "paragraph", "# note", None, 0), (1, 2, "table", "t", 1, 9), (1, 3, "paragraph", "续表 1", None, 0), (1, 4, "table", "t", 1, 20), (1, 5, "table", "t", 2, 20), (1, 6, "figure", "f", None, 0)]
+    sections = spark.createDataFrame([(d, p, t, x, "SimSun", 1, e, n) for d, p, t, x, e, n in rows], "doc_id long, pos int, type string, text string, font string, page_start int, page_end int, row_count int")
+    got = sorted((r.pos, r.rule_id) for r in PROSE_PACKS["captions"]({"sections": sections}).collect())
+    assert got == [(4, "TABLE-CAPTION-001"), (5, "TABLE-CAPTION-001"), (5, "TABLE-CONT-001"), (6, "IMAGE-CAPTION-001")]
+
+
 def test_ingest(spark, tmp_path):
     section = {"id": 4, "element_type": "Paragraph", "raw_text": "", "text": "1. Intro", "formatting": {"size": "18pt", "font": "SimHei"}, "props": {"a": "b"}}
     table = {"id": 5, "is_table": True, "table_rows": [["a", None], ["c", "d", "e"]]}
@@ -150,6 +175,9 @@ def test_verification_by_hand(spark):
     got = {r.id: r for r in retrieval.verified(queries, retrieval.paper_topk(queries, papers), papers).collect()}
     assert (got[0].verdict, got[0].paper_id, got[0].title_score) == ("verified", 1, 1.0)
     assert (got[1].verdict, got[1].year_mismatch, got[1].title_score) == ("unverified", True, 1.0)
+    assert {k: (r.reason, r.risk_flags) for k, r in got.items() if k in (0, 1, 3, 4, 5, 6)} == {
+        0: ("local_match_strong", ""), 1: ("local_match_weak", "weak_match,year_mismatch"), 3: ("local_match_weak", "weak_match"), 4: ("no_local_match", "no_local_match"), 5: ("empty_reference", "empty_reference"), 6: ("empty_reference", "empty_reference")
+    }
     assert (got[7].verdict, got[7].author_score) == ("verified", 1.0)
     assert (got[8].paper_id, got[8].title_score) == (1, 1.0)  # a fragment is the title's beginning
     assert all(got[k].no_candidate and got[k].score == 0 for k in (4, 5, 6)) and len(got) == len(texts)
