@@ -20,6 +20,11 @@ select s.doc_id, sections, coalesce(issues, 0) as issues, coalesce(chunks, 0) as
 )
 #: How often each code was raised, with subtotals by type and in all.
 rule_histogram = SqlOperator("issues", "select issue_type, rule_id, count(*) as n, count(distinct doc_id) as docs from {issues} group by rollup(issue_type, rule_id)")
+#: Format errors (codes that begin with ERR_) for a hundred references; null without references.
+detection_rate = SqlOperator(
+    "issues refs",
+    "select errors, listed, case when listed > 0 then round(errors * 100.0e0 / listed, 6) end as rate from (select count(*) as errors from {issues} where substring(rule_id, 1, 4) = 'ERR_') i cross join (select count(*) as listed from {refs}) r",
+)
 latency_stats = SqlOperator(
     "tasks",
     """with r as (select current_stage, progress, row_number() over (partition by current_stage order by progress) as k, count(*) over (partition by current_stage) as n from {tasks})

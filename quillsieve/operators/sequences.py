@@ -39,11 +39,15 @@ figure_numbering = SqlOperator(
 from (select doc_id, pos, type, lower(text) as low, cast(row_number() over (partition by doc_id, type order by pos) as string) as n from {sections} where type in ('figure', 'table')) s
 where not case type when 'figure' then contains(low, concat('图', n)) or contains(low, concat('figure ', n)) else contains(low, concat('表', n)) or contains(low, concat('table ', n)) end""",
 )
-#: Caption numbers (doc_id, pos, caption), `chapter.n` or `n`, that don't go up by one within their chapter; two codes each.
+_IN_TEXT, _PLAIN_IN_TEXT = "(?:图|表|Figure|Table)\\s*(\\d+\\.\\d+)", "(?:图|表|Figure|Table)\\s*(\\d+)(?:[^.\\d]|$)"
+#: Caption numbers (doc_id, pos, caption, text), `chapter.n` or `n`, else the first such number after a figure's or table's name in the
+#: text, that don't go up by one within their chapter; two codes each. Numbers beyond 32 bits are none.
 caption_sequence = SqlOperator(
     "captions",
-    """with c as (select doc_id, pos, coalesce(cast(nullif(regexp_extract(caption, «^(\\d+)\\.\\d+$», 1), '') as int), 0) as chapter, cast(nullif(regexp_extract(caption, «(\\d+)$», 1), '') as int) as n from {captions}),
-e as (select *, lag(n, 1, 0) over (partition by doc_id, chapter order by pos) + 1 as expected from c where n is not null)
+    f"""with c as (select doc_id, pos, trim(coalesce(caption, '')) as c, coalesce(text, '') as t from {{captions}}),
+p as (select doc_id, pos, case when rx(c, «^\\d+\\.\\d+$») then c when rx(c, «^\\d+$») then concat('0.', c) when rx(t, «{_IN_TEXT}») then regexp_extract(t, «{_IN_TEXT}», 1) when rx(t, «{_PLAIN_IN_TEXT}») then concat('0.', regexp_extract(t, «{_PLAIN_IN_TEXT}», 1)) end as number from c),
+s as (select doc_id, pos, try_cast(regexp_extract(number, «^(\\d+)», 1) as int) as chapter, try_cast(regexp_extract(number, «(\\d+)$», 1) as int) as n from p where number is not null),
+e as (select *, lag(n, 1, 0) over (partition by doc_id, chapter order by pos) + 1 as expected from s where n is not null and chapter is not null)
 select doc_id, pos, chapter, n, expected, unroll(many('ERR_INT_CHART_NUM_001', 'ERR_INT_FIGURE_NUM_SKIP')) as rule_id from e where n <> expected""",
 )
 #: Tables and figures that no caption stands before; a table over two pages, or of over 15 rows and not marked as continued.

@@ -14,6 +14,19 @@ required_parts = SqlOperator(
     """with h as (select /*+ broadcast(p) */ distinct s.doc_id, p.part from {sections} s join {parts} p on contains(lower(s.text), p.word)), d as (select distinct doc_id from {sections}), q as (select distinct part from {parts})
 select d.doc_id, q.part, 'ERR_INT_REQ_001' as rule_id from d cross join q left join h on h.doc_id = d.doc_id and h.part = q.part where h.part is null""",
 )
+#: Chapters that headings must name.
+CHAPTERS = ["摘要", "引言", "正文", "结论", "参考文献"]
+
+
+def missing_chapters(sections: DataFrame, words: list[str] = CHAPTERS) -> DataFrame:
+    """One row for each word that no heading of a document has in it, in one pass; a document without headings lacks all."""
+    text = F.when(F.col("type") == "heading", F.col("text"))
+    has = [F.coalesce(F.bool_or(text.contains(w)), F.lit(False)) for w in words]
+    found = sections.groupBy("doc_id").agg(F.array(*[F.when(~h, w) for h, w in zip(has, words, strict=True)]).alias("missing"))
+    rows = found.select("doc_id", F.explode(F.array_compact("missing")).alias("word"))
+    return rows.select("doc_id", F.concat(F.lit("ERR_INTEGRITY_REQ_"), "word").alias("rule_id"), F.lit(5).alias("severity"))
+
+
 #: One pass: abstract, conclusion and references present, and the last abstract after the last conclusion.
 document_structure = SqlOperator(
     "sections",
@@ -51,11 +64,13 @@ missing_acknowledgement = SqlOperator(
     """select d.doc_id, 'ERR_INT_MISSING_ACKNOWLEDGEMENT' as rule_id from {docs} d where rx(lower(title), «学位论文|thesis|dissertation»)
 and not exists (select 1 from {sections} s where s.doc_id = d.doc_id and rx(lower(s.text), «致谢|acknowledge?ment»))""",
 )
-#: Metadata: whitespace-separated words, parts by type, pages (the largest given, else 20 sections a page).
+#: Metadata: whitespace-separated words, parts by type, formulas, pages (the largest given if any is over 1, else 20 sections a page).
 document_metadata = SqlOperator(
     "sections",
     """select doc_id, cast(sum(items(regexp_extract_all(text, «[^\\s]+», 0))) as bigint) as total_words, cast(sum(case when type = 'paragraph' then 1 else 0 end) as bigint) as total_paragraphs, cast(sum(case when type = 'table' then 1 else 0 end) as bigint) as total_tables,
-  cast(greatest(1, ceil(count(*) / 20)) as bigint) as total_pages, 'estimated' as page_mode from {sections} group by doc_id""",
+  coalesce(max(case when has_math then 1 else 0 end), 0) = 1 as has_math,
+  cast(case when coalesce(max(greatest(coalesce(page_start, 1), coalesce(page_end, 1))), 1) > 1 then coalesce(max(coalesce(page_end, page_start)), 1) else greatest(1, ceil(count(*) / 20)) end as bigint) as total_pages,
+  case when coalesce(max(greatest(coalesce(page_start, 1), coalesce(page_end, 1))), 1) > 1 then 'explicit_or_mixed' else 'estimated' end as page_mode from {sections} group by doc_id""",
 )
 #: Lines that look like references, of documents that have none listed.
 detected_references = SqlOperator(

@@ -30,7 +30,13 @@ DERIVED: dict[str, tuple[list[str], str]] = {
   case (doc_id + pos) % 4 when 0 then 'right' when 1 then 'center' when 2 then 'left' end as alignment, case when pos % 2 = 0 then 'false' else 'true' end as has_caption, case when doc_id % 2 = 0 then 'Table 1 continued' end as caption,
   case when doc_id % 3 = 0 then cast(pos % 3 as string) end as indent_level, case when doc_id % 5 = 0 then '0.5pt' else '0.5' end as list_indent, case doc_id % 3 when 0 then 'bottom-center' when 1 then 'top' end as page_number_at from {sections}""",
     ),
-    "captions": (["sections"], "select doc_id, pos, case when doc_id % 2 = 0 then concat(cast(1 + pos % 2 as string), '.', cast(pos % 4 as string)) else cast(pos % 5 as string) end as caption from {sections} where type in ('figure', 'table')"),
+    "mathy": (["tabled"], "select doc_id, pos, type, text, case when doc_id % 3 > 0 then page_start end as page_start, case when doc_id % 3 = 1 and pos % 2 = 0 then page_end end as page_end, pos % 9 = 1 and doc_id % 2 = 0 as has_math from {tabled}"),
+    "error_issues": (["issues"], "select doc_id, case when k < 2 then concat('ERR_', rule_id) else rule_id end as rule_id from {issues}"),
+    "captions": (
+        ["sections"],
+        """select doc_id, pos, case when pos % 3 = 0 then null when doc_id % 2 = 0 then concat(cast(1 + pos % 2 as string), '.', cast(pos % 4 as string)) else cast(pos % 5 as string) end as caption,
+  case pos % 5 when 0 then 'see 图 2.1 and 3' when 1 then 'Table 4. end' when 2 then 'Figure 3' when 3 then concat(text, ' 表1 x') else text end as text from {sections} where type in ('figure', 'table')""",
+    ),
     "lines": (["sections"], "select doc_id, pos, case when (doc_id + pos) % 5 in (1, 2, 3) then ' ' else text end as text from {sections}"),
     "ref_lines": (["refs"], "select doc_id, ref_pos as pos, raw_text as text from {refs}"),
     "no_refs": (["refs"], "select doc_id from {refs} where doc_id % 3 = 0"),
@@ -141,7 +147,7 @@ add("doc_presence", structure.presence)
 add("empty_docs", structure.empty_documents)
 add("duplicate_sections", structure.duplicate_sections, sections="repeated_ids")
 add("ack_missing", structure.missing_acknowledgement)
-add("doc_metadata", structure.document_metadata)
+add("doc_metadata", structure.document_metadata, sections="mathy")
 add("ref_detect_fallback", structure.detected_references, lines="ref_lines", refs="no_refs")
 add("chart_mentions", structure.unmentioned_charts)
 add("abbreviations", structure.unexpanded_abbreviations, lines="mentions")
@@ -167,6 +173,7 @@ add("score_impact", report.score_impact)
 add("audit_summary", report.audit_summary)
 add("review_summary", report.review_summary, chunks="chunk_rows")
 add("rule_histogram", report.rule_histogram)
+add("detection_rate", report.detection_rate, issues="error_issues")
 add("latency_stats", report.latency_stats)
 add("task_listing", report.task_listing)
 add("task_latest", report.task_latest)
@@ -376,6 +383,11 @@ def _added(op, inputs: list[str]) -> Query:
 _PROSE = "{}, flag as ({}), prosed as (select coded.* from coded join flag using (doc_id, pos) where not is_code)".format(*_ADDED["code_sections"][2].replace("marked", "coded").replace("\nselect m.", "\n|select m.").split("\n|"))
 _prose = lambda name: lambda df: PROSE_PACKS[name]({"sections": df})
 _ADDED |= {
+    "missing_chapters": (
+        lambda df: structure.missing_chapters(df, ["The", "e", "License", "参考文献"]),
+        ["sections"],
+        "w(x) as (values ('The'), ('e'), ('License'), ('参考文献')), d as (select distinct doc_id from sections) select d.doc_id, 'ERR_INTEGRITY_REQ_' || x rule_id, 5 severity from d, w where not exists (from sections s where s.doc_id = d.doc_id and type = 'heading' and contains(text, x))",
+    ),
     "prose_layout_rules": (_prose("layout"), ["coded"], f"{_PROSE} {rules_sql('prosed', packs.LAYOUT_RULES, SECTION)}"),
     "prose_list_rules": (_prose("lists"), ["coded"], f"{_PROSE}, levels as ({duck_sql(packs.LIST_LEVEL).replace('{x}', 'prosed')}) {rules_sql('levels', packs.LIST_RULES, SECTION)}"),
     "prose_headings": (

@@ -117,6 +117,23 @@ def test_reviews_merged_without_near_copies(spark):
     assert issues.near_merged_reviews(first.limit(0), second.limit(0)).count() == 0
 
 
+def test_caption_numbers_by_hand(spark):
+    """Numbers of captions first, then those of texts; each chapter counts by itself."""
+    rows = [(0, "1.1", None), (1, "", "见图 1.2 与图 1.9"), (2, None, "Figure 1"), (3, " 2 ", "图 7"), (4, None, "Table 4. x"), (5, "x5", "表 5"), (6, "1.4", "图 1.3"), (7, "99999999999", None), (8, None, None)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "doc_id long, pos int, caption string, text string")
+    got = {(r.pos, r.chapter, r.n, r.expected) for r in sequences.caption_sequence(df).collect()}
+    assert got == {(5, 0, 5, 3), (6, 1, 4, 3)}
+
+
+def test_metadata_and_chapters_by_hand(spark):
+    rows = [(1, "heading", "摘要 a", None, None, False), (1, "paragraph", "结论 b c", 2, None, True), (1, "table", "", 2, 4, None), (2, "paragraph", "x", 1, 1, None), (3, "heading", None, None, None, None)]
+    df = spark.createDataFrame([(*r, "more") for r in rows], "doc_id long, type string, text string, page_start int, page_end int, has_math boolean, word string")
+    got = {r.doc_id: (r.total_pages, r.page_mode, r.has_math, r.total_tables) for r in structure.document_metadata(df).collect()}
+    assert got == {1: (4, "explicit_or_mixed", True, 1), 2: (1, "estimated", False, 0), 3: (1, "estimated", False, 0)}
+    lacks = sorted((r.doc_id, r.rule_id[18:]) for r in structure.missing_chapters(df, ["摘要", "结论"]).collect())
+    assert lacks == [(1, "结论"), (2, "摘要"), (2, "结论"), (3, "摘要"), (3, "结论")]
+
+
 def test_table_rows(spark, tmp_path):
     placed = {"is_table": True, "table_rows": [["a"], ["b"]], "table_row_positions": [{"row_index": 0, "cells": ["a"], "page_start": 2, "page_end": 2}, {"row_index": 1, "cells": ["b"], "page_start": 2, "page_end": 3}]}
     plain = {"is_table": True, "table_rows": [["c", None], []], "position": {"page_start": 4, "page_end": 5}}
