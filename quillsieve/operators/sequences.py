@@ -70,12 +70,15 @@ first_empty_lines = SqlOperator(
     "lines",
     """select doc_id, min(pos) as pos, 'FMT_EMPTY_LINE_001' as rule_id from (select doc_id, pos, trim(text) = '' as blank, lag(trim(text) = '') over (partition by doc_id order by pos) as before from {lines}) l where blank and before group by doc_id""",
 )
-#: Paragraphs right after a heading with spacing before them under 0.1, and headings whose spacing to what follows lies outside 3.6 to 8.4 points.
+#: Paragraphs right after a heading with spacing before them under 0.1, and headings whose spacing to the next section
+#: that is neither blank nor a table or figure lies outside 3.6 to 8.4 points.
 heading_spacing = SqlOperator(
     "sections",
-    """with s as (select doc_id, pos, type, space_before, space_after, lag(type) over (partition by doc_id order by pos) as type_before, lead(space_before) over (partition by doc_id order by pos) as next_before, lead(type) over (partition by doc_id order by pos) as next_type from {sections})
+    """with s as (select doc_id, pos, type, space_before, space_after, lag(type) over (partition by doc_id order by pos) as type_before,
+  type not in ('table', 'figure') and trim(coalesce(text, '')) <> '' as written from {sections}),
+w as (select *, lead(space_before) over (partition by doc_id order by pos) as next_before, lead(type) over (partition by doc_id order by pos) as next_type from s where written)
 select doc_id, pos, 'FMT_SPACING_001' as rule_id from s where type = 'paragraph' and type_before = 'heading' and space_before < 0.1
-union all select doc_id, pos, 'SPACE-002' from s where type = 'heading' and next_type is not null and coalesce(space_after, next_before) not between 3.6 and 8.4""",
+union all select doc_id, pos, 'SPACE-002' from w where type = 'heading' and next_type is not null and coalesce(space_after, next_before) not between 3.6 and 8.4""",
 )
 #: Pages: explicit breaks (pages begin after a break), else 20 sections a page.
 page_assignment = SqlOperator(

@@ -40,7 +40,7 @@ DERIVED: dict[str, tuple[list[str], str]] = {
     "lines": (["sections"], "select doc_id, pos, case when (doc_id + pos) % 5 in (1, 2, 3) then ' ' else text end as text from {sections}"),
     "ref_lines": (["refs"], "select doc_id, ref_pos as pos, raw_text as text from {refs}"),
     "no_refs": (["refs"], "select doc_id from {refs} where doc_id % 3 = 0"),
-    "spaced": (["sections"], "select doc_id, pos, type, case when pos % 3 = 0 then real(pos % 10) end as space_before, case when pos % 2 = 0 then real((doc_id + pos) % 12) end as space_after from {sections}"),
+    "spaced": (["sections"], "select doc_id, pos, type, case when (doc_id + pos) % 4 = 1 then ' ' else text end as text, case when pos % 3 = 0 then real(pos % 10) end as space_before, case when pos % 2 = 0 then real((doc_id + pos) % 12) end as space_after from {sections}"),
     "tabled": (["sections"], "select *, length(text) % 31 as row_count, cast(floor(pos / 6) as int) as page_start, cast(floor((pos + doc_id % 2) / 6) as int) as page_end from {sections}"),
     "indented": (["sections"], "select doc_id, pos, case when pos % 4 = 0 then concat('1. ', text) when pos % 4 = 1 then concat('（二）', text) else text end as text, case when pos % 3 = 0 then 'List Bullet 2' when pos % 3 = 1 then 'Normal' end as style, cast((doc_id + pos) % 5 as double) / 4 as left_indent from {sections}"),
     "paged": (["sections"], "select doc_id, pos, pos % 7 = 3 and doc_id % 2 = 0 as page_break, case when (doc_id + pos) % 3 = 0 then size_pt end as size_pt, cast(floor(pos / 4) as int) as page from {sections}"),

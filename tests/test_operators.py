@@ -134,6 +134,13 @@ def test_metadata_and_chapters_by_hand(spark):
     assert lacks == [(1, "结论"), (2, "摘要"), (2, "结论"), (3, "摘要"), (3, "结论")]
 
 
+def test_heading_spacing_by_hand(spark):
+    """Blank sections and tables don't follow a heading; its own spacing goes first; a blank heading and the last one are left out."""
+    rows = [(0, "heading", "a", None, None), (1, "paragraph", " ", 5.0, None), (2, "table", "t", 5.0, None), (3, "paragraph", "b", 9.0, None), (4, "heading", "c", None, 5.0), (5, "paragraph", "d", 0.0, None), (6, "heading", "", None, 1.0), (7, "paragraph", "e", 1.0, None), (8, "heading", "f", None, 1.0)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "doc_id long, pos int, type string, text string, space_before double, space_after double")
+    assert sorted((r.pos, r.rule_id) for r in sequences.heading_spacing(df).collect()) == [(0, "SPACE-002"), (5, "FMT_SPACING_001")]
+
+
 def test_table_rows(spark, tmp_path):
     placed = {"is_table": True, "table_rows": [["a"], ["b"]], "table_row_positions": [{"row_index": 0, "cells": ["a"], "page_start": 2, "page_end": 2}, {"row_index": 1, "cells": ["b"], "page_start": 2, "page_end": 3}]}
     plain = {"is_table": True, "table_rows": [["c", None], []], "position": {"page_start": 4, "page_end": 5}}
