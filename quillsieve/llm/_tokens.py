@@ -22,10 +22,10 @@ _WHITE = {*range(9, 14), 32, 0x85, 0xA0}
 _CLASS = np.array([_SPACE if c in _WHITE else {"L": _LETTER, "N": _NUMBER}.get(unicodedata.category(chr(c))[0], _SIGN) for c in range(_KNOWN)], np.int8)
 
 
-def pretokens(cp: np.ndarray, off: np.ndarray) -> np.ndarray:
-    """Starts of the pre-tokens of texts that stand side by side in cp, the k-th from off[k] to off[k + 1]."""
+def pretokens(cp: np.ndarray, off: np.ndarray, classes: np.ndarray = _CLASS) -> np.ndarray:
+    """Starts of the pre-tokens of texts that stand side by side in cp, the k-th from off[k] to off[k + 1]; classes: of code points."""
     n = len(cp)
-    kind = _CLASS[cp]
+    kind = classes[cp]
     first = np.zeros(n + 1, bool)
     first[off] = True
     start = first.copy()
@@ -65,6 +65,9 @@ def encoder_of(path: str) -> Encoder:
 class Encoder:
     """Not shared between threads. Keeps the ids of up to `keep` pre-tokens."""
 
+    #: Classes of the code points that the numpy pass knows.
+    classes = _CLASS
+
     def __init__(self, path: str, keep: int = 300_000):
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -113,6 +116,10 @@ class Encoder:
         self.used += total
         self.slot.update(zip(hashes, range(k, k + len(texts)), strict=True))
 
+    def _whole(self, text: str) -> np.ndarray:
+        """Ids of a text that the numpy pass can't take."""
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids (int32) of each text."""
         out: list[np.ndarray] = [np.empty(0, np.int32)] * len(texts)
@@ -120,8 +127,8 @@ class Encoder:
         for k, t in enumerate(texts):
             if not t:
                 continue
-            if len(t) > len(_POW) // 2 or any(s in t for s in self.special) or not t.isascii() and max(t) >= chr(_KNOWN):
-                out[k] = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.int32)
+            if len(t) > len(_POW) // 2 or any(s in t for s in self.special) or not t.isascii() and ord(max(t)) >= len(self.classes):
+                out[k] = self._whole(t)
                 continue
             run.append(k)
             size += len(t)
@@ -136,7 +143,7 @@ class Encoder:
         whole = "".join([texts[k] for k in run])
         cp = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         off = np.concatenate([[0], np.cumsum([len(texts[k]) for k in run])])
-        s = pretokens(cp, off)
+        s = pretokens(cp, off, self.classes)
         e = np.append(s[1:], len(cp))
         sums = np.zeros(len(cp) + 1, np.uint64)
         np.cumsum((cp.astype(np.uint64) + np.uint64(1)) * _POW[: len(cp)], out=sums[1:])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._scratch import Scratch
+from .bpe import count_ids, decode_ids, encode_texts
 from .chat import as_events, fold, read_loss, read_turns, render
 from .decontaminate import find_contamination
 from .fingerprints import compare_edited
@@ -98,6 +100,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = encode_texts(_table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text")
+    back = decode_ids(coded, path)
+    return back.select("doc_id", count_ids().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -111,6 +120,7 @@ QUERIES = {
         op8_chat_formatting,
         op9_imatch_fingerprints,
         op10_packing,
+        op11_bpe_codec,
     )
 }
 
