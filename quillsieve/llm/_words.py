@@ -49,14 +49,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+@functools.lru_cache(2)
+def _powers_of(base: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(base, _BLOCK), _powers(pow(base, -1, 1 << 64), _BLOCK)
+
+
+def _hashes(buf: np.ndarray, s: np.ndarray, e: np.ndarray, base: int = _BASE) -> np.ndarray:
     """Hash of buf[s:e] for each word; blocks end between words, so that long texts need no more memory than short ones."""
     out = np.empty(len(s), np.uint64)
+    pow_, inv = (_POW, _INV) if base == _BASE else _powers_of(base)
     i = 0
     while i < len(s):
         j = max(i + 1, int(np.searchsorted(e, s[i] + _BLOCK, "right")))
         lo, hi = int(s[i]), int(e[j - 1])
-        powers, inverse = (_POW, _INV) if hi - lo <= _BLOCK else (_powers(_BASE, hi - lo), _INV)
+        powers, inverse = (pow_, inv) if hi - lo <= _BLOCK else (_powers(base, hi - lo), inv)
         sums = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum((buf[lo:hi].astype(np.uint64) + np.uint64(1)) * powers[: hi - lo], out=sums[1:])
         out[i:j] = (sums[e[i:j] - lo] - sums[s[i:j] - lo]) * inverse[s[i:j] - lo]

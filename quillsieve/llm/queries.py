@@ -15,6 +15,7 @@ from .langid import held_out, identify, train
 from .licenses import TEMPLATES, scan_licenses, size_bounds, template_words
 from .ngram_join import jaccard_classes
 from .packing import pack
+from .phrases import mine_phrases
 from .substring_dedup import remove_repeats
 from .url_filter import judge
 from .warc import base32_sha1, deduplicate, read_archives, write_archives
@@ -107,6 +108,10 @@ def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("doc_id", count_ids().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -121,6 +126,7 @@ QUERIES = {
         op9_imatch_fingerprints,
         op10_packing,
         op11_bpe_codec,
+        op12_phrase_collocations,
     )
 }
 
@@ -215,6 +221,19 @@ m as (select k, doc_id, license, 2.0::double * len(list_intersect(b, t)) / (len(
 g as (select *, row_number() over (partition by k order by dice desc, license) r from m where dice >= 0.8),
 d as (select doc_id, max(dice) dice, arg_min(license, (-dice, license)) license, string_agg(distinct license, ',' order by license) licenses from g where r = 1 group by 1)
 select doc_id, license, coalesce(dice, 0) dice, coalesce(licenses, '') licenses from documents left join d using (doc_id)""",
+    "op12_phrase_collocations": rf"""
+with w as (select lang, regexp_extract_all(p, '[^\x20\x09]+') w from (select coalesce(lang, 'und') lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) p from documents where text is not null) z),
+one as (select lang, x, count(*) n from (select lang, unnest(w) x from w) z group by 1, 2),
+two as (select lang, a, b, count(*) n from (select lang, w[i] a, w[i + 1] b from w, unnest(range(1, len(w))) t(i)) z group by 1, 2, 3 having n >= 10),
+three as (select lang, a, b, c, count(*) n from (select lang, w[i] a, w[i + 1] b, w[i + 2] c from w, unnest(range(1, len(w) - 1)) t(i)) z group by 1, 2, 3, 4 having n >= 10),
+cut as (select t.lang, concat(t.a, ' ', t.b) phrase, t.n a, 1 k, x.n l, y.n r from two t join one x on x.lang = t.lang and x.x = t.a join one y on y.lang = t.lang and y.x = t.b
+    where not exists (from three h where h.lang = t.lang and ((h.a = t.a and h.b = t.b) or (h.b = t.a and h.c = t.b)) and 100 * h.n >= 50 * t.n)
+  union all select t.lang, concat(t.a, ' ', t.b, ' ', t.c), t.n, 1, x.n, y.n from three t join one x on x.lang = t.lang and x.x = t.a join two y on y.lang = t.lang and y.a = t.b and y.b = t.c
+  union all select t.lang, concat(t.a, ' ', t.b, ' ', t.c), t.n, 2, x.n, y.n from three t join two x on x.lang = t.lang and x.a = t.a and x.b = t.b join one y on y.lang = t.lang and y.x = t.c),
+s as (select *, (1000000::hugeint * a * a) // (l::hugeint * r) score from cut),
+m as (select *, row_number() over (partition by lang, phrase order by score, k) best from s),
+o as (select *, row_number() over (partition by lang order by score desc, a desc, phrase) rank from m where best = 1)
+select o.lang, rank, phrase, a, l, r, cast(t.n as bigint) n, cast(score as bigint) score from o join (select lang, sum(n) n from one group by 1) t on t.lang = o.lang where rank <= 2000""",
     "op8_chat_formatting": r"""
 with c as (select conv_id, turn, role, coalesce(text, '') t from conversations
   union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
