@@ -272,9 +272,9 @@ def _head(df: DataFrame, most: int) -> tuple[DataFrame, bool]:
 
 def _collected(df: DataFrame, *names: str) -> list[np.ndarray]:
     """Columns of a few rows as unsigned numbers, in order of falling n."""
-    rows = df.select("n", *names).toPandas()
-    rows = rows.sort_values(["n", *names], ascending=[False, *[True] * len(names)])
-    return [rows[c].to_numpy(np.int64).view(np.uint64) for c in names]
+    rows = df.select("n", *names).toArrow()
+    rows = rows.sort_by([("n", "descending"), *[(c, "ascending") for c in names]])
+    return [rows[c].to_numpy().view(np.uint64) for c in names]
 
 
 def _score(a: Column, left: Column, right: Column) -> Column:
