@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ._scratch import Scratch
 from .bpe import count_ids, decode_ids, encode_texts
 from .chat import as_events, fold, read_loss, read_turns, render
+from .chat_repair import FOLLOW, damage, repair_conversations
 from .decontaminate import find_contamination
 from .fingerprints import compare_edited
 from .langid import held_out, identify, train
@@ -112,6 +113,12 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mine_phrases(_table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repair_conversations(damage(_table(spark, sf_dir, "conversations")))
+    lines = F.array_join(F.transform("repaired", lambda t: F.concat(t.role, F.lit(":"), t.text)), "\n")
+    return out.withColumn("repaired_sha256", F.sha2(lines, 256)).drop("repaired")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -127,6 +134,7 @@ QUERIES = {
         op10_packing,
         op11_bpe_codec,
         op12_phrase_collocations,
+        op13_conversation_repair,
     )
 }
 
@@ -164,7 +172,43 @@ select page_id, v.host, path, rule, coalesce(fit, case when distrust > 0.5 * (tr
 from v left join t on t.host = v.host"""
 
 
+def _crc_table() -> list[int]:
+    """What a byte alone makes of the checksum's register, by the usual polynomial."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [(x >> 1) ^ (0xEDB88320 if x & 1 else 0) for x in table]
+    return table
+
+
+def _repair_sql() -> str:
+    """op13 for the oracle: from row to row, the cheapest way into each state; no spans."""
+    steps = ", ".join(f"('{p}', '{q}')" for p, follow in FOLLOW.items() for q in follow)
+    return rf"""
+with recursive src as (select conv_id, turn, coalesce(role, ' ') r, coalesce(text, ' ') t, list_reduce([4294967295::ubigint] || list_transform(string_split(concat(coalesce(conv_id::varchar, ' '), ':', coalesce(turn::varchar, ' ')), ''), lambda x: unicode(x)::ubigint),
+  lambda c, b: xor(c >> 8, {_crc_table()}[(xor(c, b) & 255)::int + 1]::ubigint)) c from conversations),
+kinds as (select conv_id, turn, r, t, xor(c, 4294967295::ubigint) % 20 kind from src),
+hurt as (select conv_id, turn, case kind when 4 then 'user' else r end r, case kind when 1 then '' when 2 then regexp_replace(t, '[.!?]', '', 'g') else t end t, unnest(case kind when 3 then [0, 1] else [0] end) copy from kinds where kind <> 0),
+nths as (select *, row_number() over (partition by conv_id, r, t order by turn nulls first, copy) nth, rtrim(t, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))) body from hurt),
+numbered as (select *, row_number() over (partition by conv_id order by turn nulls first, r, t, copy, nth) i from nths),
+rows_ as materialized (select conv_id, turn, r, t, i, left(r, 1) c, case when body = '' then 'blank' when nth > 1 then 'duplicate' when right(body, 1) not in ('.', '!', '?') then 'truncated' end fault, lag(left(r, 1)) over (partition by conv_id order by i) c0 from numbered),
+step(p, q) as (values {steps}),
+ins(p, q, cost, audit) as (select p, q, 5, 'I' from step where q in ('u', 'a') union all select a.p, b.q, 10, 'II' from step a join step b on b.p = a.q where a.q in ('u', 'a') and b.q in ('u', 'a') and a.p <> b.q union all select distinct p, p, 0, '' from step),
+edit as materialized (select i, conv_id, p, q, cost + case when fault = 'truncated' then 5 else 0 end cost, e from (select rows_.*, step.p, step.q, unnest([case when q = c then 0 end, case when q in ('u', 'a') then 1 end]) cost, unnest(['K', 'R']) e from rows_, step where fault is null or fault = 'truncated') x where cost is not null
+  union all select i, conv_id, p, p, 2, 'D' from rows_, (select distinct p from step) s),
+way as (select conv_id, 0::bigint k, 'b' q, {{'c': 0::bigint, 'a': ''}} m from rows_ where i = 1
+  union all select w.conv_id, w.k + 1, e.q, min({{'c': w.m.c + n.cost + e.cost, 'a': w.m.a || n.audit || e.e}}) from way w join ins n on n.p = w.q join edit e on e.conv_id is not distinct from w.conv_id and e.i = w.k + 1 and e.p = n.q group by 1, 2, 3),
+done as materialized (select w.conv_id, min({{'c': w.m.c + n.cost, 'a': w.m.a || n.audit}}) m from way w join (select conv_id, max(i) k from rows_ group by 1) l on l.conv_id is not distinct from w.conv_id and l.k = w.k join ins n on n.p = w.q where n.q in ('b', 'a') group by 1),
+letters as (select conv_id, unnest(string_split(m.a, '')) e, generate_subscripts(string_split(m.a, ''), 1) j from done where m.a <> ''),
+placed as (select *, count(*) filter (where e <> 'I') over (partition by conv_id order by j) i, count(*) filter (where e <> 'D') over (partition by conv_id order by j) o from letters),
+turns as (select l.conv_id, l.j, l.o, l.e, case when l.e = 'K' then r.r end r, case when l.e <> 'I' then r.t else '' end t, bool_or(l.o = 1 and l.e = 'K' and r.c = 's') over (partition by l.conv_id) s from placed l left join rows_ r on r.conv_id is not distinct from l.conv_id and r.i = l.i where l.e <> 'D'),
+said as (select conv_id, sha256(string_agg(coalesce(r, case when (o - case when s then 1 else 0 end) % 2 = 1 then 'user' else 'assistant' end) || ':' || t, chr(10) order by j)) x from turns group by 1),
+faults as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) gaps, count(*) filter (where fault = 'blank') blank, count(*) filter (where fault = 'duplicate') duplicate, count(*) filter (where fault = 'truncated') truncated, count(*) filter (where i > 1 and c0 || c not in ('su', 'ua', 'au')) illegal from rows_ group by 1)
+select o.conv_id, cast(coalesce(gaps, 0) as bigint) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated, coalesce(illegal, 0) illegal, coalesce(d.m.c, 0) cost, coalesce(d.m.a, '') audit, coalesce(said.x, sha256('')) repaired_sha256
+from (select distinct conv_id from conversations) o left join faults f on f.conv_id is not distinct from o.conv_id left join done d on d.conv_id is not distinct from o.conv_id left join said on said.conv_id is not distinct from o.conv_id"""
+
+
 ORACLE = {
+    "op13_conversation_repair": _repair_sql(),
     "op4_url_filter": _url_sql(),
     "op1_warc_revisits": r"""
 with p as (select page_id, coalesce(html, '') h, sha1(coalesce(html, '')) x from pages),
