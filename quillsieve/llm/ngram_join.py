@@ -218,6 +218,17 @@ def _links(percent: int):
     return pair
 
 
+def _same_document(named: DataFrame, classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Edges (a, b) between the classes of texts that share an id: they are one document, and what it reaches all of them reach."""
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("s1", "s2") for f in (F.min, F.max)]
+    several = named.groupBy("doc_id").agg(*ends).where("min_s1 <> max_s1 or min_s2 <> max_s2").select("doc_id")
+    several = scratch.save(several, "several")
+    own = named.join(several.hint("merge"), "doc_id").select("doc_id", "s1", "s2").distinct().join(classes.select("s1", "s2", "id").hint("merge"), ["s1", "s2"])
+    own = scratch.save(own.select("doc_id", "id"), "own")
+    head = own.groupBy("doc_id").agg(F.min("id").alias("head"))
+    return own.join(head.hint("merge"), "doc_id").where("id <> head").selectExpr("id a", "head b")
+
+
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 75, sketch: int = 48, shared: int = 16) -> DataFrame:
     """Link documents whose sets of word n-grams have a Jaccard similarity of percent/100 or more.
 
@@ -230,7 +241,8 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     reachable by links) and n_links (how many other rows it is linked with directly).
 
     A null or empty text, or one without words, has no shingles and is linked with nothing: its component is itself.
-    Rows with one id are one document, with the words of each row counted apart. A null id counts as none: such rows are
+    Rows with one id are one document, with the words and the links of each row counted apart; what one of its texts reaches,
+    all do. A null id counts as none: such rows are
     returned with a null component and zero links, and link nothing. An empty table gives an empty result; other columns
     are ignored.
     """
@@ -240,7 +252,9 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     found = scratch.save(docs.mapInArrow(tidy(_sketches(n, sketch)), "doc_id long, n long, s1 long, s2 long, sketch array<long>"), "sketches")
     named = found.where("n > 0 and doc_id is not null")
-    classes = scratch.save(named.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min_by("sketch", "doc_id").alias("sketch")), "classes")
+    # a class has a number of its own, as one id may stand for texts of several classes; `least` is its smallest document
+    classes = named.groupBy("s1", "s2").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.min("n").alias("n"), F.min_by("sketch", "doc_id").alias("sketch"))
+    classes = scratch.save(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
 
     tokens = classes.select("id", "n", F.explode("sketch").alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
@@ -260,9 +274,9 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     families = connected_components(rarest.join(heads.hint("merge"), "token").where("id <> head").selectExpr("id a", "head b").distinct(), scratch, "families")
 
     placed = classes.join(families.selectExpr("node id", "component family").hint("merge"), "id")
-    order = placed.select("family", F.floor(F.log("n") / F.log(F.lit(4 / 3))).alias("size_class"), "n", "id", "copies", "s1", "s2", "sketch")
+    order = placed.select("family", F.floor(F.log("n") / F.log(F.lit(4 / 3))).alias("size_class"), "n", "id", "copies", "s1", "s2", "sketch", "least")
     leaves = order.repartitionByRange("family", "size_class", F.get("sketch", F.lit(0)), "id").sortWithinPartitions("family", "size_class", F.get("sketch", F.lit(0)), "id")
-    leaves = scratch.save(leaves.mapInArrow(tidy(_leaves), "family long, size_class long, n long, id long, copies long, s1 long, s2 long, sketch array<long>, part int, leaf long"), "leaves")
+    leaves = scratch.save(leaves.mapInArrow(tidy(_leaves), "family long, size_class long, n long, id long, copies long, s1 long, s2 long, sketch array<long>, least long, part int, leaf long"), "leaves")
     # one row for each partition comes to the driver: how many leaves it has
     at, first = 0, []
     for r in sorted(leaves.groupBy("part").agg(F.max("leaf").alias("last")).collect()):
@@ -277,17 +291,21 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     deepest = sizes.agg(F.max("width")).first()[0] or 0
     pairs = alone.unionByName(_leaf_pairs(wide, deepest, percent, shared, scratch)) if deepest > 1 else alone
 
-    known = docs.where("doc_id is not null").join(leaves.selectExpr("id doc_id", "id", "leaf", "copies", "n", "s1", "s2").hint("merge"), "doc_id")
+    known = docs.where("doc_id is not null").join(leaves.selectExpr("least doc_id", "id", "leaf", "copies", "n", "s1", "s2").hint("merge"), "doc_id")
     whole = scratch.save(known.mapInArrow(tidy(_whole(n)), "leaf long, id long, copies long, n long, tokens binary"), "sets")
     scratch.release()
     meet = pairs.select("family", "x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("leaf")).join(whole.hint("merge"), "leaf")
     links = scratch.save(meet.groupBy("family", "x", "y").applyInPandas(_links(percent), "a long, b long, links long"), "links")
 
     scratch.drop("sets", "leaves", "rarest")
-    component = connected_components(links.where("b is not null").select("a", "b"), scratch, "components")
+    edges = links.where("b is not null").select("a", "b").unionByName(_same_document(named, classes, scratch))
+    component = connected_components(edges, scratch, "components").join(classes.select(F.col("id").alias("node"), "least").hint("merge"), "node")
+    component = scratch.save(component, "reached")
+    smallest = component.groupBy("component").agg(F.min("least").alias("smallest"))
+    component = component.join(smallest.hint("merge"), "component").select("node", "smallest")
     degree = links.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
-    known = classes.select("s1", "s2", "id", "copies").join(component.withColumnRenamed("node", "id").hint("merge"), "id", "left").join(degree.withColumnRenamed("a", "id").hint("merge"), "id", "left")
-    known = known.select("s1", "s2", F.coalesce("component", "id").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    known = classes.select("s1", "s2", "id", "least", "copies").join(component.withColumnRenamed("node", "id").hint("merge"), "id", "left").join(degree.withColumnRenamed("a", "id").hint("merge"), "id", "left")
+    known = known.select("s1", "s2", F.coalesce("smallest", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     rest = found.where("n = 0 or doc_id is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     out = named.join(known.hint("merge"), ["s1", "s2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links").unionByName(rest)
     out = scratch.last(out, "result")

@@ -81,3 +81,15 @@ def test_odd_rows(spark):
     out = sorted(map(tuple, jaccard_classes(docs).collect()), key=str)
     assert out == sorted([(5, 1, 3, 2), (5, 1, 3, 2), (3, 1, 3, 2), (None, 1, None, 0), (9, 0, 9, 0), (8, 0, 8, 0)], key=str)
     assert jaccard_classes(docs.limit(0)).count() == 0
+
+
+def test_one_id_for_several_texts(spark):
+    """Documents 2 and 3 are near to two texts of document 1, 5 and 4 to two of document 7, and 6 to one of 9."""
+    rng = random.Random(2)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(80)) for _ in range(6)]
+    a, b, c, d, e, f = texts
+    near = lambda t: t + " more"
+    rows = [(1, a), (1, b), (2, near(b)), (3, near(a)), (7, c), (7, d), (5, near(c)), (4, near(d)), (9, e), (9, f), (6, near(e)), (1, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = [(1, 1, 2), (1, 1, 1), (2, 1, 1), (3, 1, 2), (7, 4, 1), (7, 4, 1), (5, 4, 1), (4, 4, 1), (9, 6, 1), (9, 6, 0), (6, 6, 1), (1, 1, 2)]
+    assert sorted((r.doc_id, r.component_id, r.n_links) for r in jaccard_classes(docs).collect()) == sorted(want)
