@@ -38,14 +38,15 @@ def fold(events: DataFrame) -> DataFrame:
     """(conversation, message, seq, kind, role, text) -> final messages (conversation, at, message, role, text).
 
     A message's place `at` is that of its first event; its role the first that is given. Null texts count as empty, null
-    kinds as deltas. Events with one sequence number go by kind, role and text. A null conversation or message is one of
+    kinds as deltas. Events with one sequence number go by kind (deltas, edits, regenerations), role and text; of repeated edits
+    the last counts. A null conversation or message is one of
     its own.
     """
     kind = F.coalesce("kind", F.lit("delta"))
     event = F.struct("seq", kind.alias("kind"), "role", F.coalesce("text", F.lit("")).alias("text"))
     log = events.groupBy("conversation", "message").agg(F.sort_array(F.collect_list(event)).alias("log"))
-    last = F.array_max(F.transform(F.filter("log", lambda e: e.kind != "delta"), lambda e: e.seq))
-    live = F.filter("log", lambda e: F.col("last").isNull() | (e.seq > F.col("last")) | ((e.seq == F.col("last")) & (e.kind == "edit")))
+    last = F.coalesce(F.array_max(F.transform("log", lambda e, i: F.when(e.kind != "delta", i))), F.lit(0))
+    live = F.slice("log", F.col("last") + 1, F.greatest(F.size("log"), F.lit(1)))
     live = F.transform(live, lambda e: F.when(e.kind == "regenerate", "").otherwise(e.text))
     roles = F.filter(F.transform("log", lambda e: e.role), lambda r: r.isNotNull())
     return log.withColumn("last", last).select("conversation", F.get("log", F.lit(0)).seq.alias("at"), "message", F.get(roles, F.lit(0)).alias("role"), F.array_join(live, "").alias("text"))

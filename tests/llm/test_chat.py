@@ -34,7 +34,7 @@ def test_edits_and_regenerations(spark):
 
 
 def test_revised_logs_fold_to_the_same_messages(spark):
-    rows = [(c, k, ["user", "assistant"][k % 2], t) for c in range(3) for k, t in enumerate([*TEXTS, "long " * 60_000])]
+    rows = [(c, k, ["user", "assistant"][k % 2], t) for c in range(3) for k, t in enumerate([*TEXTS, "long " * 6_000])]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     log = as_events(df, chunk=100, revised=True)
     assert {r.kind for r in log.select("kind").distinct().collect()} == {"delta", "edit", "regenerate"}
@@ -44,3 +44,12 @@ def test_revised_logs_fold_to_the_same_messages(spark):
 def test_repeated_rows_are_turns(spark):
     df = spark.createDataFrame([(1, 0, "user", "a", 5)] * 2, "conv_id long, turn long, role string, text string, message int")
     assert [len(r.t) for r in render(fold(as_events(df))).select(read_turns(F.col("formatted")).alias("t")).collect()] == [2]
+
+
+def test_repeated_and_tied_edits(spark):
+    log = [
+        (1, 1, 1, "delta", "user", "old"), (1, 1, 2, "edit", None, "NEW"), (1, 1, 2, "edit", None, "NEW"), (2, 1, 1, "edit", "user", "A"), (2, 1, 1, "edit", "user", "B"),
+        (3, 1, 1, "edit", "user", "kept?"), (3, 1, 1, "regenerate", "user", None), (3, 1, 2, "delta", None, "fresh"), (4, 1, 1, "delta", "user", "x"), (4, 1, 1, "delta", "user", "x"), (4, 1, 1, "edit", "user", "y"), (5, 1, None, "edit", "user", "z"), (5, 1, None, None, "user", "early"),
+    ]
+    df = spark.createDataFrame([(*e, k) for k, e in enumerate(log)], "conversation long, message long, seq long, kind string, role string, text string, last int").repartition(3)
+    assert {r.conversation: r.text for r in fold(df).collect()} == {1: "NEW", 2: "B", 3: "fresh", 4: "y", 5: "z"}
