@@ -402,7 +402,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     and, if asked for, kept: the words left, joined by one space where any was removed, else the text as it is.
 
     A null or empty text has no words. Documents under `window` words are left alone. Rows with one id and one text are
-    the same document: none is earlier than the other. Rows with a null id are left alone, and nothing repeats them.
+    the same document: none is earlier than the other. Different texts under one id are documents of their own, in order of
+    their SHA-256; `kept` tells which is which. Rows with a null id are left alone, and nothing repeats them.
     An empty table gives an empty result; other columns are ignored.
     """
     spark: SparkSession = docs.sparkSession
@@ -415,6 +416,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = scratch.save(one.groupBy("a", "b").agg(F.min("doc_id").alias("first")), "first")
     one = scratch.save(one.join(first.hint("merge"), ["a", "b"]).selectExpr("doc_id", "cast(n_words as long) n_words", "sha", "first"), "docs")
 
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("a", "b") for f in (F.min, F.max)]
+    if not found.where("kind = 0").groupBy("doc_id").agg(*ends).where("min_a <> max_a or min_b <> max_b").isEmpty():
+        scratch.drop("scan", "first", "docs")
+        return _numbered(docs, scratch, window, prefix, group, with_text)
     scratch.release()
     local = found.where("kind = 1").select("doc_id", "at")
     shared = found.where("kind = 2").select("a", "b", "n", "doc_id", "at").repartition("a").sortWithinPartitions("a", "b", "doc_id").mapInArrow(tidy(_repeated), "doc_id long, at int")
@@ -446,6 +451,17 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.unionByName(_unnamed(docs, window, with_text))
 
 
+def _numbered(docs: DataFrame, scratch: Scratch, window: int, prefix: int, group: int, with_text: bool) -> DataFrame:
+    """remove_repeats where some id stands for several texts: each text of an id gets a number, in order of ids and hashes."""
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")
+    keys = docs.where("doc_id is not null").select("doc_id", digest).distinct().repartitionByRange("doc_id", "digest").sortWithinPartitions("doc_id", "digest")
+    keys = scratch.save(keys.withColumn("number", F.monotonically_increasing_id()), "numbers")
+    rows = docs.withColumn("digest", digest).join(keys.hint("merge"), ["doc_id", "digest"], "left")
+    out = remove_repeats(rows.select(F.col("number").alias("doc_id"), "text"), window=window, prefix=prefix, group=group, with_text=with_text)
+    out = out.withColumnRenamed("doc_id", "number").join(keys.select("number", "doc_id").hint("merge"), "number", "left").drop("number")
+    return out.select("doc_id", *[c for c in out.columns if c != "doc_id"])
+
+
 def _unnamed(docs: DataFrame, window: int, with_text: bool) -> DataFrame:
     """Rows with a null id."""
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, spans array<array<int>>"

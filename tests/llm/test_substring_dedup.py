@@ -74,3 +74,13 @@ def test_kept_text_and_spans(spark):
     got = {r.doc_id: r for r in remove_repeats(docs, with_text=True).collect()}
     assert got[1].kept is None and got[1].spans is None
     assert got[2].kept == "head tail" and got[2].spans == [[1, 31]]
+
+
+def test_one_id_for_several_texts(spark):
+    """Document 5 holds a copy of document 3, a text with the same passage, and one of its own twice."""
+    passage = " ".join(f"w{k}" for k in range(25))
+    texts = {"copy": passage, "more": "some " + passage + " words", "own": " ".join(f"v{k}" for k in range(30))}
+    rows = [(3, passage), (5, texts["copy"]), (5, texts["more"]), (5, texts["own"]), (5, texts["own"]), (8, texts["own"] + " end"), (None, passage), (9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in remove_repeats(docs).collect()), key=str)
+    assert got == sorted([(3, 25, 0), (5, 25, 25), (5, 27, 25), (5, 30, 0), (5, 30, 0), (8, 31, 30), (None, 25, 0), (9, 0, 0)], key=str)
