@@ -10,7 +10,9 @@ from .functions.rules import Rule, apply_rules, rules_sql
 from .functions.sql import SqlOperator, duck_sql, run
 from .operators import chunks, citations, issues, lines, packs, placement, report, retrieval, sequences, structure
 from .plans.audit import PROSE_PACKS, audit, scores
+from .sources.scratch import Tables
 from .sources.views import VIEWS, view, view_sql
+from .streaming import status
 from .streaming.jobs import latest_status, stage_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -299,12 +301,28 @@ QUERIES["stage_windows"] = stage_windows
 ORACLE["stage_windows"] = _with(["tasks"], "d as (select date_trunc('day', updated_at) s, current_stage, progress from tasks) select s \"start\", current_stage, count(*) n, round(avg(progress), 6) mean from d group by 1, 2")
 
 
+#: Event types that stand for the end of a task in the given events.
+_ENDS = ("purchase", "error")
+
+
 def latest_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return latest_status(frame(spark, sf_dir, "tasks"))
+    return latest_status(frame(spark, sf_dir, "tasks"), _ENDS)
+
+
+def task_status_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tasks' updates as a stream through keyed state, and what it has written of each task at the end. All files are one batch, so that none is late."""
+    scratch = Tables(spark, "status")
+    table = scratch.write(frame(spark, sf_dir, "tasks"), "tasks")
+    tasks = spark.readStream.schema(table.schema).parquet(f"{scratch.path}/tasks")
+    status.write_task_status(tasks, f"{scratch.path}/out", f"{scratch.path}/checkpoint", final=_ENDS).awaitTermination()
+    return status.status_table(spark, f"{scratch.path}/out")
 
 
-QUERIES["latest_tasks"] = latest_tasks
-ORACLE["latest_tasks"] = _with(["tasks"], "r as (select *, row_number() over (partition by id order by updated_at desc, event_id desc) k from tasks) select id, updated_at, current_stage, progress from r where k = 1")
+QUERIES["latest_tasks"], QUERIES["task_status_stream"] = latest_tasks, task_status_stream
+_ENDED = """r as (select *, current_stage in ('purchase', 'error') ended from tasks), f as (select *, row_number() over (partition by id order by ended desc, case when ended then updated_at end, case when ended then event_id end, updated_at desc, event_id desc) k from r)
+select id, updated_at, current_stage, progress{} from f where k = 1"""
+ORACLE["latest_tasks"] = _with(["tasks"], _ENDED.format(""))
+ORACLE["task_status_stream"] = _with(["tasks"], _ENDED.format(", ended final"))
 
 
 # Operators as DataFrame code, each with SQL that is written from its definition and not from the code.

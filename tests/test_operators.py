@@ -9,7 +9,6 @@ from quillsieve.functions.rules import Rule, apply_rules
 from quillsieve.operators import chunks, citations, issues, lines, packs, report, retrieval, sequences, structure
 from quillsieve.plans.audit import PROSE_PACKS, audit, review, scores
 from quillsieve.sources.ingest import heading_level, number_of, paper_text, read_parsed, references_of, sections_of, table_rows_of, upsert_papers
-from quillsieve.streaming.jobs import incremental_audit, latest_status
 
 
 def test_text_rules_by_hand(spark):
@@ -217,30 +216,6 @@ def test_review_modes(spark):
     assert {r.rule_id for r in audit({"sections": df}, use=["mine"], more={"mine": lambda t: other(t["sections"])}).collect()} == {"X"}
 
 
-def test_streams_equal_batches(spark, tmp_path):
-    from quillsieve.sources.views import view
-
-    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    docs.repartition(3).write.parquet(str(tmp_path / "docs"))
-    lines = view(spark, "/root/testdata/sf0.001", "sections")
-
-    def sections(df):
-        return lines.join(df.select("doc_id"), "doc_id", "left_semi")
-
-    stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "docs"))
-    incremental_audit(stream, sections, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    got = spark.read.parquet(str(tmp_path / "out")).drop("batch")
-    want = audit({"sections": lines})
-    assert got.count() == want.count() and got.exceptAll(want).count() == 0
-
-    tasks = view(spark, "/root/testdata/sf0.001", "tasks").withColumn("updated_at", F.col("updated_at").cast("timestamp"))
-    tasks.coalesce(1).write.parquet(str(tmp_path / "tasks"))
-    live = latest_status(spark.readStream.schema(tasks.schema).parquet(str(tmp_path / "tasks")))
-    query = live.writeStream.format("memory").queryName("latest").outputMode("complete").trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert spark.table("latest").exceptAll(latest_status(tasks)).count() == 0
-
-
 def test_styles_of_long_chains_and_cycles(spark):
     rows = [(1, f"s{k}", f"s{k + 1}", None, float(k) if k % 20 == 7 else None) for k in range(50)] + [(1, "s50", "none", "Song", 99.0)]
     rows += [(2, "a", "b", None, None), (2, "b", "c", None, 3.0), (2, "c", "a", "Hei", None), (3, "x", "x", None, None), (3, "y", None, None, 1.0)]
