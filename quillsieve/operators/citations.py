@@ -2,22 +2,50 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
 from ..functions.sql import SqlOperator
 
-#: refs (doc_id, ref_pos, ref_id, raw_text) -> the columns that the bibliography rules test. Numbers that aren't there are null.
-with_parts = SqlOperator(
-    "refs",
-    """select *, contains(raw_text, '[J]') as is_j, contains(raw_text, '[M]') as is_m, contains(raw_text, '[D]') as is_d, contains(raw_text, '[C]') as is_c,
-  length(author) - length(replace(replace(author, ',', ''), '，', '')) as author_commas,
-  cast(nullif(regexp_extract(year_window, «(?:^|[^0-9(])((?:19|20)[0-9]{2})(?:\\([^)]*\\))?(?:$|[^0-9])», 1), '') as int) as year_in_window,
-  cast(nullif(regexp_extract(year_window, «[,，\\s]((?:1[0-8]|19)[0-9]{2})[,，.\\s:：]», 1), '') as int) as early_in_window,
-  cast(nullif(regexp_extract(no_doi, «[,，\\s]((?:1[0-8]|19)[0-9]{2})[,，.\\s:：]», 1), '') as int) as early_delimited,
-  cast(nullif(regexp_extract(no_doi, «[,，\\s]((?:19|20)[0-9]{2})[,，.\\s:：]», 1), '') as int) as late_delimited
-from (select *, case when instr(body, ':') > 0 then substring(body, 1, instr(body, ':') - 1) else body end as year_window,
-    case when instr(body, '. ') > 0 then substring(body, 1, instr(body, '. ') - 1) else body end as author, case when instr(body, '. ') > 1 then substring(body, 1, instr(body, '. ') - 1) end as first_segment
-  from (select *, case when instr(no_doi, '] ') > 0 then substring(no_doi, instr(no_doi, '] ') + 2, length(no_doi)) else no_doi end as body
-    from (select doc_id, ref_pos, ref_id, raw_text, case when instr(lower(raw_text), 'doi') > 0 then substring(raw_text, 1, instr(lower(raw_text), 'doi') - 1) else raw_text end as no_doi from {refs}) a) b) c""",
-)
+# How years of entries look and what must not stand around them, the last year that can be, and the delimiters of years.
+LAST_YEAR, FIRST_YEAR = 2026, 1900
+_DELIMITED = r"[,，\s]({})[,，.\s:：]"
+#: A year in digits of its own, with an issue in parentheses; the first branch takes those after `(` or like `2301.12345`.
+_JOURNAL_YEAR = r"(?<!\d)(?:(?:(?<=\()(?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}(?=\.\d))(?:\([^)]*\))?(?!\d)|((?:19|20)[0-9]{2})(?:\([^)]*\))?(?!\d))"
+#: A delimited year; the first branch takes those with ISBN in the ten characters before.
+_MONOGRAPH_YEAR = r"[,，\s](?:(?<=(?:ISBN|isbn).{0,6})(?:19|20)\d{2}|((?:19|20)\d{2}))[,，.\s:：]"
+
+
+def reference_number(ref_id: Column) -> Column:
+    """The number of an id like `[n]`: a whole number of 32 bits without its brackets, else 0."""
+    plain = F.trim(F.regexp_replace(ref_id, r"[\[\]]", ""))
+    return F.coalesce(F.when(plain.rlike(r"^[+-]?[0-9]{1,10}$"), plain.try_cast("int")), F.lit(0))
+
+
+def _any_year(text: Column, pattern: str, test) -> Column:
+    """Whether some year that the pattern's group takes passes the test."""
+    return F.exists(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda y: (y != "") & test(y.cast("int")))
+
+
+def with_parts(refs: DataFrame) -> DataFrame:
+    """refs (doc_id, ref_pos, ref_id, raw_text) -> the columns that the bibliography rules test, one pass; a null text has nulls.
+
+    ref_num is 0 for an id without a number, and the rules pass such entries over. Years count wherever they stand in their part
+    of the text: *_late beyond LAST_YEAR, *_early before FIRST_YEAR."""
+    df = refs.select("doc_id", "ref_pos", "ref_id", "raw_text")
+    before = lambda c, mark: F.when(F.instr(c, mark) > 0, F.col(c).substr(F.lit(1), F.instr(c, mark) - 1)).otherwise(F.col(c))
+    doi = F.instr(F.lower("raw_text"), "doi")
+    df = df.withColumn("no_doi", F.when(doi > 0, F.col("raw_text").substr(F.lit(1), doi - 1)).otherwise(F.col("raw_text")))
+    body = F.when(F.instr("no_doi", "] ") > 0, F.col("no_doi").substr(F.instr("no_doi", "] ") + 2, F.length("no_doi"))).otherwise(F.col("no_doi"))
+    df = df.withColumn("body", body)
+    df = df.withColumns({"year_window": before("body", ":"), "author": before("body", ". "), "first_segment": F.when(F.instr("body", ". ") > 1, F.col("body").substr(F.lit(1), F.instr("body", ". ") - 1))})
+    late, early = lambda y: y > LAST_YEAR, lambda y: y < FIRST_YEAR
+    recent, old = _DELIMITED.format(r"(?:19|20)\d{2}"), _DELIMITED.format(r"(?:1[0-8]|19)\d{2}")
+    commas = F.length("author") - F.length(F.translate("author", ",，", ""))
+    marks = {f"is_{m.lower()}": F.col("raw_text").contains(f"[{m}]") for m in "JMDC"}
+    years = {"journal_late": (_JOURNAL_YEAR, "year_window", late), "journal_early": (old, "year_window", early), "monograph_late": (_MONOGRAPH_YEAR, "year_window", late), "thesis_late": (recent, "no_doi", late), "monograph_early": (old, "no_doi", early)}
+    return df.withColumns({"ref_num": reference_number(F.col("ref_id")), **marks, "author_commas": commas, **{k: _any_year(F.col(c), p, t) for k, (p, c, t) in years.items()}})
+
 
 #: refs -> (kind, authors, year_min, year_max): the first of the marks [J] and [M], the author count, least and largest whole 4-digit number.
 reference_facts = SqlOperator(
@@ -47,29 +75,38 @@ n as (select doc_id, pos, try_cast(regexp_extract(part, «^[0-9]+», 0) as int)
 select doc_id, pos, unroll(case when a <= b then span(a, b) else many(a, b) end) as number from n where a is not null and b is not null""",
 )
 
-_LISTED = "select doc_id, ref_pos, ref_id, cast(regexp_extract(ref_id, «([0-9]+)», 1) as int) as number from {refs}"
+def compared_numbers(edges: DataFrame, refs: DataFrame) -> DataFrame:
+    """(doc_id, number, listed, cited) for each number over 0 that a document lists, cites or both: one union and one aggregation
+    instead of joins, so that a document with very many citations is counted before the shuffle. An entry's number is
+    the one that its text begins with, else that of its id."""
+    begins = F.regexp_extract("raw_text", r"^\s*\[([0-9]{1,10})\]", 1).try_cast("int")
+    listed = refs.select("doc_id", F.coalesce(begins, reference_number(F.col("ref_id"))).alias("number"), F.lit(True).alias("listed"), F.lit(False).alias("cited"))
+    cited = edges.select("doc_id", "number", F.lit(False).alias("listed"), F.lit(True).alias("cited"))
+    return listed.unionByName(cited).where("number > 0").groupBy("doc_id", "number").agg(F.bool_or("listed").alias("listed"), F.bool_or("cited").alias("cited"))
+
+
+def _one_sided(edges: DataFrame, refs: DataFrame, rule_id: str, has: str, lacks: str) -> DataFrame:
+    numbers = F.sort_array(F.collect_list(F.when(F.col(has) & ~F.col(lacks), F.col("number"))))
+    by_doc = compared_numbers(edges, refs).groupBy("doc_id").agg(numbers.alias("found"), F.bool_or("listed").alias("lists"), F.bool_or("cited").alias("cites"))
+    return by_doc.where("lists and cites and size(found) > 0").select("doc_id", F.lit(rule_id).alias("rule_id"), F.array_join(F.col("found").cast("array<string>"), ",").alias("numbers"))
+
+
+def missing_references(edges: DataFrame, refs: DataFrame) -> DataFrame:
+    """Numbers, in order, that are cited but not listed, one row for each document that has both."""
+    return _one_sided(edges, refs, "REF-CONSIST-001", "cited", "listed")
+
+
+def unused_references(edges: DataFrame, refs: DataFrame) -> DataFrame:
+    """Numbers, in order, that are listed but not cited, one row for each document that has both."""
+    return _one_sided(edges, refs, "REF-CONSIST-002", "listed", "cited")
+
+
+def bidirectional_references(edges: DataFrame, refs: DataFrame) -> DataFrame:
+    """A row for each number that only one side has."""
+    rule = F.when(F.col("cited"), "REF_MISSING_001").otherwise("REF_UNUSED_001")
+    return compared_numbers(edges, refs).where("listed <> cited").select("doc_id", "number", rule.alias("rule_id"))
+
 
-#: Numbers that are cited but not listed, one row for each document that has both.
-missing_references = SqlOperator(
-    "edges refs",
-    f"""with listed as ({_LISTED}), cited as (select distinct doc_id, number from {{edges}} where number > 0)
-select c.doc_id, 'REF-CONSIST-001' as rule_id, joined(c.number) as numbers from cited c left join listed l on c.doc_id = l.doc_id and c.number = l.number
-where l.number is null and c.doc_id in (select doc_id from listed where number > 0) group by c.doc_id""",
-)
-#: Numbers that are listed but not cited, one row for each document that has both.
-unused_references = SqlOperator(
-    "edges refs",
-    f"""with listed as ({_LISTED}), cited as (select distinct doc_id, number from {{edges}} where number > 0)
-select l.doc_id, 'REF-CONSIST-002' as rule_id, joined(l.number) as numbers from listed l left join cited c on c.doc_id = l.doc_id and c.number = l.number
-where c.number is null and l.number > 0 and l.doc_id in (select doc_id from cited) group by l.doc_id""",
-)
-#: Both at once by one full outer join: a row for each number that only one side has.
-bidirectional_references = SqlOperator(
-    "edges refs",
-    f"""with listed as (select distinct doc_id, number from ({_LISTED}) a where number > 0), cited as (select distinct doc_id, number from {{edges}} where number > 0)
-select coalesce(l.doc_id, c.doc_id) as doc_id, coalesce(l.number, c.number) as number, case when l.number is null then 'REF_MISSING_001' else 'REF_UNUSED_001' end as rule_id
-from listed l full outer join cited c on l.doc_id = c.doc_id and l.number = c.number where l.number is null or c.number is null""",
-)
 #: Single citations `[n]` without an entry, one row each.
 missing_entries = SqlOperator(
     "groups refs",
@@ -89,17 +126,22 @@ citation_order = SqlOperator(
 v as (select *, row_number() over (partition by doc_id order by pos, ord) as k from g where first_number < before)
 select doc_id, pos, first_number, before, 'REF_ORDER_001' as rule_id from v where k = 1""",
 )
-#: Documents whose references, as first cited, come in another order than listed.
-reference_order = SqlOperator(
-    "edges refs",
-    f"""with listed as (select doc_id, number, min(ref_pos) as ref_pos from ({_LISTED}) a where number > 0 group by doc_id, number),
-seen as (select doc_id, number, min(pos) as pos from {{edges}} group by doc_id, number),
-both_ as (select s.doc_id, s.number, row_number() over (partition by s.doc_id order by s.pos, s.number) as a, row_number() over (partition by s.doc_id order by l.ref_pos) as b from seen s join listed l on s.doc_id = l.doc_id and s.number = l.number)
-select doc_id, count(*) as out_of_place, 'REF_ORDER_001' as rule_id from both_ where a <> b group by doc_id""",
-)
-#: The first entry of a list whose number is not its place.
-reference_numbering = SqlOperator(
-    "refs",
-    f"""with listed as ({_LISTED}), wrong as (select doc_id, ref_pos, number, row_number() over (partition by doc_id order by ref_pos) as k from listed where number <> ref_pos)
-select doc_id, ref_pos, number, 'REF_ORDER_002' as rule_id from wrong where k = 1""",
-)
+
+
+def reference_order(edges: DataFrame, refs: DataFrame) -> DataFrame:
+    """Documents whose references, as first cited, come in another order than listed, and how many are out of place. Numbers of
+    entries are their ids'; those without one are passed over."""
+    none = F.lit(None).cast("long")
+    listed = refs.select("doc_id", reference_number(F.col("ref_id")).alias("number"), F.col("ref_pos").cast("long").alias("place"), none.alias("seen")).where("number > 0")
+    seen = edges.select("doc_id", "number", none.alias("place"), F.col("pos").cast("long").alias("seen"))
+    both = listed.unionByName(seen).groupBy("doc_id", "number").agg(F.min("place").alias("place"), F.min("seen").alias("seen")).where("place is not null and seen is not null")
+    rank = lambda *order: F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
+    out = both.withColumn("a", rank("seen", "number")).withColumn("b", rank("place")).where("a <> b")
+    return out.groupBy("doc_id").agg(F.count("*").alias("out_of_place")).withColumn("rule_id", F.lit("REF_ORDER_001"))
+
+
+def reference_numbering(refs: DataFrame) -> DataFrame:
+    """The first entry of a list whose number is not its place; an id without a number counts as 0."""
+    wrong = refs.select("doc_id", "ref_pos", reference_number(F.col("ref_id")).alias("number")).where("number <> ref_pos")
+    first = F.min_by(F.struct("ref_pos", "number"), "ref_pos")
+    return wrong.groupBy("doc_id").agg(first.alias("r")).select("doc_id", "r.ref_pos", "r.number", F.lit("REF_ORDER_002").alias("rule_id"))

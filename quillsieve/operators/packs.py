@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from ..functions.rules import Rule
 
 # Rule ids, severities (1 to 5), needles, labels, patterns and limits.
@@ -13,7 +15,6 @@ DEGREES = ["学士", "硕士", "博士"]
 PUBLISHERS = ["出版社", "出版局", "Press", "Publisher", "Publishing"]
 UNIVERSITIES = ["大学", "学院", "学校", "研究院", "University", "Institute", "College"]
 CONFERENCES = ["//", "Proceedings", "Conference", "Symposium"]
-MAX_YEAR = 2026
 
 LOW, MEDIUM, HIGH, CRITICAL = 2, 3, 4, 5
 
@@ -126,24 +127,25 @@ INTEGRITY_RULES = [
 ]
 
 #: Over references with the columns of citations.with_parts().
-REFERENCE_RULES = [
+_ENTRY_RULES = [
     Rule("ERR_REF_JOURNAL_FULL_COMMA", HIGH, "is_j and contains(author, '，')", "journal"),
-    Rule("ERR_REF_JOURNAL_YEAR_EXCEED", HIGH, "is_j and year_in_window > 2026", "journal"),
+    Rule("ERR_REF_JOURNAL_YEAR_EXCEED", HIGH, "is_j and journal_late", "journal"),
     Rule("ERR_REF_JOURNAL_NO_DOT", HIGH, "is_j and not contains(raw_text, '[J].') and not contains(raw_text, '[J]。')", "journal"),
     Rule("ERR_REF_JOURNAL_NO_VOLUME", MEDIUM, "is_j and not rx(no_doi, «\\d+\\(\\d+\\)»)", "journal"),
     Rule("ERR_REF_JOURNAL_NO_PAGE", MEDIUM, "is_j and not rx(no_doi, «\\d+-\\d+»)", "journal"),
     Rule("ERR_REF_JOURNAL_MULTI_AUTHOR", MEDIUM, "is_j and author_commas >= 3 and not rx(author, «等|et al»)", "journal"),
-    Rule("ERR_REF_JOURNAL_YEAR_EARLY", MEDIUM, "is_j and early_in_window < 1900", "journal"),
+    Rule("ERR_REF_JOURNAL_YEAR_EARLY", MEDIUM, "is_j and journal_early", "journal"),
     Rule("ERR_REF_JOURNAL_LOWERCASE", MEDIUM, "contains(raw_text, '[j]')", "journal"),
     Rule("ERR_REF_JOURNAL_YEAR_TWO_DIGIT", MEDIUM, "is_j and rx(year_window, «[,，\\s]\\d{2}[,，.\\s:：]»)", "journal"),
     Rule("ERR_REF_JOURNAL_NO_AUTHOR", HIGH, "is_j and (first_segment is null or contains(first_segment, '[J]') or not (rx(first_segment, «[一-龥]») or rx(first_segment, «[A-Z]{2,}»)))", "journal"),
     Rule("ERR_REF_MONO_FULL_PERIOD", MEDIUM, "is_m and contains(raw_text, '。')", "monograph"),
-    Rule("ERR_REF_MONO_YEAR_EXCEED", HIGH, "(is_m or is_d) and late_delimited > 2026", "monograph"),
+    Rule("ERR_REF_MONO_YEAR_EXCEED", HIGH, "is_m and monograph_late", "monograph"),
+    Rule("ERR_REF_MONO_YEAR_EXCEED", HIGH, "is_d and thesis_late", "monograph"),
     Rule("ERR_REF_MONO_NO_DOT", HIGH, "is_m and not contains(raw_text, '[M].') and not contains(raw_text, '[M]。')", "monograph"),
     Rule("ERR_REF_MONO_NO_PUBLISHER", HIGH, f"is_m and not ({_any('raw_text', PUBLISHERS)} and rx(raw_text, «[:：]»))", "monograph"),
     Rule("ERR_REF_MONO_NO_PLACE", HIGH, f"is_m and {_any('raw_text', PUBLISHERS)} and not rx(raw_text, «[:：]»)", "monograph"),
     Rule("ERR_REF_MONO_MULTI_AUTHOR", MEDIUM, "is_m and author_commas >= 3 and not rx(author, «等|et al»)", "monograph"),
-    Rule("ERR_REF_MONO_YEAR_EARLY", MEDIUM, "is_m and early_delimited < 1900", "monograph"),
+    Rule("ERR_REF_MONO_YEAR_EARLY", MEDIUM, "is_m and monograph_early", "monograph"),
     Rule("ERR_REF_MONO_YEAR_TWO_DIGIT", MEDIUM, "is_m and rx(no_doi, «[,，\\s]\\d{2}[,，.\\s:：]»)", "monograph"),
     Rule("ERR_REF_MONO_NO_AUTHOR", HIGH, "is_m and (first_segment is null or contains(first_segment, '[M]'))", "monograph"),
     Rule("ERR_REF_THESIS_NO_UNIVERSITY", HIGH, f"is_d and not {_any('raw_text', UNIVERSITIES)}", "thesis"),
@@ -151,6 +153,8 @@ REFERENCE_RULES = [
     Rule("ERR_REF_CONF_NO_PLACE", MEDIUM, "is_c and not rx(raw_text, «[一-鿿]{2,}[,，]\\s*(19|20)\\d{2}|[A-Z][a-z]+[,，]\\s*(19|20)\\d{2}»)", "conference"),
     Rule("ERR_REF_CONF_NO_NAME", HIGH, f"is_c and not {_any('raw_text', CONFERENCES)}", "conference"),
 ]
+#: Entries without a number of their own are passed over.
+REFERENCE_RULES = [replace(r, predicate=f"ref_num > 0 and ({r.predicate})") for r in _ENTRY_RULES]
 
 #: The other set of bibliography rules; kind is `J` or `M` by the first mark, years are whole 4-digit numbers.
 REFERENCE_LINE_RULES = [

@@ -23,7 +23,6 @@ ORACLE: dict[str, str] = {}
 DERIVED: dict[str, tuple[list[str], str]] = {
     "groups": (["cites"], citations.citation_groups.sql),
     "edges": (["groups"], citations.citation_edges.sql),
-    "parts_of_refs": (["refs"], citations.with_parts.sql),
     "ref_facts": (["refs"], citations.reference_facts.sql),
     "flagged": (
         ["sections"],
@@ -74,9 +73,48 @@ DERIVED: dict[str, tuple[list[str], str]] = {
 }
 
 
+#: Inputs that are made by an operator of DataFrame code; DERIVED has the oracle's SQL for them.
+MADE = {"parts_of_refs": (["odd_refs"], citations.with_parts)}
+_ODD_ID = "case (doc_id * 3 + ref_pos) % 23 when 1 then '[abc]' when 2 then '[99999999999]' when 3 then '[]' when 4 then '+7' when 5 then '[-2]' else ref_id end"
+DERIVED |= {
+    "odd_refs": (
+        ["refs"],
+        f"""select doc_id, ref_pos, {_ODD_ID} as ref_id, case when (doc_id + ref_pos) % 9 = 4 then replace(raw_text, ', 2030', ', 1998, 2030') when (doc_id + ref_pos) % 9 = 5 then concat(replace(raw_text, '. Brand', '. ISBN 2031, Brand'), ' 1850, 1950.')
+  when (doc_id + ref_pos) % 9 = 6 then replace(raw_text, '. Brand', '. (2031) 2040.5, Brand') when (doc_id + ref_pos) % 9 = 7 then concat(raw_text, ' 1950, 1850, 2033, x') else raw_text end as raw_text from {{refs}}""",
+    ),
+    "listed_refs": (["refs"], f"select doc_id, ref_pos, {_ODD_ID} as ref_id, case when (doc_id + ref_pos) % 5 = 0 then concat('no number ', raw_text) else raw_text end as raw_text from {{refs}}"),
+}
+
+
+def _years_sql() -> str:
+    """Parts of references for the oracle, years by going over all places of a text."""
+    at = "from (select unnest(range(1, length({t}) - 2)) p) q where regexp_matches(substr({t}, p, 4), '^[0-9]{{4}}$')"
+    near = "regexp_matches(substr(concat(' ', {t}), p, 1), '{before}') and regexp_matches(substr({t}, p + 4, 1), '{after}')"
+    year = "cast(substr({t}, p, 4) as int)"
+    whole = "(p = 1 or not regexp_matches(substr({t}, p - 1, 1), '[0-9(]')) and not regexp_matches(substr({t}, p + 4, 1), '[0-9]') and not regexp_matches(substr({t}, p + 4, 2), '^[.][0-9]')"
+    delimited = "p > 1 and " + near.format(t="{t}", before=r"[,，\s]", after=r"[,，.\s:：]")
+    some = lambda t, *tests: f"coalesce((select bool_or(true) {at} and {' and '.join(tests)}), false)".format(t=t)
+    late, early = f"{year} between 2027 and 2099", f"{year} between 1000 and 1899"
+    flags = {
+        "journal_late": some("year_window", whole, late), "journal_early": some("year_window", delimited, early), "monograph_late": some("year_window", delimited, late, "not regexp_matches(substr({t}, greatest(1, p - 10), p - greatest(1, p - 10)), 'ISBN|isbn')"),
+        "thesis_late": some("no_doi", delimited, late), "monograph_early": some("no_doi", delimited, early),
+    }
+    digits = "trim(replace(replace(ref_id, '[', ''), ']', ''))"
+    return f"""select *, case when regexp_matches({digits}, '^[+-]?[0-9]+$') and abs(cast({digits} as hugeint)) < 2147483648 then cast({digits} as int) else 0 end ref_num, raw_text like '%[J]%' is_j, raw_text like '%[M]%' is_m, raw_text like '%[D]%' is_d, raw_text like '%[C]%' is_c,
+  cast(len(list_filter(string_split(author, ''), lambda c: c in (',', '，'))) as int) author_commas, {', '.join(f'{v} {k}' for k, v in flags.items())}
+from (select *, string_split(body, ':')[1] year_window, string_split(body, '. ')[1] author, case when instr(body, '. ') > 1 then string_split(body, '. ')[1] end first_segment
+  from (select *, case when contains(no_doi, '] ') then substr(no_doi, instr(no_doi, '] ') + 2) else no_doi end body from (select doc_id, ref_pos, ref_id, raw_text, regexp_extract(raw_text, '(?is)^(.*?)(doi.*)?$', 1) no_doi from {{odd_refs}}) a) b) c"""
+
+
+DERIVED["parts_of_refs"] = (["odd_refs"], _years_sql())
+
+
 def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in VIEWS:
         return view(spark, sf_dir, name)
+    if name in MADE:
+        inputs, op = MADE[name]
+        return op(*[frame(spark, sf_dir, k) for k in inputs])
     if name not in DERIVED:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     inputs, sql = DERIVED[name]
@@ -130,7 +168,6 @@ add_rules("paragraph_rules", packs.INTEGRITY_RULES[3:], "sections", SECTION)
 for kind in ("journal", "monograph", "thesis", "conference"):
     add_rules(f"ref_rules_{kind}", packs.REFERENCE_RULES, "parts_of_refs", ["doc_id", "ref_pos"], (kind,))
 add_rules("ref_rules_lines", packs.REFERENCE_LINE_RULES, "ref_facts", ["doc_id", "ref_pos"])
-add("ref_parts", citations.with_parts)
 add("heading_jump", sequences.heading_jumps)
 add("heading_reverse", sequences.heading_reversals)
 add("heading_hier_strict", sequences.heading_hierarchy)
@@ -158,13 +195,9 @@ add("section_filter", structure.kept_sections)
 add("section_exclusion", structure.unreviewed_sections, issues="known_issues")
 add("citation_groups", citations.citation_groups)
 add("citation_edges", citations.citation_edges)
-add("missing_refs", citations.missing_references)
-add("unused_refs", citations.unused_references)
-add("bidirectional_refs", citations.bidirectional_references)
 add("missing_ref_entries", citations.missing_entries)
 add("unused_ref_entries", citations.unused_entries)
 add("citation_order", citations.citation_order)
-add("ref_list_order", citations.reference_order)
 add("severity_norm", issues.normalised)
 add("issue_dedupe_exact", issues.distinct_issues)
 add("issue_merge", issues.merged_reviews)
@@ -203,7 +236,7 @@ DERIVED |= {
     "titled": (["sections"], "select doc_id, pos, case when doc_id % 2 = 0 then 'paragraph' else type end as type, case when pos = 2 then '参考文献：' when doc_id % 2 = 0 and pos = 6 then '致谢' when pos = 3 then '[1] Smith J. 2001.' when doc_id % 3 = 1 and pos = 5 then 'Figures' else text end as text, case when doc_id % 6 = 5 and pos = 4 then 'Heading 1' end as style, case when doc_id % 4 < 2 then 14.0e0 else 12.0e0 end as size_pt, doc_id % 8 = 2 as bold from {sections}"),
     "block_titles": ([], "select '参考文献' as title"),
     "jumbled": (["sections"], "select doc_id, pos, cast((pos * 7 + doc_id) % 10 as int) as section_id from {sections}"),
-    "gapped_refs": (["refs"], "select doc_id, ref_pos, case when doc_id % 3 = 0 and ref_pos > 2 then concat('[', cast(ref_pos + 1 as string), ']') else ref_id end as ref_id from {refs}"),
+    "gapped_refs": (["refs"], "select doc_id, ref_pos, case when doc_id % 7 = 1 and ref_pos = 3 then '[abc]' when doc_id % 3 = 0 and ref_pos > 2 then concat('[', cast(ref_pos + 1 as string), ']') else ref_id end as ref_id from {refs}"),
     "listed_lines": (["sections"], "select doc_id, pos as ref_pos, concat(substring(text, 1, 60), ' ') as raw_text from {sections} where pos % 4 = 1"),
     "page_texts": (["sections"], "select doc_id, cast(floor(pos / 3) as int) + 1 as page, text from {sections} where pos % 5 <> 2"),
     "paged_sections": (["sections"], "select doc_id, pos, text, case when pos % 2 = 0 then cast(floor(pos / 4) as int) + 1 end as page from {sections}"),
@@ -212,7 +245,6 @@ DERIVED |= {
 }
 add("section_id_order", sequences.section_id_order, sections="jumbled")
 add("ref_block_extract", structure.reference_block, sections="titled", titles="block_titles")
-add("ref_numbering_gap", citations.reference_numbering, refs="gapped_refs")
 add("ref_section_locate", placement.reference_sections, refs="listed_lines")
 add("section_page_map", placement.section_pages, sections="paged_sections", pages_of="page_texts")
 add("annotation_join", placement.page_notes)
@@ -272,7 +304,7 @@ QUERIES["audit_reports"] = audit_reports
 
 def audit_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All packs over sections and references of the same ids: issues and score of each document."""
-    return scores(audit({"sections": frame(spark, sf_dir, "sections"), "refs": frame(spark, sf_dir, "refs")}))
+    return scores(audit({"sections": frame(spark, sf_dir, "sections"), "refs": frame(spark, sf_dir, "odd_refs")}))
 
 
 def _audit_sql() -> str:
@@ -355,7 +387,19 @@ _CODEY = r"""(regexp_matches({0}, '^(```|//|/\*|\*|#)') or regexp_matches(lower(
  or regexp_matches(lower({0}), '\b(using|import|class|def|return|void|public|private|protected|namespace)\b') or regexp_matches({0}, '\b[A-Za-z_][A-Za-z0-9_.]*\s*\('))"""
 _LINES_SQL = r"ls as (select doc_id, pos, n, line from (select doc_id, pos, unnest(list_filter(list_transform(string_split_regex(text, '\r\n|\r|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')) line, generate_subscripts(list_filter(list_transform(string_split_regex(text, '\r\n|\r|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), 1) - 1 n from marked) a)"
 _KEPT_SQL = rf"kept as (select * from ls where not ({_IS_CODE} or regexp_matches(line, '^(\[[0-9]+\]|参考文献|[0-9]+\.|\[[A-Z]\])') or regexp_matches(lower(line), '\[[jmdcp]\]|\bdoi\b|\b[0-9]{{4}}\b|\bet al\.\b')))"
+#: Numbers of entries by their ids, and distinct listed (by their text first) and cited numbers, for the oracle.
+_OWN = "own as (select doc_id, ref_pos, coalesce(try_cast(case when regexp_matches(replace(replace(ref_id, '[', ''), ']', ''), '^[+-]?[0-9]{1,10}$') then replace(replace(ref_id, '[', ''), ']', '') end as int), 0) number from listed_refs)"
+_SIDES = _OWN + ", l as (select distinct doc_id, number from (select o.doc_id, coalesce(try_cast(nullif(regexp_extract(raw_text, '^\\s*\\[([0-9]{1,10})\\]', 1), '') as int), number) number from own o join listed_refs r using (doc_id, ref_pos)) z where number > 0), c as (select distinct doc_id, number from edges where number > 0)"
 _ADDED = {
+    "ref_parts": (citations.with_parts, ["odd_refs"], "x as (" + DERIVED["parts_of_refs"][1].replace("{odd_refs}", "odd_refs") + ") select * from x"),
+    "missing_refs": (citations.missing_references, ["edges", "listed_refs"], f"{_SIDES}, m as (select * from c where (doc_id, number) not in (from l)) select doc_id, 'REF-CONSIST-001' rule_id, string_agg(number::varchar, ',' order by number) numbers from m where doc_id in (select doc_id from l) group by 1"),
+    "unused_refs": (citations.unused_references, ["edges", "listed_refs"], f"{_SIDES}, m as (select * from l where (doc_id, number) not in (from c)) select doc_id, 'REF-CONSIST-002' rule_id, string_agg(number::varchar, ',' order by number) numbers from m where doc_id in (select doc_id from c) group by 1"),
+    "bidirectional_refs": (citations.bidirectional_references, ["edges", "listed_refs"], f"{_SIDES} (select doc_id, number, 'REF_MISSING_001' rule_id from (from c except from l) a) union all (select doc_id, number, 'REF_UNUSED_001' from (from l except from c) b)"),
+    "ref_list_order": (citations.reference_order, ["edges", "listed_refs"], f"""{_OWN}, l as (select doc_id, number, min(ref_pos) p from own where number > 0 group by 1, 2), s as (select doc_id, number, min(pos) p from edges group by 1, 2),
+r as (select doc_id, number, s.p seen, l.p place from l join s using (doc_id, number)),
+o as (select *, (select count(*) from r b where b.doc_id = a.doc_id and (b.seen, b.number) < (a.seen, a.number)) x, (select count(*) from r b where b.doc_id = a.doc_id and b.place < a.place) y from r a)
+select doc_id, count(*) out_of_place, 'REF_ORDER_001' rule_id from o where x <> y group by 1"""),
+    "ref_numbering_gap": (citations.reference_numbering, ["gapped_refs"], f"""{_OWN.replace("listed_refs", "gapped_refs")}, w as (select * from own where number <> ref_pos) select doc_id, ref_pos, number, 'REF_ORDER_002' rule_id from w where not exists (from w b where b.doc_id = w.doc_id and b.ref_pos < w.ref_pos)"""),
     "code_sections": (lines.code_sections, ["marked"], rf"""{_LINES_SQL}, o as (select *, line whole, case when regexp_matches(line, '^(///|#)') then '' else line end bare from ls),
 q as (select *, rtrim(split_part(whole, '///', 1)) b1, rtrim(split_part(whole, '#', 1)) b2 from o), r as (select doc_id, pos, n, whole, case when bare = '' then '' when strpos(whole, '///') > 1 and {_CODEY.format('b1')} then b1 when strpos(whole, '#') > 1 and {_CODEY.format('b2')} then b2 else whole end line from q),
 c as (select doc_id, pos, count(*) n, sum(case when line = '' or {_IS_CODE} then 1 else 0 end) k, bool_or(line = '') comment, bool_or({_CHINESE.format('line')}) cjk from r group by 1, 2)

@@ -77,7 +77,7 @@ def test_citation_lists_by_hand(spark):
         got.setdefault(r.pos, []).append(r.number)
     assert {k: sorted(v) for k, v in got.items()} == {0: [1, 2, 3], 1: [1, 2, 3], 2: [1, 3, 4, 5], 3: [1, 1, 2], 4: [1, 2, 3], 5: [2, 7, 9, 10, 11]}
     assert {(r.pos, r.ord): (r.first_number, r.last_number, r.joint) for r in groups.where("pos < 6").collect()} == {(0, 0): (1, 3, ","), (1, 0): (1, 3, " "), (2, 0): (1, 5, ","), (3, 0): (1, 1, ""), (3, 1): (1, 2, " "), (4, 0): (1, 3, "-"), (5, 0): (2, 11, ",")}
-    assert [r.numbers for r in citations.missing_references(edges, refs).collect()] == ["1,10,11,5,7,9"]
+    assert [r.numbers for r in citations.missing_references(edges, refs).collect()] == ["1,5,7,9,10,11"]
     assert [r.ref_id for r in citations.unused_entries(edges, refs).collect()] == ["[12]"]
     assert [(r.pos, r.number) for r in citations.missing_entries(groups, refs).collect()] == [(3, 1)]
 
@@ -276,3 +276,35 @@ def test_report_views_by_hand(spark):
     rows = [(1, 0, "local_issues", 1, "a"), (1, 0, "local_issues", 2, "a"), (1, 0, "llm_issues", 3, "b"), (1, 1, "issues", 1, "a"), (1, 1, "local_issues", 2, "a"), (1, 1, "llm_issues", 3, "c"), (2, 0, "llm_issues", 1, None)]
     out = report.compact_views(spark.createDataFrame(rows, "doc_id long, chunk int, view string, seq int, rule string"), ["rule"]).collect()
     assert sorted((r.doc_id, r.chunk, r.view, r.n, r.entries) for r in out) == [(1, 0, "issues", 2, "a;b"), (1, 0, "llm_issues", 1, "b"), (1, 0, "local_issues", 1, "a"), (1, 1, "issues", 1, "a"), (1, 1, "llm_issues", 1, "c"), (2, 0, "issues", 1, "")]
+
+
+@pytest.mark.parametrize("ref_id,raw,rules", [
+    ("[1]", "[1] ZHANG S. Title[J]. Nature, 1998, 2030, 3(2): 1-9.", {"ERR_REF_JOURNAL_YEAR_EXCEED"}),
+    ("[1]", "[1] ZHANG S. Title[J]. Nature, 2010 (2030), 2301.12345, 3(2): 1-9.", set()),
+    ("[1]", "[1] ZHANG S. Title[J]. Nature, 1950, 1850, 3(2): 1-9.", {"ERR_REF_JOURNAL_YEAR_EARLY"}),
+    ("[1]", "[1] WANG Q. Book[M]. Beijing, 1998, 2030, Press: 3.", {"ERR_REF_MONO_YEAR_EXCEED"}),
+    ("[1]", "[1] WANG Q. Book[M]. Beijing, ISBN 2030, Press: 3.", set()),
+    ("[1]", "[1] WANG Q. Book[M]. Beijing: Press, 1950, 1850.", {"ERR_REF_MONO_YEAR_EARLY"}),
+    ("[1]", "[1] LIU Y. Work[D]. Some University, ISBN 2030.", {"ERR_REF_MONO_YEAR_EXCEED"}),
+    ("[x]", "[x] ZHANG S. Title[J]. Nature, 2030.", set()),
+    ("[99999999999]", "[1] LIU Y. Work[D]. Nowhere.", set()),
+    (None, "[1] LIU Y. Work[D]. Nowhere.", set()),
+])
+def test_years_and_numbers_of_entries(spark, ref_id, raw, rules):
+    df = citations.with_parts(spark.createDataFrame([(1, 1, ref_id, raw)], "doc_id long, ref_pos int, ref_id string, raw_text string"))
+    assert {r.rule_id for r in apply_rules(df, packs.REFERENCE_RULES, ["doc_id"]).collect()} == rules
+
+
+def test_reference_numbers(spark):
+    ids = {"[7]": 7, " [ 12 ] ": 12, "[abc]": 0, "[99999999999]": 0, "[2147483648]": 0, "": 0, "[-3]": -3, "[1.0]": 0, None: 0, "+4": 4}
+    df = spark.createDataFrame([(k,) for k in ids], "ref_id string")
+    assert {r[0]: r[1] for r in df.select("ref_id", citations.reference_number(F.col("ref_id"))).collect()} == ids
+    refs = spark.createDataFrame([(1, k + 1, i, t) for k, (i, t) in enumerate([("[abc]", "no number"), ("[99999999999]", None), ("[11]", "[10] x"), ("[2]", "y"), ("[3]", "z")])], "doc_id long, ref_pos int, ref_id string, raw_text string")
+    edges = spark.createDataFrame([(1, k, n) for k, n in enumerate([12, 2, 1, 3, 2, 0])], "doc_id long, pos int, number int")
+    assert [r.numbers for r in citations.missing_references(edges, refs).collect()] == ["1,12"]
+    assert [r.numbers for r in citations.unused_references(edges, refs).collect()] == ["10"]
+    assert {(r.number, r.rule_id) for r in citations.bidirectional_references(edges, refs).collect()} == {(1, "REF_MISSING_001"), (12, "REF_MISSING_001"), (10, "REF_UNUSED_001")}
+    assert [(r.ref_pos, r.number) for r in citations.reference_numbering(refs).collect()] == [(1, 0)]
+    assert citations.reference_order(edges, refs).count() == 0
+    assert [r.out_of_place for r in citations.reference_order(edges, refs.withColumn("ref_pos", -F.col("ref_pos"))).collect()] == [2]
+    assert citations.missing_references(edges.limit(0), refs).count() == citations.bidirectional_references(edges.limit(0), refs.limit(0)).count() == 0
