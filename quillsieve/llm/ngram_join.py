@@ -301,7 +301,8 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     edges = links.where("b is not null").select("a", "b").unionByName(_same_document(named, classes, scratch))
     component = connected_components(edges, scratch, "components").join(classes.select(F.col("id").alias("node"), "least").hint("merge"), "node")
     component = scratch.save(component, "reached")
-    smallest = component.groupBy("component").agg(F.min("least").alias("smallest"))
+    # written, so that the adaptive skew join can split a large component
+    smallest = scratch.save(component.groupBy("component").agg(F.min("least").alias("smallest")), "smallest")
     component = component.join(smallest.hint("merge"), "component").select("node", "smallest")
     degree = links.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     known = classes.select("s1", "s2", "id", "least", "copies").join(component.withColumnRenamed("node", "id").hint("merge"), "id", "left").join(degree.withColumnRenamed("a", "id").hint("merge"), "id", "left")
