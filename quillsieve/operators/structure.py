@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sql import SqlOperator
+from .contained import contained_in
 
 #: Which of the required parts (here by any of the given words) no section names: one row for each missing one. The parts are a short
 #: list of the caller's, which goes to all tasks.
@@ -86,13 +87,31 @@ reference_block = SqlOperator(
 e as (select h.doc_id, h.begins, min(s.pos) as ends from h left join {sections} s on s.doc_id = h.doc_id and s.pos > h.begins and (s.type = 'table' or rx(s.text, «^(作者简介|致谢|附录)») or (bytes(s.text) <= 30 and (contains(lower(coalesce(s.style, '')), 'heading') or (not rx(s.text, «[。.，,；;]») and (s.size_pt >= 14 or (s.bold and s.size_pt >= 12)))))) group by h.doc_id, h.begins)
 select s.doc_id, s.pos, concat('[', cast(row_number() over (partition by s.doc_id order by s.pos) as string), ']') as ref_id, s.text from e join {sections} s on s.doc_id = e.doc_id and s.pos > e.begins and (e.ends is null or s.pos < e.ends)""",
 )
-#: Charts (doc_id, pos, caption_number) that no paragraph mentions: by number, if they have one, else by any mention.
-unmentioned_charts = SqlOperator(
-    "charts paragraphs",
-    """select c.doc_id, c.pos, c.caption_number, 'ERR_INT_CHART_REF_001' as rule_id from {charts} c where not exists (select 1 from {paragraphs} p where p.doc_id = c.doc_id and case when c.caption_number is null or c.caption_number = ''
-  then rx(lower(p.text), «图|表|figure|table») else contains(p.text, concat('图', c.caption_number)) or contains(p.text, concat('表', c.caption_number)) or contains(lower(p.text), concat('figure ', c.caption_number)) or contains(lower(p.text), concat('table ', c.caption_number))
-  or contains(lower(p.text), concat('figure', c.caption_number)) or contains(lower(p.text), concat('table', c.caption_number)) end)""",
-)
+# How charts are named in texts, as written and in lower case, before their number or alone.
+_CHART_SIGNS, _CHART_WORDS = ["图", "表"], ["figure", "table"]
+
+
+def unmentioned_charts(charts: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """Charts (doc_id, pos, caption_number) that no paragraph (doc_id, pos, text) mentions, with ERR_INT_CHART_REF_001.
+
+    A chart with a number is mentioned by 图, 表, figure or table and the number, with or without a blank after the words, also as
+    the beginning of a longer number; one without by any of the four. Distinct names are sought by contained_in()."""
+    number = F.nullif("caption_number", F.lit(""))
+    forms = [F.concat(F.lit(w), F.coalesce(number, F.lit(""))) for w in _CHART_SIGNS]
+    low = [F.concat(F.lit(w + blank), F.coalesce(number, F.lit(""))) for w in _CHART_WORDS for blank in ("", " ")]
+    names = F.array(*[F.struct(F.lit(0).alias("low"), f.alias("name")) for f in forms], *[F.struct(F.lit(1).alias("low"), f.alias("name")) for f in low])
+    asked = charts.select("doc_id", "pos", F.explode(names).alias("n")).select("doc_id", "pos", "n.low", "n.name").where("low = 0 or name not in ('figure ', 'table ')")
+    out = None
+    for low_, text in ((0, F.col("text")), (1, F.lower("text"))):
+        some = asked.where(F.col("low") == low_)
+        needles = some.select("doc_id", F.xxhash64("name").alias("needle_id"), F.col("name").alias("needle")).distinct()
+        found = contained_in(needles, paragraphs.select("doc_id", F.col("pos").alias("text_id"), text.alias("text"))).select("doc_id", F.col("needle_id").alias("id")).distinct()
+        hit = some.withColumn("id", F.xxhash64("name")).join(found.hint("merge"), ["doc_id", "id"]).select("doc_id", "pos")
+        out = hit if out is None else out.unionByName(hit)
+    left = charts.select("doc_id", "pos", "caption_number").join(out.distinct().hint("merge"), ["doc_id", "pos"], "left_anti")
+    return left.withColumn("rule_id", F.lit("ERR_INT_CHART_REF_001"))
+
+
 #: Abbreviations that a document uses without defining them as `Full name (ABC)`, sorted and joined.
 unexpanded_abbreviations = SqlOperator(
     "lines",

@@ -188,7 +188,6 @@ add("duplicate_sections", structure.duplicate_sections, sections="repeated_ids")
 add("ack_missing", structure.missing_acknowledgement)
 add("doc_metadata", structure.document_metadata, sections="mathy")
 add("ref_detect_fallback", structure.detected_references, lines="ref_lines", refs="no_refs")
-add("chart_mentions", structure.unmentioned_charts)
 add("abbreviations", structure.unexpanded_abbreviations, lines="mentions")
 add("abstract_overlap", structure.abstract_overlap)
 add("section_filter", structure.kept_sections)
@@ -237,16 +236,14 @@ DERIVED |= {
     "block_titles": ([], "select '参考文献' as title"),
     "jumbled": (["sections"], "select doc_id, pos, cast((pos * 7 + doc_id) % 10 as int) as section_id from {sections}"),
     "gapped_refs": (["refs"], "select doc_id, ref_pos, case when doc_id % 7 = 1 and ref_pos = 3 then '[abc]' when doc_id % 3 = 0 and ref_pos > 2 then concat('[', cast(ref_pos + 1 as string), ']') else ref_id end as ref_id from {refs}"),
-    "listed_lines": (["sections"], "select doc_id, pos as ref_pos, concat(substring(text, 1, 60), ' ') as raw_text from {sections} where pos % 4 = 1"),
-    "page_texts": (["sections"], "select doc_id, cast(floor(pos / 3) as int) + 1 as page, text from {sections} where pos % 5 <> 2"),
+    "listed_lines": (["sections"], "select doc_id, pos as ref_pos, concat(substring(text, 1, 60), ' ') as raw_text from {sections}"),
+    "page_texts": (["sections"], "select doc_id, cast(floor(pos / 3) as int) + 1 as page, text from {sections} where pos % 5 <> 2 union all select doc_id, cast(floor((pos + doc_id % 4) / 3) as int) + 2, text from {sections} where (pos + doc_id) % 4 = 1"),
     "paged_sections": (["sections"], "select doc_id, pos, text, case when pos % 2 = 0 then cast(floor(pos / 4) as int) + 1 end as page from {sections}"),
     "places": (["sections"], "select doc_id, pos, cast(floor(pos / 3) as int) + 1 as page from {sections}"),
     "verdicts": (["sections"], "select doc_id, pos * 3 as pos, case pos % 3 when 0 then 'verified' when 1 then 'needs_review' else 'unverified' end as verdict from {sections}"),
 }
 add("section_id_order", sequences.section_id_order, sections="jumbled")
 add("ref_block_extract", structure.reference_block, sections="titled", titles="block_titles")
-add("ref_section_locate", placement.reference_sections, refs="listed_lines")
-add("section_page_map", placement.section_pages, sections="paged_sections", pages_of="page_texts")
 add("annotation_join", placement.page_notes)
 
 
@@ -400,6 +397,30 @@ r as (select doc_id, number, s.p seen, l.p place from l join s using (doc_id, nu
 o as (select *, (select count(*) from r b where b.doc_id = a.doc_id and (b.seen, b.number) < (a.seen, a.number)) x, (select count(*) from r b where b.doc_id = a.doc_id and b.place < a.place) y from r a)
 select doc_id, count(*) out_of_place, 'REF_ORDER_001' rule_id from o where x <> y group by 1"""),
     "ref_numbering_gap": (citations.reference_numbering, ["gapped_refs"], f"""{_OWN.replace("listed_refs", "gapped_refs")}, w as (select * from own where number <> ref_pos) select doc_id, ref_pos, number, 'REF_ORDER_002' rule_id from w where not exists (from w b where b.doc_id = w.doc_id and b.ref_pos < w.ref_pos)"""),
+    "chart_mentions": (
+        structure.unmentioned_charts,
+        ["charts", "paragraphs"],
+        """n as (select *, nullif(caption_number, '') num from charts) select doc_id, pos, caption_number, 'ERR_INT_CHART_REF_001' rule_id from n where not exists (from paragraphs p where p.doc_id = n.doc_id
+  and case when num is null then regexp_matches(lower(text), '图|表|figure|table') else contains(text, '图' || num) or contains(text, '表' || num) or regexp_matches(lower(text), '(figure|table) ?' || num) end)""",
+    ),
+    "ref_section_locate": (
+        placement.reference_sections,
+        ["listed_lines", "sections"],
+        r"""c as (select doc_id, pos, section_id, lower(regexp_replace(text, '\s+', '', 'g')) t from sections), r as (select doc_id, ref_pos, lower(regexp_replace(raw_text, '\s+', '', 'g')) t from listed_lines),
+h as (select r.doc_id, ref_pos, min(pos) pos from r join c on c.doc_id = r.doc_id and c.t <> '' and r.t <> '' and (instr(c.t, left(r.t, 120)) > 0 or instr(r.t, c.t) > 0) group by 1, 2)
+select h.doc_id, ref_pos, section_id from h join c using (doc_id, pos)""",
+    ),
+    "section_page_map": (
+        placement.section_pages,
+        ["paged_sections", "page_texts"],
+        r"""c as (select doc_id, pos, page, lower(regexp_replace(text, '\s+', '', 'g')) t, row_number() over (partition by doc_id order by pos) n from paged_sections),
+g as (select doc_id, page, string_agg(lower(regexp_replace(text, '\s+', '', 'g')), ' ') t from page_texts group by 1, 2),
+h as (select c.doc_id, c.n, list(g.page order by g.page) pages from c join g on g.doc_id = c.doc_id and c.t <> '' and contains(g.t, c.t) group by 1, 2),
+m as (select c.*, pages from c left join h using (doc_id, n)),
+w as (select doc_id, n, pos, page, pages[1] found, pages[1] last_ from m where n = 1
+  union all select m.doc_id, m.n, m.pos, m.page, x.f, coalesce(x.f, last_) from w join m on m.doc_id = w.doc_id and m.n = w.n + 1, lateral (select coalesce(list_min(list_filter(m.pages, lambda p: last_ is null or p >= last_)), m.pages[1]) f) x)
+select doc_id, pos, cast(coalesce(found, page, 1) as int) page, found is not null matched from w""",
+    ),
     "code_sections": (lines.code_sections, ["marked"], rf"""{_LINES_SQL}, o as (select *, line whole, case when regexp_matches(line, '^(///|#)') then '' else line end bare from ls),
 q as (select *, rtrim(split_part(whole, '///', 1)) b1, rtrim(split_part(whole, '#', 1)) b2 from o), r as (select doc_id, pos, n, whole, case when bare = '' then '' when strpos(whole, '///') > 1 and {_CODEY.format('b1')} then b1 when strpos(whole, '#') > 1 and {_CODEY.format('b2')} then b2 else whole end line from q),
 c as (select doc_id, pos, count(*) n, sum(case when line = '' or {_IS_CODE} then 1 else 0 end) k, bool_or(line = '') comment, bool_or({_CHINESE.format('line')}) cjk from r group by 1, 2)
