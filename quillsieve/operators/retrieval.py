@@ -1,15 +1,12 @@
-"""Retrieval and verification: hashed embeddings, token similarity, top-k candidates, verdicts."""
+"""Retrieval and verification: hashed embeddings, token similarity, top-k candidates, verdicts. Vectors are in vectors.py."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sql import SqlOperator, spark_sql
+from ..sources.scratch import Tables
 
 _TOKENS = "regexp_extract_all(lower(text), «[\\p{L}\\p{N}_]+», 0)"
 
@@ -19,6 +16,15 @@ hashed_embedding = SqlOperator(
     f"""with t as (select id, unroll({_TOKENS}) as token from {{texts}}), c as (select id, hex8(token) % 64 as dim, count(*) as n from t group by id, hex8(token) % 64)
 select id, dim, round(n / sqrt(sum(n * n) over (partition by id)), 9) as value from c""",
 )
+
+
+def hashed_vectors(texts: DataFrame, dims: int = 64) -> DataFrame:
+    """Texts (id, text) -> (vec_id, embedding), the hashed bags of tokens as whole arrays; texts without tokens have none."""
+    sparse = hashed_embedding(texts).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "value"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dims - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
+    return sparse.select(F.col("id").alias("vec_id"), dense.alias("embedding"))
+
+
 #: Pairs (id, a, b) of texts -> Jaccard similarity of their token sets, 0 if either is empty.
 token_jaccard = SqlOperator(
     "pairs",
@@ -67,104 +73,138 @@ select id, paper_id, score, title_score, author_score, case when score >= 0.85 a
 prefix_similarity.sql = prefix_similarity.sql.replace("AT(", "nth(")
 
 
-def _shared_tokens(shared, k: int):
-    """For each query (id, tokens) the k papers of the block with the largest Jaccard: id, paper's place in the block, common tokens, sizes of both."""
-
-    def rows(batches):
-        vocabulary, starts, places, sizes, ids = shared.value
-        vocabulary, many = pa.array(vocabulary, pa.string()), len(ids)
-        counts, top = np.diff(starts), min(k, many)
-        for batch in batches:
-            for at in range(0, batch.num_rows, step := max(1, (1 << 20) // many)):
-                part = batch.slice(at, step)
-                tokens = part.column("tokens")
-                n = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
-                found = pc.fill_null(pc.index_in(tokens.flatten(), value_set=vocabulary), -1).to_numpy(zero_copy_only=False).astype(np.int64)
-                row = np.repeat(np.arange(part.num_rows), n)[found >= 0]
-                found = found[found >= 0]
-                c = np.zeros((part.num_rows, many), np.int64)
-                ends = np.cumsum(counts[found])
-                cuts = [*np.searchsorted(ends, np.arange(0, ends[-1] if len(ends) else 0, 1 << 22), "right"), len(found)]
-                for a, b in zip(cuts, cuts[1:], strict=False):
-                    r = counts[found[a:b]]
-                    spot = np.arange(r.sum()) - np.repeat(np.cumsum(r) - r, r) + np.repeat(starts[found[a:b]], r)
-                    c += np.bincount(np.repeat(row[a:b], r) * many + places[spot], minlength=c.size).reshape(c.shape)
-                score = np.round(c / np.maximum(n[:, None] + sizes - c, 1), 9)
-                best = np.argsort(-score, axis=1, kind="stable")[:, :top]
-                common = np.take_along_axis(c, best, 1)
-                q, j = np.nonzero(common)
-                p = best[q, j]
-                yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(q)), pa.array(ids[p]), pa.array(common[q, j]), pa.array(n[q]), pa.array(sizes[p])], ["id", "paper_id", "c", "n", "m"])
-
-    return rows
-
-
-def paper_topk(queries: DataFrame, papers: DataFrame, k: int = 3, block: int = 4096) -> DataFrame:
+# Limits of verdicts, the least tokens of a fragment, and what fragments of an entry are cut at and must not hold.
+STRONG, PARTIAL, WEAK, FRAGMENT = 0.85, 0.65, 0.45, 3
+_FRAGMENTS, _YEAR_IN = r"[^，,。.;；\n]+", r"(?:19|20)[0-9]{2}"
+
+
+def _jaccard(a: Column, b: Column) -> Column:
+    common = F.size(F.array_intersect(a, b))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), common / (F.size(a) + F.size(b) - common)).otherwise(F.lit(0.0))
+
+
+def _leading(x: Column, y: Column) -> Column:
+    """Share of the shorter array's items that agree from its beginning on."""
+    n = F.least(F.size(x), F.size(y))
+    same = F.array_position(F.zip_with(F.slice(x, F.lit(1), n), F.slice(y, F.lit(1), n), lambda a, b: a != b), True)
+    return F.when(n > 0, F.when(same > 0, same - 1).otherwise(n) / n).otherwise(F.lit(0.0))
+
+
+def verify(queries: DataFrame, candidates: DataFrame, papers: DataFrame) -> DataFrame:
+    """Queries (id, text, years), candidates of paper_topk and papers -> a verdict for each query, as `verified` defines it: id, paper_id,
+    score, title_score, author_score, verdict, confidence, year_mismatch, no_candidate, reason, risk_flags.
+
+    Tokens of texts, titles and authors are made once each; an entry's fragments are compared in their row, without an explode. A null
+    text is empty; a query without a candidate has no paper."""
+    tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    title, authors = F.coalesce("title", F.lit("")), F.coalesce("authors", F.lit(""))
+    compact = lambda c: F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", "")
+    known = papers.select(F.col("paper_id").alias("known_id"), tokens(title).alias("y"), F.array_distinct(tokens(authors)).alias("z"), compact(title).alias("compact"))
+    best = candidates.where("k = 1").select(F.col("id").alias("best_id"), "paper_id", "year", F.col("score").alias("jaccard"))
+    best = best.join(known.hint("merge"), F.col("paper_id") == F.col("known_id"), "left").drop("known_id")
+    rows = queries.select("id", F.coalesce("text", F.lit("")).alias("text"), "years").join(best.hint("merge"), F.col("id") == F.col("best_id"), "left")
+    none = F.array().cast("array<string>")
+    rows = rows.withColumns({"y": F.coalesce("y", none), "z": F.coalesce("z", none), "compact": F.coalesce("compact", F.lit("")), "jaccard": F.coalesce("jaccard", F.lit(0.0)), "w": tokens(F.col("text"))})
+    parts = F.filter(F.transform(F.regexp_extract_all("text", F.lit(_FRAGMENTS), F.lit(0)), lambda p: F.when(~p.rlike(_YEAR_IN), tokens(p))), lambda x: F.size(x) >= FRAGMENT)
+    rows = rows.withColumn("parts", F.concat(F.array("w"), parts)).withColumn("dy", F.array_distinct("y"))
+    like = F.array_max(F.transform("parts", lambda x: F.greatest(_jaccard(F.array_distinct(x), F.col("dy")), _leading(x, F.col("y")))))
+    inside = F.when((F.size("y") > 0) & F.contains(compact(F.col("text")), F.col("compact")), 1.0).otherwise(0.0)
+    rows = rows.withColumns({"title_score": F.round(F.greatest(like, inside), 9), "author_score": F.round(_jaccard(F.array_distinct("w"), F.col("z")), 9)})
+    told = F.col("paper_id").isNotNull() & F.col("year").isNotNull() & F.coalesce((F.col("years") != "") & ~F.contains("years", F.col("year").cast("string")), F.lit(False))
+    rows = rows.withColumns({"score": F.greatest("jaccard", "title_score", "author_score"), "year_mismatch": told, "no_candidate": F.col("paper_id").isNull()})
+    good, fair = (F.col("score") >= STRONG) & ~F.col("year_mismatch"), (F.col("score") >= PARTIAL) & ~F.col("year_mismatch")
+    blank, no = ~F.col("text").rlike(r"\S"), F.col("no_candidate")
+    flags = F.concat_ws(",", F.when(F.col("year_mismatch") | (F.col("score") < PARTIAL), "weak_match").when(F.col("score") < STRONG, "partial_match"), F.when(F.col("year_mismatch"), "year_mismatch"))
+    return rows.select(
+        "id", "paper_id", "score", "title_score", "author_score", F.when(good, "verified").when(fair, "needs_review").otherwise("unverified").alias("verdict"),
+        F.when(good, "high").when(fair, "medium").when(F.col("score") < WEAK, "low").otherwise("medium").alias("confidence"), "year_mismatch", "no_candidate",
+        F.when(blank, "empty_reference").when(no, "no_local_match").when(good, "local_match_strong").when(fair, "local_match_partial").otherwise("local_match_weak").alias("reason"),
+        F.when(blank, "empty_reference").when(no, "no_local_match").otherwise(flags).alias("risk_flags"),
+    )
+
+
+#: Tokens whose presence in a text is kept as a bit: the most frequent ones of the papers. The first `_TOP` of them have no lists of
+#: papers; of the others the lists are read from the rarest on, in steps that end at these ranks.
+_BITS, _STEPS, _TOP = 62, (32, 16, 10), 10
+
+
+def _bits(tokens: Column, often: Column) -> Column:
+    """The most frequent tokens that an array holds, one bit for each by its place."""
+    return F.aggregate(F.array_intersect(tokens, often), F.lit(0).cast("long"), lambda acc, t: acc.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), (F.array_position(often, t) - 1).cast("int"))))
+
+
+def _score(common: Column, n: Column, m: Column) -> Column:
+    return F.round(common.cast("double") / (n + m - common), 9)
+
+
+def _ranked(pairs: DataFrame, k: int) -> DataFrame:
+    """The k best papers of each query of (q, paper_id, m, common, score); a pair that is there twice counts with its larger overlap."""
+    best = pairs.groupBy("q", "paper_id").agg(F.max(F.struct("common", "score", "m")).alias("x")).select("q", "paper_id", "x.*")
+    return best.withColumn("k", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "paper_id"))).where(F.col("k") <= k)
+
+
+def paper_topk(queries: DataFrame, papers: DataFrame, k: int = 3) -> DataFrame:
     """The k papers with the largest token Jaccard to each query (id, text), of those that share a token with it; ties by id.
 
-    A paper's text is that of candidate_texts. Papers go to the tasks in blocks of about `block`, as lists of papers by token, so
-    every query is compared with every paper. Returns id, paper_id, year, score, cover (share of the paper's tokens) and k.
-    """
-    spark = queries.sparkSession
-    tokens = F.expr(spark_sql(f"uniq({_TOKENS})")).alias("tokens")
-    asked = queries.select(F.col("id").cast("long").alias("id"), tokens).where("size(tokens) > 0")
-    known = candidate_texts(papers).select(F.col("paper_id").cast("long").alias("paper_id"), "year", tokens).where("size(tokens) > 0 and paper_id is not null")
-    blocks = max(1, -(-known.count() // block))
-    out = spark.createDataFrame([], "id long, paper_id long, c long, n long, m long")
-    for b in range(blocks):
-        rows = sorted(known.where(F.pmod(F.xxhash64("paper_id"), F.lit(blocks)) == b).select("paper_id", "tokens").collect())
-        if not rows:
-            continue
-        by_token: dict[str, list[int]] = {}
-        for place, r in enumerate(rows):
-            for t in r.tokens:
-                by_token.setdefault(t, []).append(place)
-        starts = np.cumsum([0, *map(len, by_token.values())])
-        shared = spark.sparkContext.broadcast((list(by_token), starts, np.concatenate([*by_token.values()]), np.array([len(r.tokens) for r in rows]), np.array([r.paper_id for r in rows])))
-        out = out.unionByName(asked.mapInArrow(_shared_tokens(shared, k), out.schema))
-    scored = out.select("id", "paper_id", F.expr("round(1.0D * c / (n + m - c), 9)").alias("score"), F.expr("round(1.0D * c / m, 9)").alias("cover"))
-    order = Window.partitionBy("id").orderBy(F.desc("score"), "paper_id")
-    best = scored.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k)
-    return best.join(known.select("paper_id", "year"), "paper_id").select("id", "paper_id", "year", "score", "cover", "k")
-
-
-def _best(shared, k: int):
-    def rows(batches):
-        ids, queries = shared.value
-        for pdf in batches:
-            pdf = pdf.sort_values("vec_id", kind="stable")  # so that a stable sort by score leaves ties in order of ids
-            m = np.stack(pdf["embedding"].to_numpy()).astype(np.float64) if len(pdf) else np.empty((0, queries.shape[1]))
-            norm = np.linalg.norm(m, axis=1)
-            score = np.round(queries @ (m / np.where(norm == 0, 1, norm)[:, None]).T, 6)
-            top = min(k, score.shape[1])
-            if top:
-                order = np.argsort(-score, axis=1, kind="stable")[:, :top]
-                yield pd.DataFrame({"query_id": np.repeat(ids, order.shape[1]), "vec_id": pdf["vec_id"].to_numpy()[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
-
-    return rows
-
-
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 3, block: int = 4096) -> DataFrame:
-    """The k vectors (vec_id, embedding) with the largest cosine to each query, itself left out; ties by id.
-
-    Queries go to the tasks in blocks of at most `block`, in each of which a product of matrices scores whole batches of
-    vectors. Scores are rounded to six digits before they are compared. Of a batch the k + 1 best of each query go on, ties by id, so that none of the best
-    k besides the query itself is lost; a window ranks those of all batches. Null embeddings are left out."""
-    spark = vectors.sparkSession
-    queries = queries.where("embedding is not null").select("vec_id", "embedding")
-    blocks = max(1, -(-queries.count() // block))
-    out = None
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
-        if not rows:
+    A paper's text is that of candidate_texts. An inverted index as joins, exact: queries with one set of tokens are asked once.
+    The papers' 62 most frequent tokens are bits of a number on both sides, all others have lists of papers. A query first reads the
+    lists of its rare tokens, which gives the whole overlap with each paper in them, the bits included. A paper in none of
+    them shares nothing but bits with the query; as long as one with all of those and the least size could be among the k
+    best, the query goes on to the lists of its frequent tokens, from the rarest on, and stops when that can't be any more. What
+    then shares only the ten most frequent tokens is looked up in a table of at most 1,024 * k papers: of each set of those
+    tokens the k smallest papers, as the others can't be better.
+
+    Returns id, paper_id, year, score, cover (share of the paper's tokens) and k. Queries and papers without tokens or ids are left
+    out; ids of papers are unique (as after upsert_papers). To the driver go 62 tokens and one number."""
+    scratch = Tables(queries.sparkSession, "topk")
+    tokens = F.expr(spark_sql(f"uniq({_TOKENS})"))
+    known = candidate_texts(papers).select(F.col("paper_id").cast("long").alias("paper_id"), "year", tokens.alias("tokens")).where("size(tokens) > 0 and paper_id is not null")
+    known = scratch.write(known.withColumn("m", F.size("tokens").cast("long")), "papers")
+    df = known.select(F.explode("tokens").alias("token")).groupBy("token").count()
+    often = [r.token for r in df.orderBy(F.desc("count"), "token").limit(_BITS).collect()]
+    least = known.agg(F.min("m")).first()[0]
+    if least is None:
+        return queries.sparkSession.createDataFrame([], f"id long, paper_id long, year {known.schema['year'].dataType.simpleString()}, score double, cover double, k int")
+    hot = F.array(*[F.lit(t) for t in often])
+    asked = queries.select(F.col("id").cast("long").alias("id"), F.array_sort(tokens).alias("tokens")).where("size(tokens) > 0 and id is not null")
+    asked = scratch.write(asked.withColumn("key", F.sha2(F.array_join("tokens", "\n"), 256)), "queries")
+    one = asked.groupBy("key").agg(F.first("tokens").alias("tokens")).withColumn("q", F.monotonically_increasing_id())
+    one = scratch.write(one.select("q", "key", "tokens", F.size("tokens").cast("long").alias("n"), _bits(F.col("tokens"), hot).alias("b")), "asked")
+    lists = known.select("paper_id", "m", _bits(F.col("tokens"), hot).alias("pb"), "tokens")
+    lists = scratch.write(lists.select("paper_id", "m", "pb", F.explode("tokens").alias("token")), "lists")
+
+    def read(rows: DataFrame, rare: Column) -> DataFrame:
+        """Pairs of queries (q, n, b, token) and the papers of their tokens' lists; rare: how many tokens without bits each has seen."""
+        pairs = rows.join(lists.hint("merge"), "token").groupBy("q", "n", "b", "paper_id", "m", "pb").agg(rare.alias("rare"))
+        common = F.col("rare") + F.bit_count(F.col("b").bitwiseAND(F.col("pb")))
+        return pairs.select("q", "paper_id", "m", common.cast("long").alias("common"), _score(common, F.col("n"), F.col("m")).alias("score"))
+
+    found = scratch.write(_ranked(read(one.select("q", "n", "b", F.explode(F.array_except("tokens", hot)).alias("token")), F.count("*")), k), "found-62")
+    upper = len(often)
+    for lower in _STEPS:
+        if lower >= upper:
             continue
-        m = np.array([r.embedding for r in rows], np.float64)
-        norm = np.linalg.norm(m, axis=1)
-        shared = spark.sparkContext.broadcast((np.array([r.vec_id for r in rows]), m / np.where(norm == 0, 1, norm)[:, None]))
-        part = vectors.where("embedding is not null").select("vec_id", "embedding").mapInPandas(_best(shared, k + 1), "query_id long, vec_id long, score double")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "query_id long, vec_id long, k int, score double")
-    out = out.where("query_id <> vec_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return out.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).select("query_id", "vec_id", "k", "score")
+        # what a paper can score at most that is in no list read so far
+        most = F.bit_count(F.col("b").bitwiseAND(F.lit((1 << upper) - 1)))
+        bound = _score(most, F.col("n"), F.greatest(F.lit(least), most))
+        last = found.where(F.col("k") == k).select("q", F.col("score").alias("last"))
+        going = one.join(last.hint("merge"), "q", "left").where((most > 0) & (F.col("last").isNull() | (F.col("last") <= bound)))
+        step = F.array(*[F.lit(t) for t in often[lower:upper]])
+        more = read(going.select("q", "n", "b", F.explode(F.array_intersect("tokens", step)).alias("token")), F.lit(0).cast("long"))
+        found = scratch.write(_ranked(found.select("q", "paper_id", "m", "common", "score").unionByName(more), k), f"found-{lower}")
+        upper = lower
+    top = F.lit((1 << min(_TOP, len(often))) - 1)
+    small = known.select("paper_id", "m", _bits(F.col("tokens"), hot).bitwiseAND(top).alias("pb")).where("pb > 0")
+    small = small.withColumn("r", F.row_number().over(Window.partitionBy("pb").orderBy("m", "paper_id"))).where(F.col("r") <= k)
+    kinds = scratch.write(one.select("n", F.col("b").bitwiseAND(top).alias("t")).where("t > 0").distinct(), "kinds")
+    places = lambda c: F.explode(F.filter(F.array(*[F.lit(i) for i in range(_TOP)]), lambda i: F.getbit(c, i) == 1)).alias("bit")
+    shared = kinds.select("t").distinct().select("t", places(F.col("t"))).join(F.broadcast(small.select("paper_id", "m", places(F.col("pb")))), "bit")
+    rest = kinds.join(shared.groupBy("t", "paper_id", "m").agg(F.count("*").alias("common")).hint("merge"), "t")
+    rest = rest.withColumn("score", _score(F.col("common"), F.col("n"), F.col("m")))
+    rest = rest.withColumn("r", F.row_number().over(Window.partitionBy("n", "t").orderBy(F.desc("score"), "paper_id"))).where(F.col("r") <= k).drop("r")
+    rest = one.withColumn("t", F.col("b").bitwiseAND(top)).select("q", "n", "t").join(rest.hint("merge"), ["n", "t"]).select("q", "paper_id", "m", "common", "score")
+    best = scratch.write(_ranked(found.select("q", "paper_id", "m", "common", "score").unionByName(rest), k), "best")
+    years = known.groupBy("paper_id", "m").agg(F.max("year").alias("year"))
+    named = best.join(years.hint("merge"), ["paper_id", "m"]).withColumn("cover", F.round(F.col("common") / F.col("m"), 9))
+    out = asked.select("id", "key").join(one.select("q", "key").hint("merge"), "key").join(named.hint("merge"), "q")
+    return out.select("id", "paper_id", "year", "score", "cover", "k")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .functions.rules import Rule, apply_rules, rules_sql
 from .functions.sql import SqlOperator, duck_sql, run
 from .operators import chunks, citations, issues, lines, packs, placement, report, retrieval, sequences, structure
+from .operators import vectors as vector_index
 from .plans.audit import PROSE_PACKS, audit, scores
 from .sources.scratch import Tables
 from .sources.views import VIEWS, view, view_sql
@@ -227,7 +229,7 @@ add("verify_references", retrieval.verified, queries="line_queries")
 
 def verify_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, papers = frame(spark, sf_dir, "line_queries"), frame(spark, sf_dir, "papers")
-    return retrieval.verified(queries, retrieval.paper_topk(queries, papers), papers)
+    return retrieval.verify(queries, retrieval.paper_topk(queries, papers), papers)
 
 
 QUERIES["verify_references"] = verify_references
@@ -284,7 +286,7 @@ select doc_id, pos, start_char, cast(n as int) new_start, cast(n + length(origin
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries: every vector whose id is divisible by 50, against all."""
     vectors = frame(spark, sf_dir, "embeddings")
-    return retrieval.vector_topk(vectors, vectors.where("vec_id % 50 = 0"))
+    return vector_index.vector_topk(vectors, vectors.where("vec_id % 50 = 0"))
 
 
 QUERIES["vector_topk"] = vector_topk
@@ -292,6 +294,28 @@ ORACLE["vector_topk"] = """with s as (select q.vec_id query_id, v.vec_id, round(
 select query_id, vec_id, cast(k as int) k, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) k from s) r where k <= 3"""
 
 
+def paper_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three papers whose hashed embeddings are nearest to those of each benchmark text and its beginning."""
+    papers = retrieval.candidate_texts(frame(spark, sf_dir, "papers")).select(F.col("paper_id").alias("id"), "text")
+    asked = frame(spark, sf_dir, "asked_texts")
+    return vector_index.vector_topk(retrieval.hashed_vectors(papers), retrieval.hashed_vectors(asked), itself=True)
+
+
+DERIVED |= {
+    "asked_texts": (["benchmark"], "select item_id as id, text from {benchmark} union all select item_id + 1000000, substring(text, 1, 80) from {benchmark}"),
+    "paper_texts": (["papers"], retrieval.candidate_texts.sql.replace("select paper_id, year,", "select paper_id as id,")),
+}
+QUERIES["paper_vectors"] = paper_vectors
+ORACLE["paper_vectors"] = _with(
+    ["asked_texts", "paper_texts"],
+    r"""t as (select 0 side, id, text from asked_texts union all select 1, id, text from paper_texts), w as (select side, id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) w from t),
+c as (select side, id, ('0x' || substr(sha256(w), 1, 8))::bigint % 64 d, count(*) n from w group by 1, 2, 3), v as (select side, id, d, round(n / sqrt(sum(n * n) over (partition by side, id)), 9) x from c),
+l as (select side, id, sqrt(sum(x * x)) l from v group by 1, 2), p as (select q.id a, b.id b, sum(q.x * b.x) s from v q join v b on q.side = 0 and b.side = 1 and q.d = b.d group by 1, 2),
+r as (select qi.id query_id, bi.id vec_id, round(coalesce(s, 0) / (qi.l * bi.l), 6) score from (from l where side = 0) qi cross join (from l where side = 1) bi left join p on a = qi.id and b = bi.id)
+select query_id, vec_id, cast(k as int) k, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) k from r) z where k <= 3""",
+)
+
+
 def audit_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.reports(frame(spark, sf_dir, "issues"))
 

@@ -36,6 +36,15 @@ class Tables:
             path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.path}/{name}")
+    def write(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+        """batch: rows that go to Python at a time while this is written, for tables with large rows."""
+        setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(setting)
+        if batch:
+            self.spark.conf.set(setting, str(batch))
+        try:
+            df.write.parquet(f"{self.path}/{name}")
+        finally:
+            if batch:
+                self.spark.conf.set(setting, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillsieve.functions.rules import Rule, apply_rules
-from quillsieve.operators import chunks, citations, issues, lines, packs, report, retrieval, sequences, structure
+from quillsieve.operators import chunks, citations, issues, lines, packs, report, retrieval, sequences, structure, vectors
 from quillsieve.plans.audit import PROSE_PACKS, audit, review, scores
 from quillsieve.sources.ingest import heading_level, number_of, paper_text, read_parsed, references_of, sections_of, table_rows_of, upsert_papers
 
@@ -192,10 +192,9 @@ def test_verification_by_hand(spark):
     texts = ["Li. Deep rules, for audits. 2003", "LI Y. deep RULES for audits and more, 1999", "four one", "Deep rules of things, in water audits", "zzz", "", None, "Zhao Lin, Wu Ke", "x, deep rules for, y 10.1/77"]
     queries = spark.createDataFrame([(k, t, "1999" if t and "1999" in t else "") for k, t in enumerate(texts)], "id long, text string, years string")
     want = sorted(tuple(r) for r in retrieval.paper_topk_all_pairs(queries, papers).collect())
-    for block in (4096, 2):
-        assert sorted(tuple(r) for r in retrieval.paper_topk(queries, papers, block=block).collect()) == want
+    assert sorted(tuple(r) for r in retrieval.paper_topk(queries, papers).collect()) == want
     assert [r[1] for r in want if r[0] == 2] == [3, 4]  # under three tokens, another order
-    got = {r.id: r for r in retrieval.verified(queries, retrieval.paper_topk(queries, papers), papers).collect()}
+    got = {r.id: r for r in retrieval.verify(queries, retrieval.paper_topk(queries, papers), papers).collect()}
     assert (got[0].verdict, got[0].paper_id, got[0].title_score) == ("verified", 1, 1.0)
     assert (got[1].verdict, got[1].year_mismatch, got[1].title_score) == ("unverified", True, 1.0)
     assert {k: (r.reason, r.risk_flags) for k, r in got.items() if k in (0, 1, 3, 4, 5, 6)} == {
@@ -229,7 +228,7 @@ def test_styles_of_long_chains_and_cycles(spark):
 def test_equal_vectors_go_by_id(spark):
     rows = [(k, [1.0, 2.0]) for k in range(1000)] + [(2000, None), (2001, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
-    got = sorted(map(tuple, retrieval.vector_topk(df, df.where("vec_id in (1, 50)")).collect()))
+    got = sorted(map(tuple, vectors.vector_topk(df, df.where("vec_id in (1, 50)")).collect()))
     assert got == [(1, 0, 1, 1.0), (1, 2, 2, 1.0), (1, 3, 3, 1.0), (50, 0, 1, 1.0), (50, 1, 2, 1.0), (50, 2, 3, 1.0)]
 
 
