@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -23,19 +24,46 @@ distinct_issues = SqlOperator(
 )
 
 
+def _sweep(keys: list[str], tolerance: int):
+    """Rows sorted by keys and order -> those that stay. Kept spans lie in cells of tolerance + 1 by tolerance + 1 characters: two in one
+    cell would be near, so a cell has one, and a row looks at nine."""
+
+    def rows(batches):
+        group, cells, bare = None, {}, False
+        size = tolerance + 1
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*keys, "start_char", "end_char")]
+            keep = []
+            for *key, s, e in zip(*columns, strict=True):
+                if key != group:
+                    group, cells, bare = key, {}, False
+                if s is None or e is None:
+                    stays = not cells and not bare
+                    bare |= stays
+                else:
+                    x, y = s // size, e // size
+                    near = bare or any(f is not None and abs(f[0] - s) <= tolerance and abs(f[1] - e) <= tolerance for i in (x - 1, x, x + 1) for j in (y - 1, y, y + 1) for f in (cells.get((i, j)),))
+                    stays = not near
+                    if stays:
+                        cells[x, y] = (s, e)
+                keep.append(stays)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return rows
+
+
 def near_distinct_issues(issues: DataFrame, scope: list[str], tolerance: int = 3) -> DataFrame:
     """Keep an issue unless one that is kept before it (by `at`) has its scope, type and label and a span within `tolerance`
-    characters at both ends, or one of the two has no span. A fold over each group in order; groups are small, as they
-    share scope, type and label. `at` is a whole number or a struct of several."""
+    characters at both ends, or one of the two has no span (a start or an end is missing). `at` is a whole number or a struct of several;
+    equal ones go by span, nulls first.
+
+    One pass over the rows sorted by group and order: a task keeps the kept spans of the group at hand, two numbers each, and every
+    row takes the same few steps, so that a group of a million issues is no array and no square."""
     keys = [*scope, "issue_type", "label"]
     if not isinstance(issues.schema["at"].dataType, StructType):
         issues = issues.withColumn("at", F.col("at").cast("bigint"))
-    kind = f"array<struct<at:{issues.schema['at'].dataType.simpleString()},s:int,e:int>>"
-    near = lambda a, b: a.s.isNull() | b.s.isNull() | ((F.abs(a.s - b.s) <= tolerance) & (F.abs(a.e - b.e) <= tolerance))
-    rows = F.array_sort(F.collect_list(F.struct("at", F.col("start_char").cast("int").alias("s"), F.col("end_char").cast("int").alias("e"))))
-    fold = F.aggregate("g", F.array().cast(kind), lambda acc, x: F.when(F.exists(acc, lambda y: near(x, y)), acc).otherwise(F.concat(acc, F.array(x))))
-    grouped = issues.groupBy(*keys).agg(rows.alias("g"))
-    return grouped.select(*keys, F.inline(fold)).withColumnsRenamed({"s": "start_char", "e": "end_char"})
+    rows = issues.select(*keys, "at", F.col("start_char").cast("int").alias("start_char"), F.col("end_char").cast("int").alias("end_char"))
+    return rows.repartition(*keys).sortWithinPartitions(*keys, "at", "start_char", "end_char").mapInArrow(_sweep(keys, tolerance), rows.schema)
 
 
 def near_merged_reviews(first: DataFrame, second: DataFrame, tolerance: int = 3) -> DataFrame:
@@ -52,11 +80,17 @@ def near_merged_reviews(first: DataFrame, second: DataFrame, tolerance: int = 3)
 
 def relocated_spans(rows: DataFrame) -> DataFrame:
     """(text, original, start_char, end_char) -> the place of `original` in the text nearest to the span, the first on a tie,
-    where the span is missing, too short or says something else; adds new_start and new_end (null if it isn't in the text)."""
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0))), lambda i: F.col("text").substr(i + 1, F.length("original")) == F.col("original"))
-    best = F.array_min(F.transform(starts, lambda i: F.struct(F.abs(i - F.coalesce("start_char", F.lit(0))).alias("d"), i.alias("i")))).i
+    where the span is missing, too short or says something else; adds new_start and new_end (null if it isn't in the text).
+
+    The nearest places are the first one from the span's start on and, in the reversed text, the first one before it: two searches,
+    however long the text. A missing start counts as 0."""
+    at, n, size = F.greatest(F.coalesce("start_char", F.lit(0)), F.lit(0)), F.length("text"), F.length("original")
+    find = lambda what, where, start: F.nullif(F.call_function("locate", what, where, start), F.lit(0)) - 1
+    after = find(F.col("original"), F.col("text"), at + 1)
+    before = n - size - find(F.reverse("original"), F.reverse("text"), F.greatest(n - size - at, F.lit(0)) + 1)
+    best = F.when(before.isNotNull() & (after.isNull() | (F.abs(at - before) <= F.abs(after - at))), before).otherwise(after)
     good = F.coalesce(F.col("text").substr(F.col("start_char") + 1, F.col("end_char") - F.col("start_char")) == F.col("original"), F.lit(False))
-    rows = rows.withColumn("new_start", F.when(good, F.col("start_char")).otherwise(F.when(F.length("original") > 0, best)))
+    rows = rows.withColumn("new_start", F.when(good, F.col("start_char")).otherwise(F.when(size > 0, best)))
     return rows.withColumn("new_end", F.col("new_start") + F.length("original"))
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.sql import SqlOperator
+from ..sources.scratch import Tables
 
 score_impact = SqlOperator("issues", "select doc_id, big(sum(case upper(severity_name) when 'CRITICAL' then 10 when 'HIGH' then 5 when 'MEDIUM' then 2 when 'LOW' then 1 else 0 end)) as score from {issues} group by doc_id")
 audit_summary = SqlOperator(
@@ -25,11 +26,40 @@ detection_rate = SqlOperator(
     "issues refs",
     "select errors, listed, case when listed > 0 then round(errors * 100.0e0 / listed, 6) end as rate from (select count(*) as errors from {issues} where substring(rule_id, 1, 4) = 'ERR_') i cross join (select count(*) as listed from {refs}) r",
 )
-latency_stats = SqlOperator(
-    "tasks",
-    """with r as (select current_stage, progress, row_number() over (partition by current_stage order by progress) as k, count(*) over (partition by current_stage) as n from {tasks})
-select current_stage, max(n) as tasks, round(avg(progress), 6) as mean, min(progress) as least, max(progress) as most, max(case when k = greatest(1, ceil(0.99 * n)) then progress end) as p99 from r group by current_stage""",
-)
+#: Shares at which latency_stats tells values.
+SHARES = (0.5, 0.9, 0.99)
+
+
+def latency_stats(tasks: DataFrame, by: str, value: str, ok: Column, at: str, tie: str, shares: tuple[float, ...] = SHARES) -> DataFrame:
+    """For each `by`: tasks, succeeded (ok holds), success_rate, mean, least, most, the value at each share (p50, p90, p99: the one whose
+    place in order is the share of all, rounded up), and throughput, tasks a second from the first `at` to the last.
+
+    Exact by distributed selection: rows are dealt by ranges of (by, value, tie) and written, each range counts its rows of each
+    group, and sums of these few counts say in which range and at which place a wanted value stands; only those ranges are read
+    again and numbered. A group that holds most rows is many ranges, also where its values are equal (`tie` parts them).
+    Rows without a value count as tasks, but not for values; where first and last are one time, throughput is null."""
+    scratch = Tables(tasks.sparkSession, "latency")
+    rows = tasks.select(F.col(by).alias("g"), F.col(value).cast("double").alias("v"), F.xxhash64(tie).alias("t"))
+    rows = rows.where("v is not null").repartitionByRange("g", "v", "t")
+    rows = scratch.write(rows.withColumn("part", F.spark_partition_id()), "ranges")
+    parts = rows.groupBy("g", "part").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("g").orderBy("part")
+    parts = parts.withColumn("before", F.sum("n").over(order) - F.col("n")).withColumn("all", F.sum("n").over(Window.partitionBy("g")))
+    name = lambda p: f"p{round(p * 100):d}"
+    places = F.explode(F.array(*[F.struct(F.lit(name(p)).alias("name"), F.greatest(F.ceil(F.col("all") * p), F.lit(1)).alias("place")) for p in shares]))
+    wanted = parts.select("*", places.alias("w")).where("w.place > before and w.place <= before + n").select(F.col("g").alias("h"), F.col("part").alias("range"), "w.name", (F.col("w.place") - F.col("before")).alias("place"))
+    near = rows.join(wanted.hint("merge"), F.col("g").eqNullSafe(F.col("h")) & (F.col("part") == F.col("range")))
+    found = near.withColumn("k", F.row_number().over(Window.partitionBy("g", "name").orderBy("v", "t"))).where("k = place")
+    found = found.groupBy("g").agg(*[F.max(F.when(F.col("name") == name(p), F.col("v"))).alias(name(p)) for p in shares])
+    seconds = F.max(at).cast("timestamp").cast("double") - F.min(at).cast("timestamp").cast("double")
+    told = tasks.groupBy(F.col(by).alias("g")).agg(
+        F.count("*").alias("tasks"), F.count_if(ok).alias("succeeded"), F.round(F.count_if(ok) / F.count("*"), 6).alias("success_rate"), F.round(F.avg(value), 6).alias("mean"),
+        F.min(value).alias("least"), F.max(value).alias("most"), F.round(F.count("*") / F.nullif(seconds, F.lit(0.0)), 6).alias("throughput"),
+    )
+    out = told.join(found.withColumnRenamed("g", "h").hint("merge"), F.col("g").eqNullSafe(F.col("h")), "left").drop("h")
+    return out.withColumnRenamed("g", by)
+
+
 #: Tasks of all stages, newest first; task_listing_of() those of one stage.
 task_listing = SqlOperator("tasks", "select id, event_id, current_stage, size from {tasks} order by id desc, event_id desc")
 

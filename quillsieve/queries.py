@@ -210,7 +210,6 @@ add("audit_summary", report.audit_summary)
 add("review_summary", report.review_summary, chunks="chunk_rows")
 add("rule_histogram", report.rule_histogram)
 add("detection_rate", report.detection_rate, issues="error_issues")
-add("latency_stats", report.latency_stats)
 add("task_listing", report.task_listing)
 add("task_latest", report.task_latest)
 add("retention_plan", report.retention_plan)
@@ -444,6 +443,14 @@ m as (select c.*, pages from c left join h using (doc_id, n)),
 w as (select doc_id, n, pos, page, pages[1] found, pages[1] last_ from m where n = 1
   union all select m.doc_id, m.n, m.pos, m.page, x.f, coalesce(x.f, last_) from w join m on m.doc_id = w.doc_id and m.n = w.n + 1, lateral (select coalesce(list_min(list_filter(m.pages, lambda p: last_ is null or p >= last_)), m.pages[1]) f) x)
 select doc_id, pos, cast(coalesce(found, page, 1) as int) page, found is not null matched from w""",
+    ),
+    "latency_stats": (
+        lambda df: report.latency_stats(df, "current_stage", "progress", F.col("progress") > 10, "updated_at", "event_id"),
+        ["tasks"],
+        """r as (select *, row_number() over (partition by current_stage order by progress) k, count(progress) over (partition by current_stage) n from tasks where progress is not null),
+p as (select current_stage, max(case when k = greatest(1, ceil(0.5 * n)) then progress end) p50, max(case when k = greatest(1, ceil(0.9 * n)) then progress end) p90, max(case when k = greatest(1, ceil(0.99 * n)) then progress end) p99 from r group by 1)
+select t.current_stage, count(*) tasks, count(*) filter (where progress > 10) succeeded, round(count(*) filter (where progress > 10) / count(*), 6) success_rate, round(avg(progress), 6) mean, min(progress) least, max(progress) most,
+  round(count(*) / nullif(epoch(max(updated_at)) - epoch(min(updated_at)), 0), 6) throughput, any_value(p50) p50, any_value(p90) p90, any_value(p99) p99 from tasks t left join p on p.current_stage is not distinct from t.current_stage group by 1""",
     ),
     "code_sections": (lines.code_sections, ["marked"], rf"""{_LINES_SQL}, o as (select *, line whole, case when regexp_matches(line, '^(///|#)') then '' else line end bare from ls),
 q as (select *, rtrim(split_part(whole, '///', 1)) b1, rtrim(split_part(whole, '#', 1)) b2 from o), r as (select doc_id, pos, n, whole, case when bare = '' then '' when strpos(whole, '///') > 1 and {_CODEY.format('b1')} then b1 when strpos(whole, '#') > 1 and {_CODEY.format('b2')} then b2 else whole end line from q),
