@@ -78,7 +78,7 @@ def scores(issues: DataFrame) -> DataFrame:
 
 
 def review(tables: dict[str, DataFrame], mode: str = "packs", reviewer: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """`packs`: rule packs; `local`: text rules and an outside reviewer (sections -> issues); `hybrid`: packs, and the reviewer
+    """`packs`: rule packs; `local`: text rules and an outside reviewer (sections -> issues, see reviewer.outside_reviewer); `hybrid`: packs, and the reviewer
     for the sections that the packs have no issue of."""
     text = lambda t: apply_rules(t["sections"], packs.TEXT_RULES, ["doc_id", "pos"])
     if mode == "packs":
@@ -86,7 +86,7 @@ def review(tables: dict[str, DataFrame], mode: str = "packs", reviewer: Callable
     own = text(tables).select("doc_id", "pos", F.lit("text").alias("pack"), "rule_id", "severity") if mode == "local" else audit(tables)
     if reviewer is None:
         return own
-    left = tables["sections"] if mode == "local" else tables["sections"].join(own.select("doc_id", "pos").distinct(), ["doc_id", "pos"], "left_anti")
+    left = tables["sections"] if mode == "local" else tables["sections"].join(own.select("doc_id", "pos").distinct().hint("merge"), ["doc_id", "pos"], "left_anti")
     return own.unionByName(reviewer(left).select("doc_id", "pos", F.lit("reviewer").alias("pack"), "rule_id", "severity"))
 
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from .functions.rules import Rule, apply_rules, rules_sql
 from .functions.sql import SqlOperator, duck_sql, run
-from .operators import chunks, citations, issues, lines, packs, placement, report, retrieval, sequences, structure
+from .operators import chunks, citations, findings, issues, lines, packs, placement, report, retrieval, sequences, structure
 from .operators import vectors as vector_index
 from .plans.audit import PROSE_PACKS, audit, scores
+from .plans.reviewer import outside_issues
 from .sources.scratch import Tables
 from .sources.views import VIEWS, view, view_sql
 from .streaming import status
@@ -407,6 +408,46 @@ _CODEY = r"""(regexp_matches({0}, '^(```|//|/\*|\*|#)') or regexp_matches(lower(
  or regexp_matches(lower({0}), '\b(using|import|class|def|return|void|public|private|protected|namespace)\b') or regexp_matches({0}, '\b[A-Za-z_][A-Za-z0-9_.]*\s*\('))"""
 _LINES_SQL = r"ls as (select doc_id, pos, n, line from (select doc_id, pos, unnest(list_filter(list_transform(string_split_regex(text, '\r\n|\r|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')) line, generate_subscripts(list_filter(list_transform(string_split_regex(text, '\r\n|\r|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), 1) - 1 n from marked) a)"
 _KEPT_SQL = rf"kept as (select * from ls where not ({_IS_CODE} or regexp_matches(line, '^(\[[0-9]+\]|参考文献|[0-9]+\.|\[[A-Z]\])') or regexp_matches(lower(line), '\[[jmdcp]\]|\bdoi\b|\b[0-9]{{4}}\b|\bet al\.\b')))"
+def _strict_reader(chunks: list[dict]) -> list[list[dict]]:
+    """A reviewer for outside_review: it fails at texts that name a licence, answers every fifth section wrongly and has one remark on others."""
+    if any("license" in c["text"].lower() for c in chunks):
+        raise RuntimeError("no answer")
+    remark = lambda c: {"rule_id": "READ-001", "issue_type": "style", "severity": 1 + c["pos"] % 7, "message": "read again", "original": c["text"][2:7], "start_char": 0, "end_char": 2}
+    return [[{"severity": "none"}] if c["pos"] % 5 == 2 else [remark(c)] if len(c["text"]) >= 7 else [] for c in chunks]
+
+
+DERIVED["spoken"] = (
+    ["sections"],
+    """select doc_id, pos, case (doc_id * 5 + pos) % 12 when 0 then concat('abstract:x', code(10), text, code(10), ' Abstract:y') when 1 then concat(text, code(10), 'Keywords:a;b; c', code(10), 'Keywords: a;b') when 2 then concat(text, '的的，，。。的的')
+  when 3 then concat('Basically ', text, '听说很开心') when 4 then concat('[1] ', text, ' D]. and [[J]. 2001', code(10), 'x C]. y') when 5 then concat('参考文献 [2] none ', substring(text, 1, 5)) when 6 then concat('abc，', text, ' Fig. 2')
+  when 7 then concat('ISBN abc，', text, ' basically so') when 8 then '' when 9 then null else text end as text from {sections}""",
+)
+
+
+def _findings_sql() -> str:
+    """Needles and line patterns as values, for the oracle; text patterns one by one."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    head = lambda e: f"{quote(e.rule_id)} rule_id, {quote(e.issue_type)} issue_type, {e.severity} severity, {quote(e.message)} message, {quote(e.suggestion)} suggestion"
+    bare = r"(^|[^\[])[A-Z]\]\."
+    line = {"FORMAT-004": r"(?i)^Abstract:\S", "FORMAT-006": r"(?i)^Keywords:\S", "FORMAT-005": r"(?i)^Keywords:.*;\S", "REF-002": bare, "REF-003": r"\[\[[A-Z]\]\."}
+    text = {
+        "FORMAT-001": rf"regexp_matches(text, '[A-Za-z][，。；：、]') and not regexp_matches(text, '{'|'.join(packs.LABEL_HINTS)}')", "FORMAT-002": r"regexp_matches(text, 'Fig\.|Table|Eq\.')",
+        "REF-001": r"regexp_matches(text, '\[[0-9]+\]\s*[^\n]|\b[0-9]{4}\b') and contains(text, '参考文献') and not regexp_matches(text, '\[[0-9]+\][^\n]+[0-9]{4}')",
+        "REF-004": rf"regexp_matches(text, '\[[0-9]+\][^\n]*[A-Za-z][^\n]*[0-9]{{4}}') and (regexp_matches(text, '{bare}') or regexp_matches(text, '\[\[[A-Z]\]\.'))",
+    }
+    found = []
+    for e in findings.CATALOGUE:
+        if e.how == "line":
+            found.append(f"select doc_id, pos, {head(e)}, l original, p - 1 start_char, p - 1 + length(l) end_char from (select *, instr(text, l) p from lines_) z where regexp_matches(l, '{line[e.rule_id]}')")
+        elif e.how == "text":
+            found.append(f"select doc_id, pos, {head(e)}, null, null, null from spoken where {text[e.rule_id]}")
+        else:
+            place = f"instr(text, {quote(e.what)})"
+            found.append(f"select doc_id, pos, {head(e)}, {quote(e.what)}, case when {place} > 0 then {place} - 1 else 0 end, case when {place} > 0 then {place} - 1 + {len(e.what)} else least(length(text), {len(e.what)}) end from spoken where contains({'lower(text)' if e.how == 'word' else 'text'}, {quote(e.what)})")
+    lines_ = "lines_ as (select doc_id, pos, text, trim(x) l from (select *, unnest(string_split(text, chr(10))) x from spoken where text is not null) y where trim(x) <> '')"
+    return f"{lines_}, i(doc_id, pos, rule_id, issue_type, severity, message, suggestion, original, start_char, end_char) as ({' union all '.join(found)}) select doc_id, pos, rule_id, issue_type, severity, message, suggestion, original, cast(start_char as int) start_char, cast(end_char as int) end_char from i"
+
+
 #: Numbers of entries by their ids, and distinct listed (by their text first) and cited numbers, for the oracle.
 _OWN = "own as (select doc_id, ref_pos, coalesce(try_cast(case when regexp_matches(replace(replace(ref_id, '[', ''), ']', ''), '^[+-]?[0-9]{1,10}$') then replace(replace(ref_id, '[', ''), ']', '') end as int), 0) number from listed_refs)"
 _SIDES = _OWN + ", l as (select distinct doc_id, number from (select o.doc_id, coalesce(try_cast(nullif(regexp_extract(raw_text, '^\\s*\\[([0-9]{1,10})\\]', 1), '') as int), number) number from own o join listed_refs r using (doc_id, ref_pos)) z where number > 0), c as (select distinct doc_id, number from edges where number > 0)"
@@ -452,6 +493,13 @@ p as (select current_stage, max(case when k = greatest(1, ceil(0.5 * n)) then pr
 select t.current_stage, count(*) tasks, count(*) filter (where progress > 10) succeeded, round(count(*) filter (where progress > 10) / count(*), 6) success_rate, round(avg(progress), 6) mean, min(progress) least, max(progress) most,
   round(count(*) / nullif(epoch(max(updated_at)) - epoch(min(updated_at)), 0), 6) throughput, any_value(p50) p50, any_value(p90) p90, any_value(p99) p99 from tasks t left join p on p.current_stage is not distinct from t.current_stage group by 1""",
     ),
+    "outside_review": (
+        lambda df: outside_issues(df, _strict_reader, 7),
+        ["sections"],
+        """w as (select *, substr(text, 3, 5) o from sections where length(text) >= 7 and not contains(lower(text), 'license') and pos % 5 <> 2) select doc_id, pos, 'READ-001' rule_id, 'style' issue_type, cast(least(5, 1 + pos % 7) as int) severity, 'read again' message, null::varchar suggestion, o original,
+  cast(instr(text, o) - 1 as int) start_char, cast(instr(text, o) - 1 + 5 as int) end_char from w""",
+    ),
+    "text_findings": (lambda df: findings.text_issues(df, ["doc_id", "pos"]), ["spoken"], _findings_sql()),
     "code_sections": (lines.code_sections, ["marked"], rf"""{_LINES_SQL}, o as (select *, line whole, case when regexp_matches(line, '^(///|#)') then '' else line end bare from ls),
 q as (select *, rtrim(split_part(whole, '///', 1)) b1, rtrim(split_part(whole, '#', 1)) b2 from o), r as (select doc_id, pos, n, whole, case when bare = '' then '' when strpos(whole, '///') > 1 and {_CODEY.format('b1')} then b1 when strpos(whole, '#') > 1 and {_CODEY.format('b2')} then b2 else whole end line from q),
 c as (select doc_id, pos, count(*) n, sum(case when line = '' or {_IS_CODE} then 1 else 0 end) k, bool_or(line = '') comment, bool_or({_CHINESE.format('line')}) cjk from r group by 1, 2)
@@ -553,7 +601,7 @@ _NARROW = {
     "number": "bidirectional_refs",
     "chunk": "report_compaction",
     "chunk, source": "issue_merge_near",
-    "pos": "prose_layout_rules prose_list_rules prose_headings prose_captions code_sections audit_lines needle_positions list_rules section_page_map section_id_order keyword_needles formatting_rules strict_heading_rules layout_rules formula_table_list_rules heading_format_rules paragraph_rules heading_hier_strict figure_numbering caption_sequence caption_missing empty_line_first heading_body_spacing page_assignment size_carry_forward duplicate_sections ref_detect_fallback ref_block_extract chart_mentions citation_groups missing_ref_entries citation_order severity_norm issue_dedupe_exact chunks chunks_small span_relocate",
+    "pos": "outside_review text_findings prose_layout_rules prose_list_rules prose_headings prose_captions code_sections audit_lines needle_positions list_rules section_page_map section_id_order keyword_needles formatting_rules strict_heading_rules layout_rules formula_table_list_rules heading_format_rules paragraph_rules heading_hier_strict figure_numbering caption_sequence caption_missing empty_line_first heading_body_spacing page_assignment size_carry_forward duplicate_sections ref_detect_fallback ref_block_extract chart_mentions citation_groups missing_ref_entries citation_order severity_norm issue_dedupe_exact chunks chunks_small span_relocate",
     "pos, expected": "chapter_ordinal",
     "pos, k": "blank_runs",
     "pos, level, before": "heading_jump heading_reverse",
