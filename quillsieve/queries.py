@@ -216,9 +216,7 @@ add("task_latest", report.task_latest)
 add("retention_plan", report.retention_plan)
 add("chunks", chunks.overlapping_chunks())
 add("chunks_small", chunks.overlapping_chunks(80, 10))
-add("table_row_chunks", chunks.table_row_chunks)
 add("field_summary", chunks.field_summary, fields="field_pairs")
-add("code_like_docs", chunks.code_like_documents, lines="code_lines")
 add("hashed_embedding", retrieval.hashed_embedding)
 add("token_jaccard", retrieval.token_jaccard, pairs="text_pairs")
 add("prefix_similarity", retrieval.prefix_similarity, pairs="text_pairs")
@@ -383,7 +381,7 @@ DERIVED |= {
     "marked": (
         ["sections"],
         """select doc_id, pos, case pos % 6 when 0 then concat(text, ' 使用卷积神经网络（CNN）与GPU，', 'LSTM') when 1 then concat('import x;', code(10), '  f(', text, ')') when 2 then concat('[3] ', text) when 3 then concat('GPU（图形处理器）和 BERT ', substring(text, 1, 20))
-  when 4 then concat(substring(text, 1, 30), ' pOx APIs', code(10), code(10), '# 注释', case when pos % 4 = 0 then '' else concat(code(10), 'f(x) # 中文') end) else concat('NASA x ', substring(text, 1, 10)) end as text, case pos % 7 when 0 then 'Courier New' when 1 then 'SimSun' end as font from {sections} where doc_id % 3 > 0 or pos % 6 > 3""",
+  when 4 then concat(substring(text, 1, 30), ' pOx APIs', code(10), code(10), '# 注释', case when pos % 4 = 0 then '' else concat(code(10), 'f(x) # 中文') end) else concat('NASA x ', substring(text, 1, 10)) end as text, case pos % 7 when 0 then 'Courier New' when 1 then 'SimSun' end as font from {sections}""",
     ),
     "needles": (["sections"], "select doc_id, pos, case when pos % 5 = 4 then '' else text end as text, case pos % 4 when 0 then substring(text, 3, 5) when 1 then 'not in it at all' when 2 then '' end as needle from {sections}"),
     "footers": (["docs"], """select doc_id, 0 as section, case doc_id % 4 when 0 then '<w:jc w:val="center"/><w:instrText>page</w:instrText>' when 1 then '<w:jc w:val="left"/> PAGE' when 2 then concat('<w:jc w:val=', code(39), 'center', code(39), '/>') end as footer from {docs}"""),
@@ -402,11 +400,19 @@ DERIVED |= {
     "issue_views": (["issues"], "select doc_id, section_id as chunk, case when doc_id % 3 = 0 then case k when 0 then 'issues' when 1 then 'local_issues' else 'llm_issues' end when k = 0 then 'local_issues' when k = 1 then 'llm_issues' else 'table_issues' end as view, pos * 3 + k as seq, issue_type, case when pos % 2 = 0 then 'same' else rule_id end as rule_id from {issues}"),
 }
 _CHINESE = "regexp_matches({}, '[一-鿿]')"
-_IS_CODE = r"""(regexp_matches(line, '^(```|//|/\*|\*|#)') or regexp_matches(lower(line), '^(using|import|from|public|private|protected|class|def|void|int|float|double|string|bool|namespace)\b') or regexp_matches(line, '[{};]')
- or (not regexp_matches(line, '[一-鿿]') and (contains(line, '#') or contains(line, ';') or regexp_matches(lower(line), '\b(using|import|class|def|return|void|public|private|protected|namespace)\b') or regexp_matches(line, '\b[A-Za-z_][A-Za-z0-9_.]*\s*\('))))"""
-_CODEY = r"""(regexp_matches({0}, '^(```|//|/\*|\*|#)') or regexp_matches(lower({0}), '^(using|import|from|public|private|protected|class|def|void|int|float|double|string|bool|namespace)\b') or regexp_matches({0}, '[{{}};]')
- or regexp_matches(lower({0}), '\b(using|import|class|def|return|void|public|private|protected|namespace)\b') or regexp_matches({0}, '\b[A-Za-z_][A-Za-z0-9_.]*\s*\('))"""
+
+
+def _codey(c: str) -> str:
+    """Whether a line begins like code or has a word or call of it, by the patterns of lines.py."""
+    return "(" + " or ".join(f"regexp_matches({c}, '{p}')" for p in (lines.CODE_LINE, lines.CODE_WORD, lines.CODE_CALL)) + ")"
+
+
+_IS_CODE = f"(regexp_matches(line, '{lines.CODE_LINE}') or (not regexp_matches(line, '{lines.CHINESE}') and (contains(line, '#') or contains(line, ';') or {_codey('line')})))"
 _LINES_SQL = r"ls as (select doc_id, pos, n, line from (select doc_id, pos, unnest(list_filter(list_transform(string_split_regex(text, '\r\n|\r|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')) line, generate_subscripts(list_filter(list_transform(string_split_regex(text, '\r\n|\r|\n'), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), 1) - 1 n from marked) a)"
+_FLAG_SQL = rf"""o as (select *, line whole, case when regexp_matches(line, '^(///|#)') then '' else line end bare from ls),
+q as (select *, rtrim(split_part(whole, '///', 1)) b1, rtrim(split_part(whole, '#', 1)) b2 from o), r as (select doc_id, pos, n, whole, case when bare = '' then '' when strpos(whole, '///') > 1 and {_codey('b1')} then b1 when strpos(whole, '#') > 1 and {_codey('b2')} then b2 else whole end line from q),
+c as (select doc_id, pos, count(*) n, sum(case when line = '' or {_IS_CODE} then 1 else 0 end) k, bool_or(line = '') comment, bool_or({_CHINESE.format('line')}) cjk from r group by 1, 2)
+select m.doc_id, m.pos, regexp_matches(lower(coalesce(font, '')), 'consolas|courier|monaco|fira code|lucida console') or coalesce(contains(text, '```') or (k >= 2 and k >= 0.6 * n) or (n = 1 and (comment or (k = 1 and not cjk))), false) is_code from marked m left join c on c.doc_id = m.doc_id and c.pos = m.pos"""
 _KEPT_SQL = rf"kept as (select * from ls where not ({_IS_CODE} or regexp_matches(line, '^(\[[0-9]+\]|参考文献|[0-9]+\.|\[[A-Z]\])') or regexp_matches(lower(line), '\[[jmdcp]\]|\bdoi\b|\b[0-9]{{4}}\b|\bet al\.\b')))"
 def _strict_reader(chunks: list[dict]) -> list[list[dict]]:
     """A reviewer for outside_review: it fails at texts that name a licence, answers every fifth section wrongly and has one remark on others."""
@@ -416,6 +422,21 @@ def _strict_reader(chunks: list[dict]) -> list[list[dict]]:
     return [[{"severity": "none"}] if c["pos"] % 5 == 2 else [remark(c)] if len(c["text"]) >= 7 else [] for c in chunks]
 
 
+def _grid(cells: DataFrame) -> DataFrame:
+    """Table rows of the cells' documents: names and values in order of columns, of even documents twice, as two tables."""
+    pair = F.struct("col", F.array("name", F.when(F.col("value") != "x", F.col("value"))).alias("p"))
+    rows = cells.groupBy("doc_id", F.col("section_id").alias("pos"), "row_index").agg(F.flatten(F.transform(F.sort_array(F.collect_list(pair)), lambda x: x.p)).alias("cells"))
+    return rows.unionByName(rows.where("doc_id % 2 = 0").withColumn("pos", F.col("pos") + 4))
+
+
+MADE["grid"] = (["cells"], _grid)
+DERIVED |= {
+    "grid": (
+        ["cells"],
+        "with r as (select doc_id, section_id as pos, row_index, flatten(list([name, case when value <> 'x' then value end] order by col)) as cells from {cells} group by 1, 2, 3) select * from r union all select doc_id, pos + 4, row_index, cells from r where doc_id % 2 = 0",
+    ),
+    "coded_groups": (["marked"], "select doc_id, pos, cast(floor(pos / 2) as int) as section_id, text, font from {marked}"),
+}
 DERIVED["spoken"] = (
     ["sections"],
     """select doc_id, pos, case (doc_id * 5 + pos) % 12 when 0 then concat('abstract:x', code(10), text, code(10), ' Abstract:y') when 1 then concat(text, code(10), 'Keywords:a;b; c', code(10), 'Keywords: a;b') when 2 then concat(text, '的的，，。。的的')
@@ -493,6 +514,10 @@ p as (select current_stage, max(case when k = greatest(1, ceil(0.5 * n)) then pr
 select t.current_stage, count(*) tasks, count(*) filter (where progress > 10) succeeded, round(count(*) filter (where progress > 10) / count(*), 6) success_rate, round(avg(progress), 6) mean, min(progress) least, max(progress) most,
   round(count(*) / nullif(epoch(max(updated_at)) - epoch(min(updated_at)), 0), 6) throughput, any_value(p50) p50, any_value(p90) p90, any_value(p99) p99 from tasks t left join p on p.current_stage is not distinct from t.current_stage group by 1""",
     ),
+    "code_like_docs": (chunks.code_like_documents, ["code_lines"], f"""c as (select doc_id, {_IS_CODE} code, contains(line, '```') fence from code_lines where trim(line) <> '')
+select doc_id, count(*) filter (where code) code_lines, count(*) all_lines, bool_or(fence) or (count(*) filter (where code) >= 2 and count(*) filter (where code) >= 0.6 * count(*)) or bool_and(code) code_like from c group by 1"""),
+    "table_row_chunks": (chunks.table_row_chunks, ["grid"], "g as (select * from grid) select doc_id, cast(dense_rank() over (partition by doc_id order by pos) as int) table_index, cast(row_index + 1 as int) row_index, array_to_string(list_transform(cells, lambda c: coalesce(c, '')), chr(9)) chunk, cast(len(cells) as int) cell_count from g"),
+    "review_groups": (chunks.review_groups, ["coded_groups"], f"""{_LINES_SQL.replace("marked", "coded_groups")}, flag as (with {_FLAG_SQL.replace("marked", "coded_groups")}) select g.doc_id, g.section_id, count(*) chunks, count(*) filter (where is_code) code_chunks, bool_and(is_code) skipped from coded_groups g join flag f on f.doc_id = g.doc_id and f.pos = g.pos group by 1, 2"""),
     "outside_review": (
         lambda df: outside_issues(df, _strict_reader, 7),
         ["sections"],
@@ -500,10 +525,7 @@ select t.current_stage, count(*) tasks, count(*) filter (where progress > 10) su
   cast(instr(text, o) - 1 as int) start_char, cast(instr(text, o) - 1 + 5 as int) end_char from w""",
     ),
     "text_findings": (lambda df: findings.text_issues(df, ["doc_id", "pos"]), ["spoken"], _findings_sql()),
-    "code_sections": (lines.code_sections, ["marked"], rf"""{_LINES_SQL}, o as (select *, line whole, case when regexp_matches(line, '^(///|#)') then '' else line end bare from ls),
-q as (select *, rtrim(split_part(whole, '///', 1)) b1, rtrim(split_part(whole, '#', 1)) b2 from o), r as (select doc_id, pos, n, whole, case when bare = '' then '' when strpos(whole, '///') > 1 and {_CODEY.format('b1')} then b1 when strpos(whole, '#') > 1 and {_CODEY.format('b2')} then b2 else whole end line from q),
-c as (select doc_id, pos, count(*) n, sum(case when line = '' or {_IS_CODE} then 1 else 0 end) k, bool_or(line = '') comment, bool_or({_CHINESE.format('line')}) cjk from r group by 1, 2)
-select m.doc_id, m.pos, regexp_matches(lower(coalesce(font, '')), 'consolas|courier|monaco|fira code|lucida console') or coalesce(contains(text, '```') or (k >= 2 and k >= 0.6 * n) or (n = 1 and (comment or (k = 1 and not cjk))), false) is_code from marked m left join c on c.doc_id = m.doc_id and c.pos = m.pos"""),
+    "code_sections": (lines.code_sections, ["marked"], f"{_LINES_SQL}, {_FLAG_SQL}"),
     "audit_lines": (lines.audit_lines, ["marked"], f"{_LINES_SQL}, {_KEPT_SQL} select doc_id, pos, cast(n as int) n, line from kept"),
     "undefined_abbreviations": (lambda df: lines.undefined_abbreviations(lines.audit_lines(df)), ["marked"], rf"""{_LINES_SQL}, {_KEPT_SQL}, z as (select doc_id from kept group by 1 having bool_or({_CHINESE.format('line')})),
 u as (select distinct doc_id, upper(x) a from (select doc_id, unnest(regexp_extract_all(line, '\b(?:[A-Z]{{2,}}[A-Za-z0-9]*|[A-Z][a-z]+[A-Z][A-Za-z0-9]*)\b')) x from kept) t),
