@@ -47,6 +47,7 @@ def with_parts(refs: DataFrame) -> DataFrame:
     return df.withColumns({"ref_num": reference_number(F.col("ref_id")), **marks, "author_commas": commas, **{k: _any_year(F.col(c), p, t) for k, (p, c, t) in years.items()}})
 
 
+# Patterns of whole years, of authors' separators and of citation groups in the SQL below.
 #: refs -> (kind, authors, year_min, year_max): the first of the marks [J] and [M], the author count, least and largest whole 4-digit number.
 reference_facts = SqlOperator(
     "refs",

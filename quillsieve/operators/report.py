@@ -17,7 +17,7 @@ audit_summary = SqlOperator(
 review_summary = SqlOperator(
     "sections issues chunks",
     """with s as (select doc_id, count(*) as sections from {sections} group by doc_id), i as (select doc_id, count(*) as issues from {issues} group by doc_id), c as (select doc_id, count(*) as chunks from {chunks} group by doc_id)
-select s.doc_id, sections, coalesce(issues, 0) as issues, coalesce(chunks, 0) as chunks from s left join i on i.doc_id = s.doc_id left join c on c.doc_id = s.doc_id""",
+select /*+ merge(s, i, c) */ s.doc_id, sections, coalesce(issues, 0) as issues, coalesce(chunks, 0) as chunks from s left join i on i.doc_id = s.doc_id left join c on c.doc_id = s.doc_id""",
 )
 #: How often each code was raised, with subtotals by type and in all.
 rule_histogram = SqlOperator("issues", "select issue_type, rule_id, count(*) as n, count(distinct doc_id) as docs from {issues} group by rollup(issue_type, rule_id)")

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sql import SqlOperator
 from .contained import contained_in
 
-#: Which of the required parts (here by any of the given words) no section names: one row for each missing one. The parts are a short
-#: list of the caller's, which goes to all tasks.
-required_parts = SqlOperator(
-    "sections parts",
-    """with h as (select /*+ broadcast(p) */ distinct s.doc_id, p.part from {sections} s join {parts} p on contains(lower(s.text), p.word)), d as (select distinct doc_id from {sections}), q as (select distinct part from {parts})
-select d.doc_id, q.part, 'ERR_INT_REQ_001' as rule_id from d cross join q left join h on h.doc_id = d.doc_id and h.part = q.part where h.part is null""",
-)
+
+def required_parts(sections: DataFrame, parts: dict[str, list[str]]) -> DataFrame:
+    """Which of the required parts no section of a document names, here by any of a part's words in lower case: one row for each
+    missing part, in one pass. A null text names none."""
+    text = F.lower("text")
+    has = {part: F.coalesce(F.bool_or(F.coalesce(functools.reduce(lambda a, b: a | b, [text.contains(w) for w in words]), F.lit(False))), F.lit(False)) for part, words in parts.items()}
+    found = sections.groupBy("doc_id").agg(F.array_compact(F.array(*[F.when(~h, part) for part, h in has.items()])).alias("missing"))
+    return found.select("doc_id", F.explode("missing").alias("part"), F.lit("ERR_INT_REQ_001").alias("rule_id"))
+
+
 #: Chapters that headings must name.
 CHAPTERS = ["摘要", "引言", "正文", "结论", "参考文献"]
 
@@ -117,16 +122,16 @@ unexpanded_abbreviations = SqlOperator(
     "lines",
     """with c as (select distinct doc_id, upper(a) as abbreviation from (select doc_id, unroll(regexp_extract_all(text, «⟦(?:[A-Z]{2,}[A-Za-z0-9]*|[A-Z][a-z]+[A-Z][A-Za-z0-9]*)⟧», 0)) as a from {lines}) x),
 d as (select distinct doc_id, upper(a) as abbreviation from (select doc_id, unroll(regexp_extract_all(text, «[(（]([A-Z][A-Za-z0-9]+)[)）]», 1)) as a from {lines}) x)
-select doc_id, joined(abbreviation) as abbreviations, 'CONSIST-003' as rule_id from c where length(abbreviation) >= 2 and not exists (select 1 from d where d.doc_id = c.doc_id and d.abbreviation = c.abbreviation) group by doc_id""",
+select doc_id, joined(abbreviation) as abbreviations, 'CONSIST-003' as rule_id from (select /*+ merge(c, d) */ c.doc_id, c.abbreviation from c left join d on d.doc_id = c.doc_id and d.abbreviation = c.abbreviation where d.doc_id is null and length(c.abbreviation) >= 2) u group by doc_id""",
 )
 #: First and last section of a document as abstract and conclusion: overlap of their word sets, an issue under 0.15.
 abstract_overlap = SqlOperator(
     "sections",
     """with e as (select doc_id, min(pos) as a, max(pos) as c from {sections} where type = 'paragraph' group by doc_id having min(pos) < max(pos)),
-t as (select distinct e.doc_id, case when s.pos = e.a then 'a' else 'c' end as part, w from e join (select doc_id, pos, unroll(regexp_extract_all(lower(text), «[\\p{L}\\p{N}_]+», 0)) as w from {sections}) s on s.doc_id = e.doc_id and s.pos in (e.a, e.c)),
+t as (select /*+ merge(e, s) */ distinct e.doc_id, case when s.pos = e.a then 'a' else 'c' end as part, w from e join (select doc_id, pos, unroll(regexp_extract_all(lower(text), «[\\p{L}\\p{N}_]+», 0)) as w from {sections}) s on s.doc_id = e.doc_id and s.pos in (e.a, e.c)),
 n as (select doc_id, sum(case when part = 'a' then 1 else 0 end) as na, sum(case when part = 'c' then 1 else 0 end) as nc from t group by doc_id),
 b as (select doc_id, count(*) as nb from (select doc_id, w from t group by doc_id, w having count(*) = 2) x group by doc_id)
-select n.doc_id, round(real(coalesce(nb, 0)) / greatest(na, nc), 6) as overlap, case when real(coalesce(nb, 0)) / greatest(na, nc) < 0.15 then 'CONSIST-001' end as rule_id from n left join b on n.doc_id = b.doc_id""",
+select /*+ merge(n, b) */ n.doc_id, round(real(coalesce(nb, 0)) / greatest(na, nc), 6) as overlap, case when real(coalesce(nb, 0)) / greatest(na, nc) < 0.15 then 'CONSIST-001' end as rule_id from n left join b on n.doc_id = b.doc_id""",
 )
 
 

@@ -48,7 +48,6 @@ DERIVED: dict[str, tuple[list[str], str]] = {
     "tabled": (["sections"], "select *, length(text) % 31 as row_count, cast(floor(pos / 6) as int) as page_start, cast(floor((pos + doc_id % 2) / 6) as int) as page_end from {sections}"),
     "indented": (["sections"], "select doc_id, pos, case when pos % 4 = 0 then concat('1. ', text) when pos % 4 = 1 then concat('（二）', text) else text end as text, case when pos % 3 = 0 then 'List Bullet 2' when pos % 3 = 1 then 'Normal' end as style, cast((doc_id + pos) % 5 as double) / 4 as left_indent from {sections}"),
     "paged": (["sections"], "select doc_id, pos, pos % 7 = 3 and doc_id % 2 = 0 as page_break, case when (doc_id + pos) % 3 = 0 then size_pt end as size_pt, cast(floor(pos / 4) as int) as page from {sections}"),
-    "parts": ([], "select 'the' as part, 'the' as word union all select 'license', 'licensed' union all select 'rights', 'all rights' union all select 'page', 'seite' union all select 'page', 'página'"),
     "charts": (["sections"], "select doc_id, pos, case when pos % 2 = 0 then cast(pos % 10 as string) end as caption_number from {sections} where type in ('table', 'figure')"),
     "paragraphs": (["sections"], "select doc_id, pos, concat(text, case when pos % 3 = 0 then concat(' Figure ', cast(pos % 10 as string)) else '' end) as text from {sections} where type = 'paragraph'"),
     "known_issues": (["sections"], "select doc_id, section_id from {sections} where type = 'heading'"),
@@ -183,7 +182,6 @@ add("empty_line_first", sequences.first_empty_lines)
 add("heading_body_spacing", sequences.heading_spacing, sections="spaced")
 add("page_assignment", sequences.page_assignment, sections="paged")
 add("size_carry_forward", sequences.carried_sizes, sections="paged")
-add("required_sections", structure.required_parts)
 add("doc_structure", structure.structure("licensed|license", "all rights", "[0-9]{5}"))
 add("doc_presence", structure.presence)
 add("empty_docs", structure.empty_documents)
@@ -518,6 +516,12 @@ select t.current_stage, count(*) tasks, count(*) filter (where progress > 10) su
 select doc_id, count(*) filter (where code) code_lines, count(*) all_lines, bool_or(fence) or (count(*) filter (where code) >= 2 and count(*) filter (where code) >= 0.6 * count(*)) or bool_and(code) code_like from c group by 1"""),
     "table_row_chunks": (chunks.table_row_chunks, ["grid"], "g as (select * from grid) select doc_id, cast(dense_rank() over (partition by doc_id order by pos) as int) table_index, cast(row_index + 1 as int) row_index, array_to_string(list_transform(cells, lambda c: coalesce(c, '')), chr(9)) chunk, cast(len(cells) as int) cell_count from g"),
     "review_groups": (chunks.review_groups, ["coded_groups"], f"""{_LINES_SQL.replace("marked", "coded_groups")}, flag as (with {_FLAG_SQL.replace("marked", "coded_groups")}) select g.doc_id, g.section_id, count(*) chunks, count(*) filter (where is_code) code_chunks, bool_and(is_code) skipped from coded_groups g join flag f on f.doc_id = g.doc_id and f.pos = g.pos group by 1, 2"""),
+    "required_sections": (
+        lambda df: structure.required_parts(df, {"the": ["the"], "license": ["licensed"], "rights": ["all rights"], "page": ["seite", "página"]}),
+        ["sections"],
+        """w(part, word) as (values ('the', 'the'), ('license', 'licensed'), ('rights', 'all rights'), ('page', 'seite'), ('page', 'página')), d as (select distinct doc_id from sections), p as (select distinct part from w)
+select doc_id, part, 'ERR_INT_REQ_001' rule_id from d, p where not exists (from sections s, w where s.doc_id = d.doc_id and w.part = p.part and contains(lower(s.text), w.word))""",
+    ),
     "outside_review": (
         lambda df: outside_issues(df, _strict_reader, 7),
         ["sections"],

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+# The fields of parsed documents.
 _SECTION = "id int, section_id int, element_type string, type string, level int, text string, raw_text string, is_table boolean, table_rows array<array<string>>, table_row_positions array<struct<row_index:int,cells:array<string>,page_start:int,page_end:int>>, images array<string>, has_math boolean, formatting struct<font:string,size:string,alignment:string,paragraph_style:string,line_spacing:string>, position struct<section_id:int,paragraph_index:int,page_start:int,page_end:int,xml_path:string>, props map<string,string>"
 _REFERENCE = "id string, ref_id string, index int, text string, raw_text string"
 _BODY = f"sections array<struct<{', '.join(x.replace(' ', ':', 1) for x in _SECTION.split(', '))}>>, references array<struct<{', '.join(x.replace(' ', ':', 1) for x in _REFERENCE.split(', '))}>>"
@@ -80,3 +81,27 @@ def upsert_papers(known: DataFrame, new: DataFrame) -> DataFrame:
     rows = known.unionByName(new, allowMissingColumns=True).withColumn("paper_id", F.coalesce(F.nullif("paper_id", F.lit("")), F.sha1("document")))
     order = Window.partitionBy("paper_id").orderBy(F.desc("ingested_at"), F.desc("document"))
     return rows.withColumn("n", F.row_number().over(order)).where("n = 1").drop("n")
+
+
+def save_papers(new: DataFrame, name: str, buckets: int = 64) -> None:
+    """Upsert papers into the table `name`, which is bucketed and sorted by paper_id, so that joins on paper_id read it without a shuffle.
+
+    Of each id the last write stays, as in upsert_papers. Papers with ids that are not among the new ones are taken over bucket by
+    bucket. The new state is written beside the old one and then takes its name; until then readers have the old one, and a run that
+    was lost before leaves it as it was. A table that is there keeps its number of buckets."""
+    spark = new.sparkSession
+    kept = spark.catalog.tableExists(name)
+    rows = upsert_papers(spark.table(name), new) if kept else upsert_papers(new.limit(0), new)
+    fresh = f"{name}_next"
+    spark.sql(f"drop table if exists {fresh}")
+    if kept:
+        told = {r.col_name: r.data_type for r in spark.sql(f"describe extended {name}").collect()}
+        buckets = int(told.get("Num Buckets", buckets))
+    rows.repartition(buckets, "paper_id").write.bucketBy(buckets, "paper_id").sortBy("paper_id").format("parquet").saveAsTable(fresh)
+    spark.sql(f"drop table if exists {name}")
+    spark.sql(f"alter table {fresh} rename to {name}")
+
+
+def stored_papers(spark: SparkSession, name: str) -> DataFrame:
+    """The papers of a table of save_papers."""
+    return spark.table(name)
