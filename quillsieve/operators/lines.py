@@ -106,6 +106,18 @@ def utc8(text: Column) -> Column:
     return F.date_format(F.convert_timezone(F.current_timezone(), F.lit("+08:00"), at.cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss'+08:00'")
 
 
+def iso_date(text: Column) -> Column:
+    """The ISO form of a date like `2024年1月5日`, the whole text; null if it is none or no such day exists."""
+    part = lambda k: F.regexp_extract(text, r"^(\d{4})年(\d{1,2})月(\d{1,2})日$", k)
+    whole = F.concat_ws("-", part(1), F.lpad(part(2), 2, "0"), F.lpad(part(3), 2, "0"))
+    return F.date_format(F.when(part(1) != "", whole).try_cast("date"), "yyyy-MM-dd")
+
+
+def date_fixes(cells: DataFrame) -> DataFrame:
+    """Cells with a date in another form, and what to write instead: doc_id, row_index, col, value, fixed (null where no day is meant)."""
+    return cells.where(F.col("value").rlike(r"^\d{4}年\d{1,2}月\d{1,2}日$")).select("doc_id", "row_index", "col", "value", iso_date(F.col("value")).alias("fixed"))
+
+
 def sentinel_counts(rows: DataFrame, key: str, sentinel: str = "unknown") -> DataFrame:
     """How often the sentinel is a value, at any depth, in the rows of each key: rows may nest arrays, maps and structs.
 

@@ -69,6 +69,28 @@ def task_listing_of(tasks: DataFrame, stage: str) -> DataFrame:
     return task_listing(tasks).where(F.col("current_stage") == stage)
 
 
+def tasks_older_than(tasks: DataFrame, days: float, stages: tuple[str, ...], now: Column | None = None) -> DataFrame:
+    """Of each task its last update (by updated_at, event_id), if that is one of the stages and at least `days` before now, newest ids first.
+
+    Rows without a time are no updates; a null id is a task of its own."""
+    row = F.struct(*[F.col(c) for c in tasks.columns])
+    last = tasks.where("updated_at is not null").groupBy("id").agg(F.max_by(row, F.struct("updated_at", "event_id")).alias("t")).select("t.*")
+    cutoff = (now if now is not None else F.current_timestamp()).cast("timestamp") - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(days * 86400.0))
+    return last.where(F.col("current_stage").isin(*stages) & (F.col("updated_at").cast("timestamp") <= cutoff)).orderBy(F.desc("id"))
+
+
+def retention(tasks: DataFrame, days: dict[str, float], now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """What a clean-up after so many days for each stage would take: (current_stage, tasks, bytes), and the updates of all tasks that stay.
+
+    Nothing is deleted: writing the second table is the clean-up, leaving it is a dry run."""
+    marked = None
+    for stage, n in days.items():
+        some = tasks_older_than(tasks, n, (stage,), now).select("id", "current_stage", "size")
+        marked = some if marked is None else marked.unionByName(some)
+    plan = marked.groupBy("current_stage").agg(F.count("*").alias("tasks"), F.sum("size").cast("long").alias("bytes"))
+    return plan, tasks.join(marked.select(F.col("id").alias("gone")).hint("merge"), F.col("id").eqNullSafe(F.col("gone")), "left_anti")
+
+
 task_latest = SqlOperator("tasks", "select id, current_stage, progress from (select *, row_number() over (partition by id order by updated_at desc, event_id desc) as k from {tasks}) t where k = 1")
 #: Tasks whose last update is over an hour before the newest one, by stage: how many, and bytes.
 retention_plan = SqlOperator(

@@ -78,6 +78,11 @@ STRONG, PARTIAL, WEAK, FRAGMENT = 0.85, 0.65, 0.45, 3
 _FRAGMENTS, _YEAR_IN = r"[^，,。.;；\n]+", r"(?:19|20)[0-9]{2}"
 
 
+def years_of(text: Column) -> Column:
+    """The years that a reference's text names, in order."""
+    return F.regexp_extract_all(text, F.lit(_YEAR_IN), F.lit(0))
+
+
 def _jaccard(a: Column, b: Column) -> Column:
     common = F.size(F.array_intersect(a, b))
     return F.when((F.size(a) > 0) & (F.size(b) > 0), common / (F.size(a) + F.size(b) - common)).otherwise(F.lit(0.0))
@@ -91,7 +96,7 @@ def _leading(x: Column, y: Column) -> Column:
 
 
 def verify(queries: DataFrame, candidates: DataFrame, papers: DataFrame) -> DataFrame:
-    """Queries (id, text, years), candidates of paper_topk and papers -> a verdict for each query, as `verified` defines it: id, paper_id,
+    """Queries (id, text, and years if others than those of the text count), candidates of paper_topk and papers -> a verdict for each query, as `verified` defines it: id, paper_id,
     score, title_score, author_score, verdict, confidence, year_mismatch, no_candidate, reason, risk_flags.
 
     Tokens of texts, titles and authors are made once each; an entry's fragments are compared in their row, without an explode. A null
@@ -102,7 +107,8 @@ def verify(queries: DataFrame, candidates: DataFrame, papers: DataFrame) -> Data
     known = papers.select(F.col("paper_id").alias("known_id"), tokens(title).alias("y"), F.array_distinct(tokens(authors)).alias("z"), compact(title).alias("compact"))
     best = candidates.where("k = 1").select(F.col("id").alias("best_id"), "paper_id", "year", F.col("score").alias("jaccard"))
     best = best.join(known.hint("merge"), F.col("paper_id") == F.col("known_id"), "left").drop("known_id")
-    rows = queries.select("id", F.coalesce("text", F.lit("")).alias("text"), "years").join(best.hint("merge"), F.col("id") == F.col("best_id"), "left")
+    years = F.col("years") if "years" in queries.columns else F.array_join(years_of(F.coalesce("text", F.lit(""))), ",").alias("years")
+    rows = queries.select("id", F.coalesce("text", F.lit("")).alias("text"), years).join(best.hint("merge"), F.col("id") == F.col("best_id"), "left")
     none = F.array().cast("array<string>")
     rows = rows.withColumns({"y": F.coalesce("y", none), "z": F.coalesce("z", none), "compact": F.coalesce("compact", F.lit("")), "jaccard": F.coalesce("jaccard", F.lit(0.0)), "w": tokens(F.col("text"))})
     parts = F.filter(F.transform(F.regexp_extract_all("text", F.lit(_FRAGMENTS), F.lit(0)), lambda p: F.when(~p.rlike(_YEAR_IN), tokens(p))), lambda x: F.size(x) >= FRAGMENT)

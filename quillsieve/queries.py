@@ -13,6 +13,7 @@ from .operators import chunks, citations, findings, issues, lines, packs, placem
 from .operators import vectors as vector_index
 from .plans.audit import PROSE_PACKS, audit, scores
 from .plans.reviewer import outside_issues
+from .sources.ingest import sizes_of
 from .sources.scratch import Tables
 from .sources.views import VIEWS, view, view_sql
 from .streaming import status
@@ -67,7 +68,7 @@ DERIVED: dict[str, tuple[list[str], str]] = {
     "code_lines": (["sections"], "select doc_id, pos, case when doc_id % 3 = 0 and pos % 5 < 4 then concat('def f(x): ', substring(text, 1, 5)) when pos % 9 = 1 then '# note' else text end as line from {sections}"),
     "texts": (["benchmark"], "select item_id as id, text from {benchmark}"),
     "text_pairs": (["benchmark"], "select a.item_id as id, a.text as a, concat(substring(a.text, 1, 60), ' ', b.text) as b from {benchmark} a join {benchmark} b on b.item_id = a.item_id + 1"),
-    "line_queries": (["sections"], "select doc_id * 10000 + pos as id, text, case when pos % 3 = 0 then cast(1990 + doc_id % 30 as string) else '' end as years from {sections}"),
+    "line_queries": (["sections"], "select id, text, case when rx(text, «(?:19|20)[0-9]{2}») then cast(regexp_extract_all(text, «(?:19|20)[0-9]{2}», 0) as string) else '' end as years from (select doc_id * 10000 + pos as id, case when pos % 3 = 0 then concat(text, ' ', cast(1990 + doc_id % 30 as string)) else text end as text from {sections}) q"),
     "candidates": (["line_queries", "papers"], retrieval.paper_topk_all_pairs.sql.replace("{queries}", "{line_queries}")),
     "field_pairs": (["cells"], "select doc_id, section_id, table_index, row_index, col, name, replace(name, '*', '') as bare, name like '%*' as required, value from {cells}"),
     "repeated_ids": (["sections"], "select doc_id, pos, cast(floor(section_id / 2) as int) as section_id from {sections}"),
@@ -225,6 +226,7 @@ add("verify_references", retrieval.verified, queries="line_queries")
 
 def verify_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, papers = frame(spark, sf_dir, "line_queries"), frame(spark, sf_dir, "papers")
+    queries = queries.drop("years")  # those of the text
     return retrieval.verify(queries, retrieval.paper_topk(queries, papers), papers)
 
 
@@ -435,6 +437,10 @@ DERIVED |= {
     ),
     "coded_groups": (["marked"], "select doc_id, pos, cast(floor(pos / 2) as int) as section_id, text, font from {marked}"),
 }
+DERIVED |= {
+    "dated": (["cells"], "select doc_id, row_index, col, case when value like '2024%' then concat(cast(1990 + doc_id % 40 as string), '年', cast(1 + doc_id % 14 as string), '月', cast(1 + doc_id % 33 as string), '日') when value = 'x' then '2024年1月' else value end as value from {cells}"),
+    "half_points": (["orders"], "select o_orderkey as id, case o_orderkey % 7 when 0 then 'x' when 1 then '' when 2 then concat(cast(o_orderkey % 50 as string), '.5') when 3 then null else cast(o_orderkey % 97 as string) end as half from {orders}"),
+}
 DERIVED["spoken"] = (
     ["sections"],
     """select doc_id, pos, case (doc_id * 5 + pos) % 12 when 0 then concat('abstract:x', code(10), text, code(10), ' Abstract:y') when 1 then concat(text, code(10), 'Keywords:a;b; c', code(10), 'Keywords: a;b') when 2 then concat(text, '的的，，。。的的')
@@ -522,6 +528,22 @@ select doc_id, count(*) filter (where code) code_lines, count(*) all_lines, bool
         """w(part, word) as (values ('the', 'the'), ('license', 'licensed'), ('rights', 'all rights'), ('page', 'seite'), ('page', 'página')), d as (select distinct doc_id from sections), p as (select distinct part from w)
 select doc_id, part, 'ERR_INT_REQ_001' rule_id from d, p where not exists (from sections s, w where s.doc_id = d.doc_id and w.part = p.part and contains(lower(s.text), w.word))""",
     ),
+    "completed_tasks": (
+        lambda df: report.tasks_older_than(df, 2, _ENDS, F.lit("2024-02-01 00:00:00")).select("id", "event_id", "current_stage", "size"),
+        ["tasks"],
+        "l as (select *, row_number() over (partition by id order by updated_at desc, event_id desc) k from tasks) select id, event_id, current_stage, cast(size as int) size from l where k = 1 and current_stage in ('purchase', 'error') and updated_at <= timestamp '2024-01-30 00:00:00'",
+    ),
+    "retained_tasks": (
+        lambda df: report.retention(df, {"purchase": 2, "error": 1.5}, F.lit("2024-02-01 00:00:00"))[1].select("id", "event_id", "current_stage"),
+        ["tasks"],
+        "l as (select *, row_number() over (partition by id order by updated_at desc, event_id desc) k from tasks), g as (select id from l where k = 1 and ((current_stage = 'purchase' and updated_at <= timestamp '2024-01-30 00:00:00') or (current_stage = 'error' and updated_at <= timestamp '2024-01-30 12:00:00'))) select id, event_id, current_stage from tasks t where not exists (from g where g.id is not distinct from t.id)",
+    ),
+    "date_fixes": (lines.date_fixes, ["dated"], "d as (select * from dated where regexp_matches(value, '^[0-9]{4}年[0-9]{1,2}月[0-9]{1,2}日$')) select doc_id, row_index, cast(col as int) col, value, strftime(try_cast(regexp_replace(value, '^([0-9]+)年([0-9]+)月([0-9]+)日$', '\\1-\\2-\\3') as date), '%Y-%m-%d') fixed from d"),
+    "half_point_sizes": (
+        sizes_of,
+        ["half_points"],
+        "h as (select *, try_cast(half as double) / 2 p from half_points) select id, half, case when p = floor(p) then cast(p as bigint) || 'pt' else printf('%.1f', round_even(p, 1)) || 'pt' end size, case when p = floor(p) then p else round_even(p, 1) end size_pt from h",
+    ),
     "outside_review": (
         lambda df: outside_issues(df, _strict_reader, 7),
         ["sections"],

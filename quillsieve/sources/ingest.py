@@ -23,6 +23,17 @@ def number_of(text: Column) -> Column:
     return F.regexp_extract(text, r"(\d+(?:\.\d+)?)", 1).try_cast("double")
 
 
+def points_of(half_points: Column) -> Column:
+    """A size in half-points as text -> `12pt` or `10.5pt` (one digit, ties to the even one); null if it is no number."""
+    points = half_points.try_cast("double") / 2
+    return F.when(points == F.floor(points), F.concat(points.cast("bigint").cast("string"), F.lit("pt"))).when(points.isNotNull(), F.concat(F.format_string("%.1f", F.bround(points, 1)), F.lit("pt")))
+
+
+def sizes_of(rows: DataFrame) -> DataFrame:
+    """Rows (id, half) of sizes in half-points as text -> id, half, size and its number of points."""
+    return rows.select("id", "half", points_of(F.col("half")).alias("size"), number_of(points_of(F.col("half"))).alias("size_pt"))
+
+
 def heading_level(style: Column, text: Column) -> Column:
     """1 to 3 by the style's name, else by how the text is numbered, else null."""
     name = F.lower(F.regexp_replace(F.coalesce(style, F.lit("")), r"\s+", ""))

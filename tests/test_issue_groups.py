@@ -84,3 +84,29 @@ def test_percentiles_of_a_hot_stage(spark):
         assert r.tasks == sum(s == stage for s, *_ in rows) and r.succeeded == sum(v > 2 for v in own)
     assert got["one"].throughput is None and got["hot"].throughput == round(3000 / 2999, 6)
     assert report.latency_stats(df.limit(0), "stage", "v", F.col("v") > 2, "at", "id").count() == 0
+
+
+def test_old_tasks_and_what_stays(spark):
+    rows = [(1, 1, "2024-01-01 00:00:00", "done", 5), (1, 2, "2024-01-02 00:00:00", "failed", 7), (2, 3, "2024-01-01 12:00:00", "done", None), (3, 4, "2024-01-09 00:00:00", "done", 3), (4, 5, None, "done", 1), (None, 6, "2024-01-01 00:00:00", "done", 2)]
+    df = spark.createDataFrame(rows, "id long, event_id long, updated_at string, current_stage string, size int").withColumn("updated_at", F.col("updated_at").cast("timestamp"))
+    now = F.lit("2024-01-10 00:00:00")
+    assert [r.event_id for r in report.tasks_older_than(df, 5, ("done", "failed"), now).collect()] == [3, 2, 6]
+    assert [r.event_id for r in report.tasks_older_than(df, 1, ("done",), now).collect()] == [4, 3, 6]
+    plan, stay = report.retention(df, {"done": 8.25, "failed": 8}, now)
+    assert {(r.current_stage, r.tasks, r.bytes) for r in plan.collect()} == {("failed", 1, 7), ("done", 2, 2)}
+    assert {r.event_id for r in stay.collect()} == {4, 5}
+
+
+def test_dates_sizes_and_years(spark):
+    from quillsieve.operators.lines import iso_date
+    from quillsieve.operators.retrieval import years_of
+    from quillsieve.sources.ingest import points_of
+
+    dates = {"2024年1月5日": "2024-01-05", "2024年02月30日": None, "2024年1月": None, "": None, None: None, "x2024年1月5日": None}
+    df = spark.createDataFrame([(k,) for k in dates], "v string")
+    assert {r[0]: r[1] for r in df.select("v", iso_date(df.v)).collect()} == dates
+    sizes = {"24": "12pt", "21": "10.5pt", "20.5": "10.2pt", "21.5": "10.8pt", "x": None, None: None}
+    df = spark.createDataFrame([(k,) for k in sizes], "v string")
+    assert {r[0]: r[1] for r in df.select("v", points_of(df.v)).collect()} == sizes
+    df = spark.createDataFrame([("a 1999, b 20245 c 1850",), (None,)], "v string")
+    assert [r[0] for r in df.select(years_of(df.v)).collect()] == [["1999", "2024"], None]
