@@ -9,7 +9,7 @@ _HEADS = "select doc_id, pos, section_id, level, text, lag(level) over (partitio
 #: A heading more than one level below the one before it; all codes that say so.
 heading_jumps = SqlOperator(
     "sections",
-    f"""select doc_id, pos, level, before, unroll(many('TITLE-007', 'FMT_HEADING_LEVEL_JUMP', 'HIER_INT_HEADING_STRUCT_001', 'HIER_INT_ORDER_001')) as rule_id from ({_HEADS}) h where level > before + 1 and before > 0""",
+    f"""select doc_id, pos, level, before, unroll(many('TITLE-007', 'FMT_HEADING_LEVEL_JUMP', 'HIER_INT_HEADING_STRUCT_001', 'HIER_INT_ORDER_001', 'ERR_INTEGRITY_HIER')) as rule_id from ({_HEADS}) h where level > before + 1 and before > 0""",
 )
 #: A heading more than one level above the one before it.
 heading_reversals = SqlOperator("sections", f"select doc_id, pos, level, before, 'TITLE-008' as rule_id from ({_HEADS}) h where level + 1 < before")

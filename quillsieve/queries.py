@@ -641,6 +641,34 @@ select doc_id, style_id, arg_min(font, depth) filter (font is not null) font, ar
 )
 
 
+#: SQL from the definitions, in another form than the operators': look-backs as subqueries, positions as ranges, cases as tables.
+_APART = {
+    "heading_jump": (["sections"], """h as (select *, (select max_by(b.level, b.pos) from sections b where b.doc_id = a.doc_id and b.type = 'heading' and b.pos < a.pos) b from sections a where type = 'heading')
+select doc_id, pos, level, b "before", code rule_id from h, (values ('TITLE-007'), ('FMT_HEADING_LEVEL_JUMP'), ('HIER_INT_HEADING_STRUCT_001'), ('HIER_INT_ORDER_001'), ('ERR_INTEGRITY_HIER')) c(code) where b > 0 and level - b > 1"""),
+    "heading_reverse": (["sections"], """h as (select *, (select max_by(b.level, b.pos) from sections b where b.doc_id = a.doc_id and b.type = 'heading' and b.pos < a.pos) b from sections a where type = 'heading') select doc_id, pos, level, b "before", 'TITLE-008' rule_id from h where b - level > 1"""),
+    "figure_numbering": (["sections"], """f as (select *, (select count(*) from sections b where b.doc_id = a.doc_id and b.type = a.type and b.pos <= a.pos)::varchar n from sections a where type in ('figure', 'table')), w(type, sign, word, code) as (values ('figure', '图', 'figure ', 'ERR_INT_FIG_001'), ('table', '表', 'table ', 'ERR_INT_TAB_001'))
+select doc_id, pos, n, code rule_id from f join w using (type) where instr(text, sign || n) = 0 and instr(lower(text), word || n) = 0"""),
+    "blank_runs": (["lines"], """b as (select doc_id, pos, row_number() over (partition by doc_id order by pos) i, trim(text) = '' blank from lines), r as (select *, i - coalesce((select max(c.i) from b c where c.doc_id = b.doc_id and c.i <= b.i and not c.blank), 0) k from b) select doc_id, pos, k, 'SPACE-001' rule_id from r where k > 1"""),
+    "empty_line_first": (["lines"], """n as (select *, row_number() over (partition by doc_id order by pos) i from lines), t as (select a.doc_id, a.pos from n a join n b on b.doc_id = a.doc_id and b.i = a.i - 1 and trim(a.text) = '' and trim(b.text) = '') select doc_id, min(pos) pos, 'FMT_EMPTY_LINE_001' rule_id from t group by 1"""),
+    "doc_presence": (["sections"], """d as (select distinct doc_id from sections) select doc_id, 'ERR_INT_STRUCT_001' rule_id from d where doc_id not in (select doc_id from sections where type = 'heading') union all select doc_id, 'REQ_INT_MISSING_SECTION_001' from d where doc_id not in (select doc_id from sections where contains(text, '摘要') or contains(lower(text), 'abstract'))"""),
+    "duplicate_sections": (["repeated_ids"], """r as (select * from repeated_ids) select doc_id, pos, section_id, 'ERR_INT_DUPLICATE_001' rule_id from r where exists (from r b where b.doc_id = r.doc_id and b.section_id = r.section_id and b.pos < r.pos)"""),
+    "empty_docs": (["docs", "sections"], """d as (from docs) select doc_id, 'ERR_INT_EMPTY_DATA' rule_id from d where doc_id not in (select doc_id from sections) union all select doc_id, 'ERR_INTEGRITY_NULL' from d where coalesce(title, '') = ''"""),
+    "ack_missing": (["docs", "sections"], """t as (select distinct doc_id from sections where contains(text, '致谢') or contains(lower(text), 'acknowledgment') or contains(lower(text), 'acknowledgement')) select doc_id, 'ERR_INT_MISSING_ACKNOWLEDGEMENT' rule_id from docs where (contains(title, '学位论文') or contains(lower(title), 'thesis') or contains(lower(title), 'dissertation')) and doc_id not in (from t)"""),
+    "missing_ref_entries": (["groups", "refs"], """g as (select *, regexp_matches(trim(cited), '^[0-9]+$') single from groups) select doc_id, pos, first_number "number", 'ERR_REF_MISSING' rule_id from g where single and first_number is not null and (doc_id, '[' || first_number || ']') not in (select (doc_id, ref_id) from refs)"""),
+    "unused_ref_entries": (["edges", "refs"], """c as (select distinct doc_id, '[' || number || ']' ref_id from edges) select doc_id, ref_pos, ref_id, 'WARN_REF_UNUSED' rule_id from refs r left join c using (doc_id, ref_id) where (r.doc_id, r.ref_id) not in (select (doc_id, ref_id) from c)"""),
+    "score_impact": (["issues"], """p(name, points) as (values ('CRITICAL', 10), ('HIGH', 5), ('MEDIUM', 2), ('LOW', 1)) select i.doc_id, cast(coalesce(sum(points), 0) as bigint) score from issues i left join p on name = upper(severity_name) group by 1"""),
+    "audit_summary": (["issues"], """i as (select doc_id, upper(severity_name) s from issues) select doc_id, count(*) total, count(*) filter (where s in ('CRITICAL', 'HIGH')) high, count(*) filter (where s = 'MEDIUM') medium, count(*) filter (where s = 'LOW') low from i group by 1"""),
+    "hybrid_merge": (["packs", "reviewed"], """r as (select distinct doc_id, section_id from reviewed) select p.doc_id, p.section_id, p.rule_id, 'packs' origin from packs p where (doc_id, section_id) not in (select (doc_id, section_id) from r) union all select doc_id, section_id, rule_id, 'review' from reviewed"""),
+    "issue_dedupe_exact": (["issues"], """n as (select *, row_number() over (order by doc_id, pos, k) i from issues), f as (select min(i) i from n group by doc_id, section_id, rule_id, issue_type, severity_name, original, start_char, end_char) select doc_id, pos, k, rule_id, issue_type, original, start_char, end_char from n join f using (i)"""),
+    "chunks_small": (["sections"], """s as (select *, greatest(1, ceil((length(text) - 10) / 70))::int n from sections where text <> '') select doc_id, pos, k::int k, text[k * 70 + 1 : k * 70 + 80] chunk from s, lateral (select unnest(range(0, n)) k) x"""),
+    "chunks": (["sections"], """s as (select *, greatest(1, ceil((length(text) - 100) / 700))::int n from sections where text <> '') select doc_id, pos, k::int k, text[k * 700 + 1 : k * 700 + 800] chunk from s, lateral (select unnest(range(0, n)) k) x"""),
+    "token_jaccard": (["text_pairs"], r"""t as (select id, unnest([0, 1]) side, unnest([a, b]) x from text_pairs), w as (select distinct id, side, unnest(regexp_extract_all(lower(x), '[\p{L}\p{N}_]+')) w from t), u as (select id, w, count(*) n from w group by 1, 2), c as (select id, count(*) filter (where n = 2) both_, count(*) all_ from u group by 1)
+select p.id, coalesce(round(both_ / all_, 9), 0) jaccard from text_pairs p left join c using (id)"""),
+}
+for _name, (_inputs, _sql) in _APART.items():
+    ORACLE[_name] = _with(_inputs, _sql)
+
+
 #: Columns that are 32-bit in Spark's results and wider in the oracle's, with the queries that have them.
 _NARROW = {
     "ref_pos, section_id": "ref_section_locate",
