@@ -42,3 +42,20 @@ def test_entry_has_rows(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["audit_lines", "code_sections", "review_groups"])
+def test_lines_at_the_edges_of_words(spark, tmp_path, name):
+    """Letters of other scripts are parts of words, for the operators and for their SQL."""
+    words = ["doi", "2001", "class", "return", "importó", "intérêt", "et al.é", "et al.", "claſs", "f(x", "éf(x", "DOI", "参考文献", "参考文献列表", "12. x", "[Q]"]
+    lines = [a + w + b for w in words for a in ("", "ñ", "Osque ñ", "年", "x ", "_") for b in ("", "é", "年", " y", "_")]
+    texts = ["\n".join(lines[k:] + lines[:k]) for k in range(0, 48)] + [f"\x0b{x}\x0b" for x in lines]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    df = QUERIES[name](spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(df.columns)} from ({ORACLE[name]}) x").fetchall()
+    got = sorted(tuple(plain(v) for v in r) for r in df.collect())
+    assert got == sorted(tuple(plain(v) for v in r) for r in want) and got
+    if name == "audit_lines":
+        assert any(r.line.endswith("ñdoi") for r in df.collect()) and not any(r.line.endswith("x doi") for r in df.collect())
