@@ -90,3 +90,32 @@ def test_no_vectors(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0])], "vec_id long, embedding array<double>")
     assert vectors.vector_topk(df.limit(0), df).count() == vectors.vector_topk(df, df.limit(0)).count() == 0
     assert sorted(map(tuple, vectors.vector_topk(df.where("vec_id = 2"), df).collect())) == [(1, 2, 1, 0.0)]
+
+
+def shuffled_rows(spark):
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return {(stages.apply(i).stageId(), stages.apply(i).attemptId()): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+
+def test_no_row_for_each_pair_that_shares_a_token(spark):
+    """Every query shares rare and frequent tokens with every paper: rows grow with both tables, not with their product."""
+    words = [f"w{k}" for k in range(40)]
+    papers = spark.createDataFrame([(p, f"p{p}", None, None, 2000, None, " ".join(words[p % 7 :])) for p in range(120)], PAPERS)
+    queries = spark.createDataFrame([(q, " ".join(words[: 30 + q % 9]) + f" q{q}") for q in range(300)], "id long, text string")
+    before = shuffled_rows(spark)
+    got = retrieval.paper_topk(queries, papers).collect()
+    rows = sum(n for key, n in shuffled_rows(spark).items() if key not in before)
+    assert len(got) == 900 and rows < 5_000
+    pairs = retrieval.paper_topk_all_pairs(queries, papers)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, pairs.collect()))
+
+
+def test_ranks_are_those_of_rounded_scores(spark):
+    """1/1024 has ten digits and is rounded up; several rows of one id are ranked together, as in the SQL."""
+    papers = spark.createDataFrame([(p, "a", None, None, None, None, " ".join(f"p{p}x{k}" for k in range(511 + p % 2))) for p in range(6)], PAPERS)
+    queries = spark.createDataFrame([(q // 2, "a " + " ".join(f"q{k}" for k in range(512 - q % 3))) for q in range(8)], "id long, text string")
+    want = sorted(map(tuple, retrieval.paper_topk_all_pairs(queries, papers).collect()), key=str)
+    strip = lambda rows: sorted((r[0], r[3], r[5]) for r in rows)  # noqa: E731  rows of an id that tie have the same papers
+    assert strip(map(tuple, retrieval.paper_topk(queries, papers).collect())) == strip(want) and len(want) == 12
