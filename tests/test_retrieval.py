@@ -119,3 +119,15 @@ def test_ranks_are_those_of_rounded_scores(spark):
     want = sorted(map(tuple, retrieval.paper_topk_all_pairs(queries, papers).collect()), key=str)
     strip = lambda rows: sorted((r[0], r[3], r[5]) for r in rows)  # noqa: E731  rows of an id that tie have the same papers
     assert strip(map(tuple, retrieval.paper_topk(queries, papers).collect())) == strip(want) and len(want) == 12
+
+
+def test_verdicts_shuffle_no_row_for_each_pair(spark):
+    words = [f"w{k}" for k in range(40)]
+    papers = spark.createDataFrame([(p, f"w1 w2 w{p}", "A B", None, 2000, None, " ".join(words[p % 7 :])) for p in range(120)], PAPERS)
+    queries = spark.createDataFrame([(q, " ".join(words[: 30 + q % 9]) + f", w1 w2 w{q} x; y z A B. w1 w2 w{q}") for q in range(300)], "id long, text string")
+    before = shuffled_rows(spark)
+    got = retrieval.verify(queries, retrieval.paper_topk(queries, papers), papers).collect()
+    assert sum(n for key, n in shuffled_rows(spark).items() if key not in before) < 5_000
+    best = retrieval.paper_topk_all_pairs(queries, papers)
+    want = retrieval.verified(queries.withColumn("years", retrieval.F.lit("")), best, papers).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 300
